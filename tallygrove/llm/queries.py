@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, packing
 
-QUERIES = {"op1_fm_decontamination": decontamination.op1_fm_decontamination}
+QUERIES = {
+    "op1_fm_decontamination": decontamination.op1_fm_decontamination,
+    "op4_sum_of_squares_packing": packing.op4_sum_of_squares_packing,
+}
 
 ORACLES = {"op1_fm_decontamination": decontamination.ORACLE}
