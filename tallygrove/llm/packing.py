@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from ..plans.lineage import checkpointed
 from ._text import sliced
 
 VOCABULARY = "word_bpe_49k.json"
@@ -187,7 +188,7 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, shard: int
         key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("_shard")
         return frame.select(*columns, key).groupBy("_shard").applyInPandas(packed(level), schema)
 
-    first = dealt(pieces, max(1, -(-n_pieces // shard)), 0).checkpoint()
+    first = checkpointed(dealt(pieces, max(1, -(-n_pieces // shard)), 0))
     loose = first.where(F.col("_fill") < int(repack * capacity))
     again = dealt(loose, max(1, -(-loose.count() // shard)), 1)
     return first.where(F.col("_fill") >= int(repack * capacity)).unionByName(again).drop("_fill")

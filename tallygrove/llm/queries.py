@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing
+from . import decontamination, dedup, packing, url_rules
 
 QUERIES = {
     "op1_fm_decontamination": decontamination.op1_fm_decontamination,
+    "op2_prob_minhash": dedup.op2_prob_minhash,
     "op4_sum_of_squares_packing": packing.op4_sum_of_squares_packing,
 }
 
-ORACLES = {"op1_fm_decontamination": decontamination.ORACLE}
+ORACLES = {
+    "op1_fm_decontamination": decontamination.ORACLE,
+    "op5_url_range_join": url_rules.ORACLE,
+}
