@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, dedup, packing, url_rules
+from . import decontamination, dedup, packing, url_rules, warc
 
 QUERIES = {
     "op1_fm_decontamination": decontamination.op1_fm_decontamination,
