@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, dedup, packing, url_rules, warc
+from . import decontamination, dedup, packing, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_fm_decontamination": decontamination.op1_fm_decontamination,
     "op2_prob_minhash": dedup.op2_prob_minhash,
     "op4_sum_of_squares_packing": packing.op4_sum_of_squares_packing,
+    "op5_url_range_join": url_rules.op5_url_range_join,
+    "op6_cumulative_link_toxicity": toxicity.op6_cumulative_link_toxicity,
+    "op8_warc_index_merge": warc.op8_warc_index_merge,
 }
 
 ORACLES = {
