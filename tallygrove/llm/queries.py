@@ -16,4 +16,5 @@ QUERIES = {
 ORACLES = {
     "op1_fm_decontamination": decontamination.ORACLE,
     "op5_url_range_join": url_rules.ORACLE,
+    "op8_warc_index_merge": warc.ORACLE,
 }

@@ -1,10 +1,10 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Grades: a text labelled not toxic is 0; toxic training texts are graded 1 to 3 by thirds of their density
-of toxic terms, terms that the labels show to be far more common in toxic texts. The model is
+Grades: a text labelled not toxic is 0; toxic training texts are graded 1 to 3 by thirds of how many
+toxic terms they have, terms that the labels show to be far more common in toxic texts. The model is
 P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector for all thresholds; x has log(1 + count)
 of words and of word beginnings of 4, 5 and 6 bytes, which carry over to unseen inflections. Its output is
-the expected grade, and a text is rejected when a grade of 1 or more is at least as likely as not.
+the expected grade, and a text is rejected when a grade of 1 or more has a probability of REJECT.
 
 Scale: fitted on at most SAMPLE labelled texts of each class, taken by a hash of the id; term counts of
 these are aggregated in Spark and at most VOCABULARY terms are kept, of which those are chosen that cover
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from ._text import LOWER, Words, mixed, sliced
 
-SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_LIFT, COVER, ALIKE = 6000, 20_000, 3, 8.0, 8, 0.7
-GRADES = 3  # above 0
+SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_LIFT, COVER, ALIKE = 6000, 20_000, 3, 30.0, 4, 0.7
+GRADES, REJECT = 3, 0.3  # grades above 0
 RESULTS = ("severity", "p_toxic", "rejected")
 
 
@@ -83,7 +83,7 @@ def _vectors(vocabulary: np.ndarray):
             row, at, n = counted(*looked_up(vocabulary, *features(words)))
             edges = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(edges, pa.array(x, pa.int32())) for x in (at, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words.counts, pa.int64()), *lists], names=["toxic", "n_words", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["toxic", "at", "n"])
 
     return run
 
@@ -127,7 +127,7 @@ def covering(rows: np.ndarray, at: np.ndarray, size: int, cover: int = COVER, al
     return np.array(chosen, dtype=np.int64)
 
 
-def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 600, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 600, l2: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the mean log likelihood with a ridge."""
     n = len(grade)
     share = np.array([(grade > k).mean() for k in range(GRADES)]).clip(1e-4, 1 - 1e-4)
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = terms.where(F.col("t") >= LEAST_TEXTS).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
     terms = terms.orderBy(F.desc("t"), F.desc("lift"), "feature").limit(VOCABULARY).select("feature").toPandas()
     vocabulary = np.sort(terms["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    data = texts.mapInArrow(_vectors(vocabulary), "toxic int, n_words long, at array<int>, n array<int>").toPandas()
+    data = texts.mapInArrow(_vectors(vocabulary), "toxic int, at array<int>, n array<int>").toPandas()
     texts.unpersist()
     counts = np.array([len(x) for x in data["at"]])
     rows = np.repeat(np.arange(len(data)), counts)
@@ -181,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place[chosen] = np.arange(len(chosen))
     used = place[at] >= 0
     vocabulary, rows, at, n = vocabulary[chosen], rows[used], place[at[used]], n[used]
-    density = np.bincount(rows, weights=n, minlength=len(data)) / np.maximum(data["n_words"].to_numpy(), 1)
-    cuts = np.quantile(density[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, density, side="right"), 0)
+    amount = np.bincount(rows, weights=n, minlength=len(data))
+    cuts = np.quantile(amount[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, amount, side="right"), 0)
     weights, thresholds = fit_cumulative_link(rows, at, np.log1p(n), grade, len(vocabulary))
     return CumulativeLink(vocabulary, weights, thresholds)
 
@@ -201,7 +201,7 @@ def grade_texts(docs: DataFrame, model: CumulativeLink | None, text_col: str = "
         for batch in sliced(batches, 8 << 20, text_col):
             above = model.above(model.scores(batch.column(batch.schema.get_field_index(text_col))))
             own = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= REJECT)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

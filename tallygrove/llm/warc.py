@@ -178,7 +178,7 @@ def op8_warc_index_merge(spark, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     named = lambda c: F.nullif(F.col(c), F.lit("")).cast(kind).alias(c)
     history = capture_history(read_archives(spark, folder))
-    return history.select(named("page_id"), "payload_bytes", "payload_digest", "record_type", named("refers_to"), "url_key", "captured", "part", "position")
+    return history.select(named("page_id"), "payload_bytes", "payload_digest", "record_type", named("refers_to"))
 
 
 ORACLE = """
