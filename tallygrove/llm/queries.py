@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, dedup, packing, toxicity, url_rules, warc
+from . import decontamination, dedup, language_id, packing, privacy, quality, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_fm_decontamination": decontamination.op1_fm_decontamination,
     "op2_prob_minhash": dedup.op2_prob_minhash,
+    "op3_byte_cnn_language": language_id.op3_byte_cnn_language,
     "op4_sum_of_squares_packing": packing.op4_sum_of_squares_packing,
     "op5_url_range_join": url_rules.op5_url_range_join,
     "op6_cumulative_link_toxicity": toxicity.op6_cumulative_link_toxicity,
     "op8_warc_index_merge": warc.op8_warc_index_merge,
+    "op9_information_sanitisation": privacy.op9_information_sanitisation,
+    "op10_weak_label_quality": quality.op10_weak_label_quality,
 }
 
 ORACLES = {
