@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, dedup, language_id, packing, privacy, quality, toxicity, url_rules, warc
+from . import decontamination, dedup, language_id, nearest, packing, privacy, quality, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_fm_decontamination": decontamination.op1_fm_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sum_of_squares_packing": packing.op4_sum_of_squares_packing,
     "op5_url_range_join": url_rules.op5_url_range_join,
     "op6_cumulative_link_toxicity": toxicity.op6_cumulative_link_toxicity,
+    "op7_kmeans_tree_search": nearest.op7_kmeans_tree_search,
     "op8_warc_index_merge": warc.op8_warc_index_merge,
     "op9_information_sanitisation": privacy.op9_information_sanitisation,
     "op10_weak_label_quality": quality.op10_weak_label_quality,
