@@ -1 +1,80 @@
-"""Placeholder."""
+"""Queries on several datasets: the orders of each priority as text columns, and events with faults."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import compare
+from .queries_tables import EVENTS, dirty_events, rounded
+from .registry import query, table
+
+
+def by_status(spark, d):
+    """Orders by status, F and O."""
+    o = table(spark, d, "orders").drop("o_orderkey")
+    return {s: o.where(F.col("o_orderstatus") == s) for s in ("F", "O")}
+
+
+_TWO = "(select *, o_orderstatus as dataset from orders where o_orderstatus in ('F', 'O'))"
+
+
+@query("workspace_list", f"select dataset, count(*)::bigint as rows, 5::bigint as columns, 5::bigint as shared from {_TWO} group by 1")
+def _(spark, d):
+    return compare.list_datasets(by_status(spark, d))
+
+
+@query("shared_columns", "select unnest(['n_name', 'n_regionkey']) as \"column\"")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    names = compare.shared_columns({"a": n.drop("n_nationkey"), "b": n})
+    return n.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column")) for c in names)))).distinct()
+
+
+@query("union_counts", f"select dataset, count(*)::bigint as rows, round(sum(o_totalprice), 2) as total from {_TWO} group by 1")
+def _(spark, d):
+    return rounded(compare.stacked(by_status(spark, d)).groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")), 2)
+
+
+@query("shared_kinds", "select unnest(['o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) as \"column\", unnest(['numeric', 'categorical', 'numeric', 'dateLike', 'categorical']) as kind")
+def _(spark, d):
+    return compare.shared_kinds(by_status(spark, d))
+
+
+@query("compare_describe", f"select dataset, count(*)::bigint as rows, 5::bigint as columns, (count(*) - count(distinct (o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)))::bigint as duplicates, round(avg(o_custkey), 4) as mean, round(quantile_cont(o_custkey, 0.5), 4) as median, round(stddev_samp(o_custkey), 4) as sd from {_TWO} group by 1")
+def _(spark, d):
+    return compare.compare_describe(by_status(spark, d)).select("dataset", "rows", "columns", "duplicates", "mean", "median", "sd")
+
+
+@query("stat_diff_numeric", f"with m as (select dataset, round(avg(o_totalprice), 4) as a, round(avg(o_custkey), 4) as b from {_TWO} group by 1) select 'o_totalprice' as \"column\", round(max(a) - min(a), 4) as mean_delta, 2::bigint as datasets from m union all select 'o_custkey', round(max(b) - min(b), 4), 2 from m")
+def _(spark, d):
+    return compare.stat_diff_numeric(by_status(spark, d))
+
+
+@query("stat_diff_means", f"select 'o_totalprice' as \"column\", dataset, count(*)::bigint as n, round(avg(o_totalprice), 4) as mean, round(quantile_cont(o_totalprice, 0.5), 4) as median, round(stddev_samp(o_totalprice), 4) as sd from {_TWO} group by all")
+def _(spark, d):
+    return compare.numeric_means(by_status(spark, d), ["o_totalprice"])
+
+
+@query("stat_diff_categorical", f"with c as (select dataset, o_orderpriority as v, count(*) as c from {_TWO} group by all), s as (select dataset, round(100.0 * max(c) / sum(c), 1) as s from c group by 1) select 'o_orderpriority' as \"column\", round(max(s) - min(s), 1) as dominance_gap from s union all select 'o_orderstatus', 0.0")
+def _(spark, d):
+    return compare.stat_diff_categorical(by_status(spark, d), ["o_orderpriority", "o_orderstatus"])
+
+
+@query("workspace_priority", f"select 'events' as dataset, 4.0::double + 2.0 as score, 'high' as priority union all select 'nation', 2.5::double, 'low' from (select 1 from {EVENTS} limit 1)")
+def _(spark, d):
+    return compare.rank_datasets({"events": dirty_events(spark, d), "nation": table(spark, d, "nation")}, active="nation")
+
+
+@query("workspace_chart_plan")
+def _(spark, d):
+    return compare.chart_plan(by_status(spark, d))
+
+
+@query("workspace_compare_plan")
+def _(spark, d):
+    return compare.compare_plan(by_status(spark, d))
+
+
+@query("workspace_follow_ups")
+def _(spark, d):
+    return compare.follow_ups(by_status(spark, d))
