@@ -7,8 +7,9 @@ force, over all vectors, of CALIBRATION queries reaches RECALL.
 
 Scale: the tree is fitted on the driver on at most SAMPLE vectors taken by a hash; all vectors are
 indexed. Equal vectors are one entry with their neighbours + 1 smallest ids, more of which can't be in a
-result, so a common vector costs no more than a rare one. Leaves are split into blocks of BLOCK entries
-and BLOCK queries, each compared in one task, and leave the best few rows of each query.
+result, so a common vector costs no more than a rare one. Leaves stand on shelves of about BLOCK entries; a
+shelf's leaves that a query visits are compared in one task, for BLOCK queries at most, and leave the
+query's few best rows. A leaf too large for a shelf is split.
 
 Defined cases: vectors that are null, zero, of another than the commonest length, or that hold a null or
 a non-finite number take no part, nor do rows with a null id; repeated rows count once; ties go to the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
 
-SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL, BLOCK = 50_000, 8, 100, 100, 0.97, 4096
+SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL, BLOCK = 50_000, 8, 100, 100, 0.95, 4096
 
 
 class KMeansTree:
@@ -192,25 +193,41 @@ def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vec
         return table.sparkSession.createDataFrame([], empty)
     leaves = calibrated(tree, entries, _matrix(trial, size), neighbours, recall)
 
+    sizes = entries.groupBy("leaf").count().toPandas().set_index("leaf")["count"].reindex(range(tree.leaves), fill_value=0).to_numpy()
+    shelf_of = np.cumsum(sizes) // BLOCK  # leaves next to each other share a shelf of about BLOCK entries
+    parts = np.maximum(1, -(-np.bincount(shelf_of, weights=sizes).astype(int) // (2 * BLOCK))).tolist()
+
     def visiting(batches):
         for batch in batches:
-            visits = [tree.visits(q, leaves) for q in _matrix(batch.column(0).to_pylist(), size)]
-            at = pa.array([k for k, v in enumerate(visits) for _ in v], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for v in visits for x in v], pa.int32())], names=["vec", "q", "leaf"])
-
-    visits = checkpointed(distinct.repartition("vec").mapInArrow(visiting, "vec binary, q long, leaf int"))
-    parts = lambda frame: np.maximum(1, -(-frame.groupBy("leaf").count().toPandas().set_index("leaf")["count"].reindex(range(tree.leaves), fill_value=0).to_numpy() // BLOCK)).tolist()
-    entry_parts, query_parts = F.array(*map(F.lit, parts(entries))), F.array(*map(F.lit, parts(visits)))
+            rows = []
+            for k, q in enumerate(_matrix(batch.column(0).to_pylist(), size)):
+                by_shelf: dict[int, list[int]] = {}
+                for leaf in tree.visits(q, leaves):
+                    by_shelf.setdefault(int(shelf_of[leaf]), []).append(leaf)
+                rows += [(k, s, v) for s, v in by_shelf.items()]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["vec", "q", "shelf", "leaves"])
+
+    visits = checkpointed(distinct.repartition("vec").mapInArrow(visiting, "vec binary, q long, shelf int, leaves array<int>"))
+    askers = visits.groupBy("shelf").count().toPandas().set_index("shelf")["count"].reindex(range(len(parts)), fill_value=0).to_numpy()
+    entry_parts, query_parts = (F.array(*map(F.lit, n)) for n in (parts, np.maximum(1, -(-askers // BLOCK)).tolist()))
     spread = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
     split = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
-    left = entries.withColumn("i", split("vec", entry_parts[F.col("leaf")])).withColumn("j", spread(query_parts[F.col("leaf")]))
-    right = visits.withColumn("j", split("q", query_parts[F.col("leaf")])).withColumn("i", spread(entry_parts[F.col("leaf")]))
+    shelved = entries.withColumn("shelf", F.array(*map(F.lit, map(int, shelf_of)))[F.col("leaf")])
+    left = shelved.withColumn("i", split("vec", entry_parts[F.col("shelf")])).withColumn("j", spread(query_parts[F.col("shelf")]))
+    right = visits.withColumn("j", split("q", query_parts[F.col("shelf")])).withColumn("i", spread(entry_parts[F.col("shelf")]))
 
     def compared(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        found = list(_nearest(_matrix(query["vec"], size), _matrix(entry["vec"], size), entry["ids"].tolist(), most)) if len(entry) and len(query) else []
+        found = []
+        if len(entry) and len(query):
+            entry = entry.sort_values("leaf")
+            x, ids, leaf = _matrix(entry["vec"], size), entry["ids"].tolist(), entry["leaf"].to_numpy()
+            for k, (q, own) in enumerate(zip(_matrix(query["vec"], size), query["leaves"], strict=True)):
+                at = np.flatnonzero(np.isin(leaf, own))
+                found += [(k, d, i) for _, d, i in _nearest(q[None, :], x[at], [ids[e] for e in at.tolist()], most)]
         return pd.DataFrame({"q": query["q"].to_numpy()[[f[0] for f in found]] if found else np.zeros(0, np.int64), "score": np.array([f[1] for f in found], float), "vec_id": np.array([f[2] for f in found], np.int64)})
 
-    keys = ["leaf", "i", "j"]
+    keys = ["shelf", "i", "j"]
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compared, "q long, score double, vec_id long")
     best = best.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, most).alias("near"))
     named = asked.join(distinct.withColumnRenamed("q", "_q"), "vec").select("_q", F.col("vec_id").alias("query_id"))
