@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._sample import hashed_sample
 from ._text import sliced, text_bytes
 
 SAMPLE, PIECE = 4000, 384  # texts, characters of each
@@ -127,8 +128,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("language"))
     begin = F.lit(1) + F.pmod(order, F.greatest(F.length(text_col) - PIECE + 1, F.lit(1))).cast("int")
-    pieces = known.select(order.alias("o"), F.substring(F.col(text_col), begin, F.lit(PIECE)).alias("t"), F.col(lang_col).alias("l"))
-    rows = pieces.orderBy("o", "l", "t").limit(sample).toPandas()
+    pieces = known.select(order.alias("o"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), begin, F.lit(PIECE)).alias("t"))
+    rows = hashed_sample(pieces, F.col("o"), sample, docs.select(lang_col).where(F.col(lang_col).isNotNull()).count()).toPandas()
     if not len(rows):
         return None
     languages = sorted(set(rows["l"]))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
+from ._sample import hashed_sample
 
 SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL, BLOCK = 50_000, 8, 100, 100, 0.95, 4096
 
@@ -183,12 +184,12 @@ def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vec
     local = rows.mapInArrow(_gathered(most), "vec binary, ids array<long>")
     entries = local.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
     entries = checkpointed(entries)
-    picked = entries.orderBy(F.xxhash64("vec"), "vec").limit(sample).select("vec").toPandas()["vec"]
+    picked = hashed_sample(entries.select("vec"), F.xxhash64("vec"), sample, entries.count()).toPandas()["vec"]
     tree = KMeansTree(_matrix(picked, size))
     entries = checkpointed(entries.mapInArrow(_placed(tree, size), "vec binary, ids array<long>, leaf int"))
     asked = checkpointed(rows.where(query_rows).distinct())
     distinct = asked.groupBy("vec").agg(F.min("vec_id").alias("q"))
-    trial = distinct.orderBy(F.xxhash64("vec", "q"), "q").limit(CALIBRATION).select("vec").toPandas()["vec"]
+    trial = hashed_sample(distinct, F.xxhash64("vec", "q"), CALIBRATION, distinct.count()).toPandas()["vec"]
     if not len(trial):
         return table.sparkSession.createDataFrame([], empty)
     leaves = calibrated(tree, entries, _matrix(trial, size), neighbours, recall)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._sample import hashed_sample
 from ._text import IS_WORD, LOWER, Words, mixed, sliced
 
 SAMPLE, BUCKETS = 6000, 1 << 16
@@ -182,7 +183,7 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Qual
             at = at[np.argsort(row, kind="stable")].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(posterior[_code(votes(words))]), pa.array([at[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["p", "at"])
 
-    texts = picked.orderBy("o").limit(sample).select("text")
+    texts = hashed_sample(picked, F.col("o"), sample, int(counts.sum())).select("text")
     rows = texts.mapInArrow(sampled, "p double, at binary").toPandas()
     if not len(rows):
         return QualityModel(posterior, chance, share, None)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._sample import hashed_sample
 from ._text import LOWER, Words, mixed, sliced
 
 SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_LIFT, COVER, ALIKE = 6000, 20_000, 3, 30.0, 4, 0.7
@@ -156,7 +157,8 @@ def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, gra
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> CumulativeLink | None:
     """A model from labelled texts; None without labels of both kinds."""
     known = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
-    picked = [known.where(F.col("_toxic") == k).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
+    classes = {r._toxic: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    picked = [hashed_sample(known.where(F.col("_toxic") == k), F.xxhash64("_id"), sample, classes.get(k, 0)) for k in (0, 1)]
     picked = picked[0].union(picked[1]).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "_id")
     texts = texts.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("_toxic").alias("toxic")).select("text", "toxic").persist()
