@@ -103,7 +103,7 @@ def missing_pattern(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """rows, columns and duplicates (rows beyond the first of their kind)."""
-    kinds = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    kinds = df.groupBy(F.struct(*df.columns).alias("row")).agg(F.count(F.lit(1)).alias("n"))
     return kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
