@@ -10,7 +10,7 @@ the driver), so the label model covers everything. The scorer is trained on at m
 by a hash of their text. Votes and scores are made in single passes without a shuffle.
 
 Defined cases: a null or wordless text has score 0, is bad and isn't kept; repeated rows each get a row;
-with too few or one-sided votes the posterior is that of the prior; only the id and text columns are read.
+wordless texts aren't counted for the label model; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from ._sample import hashed_sample
 from ._text import IS_WORD, LOWER, Words, mixed, sliced
 
 SAMPLE, BUCKETS = 6000, 1 << 16
-FALSE_ALARMS = 0.005  # a heuristic calls at most so many good texts bad; else EM takes a common fault for normal
+FALSE_ALARMS = 0.001  # a heuristic calls at most so many good texts bad; else EM takes a common fault for normal
 #: The heuristics, in the order of their votes.
 LABELLERS = ("symbols", "capitals", "repeats", "variety", "sentences", "word_length")
 
@@ -151,7 +151,8 @@ def _code(v: np.ndarray) -> np.ndarray:
 def _pattern_counts(batches):
     sums = np.zeros(3 ** len(LABELLERS), np.int64)
     for batch in sliced(batches):
-        sums += np.bincount(_code(votes(Words(batch.column(0)))), minlength=len(sums))
+        words = Words(batch.column(0))
+        sums += np.bincount(_code(votes(words))[words.counts > 0], minlength=len(sums))
     seen = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["code", "n"])
 
