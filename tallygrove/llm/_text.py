@@ -12,7 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+KEPT: list = []  # caches that operators keep in a worker between tasks
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -103,8 +104,14 @@ class Words:
         return starts + a, ends + a, mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sliced(batches, most_bytes: int = 8 << 20, column: str = "text"):
-    """The Arrow batches, cut so that none holds much more text than most_bytes."""
+def sliced(batches, most_bytes: int = 2 << 20, column: str = "text", own=None):
+    """The Arrow batches, cut so that none holds much more text than most_bytes.
+
+    Caches that other operators' tasks left in this worker are emptied first; own is the caller's.
+    """
+    for cache in KEPT:
+        if cache is not own:
+            cache.cache_clear()
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -282,7 +282,7 @@ def _marker(items: list[tuple[str, str | None]], window: int, text_col: str, las
     def run(batches):
         patterns = Patterns(items, window)
         shard = Shard(patterns)
-        for batch in sliced(batches, 4 << 20, text_col):
+        for batch in sliced(batches, 2 << 20, text_col):
             shard.add(batch, Words(batch.column(batch.schema.get_field_index(text_col))))
             if shard.full():
                 yield from emitted(shard)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ..plans.lineage import checkpointed
-from ._text import sliced
+from ._text import KEPT, sliced
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, SHARD, REPACK, CACHED = 2048, 8192, 0.985, 400_000
@@ -108,6 +108,9 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+KEPT.append(word_tokens)
+
+
 def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """A row for each piece of a document: its ids and the end token, cut after every capacity tokens.
 
@@ -120,7 +123,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         tokens = word_tokens(path)
-        for batch in sliced(batches, 2 << 20, "text"):
+        for batch in sliced(batches, 2 << 20, "text", word_tokens):
             raws = [x + end for x in tokens.encode(batch.column(1).to_pylist())]
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, raw in enumerate(raws):

@@ -193,7 +193,7 @@ def _marked(terms: np.ndarray, first: bool, text_col: str, finish=None):
     """Adds spans of terms, and base spans at first, to the column _spans (triples start, kind, end, flat)."""
 
     def run(batches):
-        for batch in sliced(batches, 8 << 20, text_col):
+        for batch in sliced(batches, 2 << 20, text_col):
             column = batch.column(batch.schema.get_field_index(text_col))
             spans: dict[int, list] = {}
             if first:

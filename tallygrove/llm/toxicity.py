@@ -200,7 +200,7 @@ def grade_texts(docs: DataFrame, model: CumulativeLink | None, text_col: str = "
     schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches):
-        for batch in sliced(batches, 8 << 20, text_col):
+        for batch in sliced(batches, 2 << 20, text_col):
             above = model.above(model.scores(batch.column(batch.schema.get_field_index(text_col))))
             own = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= REJECT)], names=schema.names)
