@@ -12,7 +12,7 @@ Scale: texts with the same words are first reduced to one node, so a group of ex
 more. No bucket is expanded into pairs: each member is compared with its bucket's first; linked nodes
 form components; then only buckets with several components are looked at again, in blocks of BLOCK
 members, for pairs across components that the sketches allow: the likeliest two of each member in a
-bucket, then, of what is still apart, all but those whose estimate is FINAL deviations under the threshold. Links and labels stay in tables.
+bucket, then, of what is still apart, all that reach LIKELY, then all others. Links and labels stay in tables.
 
 Probability of missing a pair at exactly 0.8 with 32 bands of 6: (1 - 0.8**6)**32, 6 in 100,000; at 0.85
 it is 3 in ten million.
@@ -37,7 +37,7 @@ from ._text import Words, mixed, sliced
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 SMALL = 100_000  # rows of 24 bytes that may be broadcast
 MARGIN = 4.0  # standard deviations under the threshold at which an estimate rules a pair out (3 in 100,000)
-FINAL = 1.5  # the same for pairs that are not among a member's likeliest two in a bucket
+LIKELY = 1.5  # the same for pairs that are verified before the rest, as their links leave less of it
 BLOCK = 1024
 
 
@@ -163,8 +163,8 @@ def _plausible(least: float):
 PAIR = "a long, b long"
 
 
-def _across(least: float, best: int | None):
-    """Of a bucket's blocks lo and hi, the pairs of members of different components that the estimate allows.
+def _across(least: float, under: float, best: int | None):
+    """Of a bucket's blocks lo and hi, the pairs of members of different components whose estimate is from least to under.
 
     A pair comes from the first bucket that it shares only. best: so many pairs from each member, the
     likeliest; None: all.
@@ -184,7 +184,8 @@ def _across(least: float, best: int | None):
             first = same.argmax(axis=1)
             j = j[bands[i][first] == k]
             likely = ((sig[j] == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            j, likely = j[likely >= least], likely[likely >= least]
+            allowed = (likely >= least) & (likely < under)
+            j, likely = j[allowed], likely[allowed]
             if best and len(j) > best:
                 j = j[np.lexsort((node[j], -likely))[:best]]
             for x in node[j].tolist():
@@ -285,7 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = check.links(pairs)
     if passes is not None:
         passes.append(pairs.count())
-    for best, least in ((2, check.least), (None, threshold - FINAL * check.sigma)):
+    likely = threshold - LIKELY * check.sigma
+    # what is apart in the last round was so in the round before, which has verified the likely ones
+    for best, least, under in ((2, check.least, np.inf), (None, likely, np.inf), (None, check.least, likely)):
         labels = components(links)
         own = shared.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         split = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
@@ -294,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = active.join(reps.select("node", "sig", "bands"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         active = active.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "sig", "bands")
         dealt = active.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        pairs = checkpointed(dealt.mapInArrow(_across(least, best), PAIR).distinct())
+        pairs = checkpointed(dealt.mapInArrow(_across(least, under, best), PAIR).distinct())
         if passes is not None:
             passes.append(pairs.count())
         links = checkpointed(links.union(check.links(pairs)).distinct())

@@ -140,6 +140,38 @@ def test_near_duplicates_equal_brute_force(spark, texts):
         assert sum(r.kept for r in got) == len(classes)
 
 
+def test_near_duplicates_verify_all_that_the_sketches_allow(spark):
+    # each text is 0.8 like its twin and, with one of two slots in common, 0.787 like many others
+    rng, texts = random.Random(8), []
+    for slots in rng.sample(list(itertools.combinations(range(5, 120, 8), 2)), 80):
+        for shift in (0, 2):
+            own = [f"w{k}" for k in range(130)]
+            for at in slots:
+                own[at + shift] = f"x{at}y{shift}z{len(texts)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    bands, rows = 8, 2
+    row, value, count = dedup.shingles(Words(pa.array(texts)), 5)
+    held = dedup.prob_minhash(len(texts), row, value, count.astype(float), bands * rows)
+    low = held.astype(np.uint8)
+    sets = [set(value[row == k].tolist()) for k in range(len(texts))]
+    least = 0.8 - dedup.MARGIN * (0.8 * 0.2 / (bands * rows)) ** 0.5
+    to = list(range(len(texts)))
+
+    def root(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        banded = (held[a] == held[b]).reshape(bands, rows).all(axis=1).any()
+        if banded and ((low[a] == low[b]).mean() - 1 / 256) / (1 - 1 / 256) >= least and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            to[max(root(a), root(b))] = min(root(a), root(b))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(table, bands=bands, rows=rows).collect()}
+    assert got == {k: root(k) for k in range(len(texts))}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = np.arange(1, 201, dtype=np.uint64), np.arange(61, 261, dtype=np.uint64)
