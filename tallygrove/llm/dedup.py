@@ -5,7 +5,9 @@ it. Each shingle is a unit-rate Poisson process of arrivals, the same in every d
 speeds up; an arrival goes to one of bands*rows registers and stays if it is the earliest there. A
 shingle stops as soon as its next arrival is later than all registers. The share of equal registers
 estimates the probability Jaccard similarity; equal bands make candidates; candidates that the estimate
-does not rule out are verified exactly on the shingles. Two texts are linked if their probability
+does not rule out are verified exactly on the shingles. A text that repeats a shingle has a second sketch
+with all weights 1, for the plain Jaccard similarity; for the others both sketches are the same, so keys of
+either kind share buckets, and the better of the estimates counts. Two texts are linked if their probability
 Jaccard similarity or the plain Jaccard similarity of their shingle sets is at least the threshold.
 
 Scale: texts with the same words are first reduced to one node, so a group of exact copies costs nothing
@@ -86,23 +88,50 @@ def prob_minhash(rows: int, row: np.ndarray, value: np.ndarray, weight: np.ndarr
     return held.reshape(rows, registers)
 
 
+def both_sketches(rows: int, row: np.ndarray, value: np.ndarray, count: np.ndarray, registers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' sketches by count, the rows that repeat a shingle, and these rows' sketches with weight 1."""
+    held = prob_minhash(rows, row, value, count.astype(np.float64), registers)
+    repeats = np.unique(row[count > 1])
+    own = np.isin(row, repeats)
+    return held, repeats, prob_minhash(len(repeats), np.searchsorted(repeats, row[own]), value[own], np.ones(own.sum()), registers)
+
+
+def band_keys(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    sums = held.reshape(-1, bands, rows) * (np.arange(rows, dtype=np.uint64) * np.uint64(2) + np.uint64(3)) ** np.uint64(5)
+    return mixed(sums.sum(axis=2) + mixed(np.arange(1, bands + 1, dtype=np.uint64))[None, :]).view(np.int64)
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The larger of the estimates by count and by weight 1, of rows of two sketches of register bytes each."""
+    half = a.shape[-1] // 2
+    equal = np.maximum((a[..., :half] == b[..., :half]).mean(axis=-1), (a[..., half:] == b[..., half:]).mean(axis=-1))
+    return (equal - 1 / 256) / (1 - 1 / 256)
+
+
+def _twofold(column: list[bytes], registers: int) -> np.ndarray:
+    """Sketches as rows of two; a row that has only one has it twice."""
+    return np.frombuffer(b"".join(x if len(x) > registers else x + x for x in column), np.uint8).reshape(len(column), -1)
+
+
 def _sketch(k: int, bands: int, rows: int, names: list[str]):
     def run(batches):
         for batch in sliced(batches, 2 << 20):
             words = Words(batch.column(batch.schema.get_field_index("text")))
             row, value, count = shingles(words, k)
-            held = prob_minhash(batch.num_rows, row, value, count.astype(np.float64), bands * rows)
-            sums = held.reshape(-1, bands, rows) * (np.arange(rows, dtype=np.uint64) * np.uint64(2) + np.uint64(3)) ** np.uint64(5)
-            keys = mixed(sums.sum(axis=2) + mixed(np.arange(1, bands + 1, dtype=np.uint64))[None, :])
+            held, repeats, plain = both_sketches(batch.num_rows, row, value, count, bands * rows)
+            keys = list(band_keys(held, bands, rows))
+            small = [x.tobytes() for x in held.astype(np.uint8)]
+            for at, other, low in zip(repeats.tolist(), band_keys(plain, bands, rows), plain.astype(np.uint8), strict=True):
+                keys[at] = np.concatenate([keys[at], other])
+                small[at] += low.tobytes()
             at = (np.arange(len(words.hash)) - words.first[words.row]).astype(np.uint64)
             whole = []
             for salt in (0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words.hash + mixed(at + np.uint64(salt))), dtype=np.uint64)])
                 whole.append((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64))
             sizes = np.bincount(row, minlength=batch.num_rows)
-            flat = keys.view(np.int64).reshape(-1)
-            small = held.astype(np.uint8)
-            columns = [batch.column(0), batch.column(2), *(pa.array(x) for x in whole), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), pa.array(flat))]
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+            columns = [batch.column(0), batch.column(2), *(pa.array(x) for x in whole), pa.array(sizes, pa.int64()), pa.array(small, pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(keys)))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -148,13 +177,13 @@ def _verified(threshold: float):
     return run
 
 
-def _plausible(least: float):
+def _plausible(least: float, registers: int):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             if n:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in (2, 3))
-                keep = pa.array(np.flatnonzero(((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least))
+                a, b = (_twofold(batch.column(k).to_pylist(), registers) for k in (2, 3))
+                keep = pa.array(np.flatnonzero(estimates(a, b) >= least))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     return run
@@ -163,27 +192,28 @@ def _plausible(least: float):
 PAIR = "a long, b long"
 
 
-def _across(least: float, under: float, best: int | None):
+def _across(least: float, under: float, best: int | None, registers: int):
     """Of a bucket's blocks lo and hi, the pairs of members of different components whose estimate is from least to under.
 
-    A pair comes from the first bucket that it shares only. best: so many pairs from each member, the
+    A pair comes from the bucket with the smallest key that it shares only. best: so many pairs from each member, the
     likeliest; None: all.
     """
 
     def of_block(key: tuple, group: list[tuple]):
         k, lo, hi = key
         block, node, comp = (np.array([g[i] for g in group]) for i in (3, 4, 5))
-        sig = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), -1)
-        bands = np.array([g[7] for g in group])
+        sig = _twofold([g[6] for g in group], registers)
+        bands = np.array([g[7] if len(g[6]) > registers else g[7] + g[7] for g in group])
+        half = bands.shape[1] // 2
+        swapped = np.roll(bands, half, axis=1)
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         for i in left.tolist():
             j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (lo != hi))]
             if not len(j):
                 continue
-            same = bands[j] == bands[i]
-            first = same.argmax(axis=1)
-            j = j[bands[i][first] == k]
-            likely = ((sig[j] == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            same = (bands[j] == bands[i]) | (swapped[j] == bands[i])
+            j = j[np.where(same, bands[i], np.iinfo(np.int64).max).min(axis=1) == k]
+            likely = estimates(sig[j], sig[i])
             allowed = (likely >= least) & (likely < under)
             j, likely = j[allowed], likely[allowed]
             if best and len(j) > best:
@@ -242,14 +272,14 @@ class Pairs:
     """Verification of candidate pairs of nodes."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, k: int, threshold: float, registers: int):
-        self.docs, self.reps, self.k, self.threshold = docs, reps, k, threshold
+        self.docs, self.reps, self.k, self.threshold, self.registers = docs, reps, k, threshold, registers
         self.sigma = (threshold * (1 - threshold) / registers) ** 0.5
         self.least = threshold - MARGIN * self.sigma
 
     def links(self, pairs: DataFrame) -> DataFrame:
         sig = self.reps.select("node", "sig")
         a, b = sig.toDF("a", "xa"), sig.toDF("b", "xb")
-        near = checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", "xa", "xb").mapInArrow(_plausible(self.least), PAIR))
+        near = checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", "xa", "xb").mapInArrow(_plausible(self.least, self.registers), PAIR))
         needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(self.reps.select("node", "doc_id", "tkey"), "node")
         needed = needed.select("node", F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).persist()
         some = F.broadcast(needed) if needed.count() <= SMALL else needed
@@ -278,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = checkpointed(sketched.select("rid", "doc_id", "n1", "n2").join(copied, ["n1", "n2"], "left").select("rid", "doc_id", F.coalesce("first", "rid").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies")))
     others = members.where("rid != node").select("rid")
     reps = checkpointed(sketched.where("size > 0").join(others, "rid", "left_anti").select(F.col("rid").alias("node"), "doc_id", "tkey", "sig", "bands"))
-    banded = reps.select("node", F.explode("bands").alias("key"))
+    banded = reps.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = checkpointed(banded.join(buckets, "key").select("key", "node", "first", "c"))
     check = Pairs(texts, reps, k, threshold, bands * rows)
@@ -297,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = active.join(reps.select("node", "sig", "bands"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         active = active.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "sig", "bands")
         dealt = active.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        pairs = checkpointed(dealt.mapInArrow(_across(least, under, best), PAIR).distinct())
+        pairs = checkpointed(dealt.mapInArrow(_across(least, under, best, bands * rows), PAIR).distinct())
         if passes is not None:
             passes.append(pairs.count())
         links = checkpointed(links.union(check.links(pairs)).distinct())

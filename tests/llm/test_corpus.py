@@ -172,6 +172,16 @@ def test_near_duplicates_verify_all_that_the_sketches_allow(spark):
     assert got == {k: root(k) for k in range(len(texts))}
 
 
+def test_near_duplicates_with_a_repeated_line(spark):
+    base, line = [f"w{k}" for k in range(104)], [f"line{k}" for k in range(9)]
+    some = [*base[:40], *line, *base[40:95]]
+    often = [*base[:40], *line * 50, *base[40:95]]
+    other = [*base[:40], *line * 20, *base[40:94], "end"]
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((some, often, other, base[::-1]))], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(table).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = np.arange(1, 201, dtype=np.uint64), np.arange(61, 261, dtype=np.uint64)
