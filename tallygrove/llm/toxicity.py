@@ -6,8 +6,8 @@ P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector for all thresholds
 of words and of word beginnings of 4, 5 and 6 bytes, which carry over to unseen inflections. Its output is
 the expected grade, and a text is rejected when a grade of 1 or more has a probability of REJECT.
 
-Scale: fitted on at most SAMPLE labelled texts of each class, taken by a hash of the id; term counts of
-these are aggregated in Spark and at most VOCABULARY terms are kept, of which those are chosen that cover
+Scale: fitted on at most SAMPLE labelled texts of each class, taken by a hash of the id and weighted by how
+many labels each stands for, so that probabilities mean the same at every size; term counts of these are aggregated in Spark and at most VOCABULARY terms are kept, of which those are chosen that cover
 each toxic text COVER times; a term found in about the same texts as a chosen one is passed over, so that
 copies of one text do not make all its words toxic. Scoring is one pass without a
 shuffle with a model of bounded size.
@@ -128,10 +128,11 @@ def covering(rows: np.ndarray, at: np.ndarray, size: int, cover: int = COVER, al
     return np.array(chosen, dtype=np.int64)
 
 
-def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 600, l2: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the mean log likelihood with a ridge."""
+def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 600, l2: float = 3e-5, stands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam on the mean log likelihood with a ridge; stands: how many rows each stands for."""
     n = len(grade)
-    share = np.array([(grade > k).mean() for k in range(GRADES)]).clip(1e-4, 1 - 1e-4)
+    part = np.full(n, 1 / n) if stands is None else stands / stands.sum()
+    share = np.array([part[grade > k].sum() for k in range(GRADES)]).clip(1e-4, 1 - 1e-4)
     first = np.log((1 - share) / share)
     params = np.concatenate([np.zeros(size), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -145,8 +146,8 @@ def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, gra
         slope = edges * (1 - edges)
         p = np.maximum(edges[each, grade + 1] - edges[each, grade], 1e-12)
         upper, lower = slope[each, grade + 1] / p, slope[each, grade] / p
-        d_score = (upper - lower) / n
-        d_theta = np.array([(lower[grade == k + 1].sum() - upper[grade == k].sum()) / n for k in range(GRADES)])
+        d_score = (upper - lower) * part
+        d_theta = np.array([(lower * part)[grade == k + 1].sum() - (upper * part)[grade == k].sum() for k in range(GRADES)])
         d_gaps = np.cumsum(d_theta[::-1])[::-1][1:] * gaps
         gradient = np.concatenate([np.bincount(at, weights=d_score[rows] * value, minlength=size) + l2 * weights, [d_theta.sum()], d_gaps])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
@@ -158,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from labelled texts; None without labels of both kinds."""
     known = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     classes = {r._toxic: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    stands = [max(1.0, classes.get(k, 0) / sample) for k in (0, 1)]
     picked = [hashed_sample(known.where(F.col("_toxic") == k), F.xxhash64("_id"), sample, classes.get(k, 0)) for k in (0, 1)]
     picked = picked[0].union(picked[1]).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "_id")
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     amount = np.bincount(rows, weights=n, minlength=len(data))
     cuts = np.quantile(amount[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(cuts, amount, side="right"), 0)
-    weights, thresholds = fit_cumulative_link(rows, at, np.log1p(n), grade, len(vocabulary))
+    weights, thresholds = fit_cumulative_link(rows, at, np.log1p(n), grade, len(vocabulary), stands=np.where(toxic, stands[1], stands[0]))
     return CumulativeLink(vocabulary, weights, thresholds)
 
 

@@ -330,6 +330,25 @@ def test_toxicity_grades_and_spares(spark):
     assert toxicity.grade_texts(docs, None).where("rejected").count() == 0
 
 
+def test_toxicity_means_the_same_with_a_small_sample(spark):
+    rng = random.Random(4)
+    plain = [f"plain{k}" for k in range(40)]
+    rows = [(k, " ".join([*rng.sample(plain, 8), *(["awful"] if k % 20 == 0 else [])])) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # half of the toxic labels are on texts without a term, so such a text is toxic with 0.05
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(1200)], "doc_id long, toxic int")
+    for sample in (6000, 60):
+        graded = toxicity.grade_texts(docs.where("doc_id = 1"), toxicity.train(docs, labels, sample=sample)).first()
+        assert graded.p_toxic < 0.15 and not graded.rejected
+
+
+def test_toxicity_weights_the_classes():
+    grade = np.repeat([0, 1, 2, 3], [30, 10, 10, 10])
+    none = np.zeros(0, np.int64)
+    _, thresholds = toxicity.fit_cumulative_link(none, none, np.zeros(0), grade, 0, stands=np.where(grade > 0, 1.0, 19.0))
+    assert 1 / (1 + np.exp(thresholds[0])) == pytest.approx(0.05, abs=0.005)
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, 300)
