@@ -73,13 +73,14 @@ class KMeansTree:
                 node[own] = kids[((x[own][:, None, :] - self.centroids[kids][None, :, :]) ** 2).sum(axis=2).argmin(axis=1)]
         return np.array([self.leaf_of[k] for k in node.tolist()], dtype=np.int32)
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, leaves: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: so many, and more until they hold at least so many entries by sizes."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < leaves or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf_of[node] >= 0:
                 out.append(self.leaf_of[node])
+                held += int(sizes[out[-1]]) if sizes is not None else 0
             for kid, d in zip(self.children[node], ((self.centroids[self.children[node]] - q) ** 2).sum(axis=1).tolist() if self.children[node] else (), strict=True):
                 heapq.heappush(queue, (d, kid))
         return out
@@ -203,7 +204,7 @@ def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vec
             rows = []
             for k, q in enumerate(_matrix(batch.column(0).to_pylist(), size)):
                 by_shelf: dict[int, list[int]] = {}
-                for leaf in tree.visits(q, leaves):
+                for leaf in tree.visits(q, leaves, sizes, most):
                     by_shelf.setdefault(int(shelf_of[leaf]), []).append(leaf)
                 rows += [(k, s, v) for s, v in by_shelf.items()]
             at = pa.array([r[0] for r in rows], pa.int64())

@@ -417,6 +417,14 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest_neighbours(table.where("vec_id < 3"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_nearest_with_singleton_leaves():
+    x = np.arange(20.0)[:, None] ** 2
+    tree = nearest.KMeansTree(x, leaf=1)
+    sizes = np.bincount(tree.leaf(x), minlength=tree.leaves)
+    assert sizes[tree.visits(x[3], 1, sizes, 11)].sum() >= 11
+    assert len(tree.visits(x[3], 1, sizes, 50)) == tree.leaves
+
+
 def test_registered_sql(spark):
     import os
 
