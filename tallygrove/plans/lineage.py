@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: the context's, else the session's spark.checkpoint.dir, else (alone, as in tests) a new one."""
+    """The shared folder: the context's, else the session's spark.checkpoint.dir.
+
+    Where neither is set, a local master gets a new temporary folder; on a cluster that is an error, as its machines
+    do not share such a folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -20,8 +27,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder and read from there.
 
     Unlike checkpoint(), which computes its rows once to count and once to write them, this computes them
-    once, and later reads take only the columns they need. The folder can be cleared after the job.
+    once, and later reads take only the columns they need. The folder can be cleared after the job; discard()
+    clears one table.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of checkpointed() that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
