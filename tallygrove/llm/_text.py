@@ -7,13 +7,14 @@ All work is on whole byte blocks, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 18
-KEPT: list = []  # caches that operators keep in a worker between tasks
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -104,20 +105,43 @@ class Words:
         return starts + a, ends + a, mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sliced(batches, most_bytes: int = 2 << 20, column: str = "text", own=None):
-    """The Arrow batches, cut so that none holds much more text than most_bytes.
-
-    Caches that other operators' tasks left in this worker are emptied first; own is the caller's.
-    """
-    for cache in KEPT:
-        if cache is not own:
-            cache.cache_clear()
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
-            yield batch.slice(at, min(to, batch.num_rows) - at)
-            at = to
+def bounded_batches(spark) -> None:
+    """Arrow batches of BATCH_BYTES at most in this session, from now on; a smaller bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    shown = spark.conf.get(name, "64m").strip().lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(shown[-1:], 1)
+    if int(shown.rstrip("kmg") or 0) * unit > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def released() -> None:
+    """Gives memory that is free in this worker back to the machine; workers live on between tasks."""
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def sliced(batches, most_bytes: int = SLICE_BYTES, column: str = "text"):
+    """The Arrow batches, cut so that none holds much more text than most_bytes; frees memory at the end."""
+    try:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+                yield batch.slice(at, min(to, batch.num_rows) - at)
+                at = to
+    finally:
+        released()
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

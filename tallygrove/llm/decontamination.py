@@ -13,8 +13,9 @@ benchmark one block of BLOCK_WORDS words at most is on the driver and in a task
 blocks are further passes chained on the same rows.
 
 Defined cases: a null or wordless text has no words and no hit; an item without words or without an id
-has no windows; equal rows each get their own result; extra columns pass through, but columns that have
-the names of results are replaced.
+has no windows; equal rows each get their own result, and items that share a window are all named; a text longer
+than a shard is a shard of its own; an empty table gives no rows; extra columns pass through, but columns that
+have the names of results are replaced, which remove_passages avoids by other names.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Words, sliced
+from ._text import Words, bounded_batches, sliced, unused
 
-SHARD_WORDS, SHARD_BYTES, BLOCK_WORDS = 1 << 20, 32 << 20, 2_000_000
+SHARD_WORDS, SHARD_BYTES, BLOCK_WORDS = 1 << 19, 8 << 20, 2_000_000
 SAMPLE = 8  # every so many positions one suffix is kept for locating
 
 
@@ -185,7 +186,7 @@ class Shard:
             long_enough = known[at[:-1]] & (np.diff(at) >= p.shortest)
             for a, b in zip(at[:-1][long_enough].tolist(), at[1:][long_enough].tolist(), strict=True):
                 row = int(words.row[a])
-                self.runs.append((self.rows + row, a - int(words.first[row]), near[a:b] + 1, words.start[a:b], words.end[a:b]))
+                self.runs.append((self.rows + row, a - int(words.first[row]), near[a:b] + 1, words.start[a:b].copy(), words.end[a:b].copy()))
                 self.size += b - a + 1
         self.batches.append(batch)
         self.n_words.append(words.counts)
@@ -253,15 +254,15 @@ def _merged(spans: list[tuple]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def _marker(items: list[tuple[str, str | None]], window: int, text_col: str, last: bool, keep_text: bool):
-    """The mapInArrow function of one benchmark block. Earlier blocks' findings come in _spans and _items."""
+def _marker(items: list[tuple[str, str | None]], window: int, text_col: str, last: bool, keep_text: bool, carried: tuple[str, str], results: tuple[str, ...]):
+    """The mapInArrow function of one benchmark block. Earlier blocks' findings come in the columns carried."""
 
     def emitted(shard: Shard):
         spans, by_row = shard.found()
         row = 0
         for batch, n_words in zip(shard.batches, shard.n_words, strict=True):
             names = batch.schema.names
-            old_spans, old_items = batch.column(names.index("_spans")).to_pylist(), batch.column(names.index("_items")).to_pylist()
+            old_spans, old_items = (batch.column(names.index(c)).to_pylist() for c in carried)
             all_spans, all_items = [], []
             for k in range(batch.num_rows):
                 was = [tuple(x.values()) for x in old_spans[k] or ()]
@@ -270,19 +271,20 @@ def _marker(items: list[tuple[str, str | None]], window: int, text_col: str, las
                 ids = [shard.patterns.names[i] for i in by_row.get(row + k, ())]
                 all_items.append(sorted({*ids, *old_items[k]}) if old_items[k] else ids)
             row += batch.num_rows
-            fields = [(n, c) for n, c in zip(names, batch.columns, strict=True) if n not in ("_spans", "_items") and (n != text_col or keep_text or not last)]
+            fields = [(n, c) for n, c in zip(names, batch.columns, strict=True) if n not in carried and (n != text_col or keep_text or not last)]
             as_dicts = [[dict(zip(("first_word", "past_word", "start", "end"), s, strict=True)) for s in x] for x in all_spans]
             if last:
                 hits = [sum(s[1] - s[0] for s in x) for x in all_spans]
-                fields += [("n_words", pa.array(n_words, pa.int64())), ("n_hit", pa.array(hits, pa.int64())), ("item_ids", pa.array(all_items, pa.list_(pa.string()))), ("spans", pa.array(as_dicts, SPAN))]
+                made = (pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(all_items, pa.list_(pa.string())), pa.array(as_dicts, SPAN))
+                fields += zip(results, made, strict=True)
             else:
-                fields += [("_spans", pa.array(as_dicts, SPAN)), ("_items", pa.array(all_items, pa.list_(pa.string())))]
+                fields += zip(carried, (pa.array(as_dicts, SPAN), pa.array(all_items, pa.list_(pa.string()))), strict=True)
             yield pa.RecordBatch.from_arrays([c for _, c in fields], names=[n for n, _ in fields])
 
     def run(batches):
         patterns = Patterns(items, window)
         shard = Shard(patterns)
-        for batch in sliced(batches, 2 << 20, text_col):
+        for batch in sliced(batches, column=text_col):
             shard.add(batch, Words(batch.column(batch.schema.get_field_index(text_col))))
             if shard.full():
                 yield from emitted(shard)
@@ -296,30 +298,33 @@ _SPAN_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in (
 RESULTS = ("n_words", "n_hit", "item_ids", "spans")
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep_text: bool = True) -> DataFrame:
-    """docs with n_words, n_hit, item_ids (as sorted strings) and spans of benchmark passages.
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep_text: bool = True, results: tuple[str, str, str, str] = RESULTS) -> DataFrame:
+    """docs with n_words, n_hit, item_ids (as sorted strings) and spans of benchmark passages, under the names in results.
 
     A span has word numbers and byte offsets in the UTF-8 text, ends exclusive. keep_text=False leaves
     the text column out, so that it isn't sent back.
     """
-    docs = docs.drop(*RESULTS, "_spans", "_items")
+    bounded_batches(docs.sparkSession)
+    docs = docs.drop(*results)
+    carried = tuple(unused(n, docs.columns) for n in ("_spans", "_items"))
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     n_words = items.agg(F.sum(F.length("t")).alias("n")).first().n or 0
     blocks = max(1, -(-n_words // (5 * BLOCK_WORDS)))
-    marked = docs.withColumns({"_spans": F.lit(None).cast(_SPAN_TYPE), "_items": F.lit(None).cast("array<string>")})
+    types = (_SPAN_TYPE, T.ArrayType(T.StringType()))
+    marked = docs.withColumns({n: F.lit(None).cast(t) for n, t in zip(carried, types, strict=True)})
     for k in range(blocks):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()]
         last = k == blocks - 1
-        fields = [f for f in marked.schema.fields if f.name not in ("_spans", "_items") and (f.name != text_col or keep_text or not last)]
-        more = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("spans", _SPAN_TYPE)] if last else [("_spans", _SPAN_TYPE), ("_items", T.ArrayType(T.StringType()))]
-        marked = marked.mapInArrow(_marker(part, window, text_col, last, keep_text), T.StructType(fields + [T.StructField(n, t) for n, t in more]))
+        fields = [f for f in marked.schema.fields if f.name not in carried and (f.name != text_col or keep_text or not last)]
+        more = zip(results, (T.LongType(), T.LongType(), *reversed(types)), strict=True) if last else zip(carried, types, strict=True)
+        marked = marked.mapInArrow(_marker(part, window, text_col, last, keep_text, carried, results), T.StructType(fields + [T.StructField(n, t) for n, t in more]))
     return marked
 
 
-def _without(batches, text_col: str):
+def _without(batches, text_col: str, results: tuple[str, ...]):
     for batch in batches:
         names = batch.schema.names
-        texts, spans = batch.column(names.index(text_col)).to_pylist(), batch.column(names.index("spans")).to_pylist()
+        texts, spans = batch.column(names.index(text_col)).to_pylist(), batch.column(names.index(results[3])).to_pylist()
         out = []
         for text, cuts in zip(texts, spans, strict=True):
             if cuts:
@@ -329,15 +334,15 @@ def _without(batches, text_col: str):
                     at = c["end"]
                 text = b"".join([*kept, raw[at:]]).decode()
             out.append(text)
-        columns = [pa.array(out, pa.string()) if n == text_col else c for n, c in zip(names, batch.columns, strict=True) if n not in RESULTS]
-        yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n not in RESULTS])
+        columns = [pa.array(out, pa.string()) if n == text_col else c for n, c in zip(names, batch.columns, strict=True) if n not in results]
+        yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n not in results])
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with the benchmark passages cut out of the texts; other columns as they were."""
-    marked = mark_contamination(docs, benchmark, text_col, **options)
-    schema = T.StructType([f for f in marked.schema.fields if f.name not in RESULTS])
-    return marked.mapInArrow(lambda batches: _without(batches, text_col), schema)
+    """docs with the benchmark passages cut out of the texts; all other columns as they were."""
+    results = tuple(unused(n, docs.columns) for n in RESULTS)
+    marked = mark_contamination(docs, benchmark, text_col, results=results, **options)
+    return marked.mapInArrow(lambda batches: _without(batches, text_col, results), docs.schema)
 
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()

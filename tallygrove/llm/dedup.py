@@ -11,36 +11,37 @@ either kind share buckets, and the better of the estimates counts. Two texts are
 Jaccard similarity or the plain Jaccard similarity of their shingle sets is at least the threshold.
 
 Scale: texts with the same words are first reduced to one node, so a group of exact copies costs nothing
-more. No bucket is expanded into pairs: each member is compared with its bucket's first; linked nodes
-form components; then only buckets with several components are looked at again, in blocks of BLOCK
-members, for pairs across components that the sketches allow: the likeliest two of each member in a
-bucket, then, of what is still apart, all that reach LIKELY, then all others. Links and labels stay in tables.
+more. No bucket is expanded into pairs. First each member is compared with its bucket's first; then, in buckets
+that still hold several components, with the likeliest member of another component; what is then still
+apart is verified inside the bucket's task, where each link joins two components, so a bucket of n members puts
+out n - 1 links at most. A bucket is dealt to blocks of BLOCK members and BLOCK_SHINGLES shingles. In wave w its block
+w meets the blocks from w on, so a wave's rows are at most twice the members; waves go on until no bucket has
+both several components and blocks that have not met. Links and labels stay in tables.
 
 Probability of missing a pair at exactly 0.8 with 32 bands of 6: (1 - 0.8**6)**32, 6 in 100,000; at 0.85
 it is 3 in ten million.
 
 Defined cases: a null or wordless text is linked to nothing, not even to another; repeated rows are
-copies, also under one id; a class's id is its smallest non-null document id; extra columns aren't read.
+copies, also under one id; a class's id is its smallest non-null document id, and of ties for the row that
+stays the first read; very long texts are sketched whole; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import checkpointed
-from ._text import Words, mixed, sliced
+from ..plans.lineage import checkpointed, discard
+from ._text import Words, bounded_batches, mixed, sliced
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 SMALL = 100_000  # rows of 24 bytes that may be broadcast
 MARGIN = 4.0  # standard deviations under the threshold at which an estimate rules a pair out (3 in 100,000)
-LIKELY = 1.5  # the same for pairs that are verified before the rest, as their links leave less of it
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 4096, 1_500_000  # members of a bucket, and their shingles, that one task holds of each side
+TEXT_SLICE = 1 << 19
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,14 +116,14 @@ def _twofold(column: list[bytes], registers: int) -> np.ndarray:
 
 def _sketch(k: int, bands: int, rows: int, names: list[str]):
     def run(batches):
-        for batch in sliced(batches, 2 << 20):
+        for batch in sliced(batches, TEXT_SLICE):
             words = Words(batch.column(batch.schema.get_field_index("text")))
             row, value, count = shingles(words, k)
             held, repeats, plain = both_sketches(batch.num_rows, row, value, count, bands * rows)
-            keys = list(band_keys(held, bands, rows))
+            keys = [x.tobytes() for x in band_keys(held, bands, rows)]
             small = [x.tobytes() for x in held.astype(np.uint8)]
             for at, other, low in zip(repeats.tolist(), band_keys(plain, bands, rows), plain.astype(np.uint8), strict=True):
-                keys[at] = np.concatenate([keys[at], other])
+                keys[at] += other.tobytes()
                 small[at] += low.tobytes()
             at = (np.arange(len(words.hash)) - words.first[words.row]).astype(np.uint64)
             whole = []
@@ -130,16 +131,27 @@ def _sketch(k: int, bands: int, rows: int, names: list[str]):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words.hash + mixed(at + np.uint64(salt))), dtype=np.uint64)])
                 whole.append((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64))
             sizes = np.bincount(row, minlength=batch.num_rows)
-            edges = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-            columns = [batch.column(0), batch.column(2), *(pa.array(x) for x in whole), pa.array(sizes, pa.int64()), pa.array(small, pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(keys)))]
+            columns = [batch.column(0), batch.column(2), *(pa.array(x) for x in whole), pa.array(sizes, pa.int64()), pa.array(small, pa.binary()), pa.array(keys, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+def _banded(batches):
+    """node, key: each bucket of each node, once."""
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        key = np.frombuffer(b"".join(raw), np.int64)
+        node = np.repeat(np.asarray(batch.column(0)), [len(x) // 8 for x in raw])
+        order = np.lexsort((key, node))
+        node, key = node[order], key[order]
+        new = np.concatenate([[True], (node[1:] != node[:-1]) | (key[1:] != key[:-1])])[: len(node)]
+        yield pa.RecordBatch.from_arrays([pa.array(node[new], pa.int64()), pa.array(key[new], pa.int64())], names=["node", "key"])
+
+
 def _evidence(k: int):
     def run(batches):
-        for batch in sliced(batches, 2 << 20):
+        for batch in sliced(batches, TEXT_SLICE):
             row, value, count = shingles(Words(batch.column(batch.schema.get_field_index("text"))), k)
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
             value, count = value.tobytes(), count.astype(np.int32).tobytes()
@@ -167,12 +179,10 @@ def similarities(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) ->
 
 def _verified(threshold: float):
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):  # a pair's shingles are large
-                batch = whole.slice(at, 500)
-                a, x, b, y = ([np.frombuffer(v, t) for v in batch.column(k).to_pylist()] for k, t in ((2, np.uint64), (3, np.int32), (4, np.uint64), (5, np.int32)))
-                keep = pa.array(np.flatnonzero([max(similarities(*pair)) >= threshold for pair in zip(a, x, b, y, strict=True)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+        for batch in batches:
+            a, x, b, y = ([np.frombuffer(v, t) for v in batch.column(k).to_pylist()] for k, t in ((2, np.uint64), (3, np.int32), (4, np.uint64), (5, np.int32)))
+            keep = pa.array(np.flatnonzero([max(similarities(*pair)) >= threshold for pair in zip(a, x, b, y, strict=True)]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     return run
 
@@ -180,10 +190,9 @@ def _verified(threshold: float):
 def _plausible(least: float, registers: int):
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if n:
+            if batch.num_rows:
                 a, b = (_twofold(batch.column(k).to_pylist(), registers) for k in (2, 3))
-                keep = pa.array(np.flatnonzero(estimates(a, b) >= least))
+                keep = pa.array(np.flatnonzero(estimates(a, b) >= least), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     return run
@@ -192,80 +201,127 @@ def _plausible(least: float, registers: int):
 PAIR = "a long, b long"
 
 
-def _across(least: float, under: float, best: int | None, registers: int):
-    """Of a bucket's blocks lo and hi, the pairs of members of different components whose estimate is from least to under.
-
-    A pair comes from the bucket with the smallest key that it shares only. best: so many pairs from each member, the
-    likeliest; None: all.
-    """
-
-    def of_block(key: tuple, group: list[tuple]):
-        k, lo, hi = key
-        block, node, comp = (np.array([g[i] for g in group]) for i in (3, 4, 5))
-        sig = _twofold([g[6] for g in group], registers)
-        bands = np.array([g[7] if len(g[6]) > registers else g[7] + g[7] for g in group])
-        half = bands.shape[1] // 2
-        swapped = np.roll(bands, half, axis=1)
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        for i in left.tolist():
-            j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (lo != hi))]
-            if not len(j):
-                continue
-            same = (bands[j] == bands[i]) | (swapped[j] == bands[i])
-            j = j[np.where(same, bands[i], np.iinfo(np.int64).max).min(axis=1) == k]
-            likely = estimates(sig[j], sig[i])
-            allowed = (likely >= least) & (likely < under)
-            j, likely = j[allowed], likely[allowed]
-            if best and len(j) > best:
-                j = j[np.lexsort((node[j], -likely))[:best]]
-            for x in node[j].tolist():
-                yield (min(x, int(node[i])), max(x, int(node[i])))
+class Block:
+    """The members of a bucket that one task holds: those of block lo, which meet those of block hi."""
+
+    def __init__(self, key: tuple, group: list[tuple], least: float, registers: int):
+        self.key, self.lo, self.hi, self.least = *key, least
+        block, self.node, self.comp = (np.array([g[i] for g in group]) for i in (3, 4, 5))
+        self.sig = _twofold([g[6] for g in group], registers)
+        bands = [g[7] for g in group]
+        longest = max(map(len, bands))
+        self.bands = np.frombuffer(b"".join(x if len(x) == longest else x + x for x in bands), np.int64).reshape(len(group), -1)
+        self.two = any(len(g[6]) > registers for g in group)
+        self.left, self.right = np.flatnonzero(block == self.lo), np.flatnonzero(block == self.hi)
+
+    def allowed(self, i: int, comp: np.ndarray, both: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other components that the sketches let i be near to, and how near; pairs of a smaller shared key left out."""
+        j = self.right[comp[self.right] != comp[i]]
+        if self.lo == self.hi:
+            j = j[j != i] if both else j[self.node[j] > self.node[i]]
+        likely = estimates(self.sig[j], self.sig[i])
+        near = likely >= self.least
+        j, likely = j[near], likely[near]
+        if len(j):
+            same = self.bands[j] == self.bands[i]
+            if self.two:
+                same |= np.roll(self.bands[j], self.bands.shape[1] // 2, axis=1) == self.bands[i]
+            own = np.where(same, self.bands[i], np.iinfo(np.int64).max).min(axis=1) == self.key
+            j, likely = j[own], likely[own]
+        return j, likely
+
+
+def _likeliest(block: Block, group: list[tuple]):
+    """For each member its likeliest partner in another component."""
+    for i in block.left.tolist():
+        j, likely = block.allowed(i, block.comp, both=True)
+        if len(j):
+            x, y = int(block.node[i]), int(block.node[j[np.lexsort((block.node[j], -likely))[0]]])
+            yield min(x, y), max(x, y)
+
+
+def _concerned(block: Block, group: list[tuple]):
+    """key, lo, hi, node of the members that may be near to one of another component."""
+    some = np.zeros(len(group), dtype=bool)
+    for i in block.left.tolist():
+        j, _ = block.allowed(i, block.comp)
+        some[i] |= len(j) > 0
+        some[j] = True
+    for x in block.node[some].tolist():
+        yield block.key, block.lo, block.hi, x
+
+
+def _joined(threshold: float):
+    """Links that join components, verified on the members' shingles, of a block whose rows hold them."""
+
+    def of_block(block: Block, group: list[tuple]):
+        values = [np.frombuffer(g[8], np.uint64) for g in group]
+        counts = [np.frombuffer(g[9], np.int32) for g in group]
+        sizes = np.array([len(v) for v in values])
+        repeats = np.array([c.max(initial=1) > 1 for c in counts])
+        comp = block.comp.copy()
+        for i in block.left.tolist():
+            j, likely = block.allowed(i, comp)
+            j = j[np.argsort(-likely, kind="stable")]
+            at = 0
+            while at < len(j):
+                # as many as hold a million shingles, a few at first
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[j[at : at + 16 + 4 * at]]), 1_000_000)))
+                some, at = j[at:to], to
+                some = some[comp[some] != comp[i]]
+                if not len(some):
+                    continue
+                flat = np.concatenate([values[x] for x in some])
+                place = np.minimum(np.searchsorted(values[i], flat), sizes[i] - 1)
+                common = np.add.reduceat((values[i][place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+                plain = common / (sizes[some] + sizes[i] - common)
+                for x, alike in zip(some.tolist(), plain.tolist(), strict=True):
+                    if comp[x] != comp[i] and (alike >= threshold or (repeats[x] or repeats[i]) and similarities(values[i], counts[i], values[x], counts[x])[0] >= threshold):
+                        comp[comp == comp[x]] = comp[i]
+                        yield min(int(block.node[i]), int(block.node[x])), max(int(block.node[i]), int(block.node[x]))
+
+    return of_block
+
+
+def _by_block(of_block, names: list[str], least: float, registers: int):
+    """Runs of rows of one (key, lo, hi) to what of_block makes of each."""
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int32() if n in ("lo", "hi") else pa.int64()) for k, n in enumerate(names)], names=names)
 
     def run(batches):
-        key, group = None, []
+        key, group, out = None, [], []
         for batch in batches:
-            out: list[tuple] = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[:3] != key:
                     if len(group) > 1:
-                        out.extend(of_block(key, group))
+                        out.extend(of_block(Block(key, group, least, registers), group))
                     key, group = r[:3], []
                 group.append(r)
-            yield _pairs(out)
+            if out:
+                yield made(out)
+                out = []
         if len(group) > 1:
-            yield _pairs(list(of_block(key, group)))
+            yield made(list(of_block(Block(key, group, least, registers), group)))
 
     return run
 
 
-def _pairs(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that links (a, b) lead to; only for nodes that have links."""
     both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"), F.lit(True).alias("moved")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         hop = labels.select(F.col("node").alias("to"), F.col("comp").alias("hop"))
-        moved = checkpointed(stepped.join(hop, "to", "left").select("node", F.least("to", F.coalesce("hop", "to")).alias("comp"), "was"))
-        labels = moved.select("node", "comp")
-        if moved.where("comp != was").isEmpty():
-            return labels
-
-
-@contextmanager
-def _small_batches(spark, rows: int):
-    """Arrow batches of so many rows for what runs inside; rows that carry two texts' shingles are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+        to = F.least("to", F.coalesce("hop", "to"))
+        following = checkpointed(stepped.join(hop, "to", "left").select("node", to.alias("comp"), (to != F.col("was")).alias("moved")))
+        discard(labels)
+        labels = following
+        if labels.where("moved").isEmpty():
+            discard(both)
+            return labels.drop("moved")
 
 
 class Pairs:
@@ -273,70 +329,106 @@ class Pairs:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, k: int, threshold: float, registers: int):
         self.docs, self.reps, self.k, self.threshold, self.registers = docs, reps, k, threshold, registers
-        self.sigma = (threshold * (1 - threshold) / registers) ** 0.5
-        self.least = threshold - MARGIN * self.sigma
+        self.least = threshold - MARGIN * (threshold * (1 - threshold) / registers) ** 0.5
+
+    def evidence(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles and counts of the nodes, from a text of each."""
+        needed = checkpointed(nodes.join(self.reps.select("node", "doc_id", "tkey"), "node").select("node", F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")))
+        some = F.broadcast(needed) if needed.count() <= SMALL else needed
+        found = self.docs.join(some, (F.col("tkey") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "text")
+        return checkpointed(found.mapInArrow(_evidence(self.k), "node long, shingles binary, counts binary").dropDuplicates(["node"]))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         sig = self.reps.select("node", "sig")
         a, b = sig.toDF("a", "xa"), sig.toDF("b", "xb")
         near = checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", "xa", "xb").mapInArrow(_plausible(self.least, self.registers), PAIR))
-        needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(self.reps.select("node", "doc_id", "tkey"), "node")
-        needed = needed.select("node", F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).persist()
-        some = F.broadcast(needed) if needed.count() <= SMALL else needed
-        found = self.docs.join(some, (F.col("tkey") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "text")
-        with _small_batches(near.sparkSession, 1000):
-            evidence = checkpointed(found.mapInArrow(_evidence(self.k), "node long, shingles binary, counts binary").dropDuplicates(["node"]))
-        needed.unpersist()
+        evidence = self.evidence(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         a, b = evidence.toDF("a", "sa", "ca"), evidence.toDF("b", "sb", "cb")
-        with _small_batches(near.sparkSession, 500):
-            return checkpointed(near.join(a, "a").join(b, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(_verified(self.threshold), PAIR))
+        found = checkpointed(near.join(a, "a").join(b, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(_verified(self.threshold), PAIR))
+        discard(near, evidence)
+        return found
+
 
+class Buckets:
+    """Buckets whose members are still in several components, dealt to blocks."""
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, passes: list | None = None) -> DataFrame:
-    """For each row: doc_id, class_id, copies (rows of the same words), n_links (verified links of its text), kept.
+    def __init__(self, shared: DataFrame, reps: DataFrame, check: Pairs):
+        self.shared, self.reps, self.check = shared, reps, check
+        self.schema = "key long, lo int, hi int, node long"
 
-    One row of each class is kept: that of the class's id, and of several such rows one. passes, if
-    given, gets the number of candidate pairs of each round.
+    def dealt(self, links: DataFrame, wave: int) -> DataFrame | None:
+        """Rows of the blocks that meet in this wave, or None if no bucket has such blocks left."""
+        labels = components(links)
+        own = self.shared.join(labels, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+        split = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), blocks.alias("blocks"))
+        split = checkpointed(split.where((F.col("least") < F.col("most")) & (F.col("blocks") > wave)).select("key", "blocks"))
+        if split.isEmpty():
+            return None
+        active = own.join(split, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).where(F.col("block") >= wave)
+        first = active.where((F.col("block") == wave) & (F.col("blocks") > wave + 1)).withColumn("hi", F.explode(F.sequence(F.lit(wave), F.col("blocks") - 1)))
+        others = active.where((F.col("block") > wave) | (F.col("blocks") == wave + 1)).withColumn("hi", F.col("block"))
+        rows = first.unionByName(others).join(self.reps.select("node", "sig", "bands"), "node")
+        return rows.select("key", F.lit(wave).cast("int").alias("lo"), "hi", "block", "node", "comp", "sig", "bands")
+
+    def run(self, rows: DataFrame, of_block, schema: str) -> DataFrame:
+        names = [part.split()[0] for part in schema.split(", ")]
+        sorted_ = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        return sorted_.mapInArrow(_by_block(of_block, names, self.check.least, self.check.registers), schema)
+
+    def likeliest(self, links: DataFrame) -> DataFrame | None:
+        """Candidates: of each member with the first block's likeliest of another component."""
+        rows = self.dealt(links, 0)
+        return checkpointed(self.run(rows, _likeliest, PAIR).distinct()) if rows is not None else None
+
+    def wave(self, links: DataFrame, wave: int) -> DataFrame | None:
+        """New links between components, from the blocks that meet in this wave."""
+        rows = self.dealt(links, wave)
+        if rows is None:
+            return None
+        rows = checkpointed(rows)
+        some = checkpointed(self.run(rows, _concerned, self.schema))
+        evidence = self.check.evidence(some.select("node").distinct())
+        full = rows.join(some, ["key", "lo", "hi", "node"], "left_semi").join(evidence, "node")
+        full = full.select("key", "lo", "hi", "block", "node", "comp", "sig", "bands", "shingles", "counts")
+        found = checkpointed(self.run(full, _joined(self.check.threshold), PAIR))
+        discard(rows, some, evidence)
+        return found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """For each row: doc_id, class_id, copies (rows of the same words), kept.
+
+    One row of each class is kept: that of the class's id, and of several such rows one.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("tkey", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n1", "n2", "size")), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    sketched = texts.mapInArrow(_sketch(k, bands, rows, schema.names), schema)
-    with _small_batches(docs.sparkSession, 1000):
-        sketched = checkpointed(sketched.withColumn("rid", F.monotonically_increasing_id()))
-    copied = sketched.where("size > 0").groupBy("n1", "n2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("tkey", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n1", "n2", "size")), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.BinaryType())])
+    sketched = checkpointed(texts.mapInArrow(_sketch(k, bands, rows, schema.names), schema).withColumn("rid", F.monotonically_increasing_id()))
+    copied = sketched.where("size > 0").groupBy("n1", "n2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies"))
+    copied = checkpointed(copied.where("copies > 1"))
     members = checkpointed(sketched.select("rid", "doc_id", "n1", "n2").join(copied, ["n1", "n2"], "left").select("rid", "doc_id", F.coalesce("first", "rid").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies")))
     others = members.where("rid != node").select("rid")
-    reps = checkpointed(sketched.where("size > 0").join(others, "rid", "left_anti").select(F.col("rid").alias("node"), "doc_id", "tkey", "sig", "bands"))
-    banded = reps.select("node", F.explode(F.array_distinct("bands")).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = checkpointed(banded.join(buckets, "key").select("key", "node", "first", "c"))
+    reps = checkpointed(sketched.where("size > 0").join(others, "rid", "left_anti").select(F.col("rid").alias("node"), "doc_id", "tkey", "size", "sig", "bands"))
+    discard(sketched, copied)
+    banded = reps.select("node", "bands").mapInArrow(_banded, "node long, key long")
+    buckets = checkpointed(banded.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    shared = checkpointed(banded.join(buckets, "key").join(reps.select("node", "size"), "node").select("key", "node", "first", "size"))
     check = Pairs(texts, reps, k, threshold, bands * rows)
+    open_ = Buckets(shared, reps, check)
     pairs = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = check.links(pairs)
-    if passes is not None:
-        passes.append(pairs.count())
-    likely = threshold - LIKELY * check.sigma
-    # what is apart in the last round was so in the round before, which has verified the likely ones
-    for best, least, under in ((2, check.least, np.inf), (None, likely, np.inf), (None, check.least, likely)):
-        labels = components(links)
-        own = shared.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        split = own.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        active = own.join(split.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        active = active.join(reps.select("node", "sig", "bands"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        active = active.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "sig", "bands")
-        dealt = active.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        pairs = checkpointed(dealt.mapInArrow(_across(least, under, best, bands * rows), PAIR).distinct())
-        if passes is not None:
-            passes.append(pairs.count())
+    if (pairs := open_.likeliest(links)) is not None:
         links = checkpointed(links.union(check.links(pairs)).distinct())
+        wave = 0
+        while (more := open_.wave(links, wave)) is not None:
+            links, wave = checkpointed(links.union(more).distinct()), wave + 1
     labels = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = members.join(labels.join(degree, "node", "left"), "node", "left").select("rid", "doc_id", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = checkpointed(found)
-    classes = found.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("stays"))
-    return found.join(classes, "comp").select("doc_id", "class_id", "copies", "n_links", (F.col("rid") == F.col("stays")).alias("kept"))
+    discard(shared, buckets)
+    found = checkpointed(members.join(labels, "node", "left").select("rid", "doc_id", "copies", F.coalesce("comp", "node").alias("comp")))
+    classes = checkpointed(found.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("stays")))
+    return found.join(classes, "comp").select("doc_id", "class_id", "copies", (F.col("rid") == F.col("stays")).alias("kept"))
 
 
 def op2_prob_minhash(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ smallest, N(g) being how many open sequences have g tokens left. That keeps many
 for what comes later. Pieces come longest first; ties go to the smallest gap.
 
 Scale: tokenising is one pass without a shuffle and leaves a short row for each piece; these are dealt
-by hash to shards of SHARD pieces, each packed alone, so a task's memory is bounded. Sequences that a
+by a hash of the row's number, so that equal rows part, to shards of SHARD pieces, each packed alone, so a task's
+memory is bounded. Sequences that a
 shard left less than REPACK full are opened and packed again in shards of their own, which leaves a few
 open sequences for each SHARD pieces.
 
-Defined cases: a null text is empty and becomes the end token alone; repeated rows are packed each; a
+Defined cases: a null text is empty and becomes the end token alone; repeated rows are packed each; a very long
+text is cut into pieces, none is left out; ties of length go by id and piece; an empty table gives no rows; a
 null id stays null; only the id and text columns are read, so extra columns cannot clash.
 """
 
@@ -18,11 +20,11 @@ from __future__ import annotations
 import array
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -31,18 +33,19 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ..plans.lineage import checkpointed
-from ._text import KEPT, sliced
+from ._text import bounded_batches, sliced
 
 VOCABULARY = "word_bpe_49k.json"
-CAPACITY, SHARD, REPACK, CACHED = 2048, 8192, 0.985, 400_000
+CAPACITY, SHARD, REPACK, CACHED = 2048, 8192, 0.985, 150_000
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
 
 
 class WordTokens:
     """Token ids of texts as little-endian 32-bit bytes, equal to the tokenizer's on the whole text.
 
-    The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are
-    those of its space- and newline-separated chunks. Chunks and their parts are kept in bounded caches.
+    The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those of
+    its chunks between white space. Arrow splits and dictionary-encodes the chunks; only chunks that are new are
+    tokenised, and their ids are gathered for all occurrences at once. What is known of chunks is bounded.
     """
 
     def __init__(self, path: str):
@@ -51,8 +54,12 @@ class WordTokens:
         self.ends_part = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_part[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.chunk_ids: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
         self.part_ids: dict[str, bytes] = {}
+        self.ids, self.begins = array.array("I"), array.array("q", [0])  # of chunk k from begins[k] to begins[k + 1]
 
     def direct(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -68,47 +75,36 @@ class WordTokens:
             else:
                 self.part_ids.update((p, self.direct(p)) for p in some)
 
-    def _learn(self, chunks: set[str]) -> None:
-        split = {}
-        for c in chunks:
-            if _PLAIN.fullmatch(c) and "<|" not in c:
-                split[c] = self.parts.findall(c.lower())
-            else:
-                self.chunk_ids[c] = self.direct(c)
+    def _learn(self, chunks: list[str]) -> None:
+        split = {c: self.parts.findall(c.lower()) for c in chunks if _PLAIN.fullmatch(c)}
         self._learn_parts(list({p for own in split.values() for p in own} - self.part_ids.keys()))
         get = self.part_ids.__getitem__
-        self.chunk_ids.update((c, b"".join(map(get, own))) for c, own in split.items())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.chunk_ids) > CACHED:
-            self.chunk_ids = {"": b""}
-        if len(self.part_ids) > CACHED:
-            self.part_ids = {}
-        out: list = []
-        for text in texts:
-            text = text or ""
-            if "<|" in text:
-                out.append(self.direct(text))
-                continue
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass  # other scripts have lower-case rules that only the tokenizer applies
-            out.append(text.replace("\n", " ").split(" "))
-        new = {c for own in out if isinstance(own, list) for c in own} - self.chunk_ids.keys()
-        if new:
-            self._learn(new)
-        get = self.chunk_ids.__getitem__
-        return [b"".join(map(get, own)) if isinstance(own, list) else own for own in out]
-
-
-@lru_cache(1)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
-KEPT.append(word_tokens)
+        for c in chunks:
+            self.place[c] = len(self.begins) - 1
+            self.ids.frombytes(b"".join(map(get, split[c])) if c in split else self.direct(c))
+            self.begins.append(len(self.ids))
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text; of a null, none."""
+        column = column.cast(pa.large_string()).fill_null("")
+        special = pc.match_substring(column, "<|")  # may hold an added token
+        whole = {k: self.direct(column[k].as_py()) for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()}
+        if whole:
+            column = pc.if_else(special, pa.scalar("", pa.large_string()), column)
+        lists = pc.ascii_split_whitespace(column)
+        edges = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        chunks = lists.flatten().dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        if len(self.place) + len(names) > CACHED or len(self.ids) > 8 * CACHED:
+            self._forget()
+        self._learn([c for c in names if c not in self.place])
+        begins = np.frombuffer(self.begins, np.int64)
+        which = np.array([self.place[c] for c in names], dtype=np.int64)[np.asarray(chunks.indices)]
+        sizes = begins[which + 1] - begins[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = np.frombuffer(self.ids, "<u4")[np.repeat(begins[which] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cut = (4 * ends[edges]).tolist()
+        return [whole.get(k) or raw[cut[k] : cut[k + 1]] for k in range(len(column))]
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -116,15 +112,17 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     keep_ids adds the token ids, as an array.
     """
+    bounded_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     end = array.array("I", [end_id]).tobytes()
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []))
 
     def run(batches):
-        tokens = word_tokens(path)
-        for batch in sliced(batches, 2 << 20, "text", word_tokens):
-            raws = [x + end for x in tokens.encode(batch.column(1).to_pylist())]
+        tokens = None
+        for batch in sliced(batches):
+            tokens = tokens or WordTokens(path)
+            raws = [x + end for x in tokens.encode(batch.column(1))]
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, raw in enumerate(raws):
                 for p, at in enumerate(range(0, len(raw), 4 * capacity)):
@@ -173,9 +171,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, shard: int = SHARD, repack: float = REPACK) -> DataFrame:
-    """pieces with sequence_id and offset. n_pieces, about, sets how many shards there are."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, repack: float = REPACK) -> DataFrame:
+    """pieces with sequence_id and offset."""
     columns = [f.name for f in pieces.schema.fields]
+    pieces = checkpointed(pieces)  # row numbers of a table are the same when a task is run again
     schema = T.StructType(pieces.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_fill", T.LongType())])
 
     def packed(level: int):
@@ -188,10 +187,10 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, shard: int
         return run
 
     def dealt(frame: DataFrame, shards: int, level: int) -> DataFrame:
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("_shard")
+        key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("_shard")
         return frame.select(*columns, key).groupBy("_shard").applyInPandas(packed(level), schema)
 
-    first = checkpointed(dealt(pieces, max(1, -(-n_pieces // shard)), 0))
+    first = checkpointed(dealt(pieces, max(1, -(-pieces.count() // shard)), 0))
     loose = first.where(F.col("_fill") < int(repack * capacity))
     again = dealt(loose, max(1, -(-loose.count() // shard)), 1)
     return first.where(F.col("_fill") >= int(repack * capacity)).unionByName(again).drop("_fill")
@@ -206,7 +205,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, path: str | None = None) -> DataFrame:
     """Documents to placed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = tokenized_pieces(docs, id_col, text_col, path, capacity, keep_ids=keep_ids)
-    return pack(pieces, docs.count(), capacity)
+    return pack(pieces, capacity)
 
 
 def op4_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:

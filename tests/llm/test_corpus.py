@@ -127,7 +127,7 @@ def brute_classes(texts, threshold=0.8):
 
 
 def test_near_duplicates_equal_brute_force(spark, texts):
-    for n, block in ((1, 1024), (6, 8)):
+    for n, block in ((1, 1024), (6, 8), (3, 3)):
         dedup.BLOCK, before = block, dedup.BLOCK
         rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(n)
         got = dedup.near_duplicates(rows).collect()
@@ -193,15 +193,15 @@ def test_prob_minhash_estimates_probability_jaccard():
 
 def test_near_duplicates_of_empty_and_clashing(spark, docs):
     assert dedup.near_duplicates(docs.where("false")).count() == 0
-    got = dedup.near_duplicates(docs.withColumns({"node": F.lit(1), "key": F.lit(2), "sig": F.lit("x")}))
+    got = dedup.near_duplicates(docs.withColumns({"node": F.lit(1), "key": F.lit(2), "sig": F.lit("x"), "rid": F.lit(1)}))
     assert got.count() == docs.count()
 
 
 def test_tokens_equal_the_tokenizer(texts):
     path = public_tokenizers.path(packing.VOCABULARY)
     plain, ours = Tokenizer.from_file(path), packing.WordTokens(path)
-    odd = [*texts, "Hello <|endoftext|> World", "<|ENDOFTEXT|> it's WE'LL", "İstanbul ΣΑΣ é a\tb\r\n c\x85d", "12.5% x² 日本語", "!!??" * 50]
-    for text, raw in zip(odd, ours.encode(odd), strict=True):
+    odd = [*texts, "Hello <|endoftext|> World", "<|ENDOFTEXT|> it's WE'LL", "İstanbul ΣΑΣ é a\tb\r\n c\x85d", "12.5% x² 日本語", "!!??" * 50, "  \n a  b\xa0c\u3000d ", " ", "e\u0301 \u0301x", "\x1c a\x0b\x0cb"]
+    for text, raw in zip(odd, ours.encode(pa.array(odd, pa.string())), strict=True):
         assert list(np.frombuffer(raw, "<u4")) == plain.encode(text or "", add_special_tokens=False).ids
 
 
@@ -219,7 +219,7 @@ def test_packing_is_gapless_and_complete(spark, docs, texts):
             assert r.offset == at
             at += r.length
         assert at <= 2048
-    assert sum(r.length for r in rows) == sum(len(x) // 4 + 1 for x in tokens.encode(texts))
+    assert sum(r.length for r in rows) == sum(len(x) // 4 + 1 for x in tokens.encode(pa.array(texts)))
     assert len(by_sequence) <= 1.1 * sum(r.length for r in rows) / 2048 + 1
     assert packing.sequences(got).agg(F.sum(F.size("ids"))).first()[0] == sum(r.length for r in rows)
     assert packing.pack_documents(docs.where("false")).count() == 0
@@ -230,6 +230,46 @@ def test_sum_of_squares_choice():
     assert fill.tolist() == [10, 10] and bins.tolist() == [0, 0, 1, 1] and offsets.tolist() == [0, 6, 0, 5]
 
 
+def naive_sum_of_squares(lengths, capacity):
+    """Each piece where the sum over gaps of squared counts of open bins is smallest; ties to an exact fit, then the smallest gap."""
+    bins = []
+    for size in lengths:
+        def cost(k):
+            gaps = [capacity - b for b in bins]
+            if k is None:
+                gaps.append(capacity - size)
+            else:
+                gaps[k] -= size
+            return sum(n * n for g, n in collections.Counter(gaps).items() if g)
+
+        choices = [(cost(k), capacity - bins[k], k) for k in range(len(bins)) if capacity - bins[k] >= size]
+        new = cost(None)
+        best = min(choices, default=(new + 1, 0, 0))
+        if new < best[0]:
+            bins.append(size)
+        else:
+            bins[best[2]] += size
+    return sorted(bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sum_of_squares_equals_a_naive_loop(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 40 if seed % 2 else 15, 150)
+    sizes = np.sort(sizes)[::-1] if seed > 2 else sizes
+    bins, offsets, fill = packing.sum_of_squares(sizes, 40)
+    assert sorted(fill.tolist()) == naive_sum_of_squares(sizes.tolist(), 40)
+    assert np.bincount(bins, weights=sizes).astype(int).tolist() == fill.tolist()
+
+
+def test_packing_of_equal_rows_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(7, "the same text", 1, 2)] * 3000 + [(8, "y " * 5000, 3, 4)], "doc_id long, text string, offset long, _shard long").repartition(3)
+    placed = packing.pack(packing.tokenized_pieces(rows, capacity=64), 64, shard=100)
+    assert placed.where("doc_id = 7").count() == 3000 and placed.where("doc_id = 8").count() == -(-5001 // 64)
+    shards = placed.where("doc_id = 7").selectExpr("(sequence_id >> 28) & 4294967295 as s").groupBy("s").count().collect()
+    assert len(shards) >= 25 and max(r["count"] for r in shards) < 200
+
+
 def fits(host, path, rule):
     return (host == rule[0] or host.endswith("." + rule[0])) and path.startswith(rule[1])
 
