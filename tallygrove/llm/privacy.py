@@ -7,12 +7,16 @@ is set against the entity's own information: a ratio of 1 means that the term oc
 entity does. Terms that reach DISCLOSURE in at least TEXTS different texts disclose the entity, so all
 their occurrences are spans too, which redaction generalises.
 
+Time is linear in a text but for sorting its spans, whatever digits or addresses it holds.
+
 Scale: three passes over the documents without a shuffle of texts: candidates, their document counts, and
 marking. What is shuffled are counts. Terms go to the tasks in blocks of at most BLOCK, further blocks
 are further passes chained on the same rows, so nothing that is broadcast outgrows its bound.
 
-Defined cases: a null text is empty and has no span; equal rows each get their own result; the smallest
-counts give no term; extra columns pass through redaction, but columns with the results' names are replaced.
+Defined cases: a null text is empty and has no span (redaction leaves it null); equal rows each get their own
+result; terms that stand in too few different texts give no span; an empty table gives no rows; very long texts are
+read whole; where base spans of two kinds overlap, redaction names the first (of ties, the first kind) for both; extra columns
+pass through redaction unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import checkpointed
-from ._text import Words, sliced, text_bytes
+from ._text import Words, bounded_batches, sliced, text_bytes, unused
 
-NEAR, LEAST_LENGTH, TEXTS, DISCLOSURE, BLOCK = 5, 4, 3, 0.9, 1_000_000
+NEAR, LEAST_LENGTH, TEXTS, DISCLOSURE, BLOCK = 5, 3, 3, 0.9, 1_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -65,10 +69,24 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """IP addresses: of each run of dotted numbers the first four, the next four and so on; linear in the text."""
+    found = []
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            own = parts[k : k + 4]
+            end = at + sum(map(len, own)) + 3
+            if all(len(p := x.lstrip("0")) < 4 and int(p or 0) <= 255 for x in own):
+                found.append((at, end))
+            at = end + 1
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(kind's place in KINDS, start, end) of the base patterns, by start and kind; code points."""
     found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 4000) and all(len(p) < 4000 for p in m[0].split("."))]
+    found += [(a, 1, b) for a, b in addresses(text)]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -98,31 +116,48 @@ def _entity(text: str, span: tuple[int, int, int]) -> int:
     return int.from_bytes(hashlib.blake2b(f"{KINDS[span[1]]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(batches):
+def _covered(words: Words, begin: np.ndarray, end: np.ndarray, spans: dict[int, list]) -> np.ndarray:
+    """Which words overlap a base span of their row; by sorted places, so in linear time but for a logarithm."""
+    edges = np.zeros(len(begin) + 1, np.int64)
+    for row, own in spans.items():
+        a, b = int(words.first[row]), int(words.first[row + 1])
+        starts, ends = (np.array([s[k] for s in own if s[1] < 4], np.int64) for k in (0, 2))
+        low = a + np.searchsorted(end[a:b], starts, "right")
+        high = np.maximum(low, a + np.searchsorted(begin[a:b], ends, "left"))
+        np.add.at(edges, low, 1)
+        np.add.at(edges, high, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _contexts(near: int, least_length: int):
     """term, entity, text: each term near a mention, once for a document; term 0 stands for the mention itself."""
-    for batch in sliced(batches):
-        suspects = _suspects(batch.column(0))
-        out: set = set()
-        if len(suspects):
-            texts = batch.column(0).take(pa.array(suspects))
-            words = Words(texts)
-            begin, end = _points(words)
-            long_enough = words.end - words.start >= LEAST_LENGTH
-            hashes = words.hash.view(np.int64)
-            for k, text in enumerate(texts.to_pylist()):
-                spans = base_spans(text)
-                a, b = int(words.first[k]), int(words.first[k + 1])
-                for s in spans:
-                    entity = _entity(text, s)
-                    out.add((k, 0, entity))
-                    first = a + int(np.searchsorted(end[a:b], s[0], "right"))
-                    past = a + int(np.searchsorted(begin[a:b], s[2], "left"))
-                    for w in [*range(max(a, first - NEAR), first), *range(past, min(b, past + NEAR))]:
-                        if long_enough[w] and not any(begin[w] < x[2] and end[w] > x[0] for x in spans):
-                            out.add((k, int(hashes[w]), entity))
-            text_hash = batch.column(1).take(pa.array(suspects)).to_pylist()
-        rows = sorted(out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([text_hash[r[0]] for r in rows] if rows else [], pa.int64())], names=["term", "entity", "text"])
+
+    def run(batches):
+        for batch in sliced(batches):
+            suspects = _suspects(batch.column(0))
+            out: set = set()
+            if len(suspects):
+                texts = batch.column(0).take(pa.array(suspects))
+                words = Words(texts)
+                begin, end = _points(words)
+                spans = {k: own for k, text in enumerate(texts.to_pylist()) if (own := base_spans(text))}
+                usable = (words.end - words.start >= least_length) & ~_covered(words, begin, end, spans)
+                hashes = words.hash.view(np.int64)
+                for k, own in spans.items():
+                    text = texts[k].as_py()
+                    a, b = int(words.first[k]), int(words.first[k + 1])
+                    before = a + np.searchsorted(end[a:b], [s[0] for s in own], "right")
+                    after = a + np.searchsorted(begin[a:b], [s[2] for s in own], "left")
+                    for s, first, past in zip(own, before.tolist(), after.tolist(), strict=True):
+                        entity = _entity(text, s)
+                        out.add((k, 0, entity))
+                        for low, high in ((max(a, first - near), first), (past, min(b, past + near))):
+                            out.update((k, h, entity) for h in hashes[low:high][usable[low:high]].tolist())
+                text_hash = batch.column(1).take(pa.array(suspects)).to_pylist()
+            rows = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([text_hash[r[0]] for r in rows] if rows else [], pa.int64())], names=["term", "entity", "text"])
+
+    return run
 
 
 def _counter(terms: np.ndarray):
@@ -149,11 +184,15 @@ def _blocks(terms: DataFrame, block: int):
             yield np.sort(values.to_numpy(np.int64).view(np.uint64))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", texts: int = TEXTS, disclosure: float = DISCLOSURE, block: int = BLOCK) -> DataFrame:
-    """term (hash) of each term that discloses an entity, measured over all of docs."""
+def disclosing_terms(docs: DataFrame, text_col: str = "text", texts: int = TEXTS, disclosure: float = DISCLOSURE, block: int = BLOCK, near: int = NEAR, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """term (hash) of each term that discloses an entity, measured over all of docs.
+
+    Terms within near words of a mention count, of least_length bytes or more, if they are there in so many different texts.
+    """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    near = rows.select("text", F.xxhash64("text").alias("h")).mapInArrow(_contexts, "term long, entity long, text long")
-    by_text = near.groupBy("term", "entity", "text").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.select("text", F.xxhash64("text").alias("h")).mapInArrow(_contexts(near, least_length), "term long, entity long, text long")
+    by_text = found.groupBy("term", "entity", "text").agg(F.count(F.lit(1)).alias("n"))
     pairs = checkpointed(by_text.groupBy("term", "entity").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("texts")))
     candidates = checkpointed(pairs.where((F.col("term") != 0) & (F.col("texts") >= texts)))
     counts = None
@@ -174,26 +213,25 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", texts: int = TEXTS
 SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _term_spans(terms: np.ndarray, words: Words, bases: dict[int, list]) -> dict[int, list]:
+def _term_spans(terms: np.ndarray, words: Words, spans: dict[int, list]) -> dict[int, list]:
+    """By row the terms that overlap no base span."""
     found: dict[int, list] = {}
     if len(terms) and len(words.hash):
         at = np.minimum(np.searchsorted(terms, words.hash), len(terms) - 1)
-        hits = np.flatnonzero(terms[at] == words.hash)
-        if len(hits):
+        known = terms[at] == words.hash
+        if known.any():
             begin, end = _points(words)
-            for w in hits.tolist():
-                row = int(words.row[w])
-                a, b = int(begin[w]), int(end[w])
-                if not any(a < s[2] and b > s[0] for s in bases.get(row, ())):
-                    found.setdefault(row, []).append((a, 4, b))
+            hits = np.flatnonzero(known & ~_covered(words, begin, end, spans))
+            for row, a, b in zip(words.row[hits].tolist(), begin[hits].tolist(), end[hits].tolist(), strict=True):
+                found.setdefault(row, []).append((a, 4, b))
     return found
 
 
-def _marked(terms: np.ndarray, first: bool, text_col: str, finish=None):
-    """Adds spans of terms, and base spans at first, to the column _spans (triples start, kind, end, flat)."""
+def _marked(terms: np.ndarray, first: bool, text_col: str, carried: str, finish=None):
+    """Adds spans of terms, and base spans at first, to the column carried (triples start, kind, end, flat)."""
 
     def run(batches):
-        for batch in sliced(batches, 2 << 20, text_col):
+        for batch in sliced(batches, column=text_col):
             column = batch.column(batch.schema.get_field_index(text_col))
             spans: dict[int, list] = {}
             if first:
@@ -202,31 +240,32 @@ def _marked(terms: np.ndarray, first: bool, text_col: str, finish=None):
                     if own := base_spans(text):
                         spans[k] = own
             else:
-                for k, flat in enumerate(batch.column(batch.schema.get_field_index("_spans")).to_pylist()):
+                for k, flat in enumerate(batch.column(batch.schema.get_field_index(carried)).to_pylist()):
                     if flat:
                         spans[k] = [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
             if len(terms):
-                for k, own in _term_spans(terms, Words(column), {k: [s for s in v if s[1] < 4] for k, v in spans.items()}).items():
+                for k, own in _term_spans(terms, Words(column), spans).items():
                     spans[k] = sorted(spans.get(k, []) + own)
-            yield finish(batch, column, spans) if finish else _with(batch, spans)
+            yield finish(batch, column, spans) if finish else _with(batch, spans, carried)
 
     return run
 
 
-def _with(batch: pa.RecordBatch, spans: dict[int, list]) -> pa.RecordBatch:
+def _with(batch: pa.RecordBatch, spans: dict[int, list], carried: str) -> pa.RecordBatch:
     flat = pa.array([[x for s in spans.get(k, ()) for x in s] for k in range(batch.num_rows)], pa.list_(pa.int64()))
-    kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_spans"]
-    return pa.RecordBatch.from_arrays([*(c for _, c in kept), flat], names=[*(n for n, _ in kept), "_spans"])
+    kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != carried]
+    return pa.RecordBatch.from_arrays([*(c for _, c in kept), flat], names=[*(n for n, _ in kept), carried])
 
 
-def _applied(docs: DataFrame, terms: DataFrame, text_col: str, finish, schema: T.StructType, block: int) -> DataFrame:
+def _applied(docs: DataFrame, terms: DataFrame | None, text_col: str, finish, schema: T.StructType, block: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     blocks = list(_blocks(terms, block)) if terms is not None else []
     blocks = blocks or [np.zeros(0, np.uint64)]
-    docs = docs.drop("_spans")
+    carried = unused("_spans", docs.columns)
+    between = T.StructType(docs.schema.fields + [T.StructField(carried, T.ArrayType(T.LongType()))])
     for k, part in enumerate(blocks[:-1]):
-        out = T.StructType(docs.drop("_spans").schema.fields + [T.StructField("_spans", T.ArrayType(T.LongType()))])
-        docs = docs.mapInArrow(_marked(part, k == 0, text_col), out)
-    return docs.mapInArrow(_marked(blocks[-1], len(blocks) == 1, text_col, finish), schema)
+        docs = docs.mapInArrow(_marked(part, k == 0, text_col, carried), between)
+    return docs.mapInArrow(_marked(blocks[-1], len(blocks) == 1, text_col, carried, finish), schema)
 
 
 def _listed(spans: list[tuple]) -> str:
@@ -234,22 +273,22 @@ def _listed(spans: list[tuple]) -> str:
 
 
 def find_personal_data(docs: DataFrame, terms: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, counts by base kind, base_sha256 and spans (kind:start:end, comma-joined) for each row."""
+    """doc_id, counts by base kind, base_sha256, spans (kind:start:end, comma-joined), n_term and found (any span) for each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_term", T.LongType()), T.StructField("found", T.BooleanType())])
 
     def finish(batch, column, spans):
         lists = [spans.get(k, []) for k in range(batch.num_rows)]
-        counts = [pa.array([sum(s[1] == kind for s in own) for own in lists], pa.int64()) for kind in range(4)]
+        counts = [pa.array([sum(s[1] == kind for s in own) for own in lists], pa.int64()) for kind in range(5)]
         base = [hashlib.sha256(_listed([s for s in own if s[1] < 4]).encode()).hexdigest() for own in lists]
-        return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base), pa.array([_listed(own) for own in lists])], names=schema.names)
+        return pa.RecordBatch.from_arrays([batch.column(0), *counts[:4], pa.array(base, pa.string()), pa.array([_listed(own) for own in lists], pa.string()), counts[4], pa.array([bool(own) for own in lists])], names=schema.names)
 
     return _applied(rows, terms, "text", finish, schema, block)
 
 
 def redact(docs: DataFrame, terms: DataFrame | None, text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs with base spans replaced by their kind, as [EMAIL], and disclosing terms generalised to [TERM]."""
-    schema = docs.drop("_spans").schema
+    schema = docs.schema
 
     def finish(batch, column, spans):
         texts = column.to_pylist()

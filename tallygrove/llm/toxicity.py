@@ -1,21 +1,22 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Grades: a text labelled not toxic is 0; toxic training texts are graded 1 to 3 by thirds of how many
-toxic terms they have, terms that the labels show to be far more common in toxic texts. The model is
-P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector for all thresholds; x has log(1 + count)
-of words and of word beginnings of 4, 5 and 6 bytes, which carry over to unseen inflections. Its output is
-the expected grade, and a text is rejected when a grade of 1 or more has a probability of REJECT.
+Features are hashes of words and of word beginnings of 4, 5 and 6 bytes, which carry over to unseen inflections;
+the model's are those whose log odds between the labelled classes lie LEAST_Z standard errors from none, on either
+side, and a ridge shrinks them. Grades: a text labelled not toxic is 0; toxic training texts are graded 1 to 3 by thirds
+of the score that a binary model of the other folds gives them. The model is P(grade <= k) = sigmoid(theta_k - w.x)
+with one weight vector for all thresholds and x = log(1 + count). Its output is the expected grade, and a text is
+rejected when a grade of 1 or more has a probability of REJECT.
 
 Scale: fitted on at most SAMPLE labelled texts of each class, taken by a hash of the id and weighted by how
-many labels each stands for, so that probabilities mean the same at every size; term counts of these are aggregated in Spark and at most VOCABULARY terms are kept, of which those are chosen that cover
-each toxic text COVER times; a term found in about the same texts as a chosen one is passed over, so that
-copies of one text do not make all its words toxic. Scoring is one pass without a
-shuffle with a model of bounded size.
+many labels each stands for, so that probabilities mean the same at every size. Of copies and near copies with one label
+one is used, so that a copied text does not make all its words toxic. Term counts of these texts are aggregated
+in Spark and at most VOCABULARY terms are kept. Scoring is one pass without a shuffle with a model of bounded size.
 
 Defined cases: a null or wordless text has no features and the base rate's grade, which isn't rejected
 unless most labels are toxic; labels with a null id or value aren't used, and a text labelled twice
-counts once; without labels of both kinds the severity is 0 and nothing is rejected; repeated rows are
-scored each; extra columns pass through, but columns with the results' names are replaced.
+counts once, as toxic if one label says so (texts that are equal under two ids keep both labels); without labels of both kinds the severity is 0 and nothing is rejected;
+of terms with equal odds the smaller hash is kept; very long texts are scored whole; repeated rows are
+scored each; an empty table gives no rows; extra columns pass through, but columns with the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._sample import hashed_sample
-from ._text import LOWER, Words, mixed, sliced
+from ._text import LOWER, Words, bounded_batches, mixed, sliced
+from .dedup import shingles
 
-SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_LIFT, COVER, ALIKE = 6000, 20_000, 3, 30.0, 4, 0.7
-GRADES, REJECT = 3, 0.3  # grades above 0
+SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_Z = 6000, 8_000, 3, 2.5
+GRADES, FOLDS, RIDGE, REJECT = 3, 3, 0.5, 0.3  # grades above 0
 RESULTS = ("severity", "p_toxic", "rejected")
 
 
@@ -106,72 +108,87 @@ class CumulativeLink:
         return np.bincount(row, weights=self.weights[at] * np.log1p(n), minlength=words.rows)
 
 
-def covering(rows: np.ndarray, at: np.ndarray, size: int, cover: int = COVER, alike: float = ALIKE) -> np.ndarray:
-    """Terms, most gainful first, until each row holds cover of them or no more help; none much like another."""
-    by_term, by_row = np.argsort(at, kind="stable"), np.argsort(rows, kind="stable")
-    texts, text_edges = rows[by_term], np.searchsorted(at[by_term], np.arange(size + 1))
-    terms, term_edges = at[by_row], np.searchsorted(rows[by_row], np.arange(rows.max(initial=-1) + 2))
-    total = np.diff(text_edges)
-    gain, left, open_, chosen = total.astype(np.int64), np.full(len(term_edges), cover), np.ones(size, bool), []
-    while open_.any():
-        best = int(np.argmax(np.where(open_, gain, -1)))
-        if gain[best] < LEAST_TEXTS:
-            break
-        chosen.append(best)
-        own = texts[text_edges[best] : text_edges[best + 1]]
-        held = np.bincount(np.concatenate([terms[term_edges[r] : term_edges[r + 1]] for r in own]), minlength=size)
-        open_ &= held < alike * (total + total[best] - held)
-        open_[best] = False
-        left[own] -= 1
-        for r in own[left[own] == 0]:
-            gain[terms[term_edges[r] : term_edges[r + 1]]] -= 1
-    return np.array(chosen, dtype=np.int64)
-
-
-def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 600, l2: float = 3e-5, stands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the mean log likelihood with a ridge; stands: how many rows each stands for."""
+def _near_copy_key(batches):
+    """text, toxic and two minima of hashed shingles, which near copies mostly share."""
+    for batch in sliced(batches):
+        row, value, _ = shingles(Words(batch.column(0)), 3)
+        keys = []
+        for salt in (0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03):
+            low = np.full(batch.num_rows, np.iinfo(np.uint64).max)
+            np.minimum.at(low, row, mixed(value + np.uint64(salt)))
+            keys.append(pa.array(low.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=["text", "toxic", "k1", "k2"])
+
+
+def loss_and_gradient(params: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, grades: int, part: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Of the weighted mean log loss with a ridge; params are weights, the first threshold and log gaps to the others."""
+    n, each = len(grade), np.arange(len(grade))
+    weights, gaps = params[:size], np.exp(params[size + 1 :])
+    thresholds = params[size] + np.concatenate([[0], np.cumsum(gaps)])
+    score = np.bincount(rows, weights=weights[at] * value, minlength=n)
+    inner = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - score[:, None], -500, 500)))
+    edges = np.concatenate([np.zeros((n, 1)), inner, np.ones((n, 1))], axis=1)
+    slope = edges * (1 - edges)
+    p = np.maximum(edges[each, grade + 1] - edges[each, grade], 1e-12)
+    upper, lower = slope[each, grade + 1] / p * part, slope[each, grade] / p * part
+    d_theta = np.array([lower[grade == k + 1].sum() - upper[grade == k].sum() for k in range(grades)])
+    d_gaps = np.cumsum(d_theta[::-1])[::-1][1:] * gaps
+    d_weights = np.bincount(at, weights=(upper - lower)[rows] * value, minlength=size) + l2 * weights
+    loss = -(part * np.log(p)).sum() + l2 / 2 * (weights**2).sum()
+    return float(loss), np.concatenate([d_weights, [d_theta.sum()], d_gaps])
+
+
+def fit_cumulative_link(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 400, ridge: float = RIDGE, stands: np.ndarray | None = None, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam; stands: how many rows each stands for. With one grade it is logistic regression."""
     n = len(grade)
     part = np.full(n, 1 / n) if stands is None else stands / stands.sum()
-    share = np.array([part[grade > k].sum() for k in range(GRADES)]).clip(1e-4, 1 - 1e-4)
+    share = np.array([part[grade > k].sum() for k in range(grades)]).clip(1e-4, 1 - 1e-4)
     first = np.log((1 - share) / share)
     params = np.concatenate([np.zeros(size), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-    each = np.arange(n)
     for t in range(1, steps + 1):
-        weights, gaps = params[:size], np.exp(params[size + 1 :])
-        thresholds = params[size] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(rows, weights=weights[at] * value, minlength=n)
-        edges = np.concatenate([np.zeros((n, 1)), sigmoid(thresholds[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
-        slope = edges * (1 - edges)
-        p = np.maximum(edges[each, grade + 1] - edges[each, grade], 1e-12)
-        upper, lower = slope[each, grade + 1] / p, slope[each, grade] / p
-        d_score = (upper - lower) * part
-        d_theta = np.array([(lower * part)[grade == k + 1].sum() - (upper * part)[grade == k].sum() for k in range(GRADES)])
-        d_gaps = np.cumsum(d_theta[::-1])[::-1][1:] * gaps
-        gradient = np.concatenate([np.bincount(at, weights=d_score[rows] * value, minlength=size) + l2 * weights, [d_theta.sum()], d_gaps])
+        _, gradient = loss_and_gradient(params, rows, at, value, grade, size, grades, part, ridge / n)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         params = params - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return params[:size], params[size] + np.concatenate([[0], np.cumsum(np.exp(params[size + 1 :]))])
 
 
+def cross_fitted(rows: np.ndarray, at: np.ndarray, value: np.ndarray, toxic: np.ndarray, size: int, fold: np.ndarray, stands: np.ndarray) -> np.ndarray:
+    """Each row's score by a binary model that the rows of other folds made."""
+    out = np.zeros(len(toxic))
+    for k in range(FOLDS):
+        train = fold != k
+        if not toxic[train].any() or toxic[train].all():
+            continue
+        number = np.cumsum(train) - 1
+        used = train[rows]
+        weights, _ = fit_cumulative_link(number[rows[used]], at[used], value[used], toxic[train].astype(int), size, 150, stands=stands[train], grades=1)
+        scores = np.bincount(rows, weights=weights[at] * value, minlength=len(toxic))
+        out[~train] = scores[~train]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> CumulativeLink | None:
     """A model from labelled texts; None without labels of both kinds."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     classes = {r._toxic: r["count"] for r in known.groupBy("_toxic").count().collect()}
     stands = [max(1.0, classes.get(k, 0) / sample) for k in (0, 1)]
     picked = [hashed_sample(known.where(F.col("_toxic") == k), F.xxhash64("_id"), sample, classes.get(k, 0)) for k in (0, 1)]
     picked = picked[0].union(picked[1]).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "_id")
-    texts = texts.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("_toxic").alias("toxic")).select("text", "toxic").persist()
+    texts = texts.select("text", F.col("_toxic").alias("toxic")).mapInArrow(_near_copy_key, "text string, toxic int, k1 long, k2 long")
+    texts = texts.groupBy("k1", "k2", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").persist()
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         texts.unpersist()
         return None
     terms = texts.mapInArrow(_term_counts, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
-    lift = ((F.col("t") + 0.1) / F.lit(sizes[1] + 0.2)) / ((F.col("o") + 0.1) / F.lit(sizes[0] + 0.2))
-    terms = terms.where(F.col("t") >= LEAST_TEXTS).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    terms = terms.orderBy(F.desc("t"), F.desc("lift"), "feature").limit(VOCABULARY).select("feature").toPandas()
+    inside, outside = F.col("t") + 0.5, F.col("o") + 0.5
+    rest_in, rest_out = F.lit(sizes[1] + 1.0) - inside, F.lit(sizes[0] + 1.0) - outside
+    z = F.abs(F.log(inside * rest_out / (outside * rest_in))) / F.sqrt(1 / inside + 1 / outside + 1 / rest_in + 1 / rest_out)
+    terms = terms.where(F.col("t") + F.col("o") >= LEAST_TEXTS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    terms = terms.orderBy(F.desc("z"), "feature").limit(VOCABULARY).select("feature").toPandas()
     vocabulary = np.sort(terms["feature"].to_numpy(dtype=np.int64).view(np.uint64))
     data = texts.mapInArrow(_vectors(vocabulary), "toxic int, at array<int>, n array<int>").toPandas()
     texts.unpersist()
@@ -180,29 +197,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = np.concatenate([np.asarray(x, np.int64) for x in data["at"]]) if len(data) else np.zeros(0, np.int64)
     n = np.concatenate([np.asarray(x, np.float64) for x in data["n"]]) if len(data) else np.zeros(0)
     toxic = data["toxic"].to_numpy() > 0
-    chosen = np.sort(covering(rows[toxic[rows]], at[toxic[rows]], len(vocabulary)))
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[at] >= 0
-    vocabulary, rows, at, n = vocabulary[chosen], rows[used], place[at[used]], n[used]
-    amount = np.bincount(rows, weights=n, minlength=len(data))
-    cuts = np.quantile(amount[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, amount, side="right"), 0)
-    weights, thresholds = fit_cumulative_link(rows, at, np.log1p(n), grade, len(vocabulary), stands=np.where(toxic, stands[1], stands[0]))
+    weight, size = np.where(toxic, stands[1], stands[0]), len(vocabulary)
+    scores = cross_fitted(rows, at, np.log1p(n), toxic, size, np.arange(len(data)) % FOLDS, weight)
+    cuts = np.quantile(scores[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, scores, side="right"), 0)
+    weights, thresholds = fit_cumulative_link(rows, at, np.log1p(n), grade, size, stands=weight)
     return CumulativeLink(vocabulary, weights, thresholds)
 
 
-def grade_texts(docs: DataFrame, model: CumulativeLink | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with severity (expected grade, 0 to 3), p_toxic and rejected."""
-    docs = docs.drop(*RESULTS)
-    if model is None:
-        graded = docs.withColumns({"severity": F.lit(0.0), "p_toxic": F.lit(0.0), "rejected": F.lit(False)})
-        return graded if keep_text else graded.drop(text_col)
+def grade_texts(docs: DataFrame, model: CumulativeLink | None, text_col: str = "text", keep_text: bool = True, results: tuple[str, str, str] = RESULTS) -> DataFrame:
+    """docs with severity (expected grade, 0 to 3), p_toxic and rejected, under the names in results."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.drop(*results)
     names = [c for c in docs.columns if keep_text or c != text_col]
-    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    if model is None:
+        return docs.withColumns(dict(zip(results, (F.lit(0.0), F.lit(0.0), F.lit(False)), strict=True))).select(*names, *results)
+    kinds = (T.DoubleType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(n, t) for n, t in zip(results, kinds, strict=True)])
 
     def run(batches):
-        for batch in sliced(batches, 2 << 20, text_col):
+        for batch in sliced(batches, column=text_col):
             above = model.above(model.scores(batch.column(batch.schema.get_field_index(text_col))))
             own = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= REJECT)], names=schema.names)

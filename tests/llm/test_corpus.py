@@ -4,8 +4,10 @@ import array
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -350,6 +352,73 @@ def test_disclosing_terms_are_marked(spark):
         assert clean[999] == "é [TERM] alone" and "[EMAIL]" in clean[0] and clean[101] == rows[7][1] and clean[None] is None
 
 
+def test_personal_data_is_linear_in_long_texts():
+    began = time.time()
+    assert privacy.base_spans("1" * 200_000) == [] and privacy.base_spans("1." * 100_000 + "1")[0] == (0, 1, 7)
+    many = " ".join(f"name{k} writes a{k}@b.example and 10.0.{k % 256}.{k // 256}" for k in range(20_000))
+    assert len(privacy.base_spans(many)) == 40_000
+    batch = pa.RecordBatch.from_arrays([pa.array([many]), pa.array([1], pa.int64())], names=["text", "h"])
+    (out,) = privacy._contexts(5, 3)(iter([batch]))
+    assert out.num_rows > 100_000
+    words_ = Words(pa.array([many]))
+    marked = privacy._term_spans(np.sort(words_.hash[:1]), words_, {0: privacy.base_spans(many)})
+    assert marked[0][0] == (0, 4, 5)
+    assert time.time() - began < 20
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    people = [f"p{k}@x.example" for k in range(4)]
+    close = [["orchid", "falcon"], ["quartz"], ["no"], ["meadow"]]
+    plain = [f"word{k}" for k in range(25)]
+    rows = []
+    for k in range(150):
+        own = [rng.choice(plain) for _ in range(rng.randrange(0, 25))]
+        if k % 3 == 0:
+            who = rng.randrange(4)
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = [rng.choice(close[who]), people[who]] if rng.random() < 0.8 else [people[who]]
+        elif k % 40 == 1:
+            own.append("falcon")
+        rows.append((k, " ".join(own)))
+    rows += rows[:5]
+    near, texts, disclosure = 2, 3, 0.7
+    mentions, together, apart, seen = collections.Counter(), collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for _, t in rows:
+        own = t.split(" ")
+        pairs = set()
+        for k, w in enumerate(own):
+            if w in people:
+                pairs.add((None, w))
+                # the address is words of its own to the scanner: p0, x, example
+                left, right = own[max(0, k - near) : k], own[k + 1 : k + 1 + near]
+                pairs |= {(x, w) for x in [*left, *right] if x not in people and len(x) >= 3}
+        for x, w in pairs:
+            if x is None:
+                mentions[w] += 1
+            else:
+                together[x, w] += 1
+                apart[x, w].add(t)
+        seen.update(set(own))
+    n = len(rows)
+    terms = {x for (x, w), c in together.items() if len(apart[x, w]) >= texts and math.log2(c * n / (seen[x] * mentions[w])) >= disclosure * math.log2(n / mentions[w])}
+    assert terms and "no" not in terms and not terms & set(plain)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = privacy.disclosing_terms(docs, texts=texts, disclosure=disclosure, near=near)
+    for r in privacy.find_personal_data(docs, found).collect():
+        text = dict(rows)[r.doc_id]
+        expected = [m.start() for m in re.finditer(r"[^ ]+", text) if m[0] in terms]
+        assert [int(s.split(":")[1]) for s in r.spans.split(",") if s.startswith("term")] == expected
+        assert r.n_term == len(expected) and r.found == bool(r.spans)
+
+
+def test_personal_data_of_empty_and_repeated(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co"), (1, "mail a@b.co"), (2, None)], "doc_id long, text string")
+    assert privacy.disclosing_terms(docs.where("false")).count() == 0
+    assert privacy.find_personal_data(docs.where("false"), None).count() == 0
+    assert [r.n_email for r in privacy.find_personal_data(docs, privacy.disclosing_terms(docs)).collect()] == [1, 1, 0]
+
+
 def test_toxicity_grades_and_spares(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
@@ -494,3 +563,176 @@ def test_pipeline_stages(spark):
         assert k == 4 or docs.columns == columns, name
         assert k == 4 or docs.count() <= before
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, texts, tmp_path_factory):
+    """A folder of tables and documents with columns that clash with the operators' own."""
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    rows = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)]
+    rows += [(500 + k, f"{t} write to ann{k}@mail.example now 10.0.0.{k}", "en", "web", 0) for k, t in enumerate(texts[30:45])]
+    rows += [(600 + k, f"{t} vilest rotten vilest", "en", "web", 0) for k, t in enumerate(texts[50:90])]
+    rows += [rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, DOCS)
+    clash = {n: F.lit(n) for n in ("n_words", "n_hit", "item_ids", "spans", "_spans", "_items", "severity", "rejected", "_row", "_kept", "node", "key", "_order", "sequence_id")}
+    labels = [(600 + k, 1) for k in range(40)] + [(k, 0) for k in range(60, 120)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words(texts[20])[:30])), (2, "one two three"), (3, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.withColumns(clash).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def naive_p_toxic(model, text):
+    score, weights = 0.0, dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    counts = collections.Counter()
+    for w in words(text):
+        counts[int(Words(pa.array([w])).hash[0])] += 1
+        raw = w.encode()
+        for n in (4, 5, 6):
+            if len(raw) > n:
+                code = int.from_bytes(raw[:n], "little") + (n << 56)
+                counts[int(dedup.mixed(np.array([code], np.uint64))[0])] += 1
+    for f, n in counts.items():
+        score += weights.get(f, 0.0) * math.log1p(n)
+    return [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+
+
+def test_toxicity_stage_equals_a_naive_model(spark, small_corpus):
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{small_corpus}/labels.parquet"))
+    assert (model.weights > 0).any()
+    expected = sorted(r.doc_id for r in docs.collect() if naive_p_toxic(model, r.text)[0] < toxicity.REJECT)
+    for r in toxicity.grade_texts(docs, model).collect():
+        own = naive_p_toxic(model, r.text)
+        assert r.p_toxic == pytest.approx(own[0]) and r.severity == pytest.approx(sum(own))
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_toxic(spark, docs, small_corpus)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == expected
+    assert not [i for i in expected if i >= 600] and kept.first().severity == "severity"
+    assert corpus_pipeline.drop_toxic(spark, docs.where("false"), small_corpus).count() == 0
+
+
+def test_near_duplicate_stage_equals_brute_force(spark, small_corpus):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet").repartition(3)
+    rows = docs.collect()
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, small_corpus)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.collect())
+    classes = brute_classes([r.text for r in rows])
+    assert ids == sorted(min(rows[k].doc_id for k in c) for c in classes)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), small_corpus).count() == 0
+
+
+def test_decontamination_stage_equals_brute_force(spark, small_corpus):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+    items = [words(r.text) for r in spark.read.parquet(f"{small_corpus}/benchmark.parquet").collect()]
+    windows = {tuple(i[k : k + 10]) for i in items if i for k in range(max(1, len(i) - 9))}
+
+    def cut(text):
+        own, places = words(text), [m.span() for m in WORD.finditer(lowered(text))]
+        hit = [False] * len(own)
+        for n in {len(w) for w in windows}:
+            for k in range(len(own) - n + 1):
+                if tuple(own[k : k + n]) in windows:
+                    hit[k : k + n] = [True] * n
+        out, at, k = "", 0, 0
+        while k < len(own):
+            if hit[k]:
+                out += text[at : places[k][0]]
+                while k + 1 < len(own) and hit[k + 1]:
+                    k += 1
+                at = places[k][1]
+            k += 1
+        return out + text[at:]
+
+    cleaned = corpus_pipeline.drop_benchmark_passages(spark, docs, small_corpus)
+    assert cleaned.columns == docs.columns
+    want = sorted((r.doc_id, r.text and cut(r.text)) for r in docs.collect())
+    got = cleaned.collect()
+    assert sorted((r.doc_id, r.text) for r in got) == want and got[0].n_words == "n_words"
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in got)
+    assert corpus_pipeline.drop_benchmark_passages(spark, docs.where("false"), small_corpus).count() == 0
+
+
+def test_personal_data_stage_equals_brute_force(spark, small_corpus):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+
+    def redacted(text):
+        for a, kind, b in reversed(brute_spans(text)):  # none overlap here
+            text = text[:a] + f"[{privacy.KINDS[kind].upper()}]" + text[b:]
+        return text
+
+    assert privacy.disclosing_terms(docs).count() == 0  # each person is in one text
+    got = corpus_pipeline.redact_personal_data(spark, docs, small_corpus)
+    assert got.columns == docs.columns
+    want = sorted((r.doc_id, r.text and redacted(r.text)) for r in docs.collect())
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
+    assert sum("[EMAIL]" in (t or "") for _, t in want) == 15
+    assert corpus_pipeline.redact_personal_data(spark, docs.where("false"), small_corpus).count() == 0
+
+
+def test_packing_stage_equals_the_tokenizer(spark, small_corpus):
+    import corpus_pipeline
+
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+    rows = corpus_pipeline.pack_sequences(spark, docs, small_corpus).collect()
+    total = sum(len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert sum(r.length for r in rows) == total
+    assert len({r.sequence_id for r in rows}) <= 1.1 * total / 2048 + 1
+    assert corpus_pipeline.pack_sequences(spark, docs.where("false"), small_corpus).count() == 0
+
+
+@pytest.mark.parametrize("grades", [1, 3])
+def test_ordinal_gradient_equals_a_numeric_one(grades):
+    rng = np.random.default_rng(1)
+    n, size, entries = 12, 5, 40
+    rows, at, value = np.sort(rng.integers(0, n, entries)), rng.integers(0, size, entries), rng.random(entries)
+    grade = rng.integers(0, grades + 1, n)
+    part = rng.random(n)
+    params = rng.normal(size=size + grades) * 0.5
+    loss, gradient = toxicity.loss_and_gradient(params, rows, at, value, grade, size, grades, part, 0.1)
+    # the likelihood, written out for each row
+    theta = [params[size]]
+    for k in range(1, grades):
+        theta.append(theta[-1] + math.exp(params[size + k]))
+    total = 0.05 * float((params[:size] ** 2).sum())
+    for k in range(n):
+        x = sum(params[at[e]] * value[e] for e in range(entries) if rows[e] == k)
+        cumulative = [0.0, *(1 / (1 + math.exp(-(t - x))) for t in theta), 1.0]
+        total -= part[k] * math.log(cumulative[grade[k] + 1] - cumulative[grade[k]])
+    assert loss == pytest.approx(total)
+    for k in range(len(params)):
+        step = np.zeros(len(params))
+        step[k] = 1e-6
+        up, down = (toxicity.loss_and_gradient(params + s * step, rows, at, value, grade, size, grades, part, 0.1)[0] for s in (1, -1))
+        assert gradient[k] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_toxicity_of_near_copies_and_odd_texts(spark):
+    base = [f"w{k}" for k in range(50)]
+    rows = [(k, " ".join([*base[:k], f"edit{k}", *base[k + 1 :], "cruelest"])) for k in range(40)]
+    rows += [(100 + k, f"calm{k} text about {base[k % 50]} cruelest" if k < 30 else f"calm{k} text about {base[k % 50]}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 130)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    odd = spark.createDataFrame([(1, "w3 w9 w12 w20"), (2, "cruelest " * 200_000), (3, "cruelest"), (3, "cruelest")], "doc_id long, text string")
+    found = {r.doc_id: r.rejected for r in toxicity.grade_texts(odd, model).collect()}
+    assert found == {1: False, 2: True, 3: True}
+    assert toxicity.grade_texts(odd.where("false"), model).count() == 0
+
+
+def test_samples_of_few_keys_are_not_empty(spark):
+    from tallygrove.llm._sample import hashed_sample
+
+    rows = spark.range(2000).select(F.lit(7).alias("doc_id"), F.col("id").alias("_order"))
+    for key in ("doc_id", "_order"):
+        got = hashed_sample(rows, F.xxhash64(key), 20, 2000)
+        assert got.count() == 20 and got.columns == ["doc_id", "_order"]
