@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each stage's result as
 Parquet in the cluster's shared folder and reads it as the next one's input. All but the last return the
 columns of documents; the last returns a row for each piece of a document and its place in a sequence.
+
+Defined cases: extra columns pass through all stages but the last, whatever their names; rows that are equal in every
+column count as copies and become one, also without words; other rows with a null or wordless text stay; an empty
+table gives an empty result; long texts are processed whole; for ties see the operators.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.llm import decontamination, dedup, packing, privacy, toxicity
+from tallygrove.llm._text import unused
 from tallygrove.plans.lineage import checkpoint_dir
 
 
@@ -24,16 +29,18 @@ def _counted(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the severity model rejects."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade_texts(docs, model).where(~F.col("rejected")).select(docs.columns)
+    results = tuple(unused(n, docs.columns) for n in toxicity.RESULTS)
+    return toxicity.grade_texts(docs, model, results=results).where(~F.col(results[2])).select(docs.columns)
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64(*docs.columns)))
-    found = dedup.near_duplicates(rows.select("_row", "text"), id_col="_row")
-    # rows that are equal in every column share a _row; those that dedup keeps as one stay one
-    kept = found.where("kept").select("doc_id").distinct()
-    return rows.join(kept, F.col("_row").eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    row = unused("_row", docs.columns)
+    rows = docs.withColumn(row, F.struct("doc_id", F.xxhash64(*docs.columns)))
+    found = dedup.near_duplicates(rows.select(row, "text"), id_col=row)
+    # rows that are equal in every column share their row value; those that dedup keeps as one stay one
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return rows.join(kept, F.col(row).eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([row]).select(docs.columns)
 
 
 def drop_benchmark_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL has neither the trained model nor the sketches, so the stages are tested against brute force.
+#: SQL has neither the trained model nor the sketches; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
