@@ -203,6 +203,8 @@ def test_tokens_equal_the_tokenizer(texts):
     path = public_tokenizers.path(packing.VOCABULARY)
     plain, ours = Tokenizer.from_file(path), packing.WordTokens(path)
     odd = [*texts, "Hello <|endoftext|> World", "<|ENDOFTEXT|> it's WE'LL", "İstanbul ΣΑΣ é a\tb\r\n c\x85d", "12.5% x² 日本語", "!!??" * 50, "  \n a  b\xa0c\u3000d ", " ", "e\u0301 \u0301x", "\x1c a\x0b\x0cb"]
+    rng = random.Random(2)
+    odd += ["".join(rng.choice("aAbßÉéÿ×÷'’s12 .,\n\tñÑ<|>µ²\u0301ΣİªẞÀ\xa0") for _ in range(rng.randrange(60))) for _ in range(3000)]
     for text, raw in zip(odd, ours.encode(pa.array(odd, pa.string())), strict=True):
         assert list(np.frombuffer(raw, "<u4")) == plain.encode(text or "", add_special_tokens=False).ids
 
