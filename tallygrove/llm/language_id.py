@@ -5,7 +5,7 @@ largest response is kept, and a softmax layer gives the languages; a text's scor
 windows' probabilities, weighted by their bytes. To apply it, embedding and filters are folded into
 tables by byte pair, so that a filter is one or two table rows for each place.
 
-Scale: trained on the driver on pieces of at most SAMPLE labelled texts, taken by a hash of the id;
+Scale: trained on the driver on pieces of at most SAMPLE labelled texts, taken by a hash of id and text;
 every text is then read whole, in batches of windows, in one pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is und with score 0; so is every text if nothing can
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import hashed_sample
-from ._text import sliced, text_bytes
+from ._text import bounded_batches, sliced, text_bytes
 
 SAMPLE, PIECE = 4000, 384  # texts, characters of each
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 12, (2, 3, 4)
@@ -53,31 +53,36 @@ class ByteCNN:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True), h, where, views
 
+    def parameters(self) -> list[np.ndarray]:
+        return [self.embedding, *self.filters, self.out, self.bias]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross entropy of windows x with languages y, by parameter."""
+        p, h, where, views = self._forward(x)
+        dz = p
+        dz[np.arange(len(y)), y] -= 1
+        dz /= len(y)
+        dh = (dz @ self.out.T) * (h > 0)
+        d_embedding, grads, rows = np.zeros_like(self.embedding), [], np.arange(len(x))[:, None]
+        for k, (w, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+            g = dh[:, k * FILTERS : (k + 1) * FILTERS]
+            chosen = views[k][rows, where[k]]  # batch, filter, width * embed
+            grads.append(np.einsum("bfe,bf->ef", chosen, g))
+            back = (g[:, :, None] * f.T[None]).reshape(len(x), FILTERS, w, EMBED)
+            np.add.at(d_embedding, x[rows[:, :, None], where[k][:, :, None] + np.arange(w)], back)
+        return [d_embedding, *grads, np.maximum(h, 0).T @ dz, dz.sum(axis=0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 3e-3, seed: int = 11) -> None:
         """Adam on the cross entropy of windows x with languages y."""
         rng = np.random.default_rng(seed)
-        params = [self.embedding, *self.filters, self.out, self.bias]
+        params = self.parameters()
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
-                xb, yb = x[order[at : at + batch]], y[order[at : at + batch]]
-                p, h, where, views = self._forward(xb)
-                dz = p
-                dz[np.arange(len(yb)), yb] -= 1
-                dz /= len(yb)
-                dh = (dz @ self.out.T) * (h > 0)
-                d_embedding, grads = np.zeros_like(self.embedding), []
-                for k, (w, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-                    g = dh[:, k * FILTERS : (k + 1) * FILTERS]
-                    rows = np.arange(len(xb))[:, None]
-                    chosen = views[k][rows, where[k]]  # batch, filter, width * embed
-                    grads.append(np.einsum("bfe,bf->ef", chosen, g))
-                    back = (g[:, :, None] * f.T[None]).reshape(len(xb), FILTERS, w, EMBED)
-                    spots = xb[rows[:, :, None], where[k][:, :, None] + np.arange(w)]
-                    np.add.at(d_embedding, spots, back)
+                some = order[at : at + batch]
                 t += 1
-                for i, (p_, g_) in enumerate(zip(params, [d_embedding, *grads, np.maximum(h, 0).T @ dz, dz.sum(axis=0)], strict=True)):
+                for i, (p_, g_) in enumerate(zip(params, self.gradients(x[some], y[some]), strict=True)):
                     m[i] += 0.1 * (g_ - m[i])
                     v[i] += 0.001 * (g_**2 - v[i])
                     p_ -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
@@ -123,12 +128,13 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, used, np.where(inside, padded[np.minimum(at, len(data))], np.uint8(32))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteCNN | None:
-    """A network from a bounded sample of docs; None if no row has a text and a language."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, piece: int = PIECE) -> ByteCNN | None:
+    """A network from a bounded sample of docs, of each so many characters from a place that the row's hash gives; None if no row has a text and a language."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("language"))
-    begin = F.lit(1) + F.pmod(order, F.greatest(F.length(text_col) - PIECE + 1, F.lit(1))).cast("int")
-    pieces = known.select(order.alias("o"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), begin, F.lit(PIECE)).alias("t"))
+    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language"))
+    begin = F.lit(1) + F.pmod(order, F.greatest(F.length(text_col) - piece + 1, F.lit(1))).cast("int")
+    pieces = known.select(order.alias("o"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), begin, F.lit(piece)).alias("t"))
     rows = hashed_sample(pieces, F.col("o"), sample, docs.select(lang_col).where(F.col(lang_col).isNotNull()).count()).toPandas()
     if not len(rows):
         return None
@@ -149,7 +155,7 @@ def identify(docs: DataFrame, network: ByteCNN | None, id_col: str = "doc_id", t
 
     def run(batches):
         predict = network.predictor()
-        for batch in sliced(batches, 1 << 20):
+        for batch in sliced(batches, 1 << 19):
             row, used, x = windows(*text_bytes(batch.column(1)))
             sums = np.zeros((batch.num_rows, len(network.languages)))
             for at in range(0, len(x), 512):

@@ -13,7 +13,7 @@ query's few best rows. A leaf too large for a shelf is split.
 
 Defined cases: vectors that are null, zero, of another than the commonest length, or that hold a null or
 a non-finite number take no part, nor do rows with a null id; repeated rows count once; ties go to the
-smaller id; with fewer candidates all are returned; extra columns aren't read.
+smaller id; an empty table, or one of empty arrays, gives no rows; with fewer candidates all are returned; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import checkpointed
 from ._sample import hashed_sample
 
-SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL, BLOCK = 50_000, 8, 100, 100, 0.95, 4096
+SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL, BLOCK, VISITING = 50_000, 8, 100, 100, 0.95, 4096, 128
 
 
 class KMeansTree:
@@ -210,7 +210,7 @@ def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vec
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["vec", "q", "shelf", "leaves"])
 
-    visits = checkpointed(distinct.repartition("vec").mapInArrow(visiting, "vec binary, q long, shelf int, leaves array<int>"))
+    visits = checkpointed(distinct.repartition(max(1, -(-distinct.count() // VISITING)), "vec").mapInArrow(visiting, "vec binary, q long, shelf int, leaves array<int>"))
     askers = visits.groupBy("shelf").count().toPandas().set_index("shelf")["count"].reindex(range(len(parts)), fill_value=0).to_numpy()
     entry_parts, query_parts = (F.array(*map(F.lit, n)) for n in (parts, np.maximum(1, -(-askers // BLOCK)).tolist()))
     spread = lambda count: F.explode(F.sequence(F.lit(0), count - 1))

@@ -6,11 +6,12 @@ good ones; the posterior of a text's pattern is its label. A linear scorer on ha
 trigrams and repetitions is trained on posterior labels and scores every text.
 
 Scale: votes are a few numbers a text, and all texts' patterns are counted in Spark (at most 3**6 reach
-the driver), so the label model covers everything. The scorer is trained on at most SAMPLE texts taken
-by a hash of their text. Votes and scores are made in single passes without a shuffle.
+the driver), so the label model covers everything. The scorer is trained on at most SAMPLE texts of any length,
+taken by a hash of their text, of whose features it sees how often each bucket occurs. Votes and scores are made in single passes without a shuffle.
 
 Defined cases: a null or wordless text has score 0, is bad and isn't kept; repeated rows each get a row;
-wordless texts aren't counted for the label model; only the id and text columns are read.
+wordless texts aren't counted for the label model; very long texts are read whole; a score of exactly 0.5 is kept; an
+empty table gives no rows; only the id and text columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import hashed_sample
-from ._text import IS_WORD, LOWER, Words, mixed, sliced
+from ._text import IS_WORD, LOWER, Words, bounded_batches, mixed, sliced
 
 SAMPLE, BUCKETS = 6000, 1 << 16
 FALSE_ALARMS = 0.001  # a heuristic calls at most so many good texts bad; else EM takes a common fault for normal
@@ -123,15 +124,19 @@ class Scorer:
         self.weights, self.bias = weights, bias
 
     @staticmethod
-    def fit(rows: np.ndarray, at: np.ndarray, size: int, target: np.ndarray, steps: int = 300, l2: float = 1e-6) -> Scorer:
-        n = np.maximum(np.bincount(rows, minlength=size), 1)
+    def gradient(weights: np.ndarray, bias: float, rows: np.ndarray, at: np.ndarray, share: np.ndarray, target: np.ndarray, l2: float) -> tuple[np.ndarray, float]:
+        """Of the mean log loss with a ridge; share: the part that an entry is of its row's features, scaled."""
+        z = np.bincount(rows, weights=weights[at] * share, minlength=len(target)) + bias
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) / len(target)
+        return np.bincount(at, weights=error[rows] * share, minlength=BUCKETS) + l2 * weights, error.sum()
+
+    @staticmethod
+    def fit(rows: np.ndarray, at: np.ndarray, n: np.ndarray, size: int, target: np.ndarray, steps: int = 300, l2: float = 1e-6) -> Scorer:
+        share = Scorer.SCALE * n / np.maximum(np.bincount(rows, weights=n, minlength=size), 1)[rows]
         weights, bias = np.zeros(BUCKETS), 0.0
         m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
         for t in range(1, steps + 1):
-            z = Scorer.SCALE * np.bincount(rows, weights=weights[at], minlength=size) / n + bias
-            error = (1 / (1 + np.exp(-z)) - target) / size
-            g = np.bincount(at, weights=(Scorer.SCALE * error / n)[rows], minlength=BUCKETS) + l2 * weights
-            gb = error.sum()
+            g, gb = Scorer.gradient(weights, bias, rows, at, share, target, l2)
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
             weights = weights - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             bias = bias - 0.05 * (mb / (1 - 0.9**t)) / ((vb / (1 - 0.999**t)) ** 0.5 + 1e-8)
@@ -166,6 +171,7 @@ class QualityModel:
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
     """The label model of all of docs, and the scorer from a sample of them."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     seen = texts.mapInArrow(_pattern_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     codes, counts = seen["code"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)
@@ -174,23 +180,24 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Qual
     posterior = np.full(len(every), share)
     posterior[codes] = known
     order = F.xxhash64("text", F.lit("quality"))
-    picked = texts.where(F.length("text") > 0).select("text", order.alias("o")).where(F.octet_length("text") < 1 << 20)
+    picked = texts.where(F.length("text") > 0).select("text", order.alias("o"))
 
     def sampled(batches):
         for batch in sliced(batches):
             words = Words(batch.column(0))
             row, at = hashed(words)
-            edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
-            at = at[np.argsort(row, kind="stable")].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(posterior[_code(votes(words))]), pa.array([at[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["p", "at"])
+            pair, n = np.unique(row * BUCKETS + at, return_counts=True)
+            edges = np.searchsorted(pair, np.arange(batch.num_rows + 1) * BUCKETS)
+            lists = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in ((pair % BUCKETS).astype(np.int32), n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(posterior[_code(votes(words))]), *(pa.array(x, pa.binary()) for x in lists)], names=["p", "at", "n"])
 
     texts = hashed_sample(picked, F.col("o"), sample, int(counts.sum())).select("text")
-    rows = texts.mapInArrow(sampled, "p double, at binary").toPandas()
+    rows = texts.mapInArrow(sampled, "p double, at binary, n binary").toPandas()
     if not len(rows):
         return QualityModel(posterior, chance, share, None)
-    at = [np.frombuffer(x, np.int32) for x in rows["at"]]
+    at, n = ([np.frombuffer(x, np.int32) for x in rows[c]] for c in ("at", "n"))
     row = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    return QualityModel(posterior, chance, share, Scorer.fit(row, np.concatenate(at), len(at), rows["p"].to_numpy()))
+    return QualityModel(posterior, chance, share, Scorer.fit(row, np.concatenate(at), np.concatenate(n), len(at), rows["p"].to_numpy()))
 
 
 def score_texts(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,12 +6,12 @@ rule hosts are sorted together by key; a sweep keeps a stack of the rule hosts w
 which nest, and takes from them the longest rule whose path begins the URL's.
 
 Scale: keys are dealt to ranges, whose bounds Spark's own range partitioning gives (one row for each
-partition reaches the driver). A rule host goes to each range that its interval meets, so a task never
+partition reaches the driver, MOST_RANGES at most). A rule host goes to each range that its interval meets, so a task never
 needs another's stack; that repeats at most the hosts nested at each bound. A common host is split over
 ranges by a hash of the row that follows the key. A task holds the open hosts' rules only.
 
 Defined cases: a null url, or one without ://, has an empty host and path and gets the default verdict;
-repeated rows are judged each; rules with a null host, path or verdict are left out; of rules with one
+repeated rows are judged each; very long urls are judged whole; an empty table gives no rows; rules with a null host, path or verdict are left out; of rules with one
 host and path, block wins; of fitting rules of one length that with the longer host wins. Only the id
 and url columns are read.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-URL_ROWS = 50_000  # rows in a range, about
+URL_ROWS, MOST_RANGES = 50_000, 4096  # rows in a range, about, while there are fewer ranges; a range is streamed, so it may hold any number
 
 #: The rules of the registered query; fixed values.
 RULES = [
@@ -103,7 +103,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     hosts = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     hosts = hosts.groupBy("host").agg(F.collect_list(F.struct("path", "verdict")).alias("rules"))
     hosts = hosts.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn("key", host_key(F.col("host")))
-    ranges = ranges or max(1, -(-pages.count() // URL_ROWS))
+    ranges = ranges or max(1, min(MOST_RANGES, -(-pages.count() // URL_ROWS)))
     ranged = urls.select("key").repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("least"))
     bounds = sorted(r.least for r in ranged.collect())[1:]
     urls = urls.withColumn("range", _range_of(F.col("key"), bounds))

@@ -9,11 +9,13 @@ are one run of the external index merge: all runs are cut at the same key bounds
 keys a loser tree merges the runs, which gives the capture history in global order.
 
 Scale: payloads pass once through a shuffle, and only if the duplicated payloads are too many for a
-broadcast of checked size; hashes are aggregated before that. Files hold RECORDS records at most. A
+broadcast of checked size; hashes are aggregated before that. A file holds so many records of a class of SIZES that
+its bytes are bounded, or one very large record. A
 merge task holds one range of the index, whose rows have no payload.
 
 Defined cases: a null html is empty; a null url has an empty target; pages with a null id are archived,
-but nothing refers to them; repeated rows (one id, one payload) are all responses; extra columns aren't read.
+but nothing refers to them; a payload of up to the 2 GB that a row may hold is written and read whole; an empty table
+gives no rows; ties of key and time go by the record's id; repeated rows (one id, one payload) are all responses; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpoint_dir, checkpointed
 
-LEAST_BYTES, RECORDS, INDEX_ROWS, SMALL = 100, 500, 50_000, 200_000
+LEAST_BYTES, INDEX_ROWS, SMALL = 100, 50_000, 200_000
+#: Records in a file by the bytes of their payloads (up to, records); the last holds what is larger.
+SIZES = ((1 << 16, 500), (1 << 20, 32), (None, 1))
 EPOCH = 1_704_067_200  # captures without a time are dated from 2024-01-01, one second for each id
 END = "\r\n\r\n"
 _HEADER = re.compile(rb"([A-Za-z-]+): ?(.*)")
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id and record, the WARC record's text without its final line ends."""
+    """page_id, bytes of the payload, and record, the WARC record's text without its final line ends."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html"), "sha": F.sha2("html", 256)})
     same = rows.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
@@ -56,13 +60,19 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.when(refers.isNull(), "").otherwise(F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), refers.cast("string"), F.lit(">"))),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(END),
     )
-    return rows.select("page_id", F.concat(head, block).alias("record"))
+    return rows.select("page_id", "bytes", F.concat(head, block).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS, **columns) -> None:
-    """Gzipped WARC files in the folder path, one set for each partition of pages."""
-    written = records(pages, **columns).select("record").write.mode("overwrite")
-    written.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, sizes: tuple = SIZES, html_col: str = "html", **columns) -> None:
+    """Gzipped WARC files in folders under path, one for each class of sizes, so that a file's bytes are bounded."""
+    written = records(pages, html_col=html_col, **columns)
+    largest = pages.agg(F.max(F.octet_length(F.col(html_col).cast("string")))).first()[0] or 0
+    low = -1
+    for k, (high, most) in enumerate(sizes):
+        if k == 0 or largest > low:
+            own = written.where((F.col("bytes") > low) & (F.lit(True) if high is None else F.col("bytes") <= high)).select("record")
+            own.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={k}")
+        low = high
 
 
 def parsed(raw: bytes):
@@ -84,7 +94,9 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.lower().split('.')))}){slash}{path.partition('#')[0]}".lower()
 
 
-CAPTURE = "url_key string, captured string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, run string, offset long, length long"
+CAPTURE = "url_key string, captured string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, run string, place long, offset long, length long"
+
+NUMBERS = ("payload_bytes", "place", "offset", "length")
 
 
 def _captures(batches):
@@ -101,9 +113,11 @@ def _captures(batches):
                 if response and (len(payload) != stated or digest != headers["warc-payload-digest"].partition(":")[2]):
                     raise ValueError(f"{path}: the payload at {offset} is damaged")
                 name = lambda key: headers[key][len("<urn:page:") : -1] if key in headers else None
-                run.append((url_key(headers["warc-target-uri"]), headers["warc-date"], name("warc-record-id"), stated, digest, headers["warc-type"], name("warc-refers-to"), path, offset, length))
+                run.append((url_key(headers["warc-target-uri"]), headers["warc-date"], name("warc-record-id"), stated, digest, headers["warc-type"], name("warc-refers-to"), path, 0, offset, length))
             run.sort(key=lambda r: (r[0], r[1], r[2]))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(run, columns=names).astype({c: "Int64" for c in ("payload_bytes", "offset", "length")}), schema=pa.schema([(n, pa.int64() if n in ("payload_bytes", "offset", "length") else pa.string()) for n in names]), preserve_index=False)
+            whole = dict(zip(names, zip(*run, strict=True), strict=True)) if run else dict.fromkeys(names, ())
+            whole["place"] = range(len(run))
+            yield pa.RecordBatch.from_arrays([pa.array(whole[n], pa.int64() if n in NUMBERS else pa.string()) for n in names], names=names)
 
 
 def merged(runs: list[list]) -> list:
@@ -140,11 +154,14 @@ def merged(runs: list[list]) -> list:
 
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
+    """The runs of one range of keys, each in the order of its archive, merged."""
     keys = list(zip(frame["url_key"], frame["captured"], frame["page_id"], range(len(frame)), strict=True))
-    runs: dict[str, list] = {}
-    for run, key in zip(frame["run"], keys, strict=True):
-        runs.setdefault(run, []).append(key)
-    order = [e[3] for e in merged([sorted(r) for _, r in sorted(runs.items())])]
+    run = frame["run"].to_numpy(dtype=object)
+    names, which = np.unique(run, return_inverse=True)
+    runs: list[list] = [[] for _ in names]
+    for k in np.argsort(frame["place"].to_numpy(), kind="stable").tolist():
+        runs[which[k]].append(keys[k])
+    order = [e[3] for e in merged(runs)]
     out = frame.iloc[order].reset_index(drop=True)
     return out.assign(position=np.arange(len(out)))
 

@@ -298,10 +298,18 @@ def test_url_rules_equal_brute_force(spark):
     assert url_rules.judge_urls(pages, frame.where("false")).where("rule is not null").count() == 0
 
 
+def test_url_rules_of_long_and_repeated_urls(spark):
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    url = "http://" + "a." * 20_000 + "example.com/en/" + "x" * 300_000
+    pages = spark.createDataFrame([(1, url), (1, url), (2, "no scheme")], "page_id long, url string").withColumns({"key": F.lit(1), "range": F.lit(2), "host": F.lit("x")})
+    assert sorted((r.page_id, r.rule) for r in url_rules.judge_urls(pages, rules).select("page_id", F.coalesce("rule", F.lit("")).alias("rule")).collect()) == [(1, "example.com/en/")] * 2 + [(2, "")]
+    assert url_rules.judge_urls(pages.where("false"), rules).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["é" * 60, "é" * 60, "short", "short", None, "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 9, "x" * 200_000, "é" * 60, "\r\n\r\n" * 40]
     pages = spark.createDataFrame([(k if k != 7 else None, f"http://h{k % 3}.org/p?{k}" if k != 4 else None, h, "x") for k, h in enumerate(html)], "page_id long, url string, html string, sha string")
-    warc.write_archives(pages, str(tmp_path / "a"), records_per_file=2)
+    warc.write_archives(pages, str(tmp_path / "a"), sizes=((100, 2), (1000, 3), (None, 1)))
     history = warc.capture_history(warc.read_archives(spark, str(tmp_path / "a")), index_rows=3)
     rows = history.orderBy("part", "position").collect()
     assert [(r.url_key, r.captured) for r in rows] == sorted((r.url_key, r.captured) for r in rows)
@@ -311,6 +319,13 @@ def test_warc_round_trip(spark, tmp_path):
         if k != 7:
             r = by_id[str(k)]
             assert (r.payload_bytes, r.payload_digest) == (len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest())
+    for k, most in enumerate((2, 3, 1)):
+        assert max(collections.Counter(r.run for r in rows if f"/size={k}/" in r.run).values()) <= most
+    warc.write_archives(pages.where("false"), str(tmp_path / "b"))
+    assert warc.capture_history(warc.read_archives(spark, str(tmp_path / "b"))).count() == 0
+    twice = pages.where("page_id = 8")
+    warc.write_archives(twice.union(twice), str(tmp_path / "c"))
+    assert [r.record_type for r in warc.read_archives(spark, str(tmp_path / "c")).collect()] == ["response"] * 2
     assert (by_id["1"].record_type, by_id["1"].refers_to, by_id["0"].record_type, by_id["3"].record_type) == ("revisit", "0", "response", "response")
 
 
@@ -483,6 +498,43 @@ def test_language_accuracy_and_edges(spark):
     assert language_id.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_network_equals_naive_loops():
+    rng = np.random.default_rng(5)
+    network = language_id.ByteCNN(["a", "b", "c"])
+    x, y = rng.integers(0, 256, (3, language_id.WINDOW)), np.array([0, 2, 1])
+
+    def probabilities(window):
+        pooled = []
+        for w, f in zip(language_id.WIDTHS, network.filters, strict=True):
+            for k in range(language_id.FILTERS):
+                places = [sum(network.embedding[window[at + j]] @ f[j * language_id.EMBED : (j + 1) * language_id.EMBED, k] for j in range(w)) for at in range(len(window) - w + 1)]
+                pooled.append(max(0.0, max(places)))
+        z = np.array([sum(h * network.out[i, c] for i, h in enumerate(pooled)) + network.bias[c] for c in range(3)])
+        return np.exp(z) / np.exp(z).sum()
+
+    assert np.allclose(network._forward(x)[0], [probabilities(window) for window in x])
+    loss = lambda: -np.log(network._forward(x)[0][np.arange(3), y]).mean()
+    for p, g in zip(network.parameters(), network.gradients(x, y), strict=True):
+        places = np.argsort(-np.abs(g).ravel())[:4].tolist() + [0]
+        for at in places:
+            was, numeric = p.flat[at], 0.0
+            for sign in (1, -1):
+                p.flat[at] = was + sign * 1e-6
+                numeric += sign * loss() / 2e-6
+            p.flat[at] = was
+            assert g.flat[at] == pytest.approx(numeric, abs=1e-5)
+
+
+def test_language_of_few_ids_long_and_clashing(spark):
+    rng = random.Random(1)
+    rows = [(7, " ".join("".join(rng.choice(["ba", "la", "ka"] if k % 2 else ["te", "se", "ne"]) for _ in range(3)) for _ in range(25)), ("ee", "aa")[k % 2]) for k in range(600)]
+    docs = spark.createDataFrame([*rows, (8, "bama kala " * 100_000, None)], "doc_id long, text string, lang string").withColumns({"o": F.lit(1), "t": F.lit(2), "lang_pred": F.lit("x"), "_order": F.lit(3)})
+    network = language_id.train(docs, sample=100, piece=60)
+    found = language_id.identify(docs, network).groupBy("doc_id", "lang_pred").count().collect()
+    assert {(r.doc_id, r.lang_pred): r["count"] for r in found} == {(7, "aa"): 300, (7, "ee"): 300, (8, "aa"): 1}
+    assert language_id.identify(docs.where("false"), network).count() == 0
+
+
 def test_windows_cover_every_byte():
     data = np.frombuffer(b"x" * 300 + b"y" * 5, np.uint8)
     row, used, w = language_id.windows(data, np.array([0, 300, 300, 305]))
@@ -505,6 +557,83 @@ def test_quality_finds_faults_and_keeps_plain_text(spark):
     assert quality.score_texts(docs, quality.train(docs.where("false"))).count() == 402
 
 
+def test_label_model_climbs_the_likelihood():
+    rng = np.random.default_rng(4)
+    good = rng.random(4000) < 0.7
+    accuracy = [0.9, 0.8, 0.7, 0.95, 0.6, 0.75]
+    vote = np.stack([np.where(rng.random(4000) < a, good, ~good).astype(int) for a in accuracy], axis=1)
+    vote[rng.random(vote.shape) < 0.2] = -1
+    vote[:, 3][(vote[:, 3] == 0) & good] = 1  # a heuristic without false alarms
+    patterns, counts = np.unique(vote, axis=0, return_counts=True)
+    share, chance, posterior = quality.fit_labellers(patterns, counts)
+
+    def likelihood(share, chance):
+        total = 0.0
+        for p, n in zip(patterns, counts, strict=True):
+            both = [(1 - share), share]
+            for c in (0, 1):
+                for j, v in enumerate(p):
+                    both[c] *= chance[c, j, v + 1]
+            total += n * math.log(sum(both))
+        return total
+
+    for k, p in enumerate(patterns[:50]):  # the posterior, by enumeration
+        both = [(1 - share) * math.prod(chance[0, j, v + 1] for j, v in enumerate(p)), share * math.prod(chance[1, j, v + 1] for j, v in enumerate(p))]
+        assert posterior[k] == pytest.approx(both[1] / sum(both), abs=1e-3)
+    best = likelihood(share, chance)
+    for _ in range(20):  # no worse than the same estimates shaken
+        shaken = np.clip(chance * np.exp(rng.normal(0, 0.1, chance.shape)), 1e-6, None)
+        shaken /= shaken.sum(axis=2, keepdims=True)
+        shaken[1, :, 1] = np.minimum(shaken[1, :, 1], quality.FALSE_ALARMS)
+        shaken /= shaken.sum(axis=2, keepdims=True)
+        assert likelihood(share, shaken) <= best + 5
+
+
+def test_quality_gradient_equals_a_numeric_one():
+    rng = np.random.default_rng(2)
+    rows, at, share, target = np.sort(rng.integers(0, 6, 30)), rng.integers(0, 9, 30), rng.random(30), rng.random(6)
+    weights, bias = np.zeros(quality.BUCKETS), 0.3
+    weights[:9] = rng.normal(size=9)
+
+    def loss(w, b):
+        total = 0.05 * float((w**2).sum())
+        for k in range(6):
+            p = 1 / (1 + math.exp(-(sum(w[at[e]] * share[e] for e in range(30) if rows[e] == k) + b)))
+            total -= (target[k] * math.log(p) + (1 - target[k]) * math.log(1 - p)) / 6
+        return total
+
+    g, gb = quality.Scorer.gradient(weights, bias, rows, at, share, target, 0.1)
+    for k in range(9):
+        step = np.zeros(quality.BUCKETS)
+        step[k] = 1e-6
+        assert g[k] == pytest.approx((loss(weights + step, bias) - loss(weights - step, bias)) / 2e-6, abs=1e-5)
+    assert gb == pytest.approx((loss(weights, bias + 1e-6) - loss(weights, bias - 1e-6)) / 2e-6, abs=1e-5)
+
+
+def test_quality_agrees_with_labels(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the tables aren't here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"p": F.lit(1), "at": F.lit(2), "score": F.lit("x")})
+    found = quality.score_texts(docs, quality.train(docs)).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
+    rank, good = found["score"].rank().to_numpy(), found["quality"].to_numpy() > 0
+    assert (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum()) > 0.97
+    twice = docs.limit(5).union(docs.limit(5))
+    assert quality.score_texts(twice, quality.train(docs)).count() == 10
+    huge = spark.createDataFrame([(1, "Some plain words in a sentence. " * 60_000)], "doc_id long, text string")
+    assert quality.score_texts(huge, quality.train(huge)).count() == 1
+
+
+def test_nearest_of_odd_tables(spark):
+    table = spark.createDataFrame([(1, []), (100, []), (200, None)], "vec_id long, embedding array<float>")
+    assert nearest.nearest_neighbours(table, F.col("vec_id") % 100 == 0).count() == 0
+    rows = [(k, [float(k), 1.0]) for k in range(12)]
+    clash = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({n: F.lit(1) for n in ("vec", "ids", "leaf", "q", "shelf", "v", "i", "j")})
+    assert [r.vec_id for r in nearest.nearest_neighbours(clash, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == list(range(1, 11))
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(3000, 12)) + rng.integers(0, 5, (3000, 1)) * 3
