@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import to_number
+from .quantiles import modes, per_value
 
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 
@@ -38,28 +39,26 @@ def excess_kurtosis(c: Column) -> Column:
 
 def numeric_core_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, median, mode, spread, quartiles and shape of each numeric column."""
+    columns = columns or numeric_columns(df)
     x = lambda c: to_number(F.col(c))
-    q = lambda c, p: F.percentile(x(c), F.lit(p))
-    return per_column(
+    plain = per_column(
         df,
-        columns or numeric_columns(df),
+        columns,
         {
             "n": lambda c: F.count(x(c)),
             "mean": lambda c: F.avg(x(c)),
-            "median": lambda c: q(c, 0.5),
-            "mode": lambda c: F.mode(x(c), True),
             "min": lambda c: F.min(x(c)),
             "max": lambda c: F.max(x(c)),
-            "range": lambda c: F.max(x(c)) - F.min(x(c)),
             "variance": lambda c: F.coalesce(F.var_samp(x(c)), F.lit(0.0)),
             "std": lambda c: F.coalesce(F.stddev_samp(x(c)), F.lit(0.0)),
-            "q1": lambda c: q(c, 0.25),
-            "q3": lambda c: q(c, 0.75),
-            "iqr": lambda c: q(c, 0.75) - q(c, 0.25),
             "skew": lambda c: skew(x(c)),
             "kurtosis": lambda c: excess_kurtosis(x(c)),
         },
     )
+    values = {c: x(c) for c in columns}
+    places = per_value(df, values, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    whole = plain.join(F.broadcast(places), "column").join(F.broadcast(modes(df, values)), "column", "left")
+    return whole.select("column", "n", "mean", "median", "mode", "min", "max", (F.col("max") - F.col("min")).alias("range"), "variance", "std", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "skew", "kurtosis")
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_time, to_number
 from .describe import duplicate_rows, long_form, numeric_columns, per_column
+from .quantiles import per_value
 
 
 def _filled(c: str) -> Column:
@@ -15,10 +16,12 @@ def _filled(c: str) -> Column:
 
 def column_kinds(df: DataFrame, threshold: float = 0.7) -> DataFrame:
     """numeric, dateLike or categorical: what at least threshold of a column's non-blank values parse as."""
+    number = lambda c: F.when(_filled(c).isNotNull(), to_number(_filled(c)).isNotNull())
+    date = lambda c: F.when(_filled(c).isNotNull(), F.coalesce(parse_time(_filled(c)).isNotNull(), F.lit(False)))
     hits = {
         "non_blank": lambda c: F.count(_filled(c)),
-        "numeric_share": lambda c: F.coalesce(F.avg(F.when(_filled(c).isNotNull(), to_number(_filled(c)).isNotNull().cast("int"))), F.lit(0.0)),
-        "date_share": lambda c: F.coalesce(F.avg(F.when(_filled(c).isNotNull(), parse_time(_filled(c)).isNotNull().cast("int"))), F.lit(0.0)),
+        "numeric_share": lambda c: F.coalesce(F.avg(number(c).cast("int")), F.lit(0.0)),
+        "date_share": lambda c: F.coalesce(F.avg(date(c).cast("int")), F.lit(0.0)),
     }
     kind = F.when((F.col("non_blank") > 0) & (F.col("numeric_share") >= threshold), "numeric").when((F.col("non_blank") > 0) & (F.col("date_share") >= threshold), "dateLike").otherwise("categorical")
     return per_column(df, df.columns, hits).withColumn("kind", kind)
@@ -42,7 +45,7 @@ def top_missing(df: DataFrame, k: int = 5) -> DataFrame:
 def top_outliers(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """Columns with values beyond 1.5 interquartile ranges (8 values at least, and some spread), by share in per cent."""
     x = lambda c: to_number(_filled(c))
-    limits = per_column(df, columns, {"n": lambda c: F.count(x(c)), "q1": lambda c: F.percentile(x(c), F.lit(0.25)), "q3": lambda c: F.percentile(x(c), F.lit(0.75))}).where("n >= 8 and q3 > q1")
+    limits = per_column(df, columns, {"n": lambda c: F.count(x(c))}).join(F.broadcast(per_value(df, {c: x(c) for c in columns}, {"q1": 0.25, "q3": 0.75})), "column").where("n >= 8 and q3 > q1")
     values = long_form(df, columns).select("column", to_number(F.nullif("value", F.lit(""))).alias("x"))
     iqr = F.col("q3") - F.col("q1")
     outside = (F.col("x") < F.col("q1") - 1.5 * iqr) | (F.col("x") > F.col("q3") + 1.5 * iqr)

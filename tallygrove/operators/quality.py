@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamped, to_number
 from .describe import null_rates, numeric_columns, per_column
+from .quantiles import per_value
 
 
 def complete_cases(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -18,6 +19,11 @@ def known_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(c for c in columns if c in df.columns))
 
 
+def any_missing(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Whether a row lacks one of the columns."""
+    return sum((F.col(c).isNull().cast("int") for c in columns or df.columns), F.lit(0)) > 0
+
+
 def large_groups(df: DataFrame, group: str, least: int = 2) -> DataFrame:
     """Rows of groups with at least so many rows."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
@@ -31,8 +37,9 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 def bounds(df: DataFrame, columns: list[str] | None = None, iqr_k: float = 1.5, z: float = 3.0, least: int = 5) -> DataFrame:
     """Per column: n, mean, sd and the limits by quartiles and by standard deviations; null under least values."""
     x = lambda c: to_number(F.col(c))
-    measures = {"n": lambda c: F.count(x(c)), "q1": lambda c: F.percentile(x(c), F.lit(0.25)), "q3": lambda c: F.percentile(x(c), F.lit(0.75)), "mean": lambda c: F.avg(x(c)), "sd": lambda c: F.stddev_samp(x(c))}
-    found = per_column(df, columns or numeric_columns(df), measures)
+    columns = columns or numeric_columns(df)
+    found = per_column(df, columns, {"n": lambda c: F.count(x(c)), "mean": lambda c: F.avg(x(c)), "sd": lambda c: F.stddev_samp(x(c))})
+    found = found.join(F.broadcast(per_value(df, {c: x(c) for c in columns}, {"q1": 0.25, "q3": 0.75})), "column")
     enough = lambda e: F.when(F.col("n") >= least, e)
     spread = F.coalesce(F.col("sd"), F.lit(0.0))
     return found.select(
@@ -70,7 +77,7 @@ def quality_process(df: DataFrame, strategy: str = "exclude", method: str = "iqr
     known = [c for c in columns if low[c] is not None]
     outlier = lambda c: F.coalesce((to_number(F.col(c)) < low[c]) | (to_number(F.col(c)) > high[c]), F.lit(False))
     any_out = lambda: sum((outlier(c).cast("int") for c in known), F.lit(0))
-    missing = lambda: sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0)) > 0
+    missing = lambda: any_missing(df)
     cleaned = df.where(~missing()) if drop_missing else df
     if strategy == "exclude":
         cleaned = cleaned.where(any_out() == 0)
