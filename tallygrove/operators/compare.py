@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.scalar import to_number
 from .describe import duplicate_rows
 from .profile import column_kinds, top_missing
+from .quantiles import quantiles
 
 
-def shared_columns(datasets: dict[str, DataFrame], most: int | None = 8) -> list[str]:
-    """Columns that all datasets have, in the first's order."""
+def shared_columns(datasets: dict[str, DataFrame], most: int | None = None) -> list[str]:
+    """Columns that all datasets have, in the first's order; most limits a report to so many."""
     frames = list(datasets.values())
     return [c for c in frames[0].columns if all(c in f.columns for f in frames)][:most] if frames else []
 
@@ -57,7 +58,8 @@ def compare_describe(datasets: dict[str, DataFrame]) -> DataFrame:
         row = row.crossJoin(F.broadcast(missing))
         if numbers:
             x = to_number(F.col(numbers[0]).cast("string"))
-            row = row.crossJoin(F.broadcast(frame.agg(F.lit(numbers[0]).alias("measure"), F.round(F.avg(x), 4).alias("mean"), F.round(F.percentile(x, F.lit(0.5)), 4).alias("median"), F.round(F.stddev_samp(x), 4).alias("sd"))))
+            median = quantiles(frame, {"x": x}, [0.5])["x"][0]
+            row = row.crossJoin(F.broadcast(frame.agg(F.lit(numbers[0]).alias("measure"), F.round(F.avg(x), 4).alias("mean"), F.round(F.lit(median).cast("double"), 4).alias("median"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 4).alias("sd"))))
         out = row if out is None else out.unionByName(row, allowMissingColumns=True)
     return out
 
@@ -71,16 +73,16 @@ def stat_diff_numeric(datasets: dict[str, DataFrame], top: int = 3) -> DataFrame
 def numeric_means(datasets: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     """column, dataset, n, mean, median, sd."""
     rows = stacked(datasets, columns).select("dataset", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), to_number(F.col(c).cast("string")).alias("x")) for c in columns)))).where("x is not null")
-    return rows.groupBy("column", "dataset").agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.percentile("x", F.lit(0.5)), 4).alias("median"), F.round(F.stddev_samp("x"), 4).alias("sd"))
+    return rows.groupBy("column", "dataset").agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.percentile("x", F.lit(0.5)), 4).alias("median"), F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 4).alias("sd"))
 
 
 def stat_diff_categorical(datasets: dict[str, DataFrame], columns: list[str] | None = None, top: int = 3) -> DataFrame:
-    """Shared categorical columns by the gap between the datasets' commonest labels' shares (per cent)."""
+    """Shared categorical columns by the gap between the datasets' commonest labels' shares, as ratios."""
     columns = columns or [r.column for r in shared_kinds(datasets).where("kind = 'categorical'").orderBy("column").collect()]
     rows = stacked(datasets, columns).select("dataset", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns)))).where("v is not null and v <> ''")
     counts = rows.groupBy("column", "dataset", "v").agg(F.count(F.lit(1)).alias("c"))
-    shares = counts.groupBy("column", "dataset").agg(F.round(100.0 * F.max("c") / F.sum("c"), 1).alias("share"))
-    return shares.groupBy("column").agg(F.round(F.max("share") - F.min("share"), 1).alias("dominance_gap")).orderBy(F.desc("dominance_gap"), "column").limit(top)
+    shares = counts.groupBy("column", "dataset").agg(F.round(F.max("c") / F.sum("c"), 4).alias("share"))
+    return shares.groupBy("column").agg(F.round(F.max("share") - F.min("share"), 4).alias("dominance_gap")).orderBy(F.desc("dominance_gap"), "column").limit(top)
 
 
 def concrete_test(kinds: dict[str, list[str]], levels: dict[str, int], mode: str = "auto") -> dict:
@@ -90,6 +92,9 @@ def concrete_test(kinds: dict[str, list[str]], levels: dict[str, int], mode: str
         return {"op": "ttest" if levels[text[0]] == 2 else "anova", "args": {"value": numeric[0], "group": text[0]}}
     if mode in ("auto", "correlation") and len(numeric) >= 2:
         return {"op": "corr", "args": {"columns": numeric[:2]}}
+    dates = kinds.get("dateLike", [])
+    if mode in ("auto", "trend") and dates and numeric:
+        return {"op": "resample", "args": {"time": dates[0], "value": numeric[0]}}
     if mode in ("auto", "association") and len(text) >= 2:
         return {"op": "chisq", "args": {"a": text[0], "b": text[1]}}
     if numeric:
@@ -108,10 +113,9 @@ def _kinds(frame: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
 
 def follow_ups(datasets: dict[str, DataFrame]) -> DataFrame:
     """For each of the largest numeric differences, the test that would look into it, by dataset."""
-    out = []
+    out, known = [], {name: _kinds(frame) for name, frame in datasets.items()}
     for r in stat_diff_numeric(datasets).collect():
-        for name, frame in datasets.items():
-            kinds, levels = _kinds(frame)
+        for name, (kinds, levels) in known.items():
             step = concrete_test({"numeric": [r.column], "categorical": kinds.get("categorical", [])}, levels, "group")
             out.append((r.column, name, step["op"], json.dumps(step["args"], sort_keys=True)))
     frame = next(iter(datasets.values()))

@@ -19,9 +19,30 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamped, to_number
 from ..plans.lineage import checkpointed
 from .describe import NUMERIC
-
-PRESETS = {"fast": {"trees": 40, "iterations": 30, "hidden": 16, "starts": 1}, "balanced": {"trees": 100, "iterations": 100, "hidden": 32, "starts": 3}, "accurate": {"trees": 200, "iterations": 200, "hidden": 64, "starts": 5}}
-ALIASES = {"rf": "random_forest", "hgb": "gradient_boosting", "gbt": "gradient_boosting", "xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "catboost": "gradient_boosting", "extra_trees": "random_forest", "dt": "decision_tree", "nb": "naive_bayes", "svc": "linear_svm", "ada": "adaboost", "elasticnet": "elastic_net", "logreg": "logistic", "logistic_regression": "logistic", "linear_regression": "linear"}
+from .quantiles import rounded_place, values_at
+
+#: What each preset stands for; fixed values.
+PRESETS = {
+    "fast": {"trees": 120, "extra": 160, "rounds": 80, "histogram": 100, "hidden": (32,), "iterations": 280, "elastic": 1200, "starts": 5},
+    "balanced": {"trees": 200, "extra": 300, "rounds": 140, "histogram": 200, "hidden": (64, 32), "iterations": 600, "elastic": 2000, "starts": 10},
+    "accurate": {"trees": 400, "extra": 500, "rounds": 220, "histogram": 350, "hidden": (128, 64, 32), "iterations": 1000, "elastic": 4000, "starts": 20},
+}
+#: Names that models go by; fixed values.
+ALIASES = {
+    "rf": "random_forest", "forest": "random_forest", "randomforest": "random_forest", "extratrees": "extra_trees",
+    "hgb": "hist_gradient_boosting", "histgb": "hist_gradient_boosting", "gbt": "gradient_boosting",
+    "xgb": "xgboost", "lgbm": "lightgbm", "lgb": "lightgbm", "cat": "catboost", "dt": "decision_tree",
+    "nb": "naive_bayes", "gaussiannb": "naive_bayes", "k_neighbor": "knn", "k_neighbors": "knn",
+    "svm": "linear_svm", "svc": "linear_svm", "svr": "linear_svm", "ada": "adaboost", "ada_boost": "adaboost",
+    "elasticnet": "elastic_net", "logreg": "logistic", "logistic_regression": "logistic", "linear_regression": "linear",
+    "nn": "mlp", "neural": "mlp", "ensemble": "voting", "calibration": "calibrated",
+    "isolationforest": "isolation_forest", "iforest": "isolation_forest", "auto_encoder": "autoencoder",
+    "moving_average": "moving_avg", "exp": "exp_smoothing", "holtwinters": "exp_smoothing",
+}
+#: What MLlib trains in place of a model that it lacks.
+INSTEAD = {"extra_trees": "random_forest", "hist_gradient_boosting": "gradient_boosting", "xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "catboost": "gradient_boosting"}
+SCORING = {"rmse": "rmse", "neg_root_mean_squared_error": "rmse", "mae": "mae", "neg_mean_absolute_error": "mae", "r2": "r2", "accuracy": "accuracy", "f1": "f1", "f1_weighted": "f1", "precision": "precision", "precision_weighted": "precision", "recall": "recall", "recall_weighted": "recall"}
+LEAST_ROWS, MOST_FOLDS = 10, 10
 
 
 class LearningError(ValueError):
@@ -67,19 +88,41 @@ def features(df: DataFrame, columns: list[str], target: str | None = None, key:
     return pipeline.transform(rows), pipeline, names
 
 
-def holdout(df: DataFrame, key: list[str] | str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key, the same on every run; under 20 rows both are all rows."""
+def _place(keys: list[str], *salt: Column) -> Column:
+    """A number from 0 to 1 by a hash of the keys, the same on every run."""
+    return F.pmod(F.xxhash64(*keys, *salt), F.lit(1 << 52)) / float(1 << 52)
+
+
+def _thresholds(df: DataFrame, place: Column, label: str, shares: list[float]) -> Column:
+    """For each class the places below which these shares of its rows lie, exactly; classes are few."""
+    classes = sorted((r.c for r in df.select(F.col(label).cast("string").alias("c")).distinct().collect()), key=lambda c: (c is not None, c))
+    values = {str(k): F.when(F.col(label).cast("string").eqNullSafe(F.lit(c)), place) for k, c in enumerate(classes)}
+    found = values_at(df, values, lambda n: [min(n - 1, round(n * s)) for s in shares])
+    return F.coalesce(*(F.when(F.col(label).cast("string").eqNullSafe(F.lit(c)), F.array(*map(F.lit, found[str(k)][1]))) for k, c in enumerate(classes)))
+
+
+def holdout(df: DataFrame, key: list[str] | str, share: float = 0.2, seed: int = 42, stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by a hash of the key, the same on every run; under 20 rows both are all rows.
+
+    stratify names a class column; each class then gives the share of its rows, to within one row.
+    """
     share = clamped(share, 0.05, 0.5, 0.2)
     keys = [key] if isinstance(key, str) else key
     if df.limit(20).count() < 20:
         return df, df
-    test = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    place = _place(keys, F.lit(seed))
+    test = place < (_thresholds(df, place, stratify, [share])[0] if stratify else F.lit(share))
     return df.where(~test), df.where(test)
 
 
-def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """df with fold 0..k-1 by a hash of the key, which also keeps classes' shares on average."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed), F.lit("fold")), F.lit(k)).cast("int"))
+def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | None = None) -> DataFrame:
+    """df with fold 0..k-1 by a hash of the key; with stratify each fold has its share of each class, to within one row."""
+    k = int(clamped(k, 2, MOST_FOLDS, 5))
+    place = _place([key], F.lit(seed), F.lit("fold"))
+    if not stratify:
+        return df.withColumn("fold", F.floor(place * k).cast("int"))
+    edges = _thresholds(df, place, stratify, [f / k for f in range(1, k)])
+    return df.withColumn("fold", F.size(F.filter(edges, lambda e: e <= place)).cast("int"))
 
 
 # metrics
@@ -91,9 +134,16 @@ def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "
 
 
 def residual_summary(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
-    """min, q05, median, q95, max of the residuals, values at the rounded place in order."""
-    e = F.col(actual) - F.col(predicted)
-    return df.agg(F.min(e).alias("min"), F.percentile(e, F.lit(0.05)).alias("q05"), F.percentile(e, F.lit(0.5)).alias("median"), F.percentile(e, F.lit(0.95)).alias("q95"), F.max(e).alias("max"))
+    """min, q05, median, q95, max of the residuals: values at places in order, 5 and 95 % of the way rounded, and half of n."""
+    places = lambda n: [0, rounded_place(n, 0.05), n // 2, rounded_place(n, 0.95), n - 1]
+    _, found = values_at(df, {"e": F.col(actual) - F.col(predicted)}, places)["e"]
+    return df.sparkSession.createDataFrame([tuple(found or [None] * 5)], "min double, q05 double, median double, q95 double, max double")
+
+
+def largest_residuals(df: DataFrame, key: str, n: int = 10, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
+    """key, actual, prediction and residual of the n rows that are furthest off."""
+    found = df.select(key, F.col(actual).alias("actual"), F.col(predicted).alias("prediction"), (F.col(actual) - F.col(predicted)).alias("residual"))
+    return found.orderBy(F.desc(F.abs("residual")), key).limit(n)
 
 
 def confusion(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
@@ -130,22 +180,26 @@ def metric_contract(metrics: DataFrame, primary: str) -> DataFrame:
 def _estimator(task: str, model: str, o: dict, size: int, classes: int):
     p = PRESETS.get(o.get("preset", "balanced"), PRESETS["balanced"])
     seed, common = o.get("seed", 42), {"featuresCol": "features", "labelCol": "label"}
+    rounds = o.get("iterations", p["histogram"] if o.get("asked") == "hist_gradient_boosting" else p["rounds"])
+    trees = o.get("trees", p["extra"] if o.get("asked") == "extra_trees" else p["trees"])
+    hidden = o.get("hidden", p["hidden"])
     regression = {
         "linear": lambda: mr.LinearRegression(solver="normal", **common),
-        "elastic_net": lambda: mr.LinearRegression(regParam=o.get("alpha", 0.1), elasticNetParam=o.get("l1_ratio", 0.5), standardization=False, maxIter=500, **common),
+        "elastic_net": lambda: mr.LinearRegression(regParam=o.get("alpha", 0.1), elasticNetParam=o.get("l1_ratio", 0.5), standardization=False, maxIter=p["elastic"], **common),
         "decision_tree": lambda: mr.DecisionTreeRegressor(seed=seed, **common),
-        "random_forest": lambda: mr.RandomForestRegressor(numTrees=o.get("trees", p["trees"]), seed=seed, **common),
-        "gradient_boosting": lambda: mr.GBTRegressor(maxIter=o.get("iterations", min(50, p["iterations"])), seed=seed, **common),
+        "random_forest": lambda: mr.RandomForestRegressor(numTrees=trees, seed=seed, **common),
+        "gradient_boosting": lambda: mr.GBTRegressor(maxIter=rounds, seed=seed, **common),
     }
-    boosted = lambda: mc.GBTClassifier(maxIter=o.get("iterations", min(50, p["iterations"])), seed=seed, **common)
+    boosted = lambda: mc.GBTClassifier(maxIter=rounds, seed=seed, **common)
     classification = {
-        "logistic": lambda: mc.LogisticRegression(maxIter=p["iterations"], **common),
+        "logistic": lambda: mc.LogisticRegression(maxIter=min(1000, p["iterations"]), **common),
+        "linear": lambda: mc.LogisticRegression(maxIter=min(1000, p["iterations"]), **common),
         "decision_tree": lambda: mc.DecisionTreeClassifier(seed=seed, **common),
-        "random_forest": lambda: mc.RandomForestClassifier(numTrees=o.get("trees", p["trees"]), seed=seed, **common),
+        "random_forest": lambda: mc.RandomForestClassifier(numTrees=trees, seed=seed, **common),
         "gradient_boosting": lambda: boosted() if classes == 2 else mc.OneVsRest(classifier=boosted(), **common),
         "naive_bayes": lambda: mc.NaiveBayes(modelType="gaussian", **common),
         "linear_svm": lambda: mc.LinearSVC(**common) if classes == 2 else mc.OneVsRest(classifier=mc.LinearSVC(**common), **common),
-        "mlp": lambda: mc.MultilayerPerceptronClassifier(layers=[size, o.get("hidden", p["hidden"]), classes], maxIter=p["iterations"], seed=seed, **common),
+        "mlp": lambda: mc.MultilayerPerceptronClassifier(layers=[size, *(hidden if isinstance(hidden, (tuple, list)) else [hidden]), classes], maxIter=p["iterations"], seed=seed, **common),
     }
     known = regression if task == "regression" else classification
     if model not in known:
@@ -215,15 +269,29 @@ def calibrated(train: DataFrame, test: DataFrame, key: str, method: str = "sigmo
 
 
 def train(df: DataFrame, task: str, model: str, target: str, columns: list[str] | None = None, key: str | None = None, **options) -> MLResult:
-    """Fits and scores on a hold-out. task is regression or classification; key identifies rows for the split."""
+    """Fits and scores on a hold-out, of a classification stratified by class; key identifies rows for the split.
+
+    task is regression or classification, or one of timeseries, clustering, dimension_reduction and anomaly, which need no
+    target but a time series' and give their own tables as predictions. scoring names the primary metric.
+    """
+    scoring = options.get("scoring")
+    if scoring is not None and scoring not in SCORING:
+        raise LearningError("ML_SCORING_INVALID", f"no scoring {scoring!r}")
     if task not in ("regression", "classification"):
-        raise LearningError("ML_TASK_UNKNOWN", f"no task {task!r}")
+        return _without_target(df, task, ALIASES.get(model, model), target, columns, key, options)
     if target not in df.columns:
         raise LearningError("ML_TARGET_REQUIRED", f"no column {target!r}")
-    warnings, asked = [], model
-    model = ALIASES.get(model, model)
-    if asked in ("xgboost", "lightgbm", "catboost", "extra_trees"):
+    if target in ("label", "actual", "prediction", "features"):  # names that fitting and scoring add
+        df, target = df.withColumnRenamed(target, f"_{target}"), f"_{target}"
+    warnings, asked = [], ALIASES.get(model, model)
+    model = INSTEAD.get(asked, asked)
+    if model != asked:
         warnings.append(f"{asked} is trained as {model}.")
+    if options.get("preset", "balanced") not in PRESETS:
+        warnings.append("An unknown preset is taken as balanced.")
+    if df.where(F.col(target).isNotNull()).limit(LEAST_ROWS).count() < LEAST_ROWS:
+        raise LearningError("ML_TOO_FEW_ROWS", f"training needs {LEAST_ROWS} rows with a target")
+    options = options | {"asked": asked}
     columns = columns or [f.name for f in df.schema if f.name not in (target, key) and isinstance(f.dataType, NUMERIC)]
     rows, _, names = features(df, columns, target)
     if task == "regression":
@@ -234,11 +302,22 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
     classes = len(labels) if labels else 0
     if task == "classification" and classes < 2:
         raise LearningError("ML_TARGET_CONSTANT", "the target has one class")
-    fit_rows, test = holdout(rows, key or columns, options.get("test_share", 0.2))
+    fit_rows, test = holdout(rows, key or columns, options.get("test_share", 0.2), stratify="label" if labels else None)
     if model == "adaboost" and labels:
         fitted = AdaBoost(options.get("rounds", 10)).fit(fit_rows.select("features", "label"), classes)
         predicted = fitted.transform(test)
+    elif model == "knn" and labels:
+        fitted, numbered = None, rows.withColumn("_key", F.xxhash64(*([key] if key else columns)))
+        fit_rows, test = holdout(numbered, "_key", options.get("test_share", 0.2), stratify="label")
+        near = knn_classify(fit_rows, test, columns, "label", "_key", options.get("k", 5))
+        predicted = test.join(near.dropDuplicates(["_key"]).withColumn("prediction", F.col("prediction").cast("double")), "_key")
+    elif model == "calibrated" and labels:
+        if classes != 2:
+            raise LearningError("ML_MODEL_INVALID", "calibration takes two classes")
+        numbered = fit_rows.withColumn("_key", F.xxhash64(*([key] if key else columns)))
+        fitted, predicted = None, calibrated(numbered, test, "_key", options.get("method", "sigmoid"))
     elif model == "voting":
+        options = {"trees": 40} | options
         members = ["linear", "decision_tree", "random_forest"] if task == "regression" else ["logistic", "decision_tree", "random_forest"]
         fitted = [_estimator(task, m, options, len(names), classes).fit(fit_rows) for m in members]
         predicted = _voted(test, fitted, task)
@@ -252,7 +331,58 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
     else:
         predicted = predicted.withColumn("actual", F.col("label"))
         metrics = regression_metrics(predicted)
-    return MLResult(task, model, metrics, predicted, importance(fitted, names, df), fitted, warnings)
+    if scoring is not None:
+        metrics = metric_contract(metrics, SCORING[scoring])
+    return MLResult(task, model, metrics, predicted, importance(fitted, names, df) if fitted is not None else None, fitted, warnings)
+
+
+def _without_target(df: DataFrame, task: str, model: str, target: str | None, columns: list[str] | None, key: str | None, o: dict) -> MLResult:
+    preset = PRESETS.get(o.get("preset", "balanced"), PRESETS["balanced"])
+    columns = columns or [f.name for f in df.schema if f.name not in (target, key) and isinstance(f.dataType, NUMERIC)]
+    unknown = LearningError("ML_MODEL_UNKNOWN", f"no {task} model {model!r}")
+    if task == "timeseries":
+        from . import series
+
+        if model not in ("naive", "seasonal_naive", "moving_avg", "exp_smoothing", "ar", "arima"):
+            raise unknown
+        extra = {n: o[n] for n in ("horizon", "window", "trend", "season", "lags", "difference") if n in o}
+        found = checkpointed(series.forecast(df, o["time"], target, o.get("keys", []), "ar" if model == "arima" else model, **extra))
+        return MLResult(task, model, series.forecast_metrics(found, o.get("keys", [])), found)
+    if not columns:
+        raise LearningError("ML_FEATURES_REQUIRED", "no numeric column to learn from")
+    if task == "clustering":
+        if model == "kmeans":
+            rows, inertia, centres = kmeans(df, columns, o.get("k", 3), o.get("starts", preset["starts"]), o.get("seed", 42))
+            noise = F.lit(0).cast("long")
+        elif model == "dbscan" and key:
+            found = dbscan(df, key, columns, o.get("eps", 0.5), o.get("min_samples", 5))
+            rows, inertia, centres = df.join(found, key), None, None
+            noise = F.count_if(F.col("cluster") < 0)
+        else:
+            raise unknown
+        rows = checkpointed(rows.drop("features"))
+        counted = rows.agg(F.lit(inertia).cast("double").alias("inertia"), noise.alias("noise"))
+        metrics = silhouette(rows.where("cluster >= 0"), columns).crossJoin(F.broadcast(counted))
+        return MLResult(task, model, metrics, rows, cluster_summary(rows), centres)
+    if task == "dimension_reduction":
+        if model != "pca":
+            raise unknown
+        rows, ratios, loadings = pca(df, columns, o.get("k", 2))
+        best = Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")
+        top = loadings.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+        return MLResult(task, model, ratios, rows, top)
+    if task == "anomaly":
+        share = o.get("contamination")
+        if model == "isolation_forest":
+            rows, score = isolation_forest(df, columns, share), "score"
+        elif model == "autoencoder":
+            rows, score = reconstruction_anomalies(df, columns, o.get("k", 1), share or 0.05), "error"
+        else:
+            raise unknown
+        rows = checkpointed(rows)
+        metrics = rows.agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("least"), F.avg(score).alias("mean"), F.max(score).alias("most"), F.avg(F.col("outlier").cast("int")).alias("outlier_ratio"))
+        return MLResult(task, model, metrics, rows)
+    raise LearningError("ML_TASK_UNKNOWN", f"no task {task!r}")
 
 
 def importance(fitted, names: list[str], df: DataFrame, top: int = 20) -> DataFrame | None:
@@ -300,9 +430,10 @@ def cross_validate(df: DataFrame, task: str, model: str, target: str, columns: l
         rows, labels = indexer.transform(rows), indexer.labels
     else:
         rows = rows.withColumn("label", to_number(F.col(target)))
-    rows, out = checkpointed(folds(rows.select("label", "features", key), key, k)), None
+    k, named = int(clamped(k, 2, MOST_FOLDS, 5)), ALIASES.get(model, model)
+    rows, out = checkpointed(folds(rows.select("label", "features", key), key, k, stratify="label" if labels else None)), None
     for f in range(k):
-        fitted = _estimator(task, ALIASES.get(model, model), options, len(names), len(labels or ())).fit(rows.where(F.col("fold") != f))
+        fitted = _estimator(task, INSTEAD.get(named, named), options, len(names), len(labels or ())).fit(rows.where(F.col("fold") != f))
         predicted = fitted.transform(rows.where(F.col("fold") == f))
         metrics = regression_metrics(predicted, "label") if task == "regression" else classification_metrics(predicted, "label")
         metrics = metrics.withColumn("fold", F.lit(f))
@@ -358,7 +489,7 @@ def knn_classify(train: DataFrame, test: DataFrame, columns: list[str], label: s
 # clusters and anomalies
 
 
-def kmeans(df: DataFrame, columns: list[str], k: int = 3, starts: int = 3, seed: int = 42):
+def kmeans(df: DataFrame, columns: list[str], k: int = 3, starts: int = 10, seed: int = 42):
     """(rows with cluster, inertia, centroids): the best of several starts."""
     rows, _, _ = features(df, columns)
     models = [mk.KMeans(k=k, seed=seed + s).fit(rows) for s in range(starts)]
@@ -394,8 +525,7 @@ def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster") -> D
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_samples: int) -> DataFrame:
     """key, cluster: the smallest key of the cluster's core points, -1 for noise.
 
-    Cells have sides of eps / sqrt(d), so points of a cell are all neighbours: a cell of min_samples points is
-    core without looking at pairs. Equal points are one weighted point. Pairs are made between neighbouring
+    Cells have sides of eps / sqrt(d), so points of a cell are all neighbours and of one cluster. Equal points are one weighted point. Pairs are made between neighbouring
     cells only. Labels spread by their smallest value until nothing changes.
     """
     from itertools import product
@@ -494,7 +624,10 @@ def isolation_forest(df: DataFrame, columns: list[str], contamination: float | N
 
 
 def reconstruction_anomalies(df: DataFrame, columns: list[str], k: int = 1, contamination: float = 0.05) -> DataFrame:
-    """df with error (squared distance to the k main components) and outlier for the largest share of errors."""
+    """df with error (mean square over columns of what the k main components leave) and outlier.
+
+    Outliers are errors of at least the value whose place, from 0, is the floor of (1 - contamination) (n - 1).
+    """
     rows, _, loadings = pca(df, columns, k)
     w = np.zeros((len(columns), k))
     for r in loadings.collect():
@@ -503,9 +636,10 @@ def reconstruction_anomalies(df: DataFrame, columns: list[str], k: int = 1, cont
     x = [F.col(c).cast("double") - means[c] for c in columns]
     score = [sum((x[i] * float(w[i, j]) for i in range(len(columns))), F.lit(0.0)) for j in range(k)]
     error = sum(((x[i] - sum((s * float(w[i, j]) for j, s in enumerate(score)), F.lit(0.0))) ** 2 for i in range(len(columns))), F.lit(0.0))
-    rows = checkpointed(rows.drop("features", "_c", "projection").withColumn("error", error))
-    limit = rows.agg(F.percentile("error", F.lit(1 - clamped(contamination, 0.001, 0.5, 0.05))).alias("_limit"))
-    return rows.crossJoin(F.broadcast(limit)).withColumn("outlier", F.col("error") > F.col("_limit")).drop("_limit")
+    rows = checkpointed(rows.drop("features", "_c", "projection").withColumn("error", error / len(columns)))
+    share = contamination if 0 < contamination < 0.5 else 0.05
+    n, found = values_at(rows, {"e": F.col("error")}, lambda n: [int((1 - share) * (n - 1))])["e"]
+    return rows.withColumn("outlier", F.col("error") >= F.lit(found[0] if n else None))
 
 
 def export_model(fitted, path: str) -> None:

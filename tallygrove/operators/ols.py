@@ -99,6 +99,12 @@ class OLSFit:
         return out.withColumn("cooks_distance", F.col("standardized") ** 2 * F.col("leverage") / ((1 - F.col("leverage")) * len(self.terms)))
 
 
+def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns whose values don't vary."""
+    spread = df.agg(*((F.min(f"`{c}`") < F.max(f"`{c}`")).alias(f"v{k}") for k, c in enumerate(columns))).first() if columns else ()
+    return [c for c, varies in zip(columns, spread, strict=True) if not varies]
+
+
 def ols(df: DataFrame, y: str, x: list[str], add_intercept: bool = True, dummy: bool = True, drop_first: bool = True, robust: str | None = None) -> OLSFit:
     """y on x over complete cases; text columns as dummies, constant columns left out. robust: HC0 to HC3."""
     rows = df.select(y, *x).na.drop()
@@ -112,8 +118,8 @@ def ols(df: DataFrame, y: str, x: list[str], add_intercept: bool = True, dummy:
             rows = one_hot(rows, c, drop_first)
             terms += [n for n in rows.columns if n not in before]
     rows = rows.withColumn(y, to_number(F.col(y)))
-    spread = rows.agg(*((F.min(f"`{c}`") < F.max(f"`{c}`")).alias(f"v{k}") for k, c in enumerate(terms))).first()
-    terms = [c for k, c in enumerate(terms) if spread[f"v{k}"]]
+    still = set(constant_columns(rows, terms))
+    terms = [c for c in terms if c not in still]
     if not terms:
         raise ValueError("no predictor varies")
     return OLSFit(rows.select(y, *(f"`{t}`" for t in terms)), y, ["const", *terms] if add_intercept else terms, robust)

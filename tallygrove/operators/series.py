@@ -101,7 +101,10 @@ def autoregressed(y: np.ndarray, h: int, lags: int, difference: int) -> np.ndarr
 
 
 def forecast_metrics(forecasts: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """n, mae, rmse, mape (over actuals that aren't 0), q05 and q95 of the residuals, by series."""
+    """n, mae, rmse, mape (a ratio, over actuals that aren't 0), q05 and q95 of the residuals, by series.
+
+    q05 and q95 are residuals at the place 5 and 95 % of the way, rounded; a series' forecasts are its held-out tail.
+    """
     e = F.col("actual") - F.col("forecast")
     share = F.when(F.abs("actual") > 1e-9, F.abs(e / F.col("actual")))
-    return forecasts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(share)).alias("mape"), F.percentile(e, F.lit(0.05)).alias("q05"), F.percentile(e, F.lit(0.95)).alias("q95"))
+    return forecasts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(share).alias("mape"), *(F.array_sort(F.collect_list(e))[F.bround((F.count(e) - 1) * p).cast("int")].alias(n) for p, n in ((0.05, "q05"), (0.95, "q95"))))

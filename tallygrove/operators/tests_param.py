@@ -17,7 +17,7 @@ from ..functions import special
 from ..functions.scalar import clamped, finite, to_number
 from .describe import numeric_columns
 
-WIDE = 50  # columns beyond which correlations come from MLlib on complete rows
+WIDE = 50  # columns beyond which pairs are summed as matrices
 
 
 def _row(df: DataFrame, values: dict, schema: str) -> DataFrame:
@@ -26,17 +26,39 @@ def _row(df: DataFrame, values: dict, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(clean(values.get(n)) for n in names)], schema)
 
 
+def _wide_pairs(df: DataFrame, columns: list[str], constant: float | None) -> DataFrame:
+    """a, b, r of each pair over the rows with both values: each task sums matrices about the columns' means."""
+    x = [to_number(F.col(c)).alias(f"x{k}") for k, c in enumerate(columns)]
+    rows = df.select(*x)
+    means = np.array([m or 0.0 for m in rows.agg(*(F.avg(c) for c in rows.columns)).first()])
+
+    def sums(batches):
+        d = len(means)
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            v = batch.to_numpy(dtype=float) - means
+            known = np.isfinite(v)
+            v = np.where(known, v, 0.0)
+            mask = known.astype(float)
+            total += np.stack([mask.T @ mask, v.T @ mask, (v**2).T @ mask, v.T @ v])
+        i, j = np.triu_indices(d, 1)
+        n, s, q, p = total
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": s[i, j], "sy": s[j, i], "qx": q[i, j], "qy": q[j, i], "p": p[i, j]})
+
+    numbers = ("n", "sx", "sy", "qx", "qy", "p")
+    pairs = rows.mapInPandas(sums, "i int, j int, " + ", ".join(f"{c} double" for c in numbers)).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in numbers))
+    spread = lambda s, q: F.greatest(F.col(q) - F.col(s) ** 2 / F.col("n"), F.lit(0.0))
+    root = F.sqrt(spread("sx", "qx") * spread("sy", "qy"))
+    r = F.coalesce(F.try_divide(F.col("p") - F.col("sx") * F.col("sy") / F.col("n"), F.when(root > 0, root)), F.lit(constant))
+    names = F.array(*map(F.lit, columns))
+    return pairs.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), r.alias("r"))
+
+
 def corr(df: DataFrame, columns: list[str] | None = None, top: int | None = None, constant: float | None = 0.0) -> DataFrame:
     """a, b, r, abs_r of each pair of numeric columns; rows with both values count; constant columns have r = constant."""
     columns = columns or numeric_columns(df)
     if len(columns) > WIDE:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        made = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df)
-        matrix = Correlation.corr(made, "_v").first()[0].toArray()
-        pairs = [(a, b, float(np.nan_to_num(matrix[i, j]))) for (i, a), (j, b) in itertools.combinations(enumerate(columns), 2)]
-        found = df.sparkSession.createDataFrame(pairs, "a string, b string, r double")
+        found = _wide_pairs(df, columns, constant)
     else:
         x = {c: to_number(F.col(c)) for c in columns}
 
@@ -88,11 +110,11 @@ def ttest(df: DataFrame, value: str, group: str, equal_var: bool = False, levels
     else:
         t, dof = _welch(a.mean, a["var"], a.n, b.mean, b["var"], b.n)
     sd = math.sqrt((a["var"] + b["var"]) / 2)
-    effect = (a.mean - b.mean) / sd if sd > 0 else None
-    se = math.sqrt((a.n + b.n) / (a.n * b.n) + effect**2 / (2 * max(1, a.n + b.n - 2))) if effect is not None else None
+    effect = (a.mean - b.mean) / sd if sd > 0 else 0.0
+    se = math.sqrt((a.n + b.n) / (a.n * b.n) + effect**2 / (2 * max(1, a.n + b.n - 2)))
     found = {"group_a": a.grp, "group_b": b.grp, "n_a": a.n, "n_b": b.n, "mean_a": a.mean, "mean_b": b.mean, "t": t, "df": dof, "p": 2 * special.t_sf(abs(t), dof) if t is not None else None, "cohen_d": effect}
-    if se is not None:
-        found |= {"d_low": effect - 1.96 * se, "d_high": effect + 1.96 * se}
+    z = special.norm_ppf(0.975)
+    found |= {"d_low": effect - z * se, "d_high": effect + z * se}
     return _row(df, found, TTEST)
 
 
@@ -145,6 +167,8 @@ def chisq(df: DataFrame, a: str, b: str, bootstrap: int = 250, seed: int = 42) -
         drawn = [v for v in drawn if math.isfinite(v)]
         if len(drawn) >= 20:
             found |= dict(zip(("v_low", "v_high"), np.percentile(drawn, [2.5, 97.5]).tolist(), strict=True))
+    elif sums.n >= 20:
+        found["warning"] = "Limits of V are made for tables of up to 100,000 cells."
     return _row(df, found, CHISQ)
 
 
@@ -173,17 +197,32 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
-def eta_squared_limits(df: DataFrame, value: str, group: str, bootstrap: int = 250, seed: int = 42) -> DataFrame:
-    """95 % bootstrap limits of eta squared: each row has Poisson(1) weights in all samples, summed by group in one shuffle."""
-    rows = df.select(F.col(group).cast("string").alias("grp"), to_number(F.col(value)).alias("x")).where("grp is not null and x is not null")
+def _poisson(keys: np.ndarray, sample: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights of rows in a bootstrap sample, from their keys alone, so the same however rows are dealt."""
+    x = keys.astype(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + sample * 0xD1B54A32D192ED03) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    chance = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(15)])
+    return np.searchsorted(chance, (x >> np.uint64(11)) / 2.0**53, side="right")
+
+
+def eta_squared_limits(df: DataFrame, value: str, group: str, bootstrap: int = 250, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """95 % bootstrap limits of eta squared; null under 20 rows.
+
+    Each row has Poisson(1) weights in all samples, summed by group in one shuffle. They come from a hash of key, by
+    default of all columns; rows with one key weigh the same.
+    """
+    hashed = F.xxhash64(*(key or df.columns)).alias("k")
+    rows = df.select(F.col(group).cast("string").alias("grp"), to_number(F.col(value)).alias("x"), hashed).where("grp is not null and x is not null")
+    if rows.limit(20).count() < 20:
+        return _row(df, {}, "eta_low double, eta_high double")
 
     def sums(batches):
-        for at, batch in enumerate(batches):
-            rng = np.random.default_rng([seed, at, int(batch["x"].sum() * 1e3) & 0xFFFFFFFF])
+        for batch in batches:
             codes, names = pd.factorize(batch["grp"])
-            x = batch["x"].to_numpy()
+            x, keys = batch["x"].to_numpy(), batch["k"].to_numpy(np.int64).view(np.uint64)
             for b in range(bootstrap):
-                w = rng.poisson(1.0, len(x))
+                w = _poisson(keys, b, seed)
                 parts = [np.bincount(codes, weights=v, minlength=len(names)) for v in (w, w * x, w * x * x)]
                 yield pd.DataFrame({"b": b, "grp": names, "n": parts[0], "s": parts[1], "q": parts[2]})
 

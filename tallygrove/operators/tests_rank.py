@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.scalar import to_number
 from .quality import large_groups
+from .quantiles import quantiles
 from .ranks import average_ranks
 from .tests_param import _row
 
@@ -35,6 +36,8 @@ def mannwhitney(df: DataFrame, value: str, group: str) -> DataFrame:
     if len(groups) != 2:
         return _row(df, {"warning": "The test needs two groups."}, MANNWHITNEY)
     a, b = groups
+    if min(a.n, b.n) < 2:
+        return _row(df, {"group_a": a.grp, "group_b": b.grp, "n_a": a.n, "n_b": b.n, "warning": "The test needs two values in each group."}, MANNWHITNEY)
     n, product = a.n + b.n, a.n * b.n
     u = a.rank_sum - a.n * (a.n + 1) / 2
     ties = _tie_term(df, value, f"`{group}` is not null")
@@ -47,28 +50,34 @@ def mannwhitney(df: DataFrame, value: str, group: str) -> DataFrame:
     return _row(df, {"group_a": a.grp, "group_b": b.grp, "n_a": a.n, "n_b": b.n, "u": u, "u_other": product - u, "rank_sum_a": float(a.rank_sum), "p": p, "cles": u / product}, MANNWHITNEY)
 
 
-WILCOXON = "n long, w double, rank_plus double, rank_minus double, p double, r_approx double, mean_diff double, median_diff double, warning string"
+WILCOXON = "n_pairs long, n long, w double, rank_plus double, rank_minus double, p double, r_approx double, mean_diff double, median_diff double, warning string"
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Signed ranks of the differences a - b that aren't 0 (exact for up to 25 without ties)."""
+    """Signed ranks of the n differences a - b that aren't 0 (exact for up to 25 without ties).
+
+    r_approx is the normal deviate of w over the root of the pairs, both with all n_pairs pairs.
+    """
     pairs = df.select((to_number(F.col(a)) - to_number(F.col(b))).alias("d")).where("d is not null")
+    d = pairs.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.max(F.abs("d")).alias("largest")).first()
+    if d.n < 5:
+        return _row(df, {"n_pairs": d.n, "warning": "The test needs five pairs."}, WILCOXON)
+    if d.largest <= 1e-8:
+        return _row(df, {"n_pairs": d.n, "n": 0, "warning": "All differences are 0."}, WILCOXON)
     rows = pairs.where("d <> 0").select("d", F.abs("d").alias("x"))
     signed = rows.groupBy("x").agg(F.count_if(F.col("d") > 0).alias("plus"), F.count_if(F.col("d") < 0).alias("minus"))
     ranks = average_ranks(rows, "x")
     s = signed.join(ranks, "x").agg(F.sum(F.col("plus") * F.col("rank")).alias("p"), F.sum(F.col("minus") * F.col("rank")).alias("m"), F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("t"), F.sum("ties").alias("n")).first()
-    n = s.n or 0
-    if n < 5:
-        return _row(df, {"n": n, "warning": "The test needs five differences that aren't 0."}, WILCOXON)
+    n = s.n
     w, z_sd = min(s.p, s.m), math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     zero_free_ties = s.t
     if n <= 25 and zero_free_ties == 0:
         p = min(1.0, 2 * special.wilcoxon_exact_cdf(w, n))
     else:
         p = min(1.0, 2 * special.norm_cdf((w - n * (n + 1) / 4) / math.sqrt(z_sd**2 - zero_free_ties / 48)))
-    r = abs((w - n * (n + 1) / 4) / z_sd) / math.sqrt(n)
-    d = pairs.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median")).first()
-    return _row(df, {"n": n, "w": float(w), "rank_plus": float(s.p), "rank_minus": float(s.m), "p": p, "r_approx": r, "mean_diff": d["mean"], "median_diff": d["median"]}, WILCOXON)
+    r = abs(w - d.n * (d.n + 1) / 4) / math.sqrt(d.n * (d.n + 1) * (2 * d.n + 1) / 24) / math.sqrt(d.n)
+    median = quantiles(pairs, {"d": F.col("d")}, [0.5])["d"][0]
+    return _row(df, {"n_pairs": d.n, "n": n, "w": float(w), "rank_plus": float(s.p), "rank_minus": float(s.m), "p": p, "r_approx": r, "mean_diff": d["mean"], "median_diff": median}, WILCOXON)
 
 
 KRUSKAL = "h double, p double, df long, n long, groups long, epsilon_squared double, warning string"

@@ -23,7 +23,7 @@ def _(spark, d):
     return compare.list_datasets(by_status(spark, d))
 
 
-@query("shared_columns", "select unnest(['n_name', 'n_regionkey']) as \"column\"")
+@query("shared_columns", "select column_name as \"column\" from information_schema.columns where table_name = 'nation' and column_name <> 'n_nationkey'")
 def _(spark, d):
     n = table(spark, d, "nation")
     names = compare.shared_columns({"a": n.drop("n_nationkey"), "b": n})
@@ -35,7 +35,10 @@ def _(spark, d):
     return rounded(compare.stacked(by_status(spark, d)).groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")), 2)
 
 
-@query("shared_kinds", "select unnest(['o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) as \"column\", unnest(['numeric', 'categorical', 'numeric', 'dateLike', 'categorical']) as kind")
+_TEXTS = " union all ".join(f"select dataset, '{c}' as \"column\", {c}::varchar as x from {_TWO}" for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+
+
+@query("shared_kinds", f"with k as (select dataset, \"column\", case when avg((try_cast(x as double) is not null)::int) >= 0.7 then 'numeric' when avg((try_cast(x as timestamp) is not null)::int) >= 0.7 then 'dateLike' else 'categorical' end as kind from ({_TEXTS}) where x <> '' group by all) select \"column\", case when count(distinct kind) = 1 then min(kind) else 'categorical' end as kind from k group by 1")
 def _(spark, d):
     return compare.shared_kinds(by_status(spark, d))
 
@@ -55,7 +58,7 @@ def _(spark, d):
     return compare.numeric_means(by_status(spark, d), ["o_totalprice"])
 
 
-@query("stat_diff_categorical", f"with c as (select dataset, o_orderpriority as v, count(*) as c from {_TWO} group by all), s as (select dataset, round(100.0 * max(c) / sum(c), 1) as s from c group by 1) select 'o_orderpriority' as \"column\", round(max(s) - min(s), 1) as dominance_gap from s union all select 'o_orderstatus', 0.0")
+@query("stat_diff_categorical", f"with c as (select dataset, o_orderpriority as v, count(*) as c from {_TWO} group by all), s as (select dataset, round(max(c) / sum(c), 4) as s from c group by 1) select 'o_orderpriority' as \"column\", round(max(s) - min(s), 4) as dominance_gap from s union all select 'o_orderstatus', 0.0")
 def _(spark, d):
     return compare.stat_diff_categorical(by_status(spark, d), ["o_orderpriority", "o_orderstatus"])
 

@@ -51,6 +51,7 @@ def _(spark, d):
     return learning.regression_metrics(fitted.transform(rows), "l_extendedprice").select(F.round(F.lit(float(fitted.coefficients[0])), 3).alias("slope"), F.round(F.lit(float(fitted.intercept)), 2).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
+_KEYED = "(select l_orderkey, l_linenumber, l_extendedprice as actual, 1500 * l_quantity as prediction from lineitem)"
 _PREDICTED = "(select l_extendedprice as actual, 1500 * l_quantity as prediction from lineitem)"
 
 
@@ -63,11 +64,18 @@ def _(spark, d):
     return learning.regression_metrics(_guess(spark, d)).select("n", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
-@query("residual_summary", f"select round(min(e), 4) as min, round(quantile_cont(e, 0.05), 4) as q05, round(quantile_cont(e, 0.5), 4) as median, round(quantile_cont(e, 0.95), 4) as q95, round(max(e), 4) as max from (select actual - prediction as e from {_PREDICTED})")
+@query("residual_summary", f"select round(min(e), 4) as min, round(list_sort(list(e))[(1 + round_even((count(*) - 1) * 0.05, 0))::int], 4) as q05, round(list_sort(list(e))[(1 + count(*) // 2)::int], 4) as median, round(list_sort(list(e))[(1 + round_even((count(*) - 1) * 0.95, 0))::int], 4) as q95, round(max(e), 4) as max from (select actual - prediction as e from {_PREDICTED})")
 def _(spark, d):
     return rounded(learning.residual_summary(_guess(spark, d)))
 
 
+@query("largest_residuals", f"select l_orderkey, l_linenumber, round(abs(actual - prediction), 4) as off from (select *, row_number() over (order by abs(actual - prediction) desc, l_orderkey * 10 + l_linenumber) as k from {_KEYED}) where k <= 10")
+def _(spark, d):
+    guess = _lines(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("actual"), (1500 * F.col("l_quantity")).alias("prediction"))
+    found = learning.largest_residuals(guess, "key")
+    return found.select(F.floor(F.col("key") / 10).alias("l_orderkey"), (F.col("key") % 10).cast("int").alias("l_linenumber"), F.round(F.abs("residual"), 4).alias("off"))
+
+
 _CALLED = "(select l_returnflag as a, case when l_quantity > 30 then 'N' when l_quantity > 10 then 'A' else 'R' end as p from lineitem)"
 
 
@@ -231,6 +239,6 @@ for _model in ("exp_smoothing", "ar"):
         return series.forecast(_daily(spark, d), "day", "y", ["event_type"], model, 5)
 
 
-@query("forecast_metrics", _SERIES + ", f as (select event_type, y - (select y from r b where b.event_type = r.event_type and b.k = b.n - 5) as e, y from r where n >= 12 and k > n - 5) select event_type, count(*)::bigint as n, round(avg(abs(e)), 4) as mae, round(sqrt(avg(e * e)), 4) as rmse, round(100 * avg(abs(e / y)), 4) as mape, round(quantile_cont(e, 0.05), 4) as q05, round(quantile_cont(e, 0.95), 4) as q95 from f group by 1")
+@query("forecast_metrics", _SERIES + ", f as (select event_type, y - (select y from r b where b.event_type = r.event_type and b.k = b.n - 5) as e, y from r where n >= 12 and k > n - 5) select event_type, count(*)::bigint as n, round(avg(abs(e)), 4) as mae, round(sqrt(avg(e * e)), 4) as rmse, round(avg(abs(e / y)), 4) as mape, round(list_sort(list(e))[(1 + round_even((count(*) - 1) * 0.05, 0))::int], 4) as q05, round(list_sort(list(e))[(1 + round_even((count(*) - 1) * 0.95, 0))::int], 4) as q95 from f group by 1")
 def _(spark, d):
     return rounded(series.forecast_metrics(series.forecast(_daily(spark, d), "day", "y", ["event_type"], "naive", 5), ["event_type"]))

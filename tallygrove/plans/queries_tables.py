@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import describe, profile, quality
+from ..operators import describe, profile, quality, quantiles
 from ..sources import tables
 from .registry import query, table
 
@@ -95,9 +97,9 @@ def _(spark, d):
     return rounded(describe.numeric_core_stats(table(spark, d, "events"), ["value"]).select("column", "mean", "median", "std", "min", "max", "q1", "q3", "n"))
 
 
-@query("describe_warnings")
+@query("describe_warnings", "select 'Fewer than 20 rows.' as warning where (select count(*) from region) < 20 union all select 'No categorical column.' where (select bool_and(data_type not like '%CHAR%') from information_schema.columns where table_name = 'region' and column_name <> 'r_name')")
 def _(spark, d):
-    return spark.createDataFrame([(w,) for w in describe.describe_warnings(table(spark, d, "nation"))], "warning string")
+    return spark.createDataFrame([(w,) for w in describe.describe_warnings(table(spark, d, "region").drop("r_name"))], "warning string")
 
 
 _BOUNDS = """b as (select '{c}' as "column", count({c}) as n, quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3, avg({c}) as m, stddev_samp({c}) as s from {t}),
@@ -189,7 +191,7 @@ def _(spark, d):
 def _(spark, d):
     from .lineage import checkpoint_dir
 
-    path = f"{checkpoint_dir(spark)}/nation.csv"
+    path = f"{checkpoint_dir(spark)}/nation-{uuid.uuid4().hex}.csv"
     table(spark, d, "nation").write.mode("overwrite").option("header", True).csv(path)
     return tables.load(spark, path)
 
@@ -202,14 +204,14 @@ def _(spark, d):
 @query("json_rows", "select event_id, (props->>'$.k')::int as k from events")
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", F.concat(F.lit("["), "props", F.lit("]")).alias("rows"))
-    return e.select("event_id", F.inline(F.from_json("rows", "array<struct<k int>>")))
+    return tables.from_json_rows(e, "rows", "k int", ["event_id"])
 
 
 @query("json_lines_out", "select event_id, case when event_id % 3 <> 0 then round(value, 6) end as value from events")
 def _(spark, d):
     from .lineage import checkpoint_dir
 
-    path = f"{checkpoint_dir(spark)}/events.json"
+    path = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}.json"
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
     tables.write_json_lines(e, path)
     return rounded(spark.read.schema("event_id long, value double").json(path), 6)
@@ -235,7 +237,7 @@ def _(spark, d):
 
 @query("percentiles", "select round(quantile_cont(l_extendedprice, 0.05), 4) as p05, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.95), 4) as p95 from lineitem")
 def _(spark, d):
-    return rounded(table(spark, d, "lineitem").agg(*(F.percentile("l_extendedprice", F.lit(p)).alias(f"p{int(100 * p):02d}") for p in (0.05, 0.5, 0.95))))
+    return rounded(quantiles.per_value(table(spark, d, "lineitem"), {"price": F.col("l_extendedprice")}, {"p05": 0.05, "p50": 0.5, "p95": 0.95}).drop("column"))
 
 
 @query("calendar_buckets", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, strftime(o_orderdate::date - dayofweek(o_orderdate)::int, '%Y-%m-%d') as week, strftime(o_orderdate, '%Y-%m') as month from orders")
@@ -275,7 +277,7 @@ def _(spark, d):
 @query("any_missing", f"select event_id, value is null as any_missing from {EVENTS}")
 def _(spark, d):
     e = dirty_events(spark, d)
-    return e.select("event_id", (sum((F.col(c).isNull().cast("int") for c in e.columns), F.lit(0)) > 0).alias("any_missing"))
+    return e.select("event_id", quality.any_missing(e).alias("any_missing"))
 
 
 @query("large_groups", "select c_custkey, c_nationkey from customer where c_nationkey in (select c_nationkey from customer group by 1 having count(*) >= 60)")
@@ -288,9 +290,10 @@ def _(spark, d):
     return describe.ranked(table(spark, d, "orders"), ["o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_orderpriority", "o_orderkey", "rank")
 
 
-@query("deduplicated_by_key", "select l_returnflag, l_linestatus, min(l_orderkey)::bigint as first_order from lineitem group by all")
+@query("deduplicated_by_key", "select l_returnflag, l_linestatus, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_returnflag, l_linestatus order by l_orderkey, l_linenumber) as k from lineitem) where k = 1")
 def _(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.min("l_orderkey").alias("first_order"))
+    keys = ["l_returnflag", "l_linestatus"]
+    return describe.ranked(table(spark, d, "lineitem"), keys, [F.col("l_orderkey"), F.col("l_linenumber")], 1).select(*keys, "l_orderkey", "l_linenumber")
 
 
 def thinned(df, order: str, most: int = 1200):

@@ -115,10 +115,10 @@ def _(spark, d):
     return tests_rank.mannwhitney(_two(spark, d), "o_totalprice", "o_orderstatus").select("n_a", "n_b", "u", F.round("cles", 6).alias("cles"))
 
 
-@query("wilcoxon", "with d as (select round(l_tax * 100) - round(l_discount * 100) as d from lineitem), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d where d <> 0) select count(*)::bigint as n, sum(r) filter (d > 0)::double as rank_plus, sum(r) filter (d < 0)::double as rank_minus, least(sum(r) filter (d > 0), sum(r) filter (d < 0))::double as w from r")
+@query("wilcoxon", "with d as (select round(l_tax * 100) - round(l_discount * 100) as d from lineitem), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d where d <> 0) select count(*)::bigint as n, sum(r) filter (d > 0)::double as rank_plus, sum(r) filter (d < 0)::double as rank_minus, least(sum(r) filter (d > 0), sum(r) filter (d < 0))::double as w, any_value(p)::bigint as n_pairs, round(abs(least(sum(r) filter (d > 0), sum(r) filter (d < 0)) - any_value(p) * (any_value(p) + 1) / 4) / sqrt(any_value(p)::double * (any_value(p) + 1) * (2 * any_value(p) + 1) / 24) / sqrt(any_value(p)), 6) as r_approx from r, (select count(*) as p from d)")
 def _(spark, d):
     x = table(spark, d, "lineitem").select(F.round(F.col("l_tax") * 100).alias("a"), F.round(F.col("l_discount") * 100).alias("b"))
-    return tests_rank.wilcoxon(x, "a", "b").select("n", "rank_plus", "rank_minus", "w")
+    return tests_rank.wilcoxon(x, "a", "b").select("n", "rank_plus", "rank_minus", "w", "n_pairs", F.round("r_approx", 6).alias("r_approx"))
 
 
 @query("kruskal", _RANKED.format(g="o_orderpriority", v="o_totalprice", t="orders", w="true") + ", t as (select sum(c ** 3 - c) as t from (select count(*)::double as c from x group by v)), h as (select sum(n) as n, count(*) as k, 12 / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1) as h from s) select round(h / (1 - t / (n ** 3 - n)), 5)::double as h, (k - 1)::bigint as df, n::bigint as n from h, t")
@@ -205,7 +205,7 @@ def _(spark, d):
     return tables["numeric"].select("column", F.round("mean", 6).alias("mean"))
 
 
-@query("constant_columns", "select 'c' as \"column\", 1::bigint as \"unique\"")
+@query("constant_columns", "select \"column\" from (select 'flat' as \"column\", min(o_custkey - o_custkey) as low, max(o_custkey - o_custkey) as high from orders union all select 'o_custkey', min(o_custkey), max(o_custkey) from orders union all select 'o_orderkey', min(o_orderkey), max(o_orderkey) from orders) where low = high")
 def _(spark, d):
-    x = table(spark, d, "orders").select(F.lit("one").alias("c"), "o_orderpriority")
-    return describe.describe_categorical(x, x.columns).where(F.col("unique") < 2).select("column", "unique")
+    x = table(spark, d, "orders").select((F.col("o_custkey") - F.col("o_custkey")).alias("flat"), "o_custkey", "o_orderkey")
+    return spark.createDataFrame([(c,) for c in ols.constant_columns(x, x.columns)], "column string")

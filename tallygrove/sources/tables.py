@@ -26,9 +26,9 @@ def blank_filled(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns))
 
 
-def from_json_rows(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """The rows of a column that holds JSON arrays of objects."""
-    return df.select(F.inline(F.from_json(F.col(column), f"array<struct<{schema}>>")))
+def from_json_rows(df: DataFrame, column: str, schema: str, keep: list[str] = ()) -> DataFrame:
+    """The rows of a column that holds JSON arrays of objects, with the columns to keep."""
+    return df.select(*keep, F.inline(F.from_json(F.col(column), f"array<struct<{schema}>>")))
 
 
 def without_nan(df: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """Operators on small fixtures: values, guards, invariants and partition invariance."""
 
+import json
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.functions import scalar
-from tallygrove.operators import compare, describe, learning, ols, profile, quality, recommend, service, tests_param, tests_rank
+from tallygrove.operators import compare, describe, learning, ols, profile, quality, quantiles, recommend, service, tests_param, tests_rank
 from tallygrove.plans import report
 
 
@@ -157,7 +161,7 @@ def test_knn_dbscan_and_forest(spark):
 
 
 def test_learning_errors(spark, two_groups):
-    for args, code in ((("clustering", "x", "v"), "ML_TASK_UNKNOWN"), (("regression", "linear", "absent"), "ML_TARGET_REQUIRED"), (("regression", "nothing", "v"), "ML_MODEL_UNKNOWN")):
+    for args, code in ((("sorting", "x", "v"), "ML_TASK_UNKNOWN"), (("regression", "linear", "absent"), "ML_TARGET_REQUIRED"), (("regression", "nothing", "v"), "ML_MODEL_UNKNOWN")):
         with pytest.raises(learning.LearningError) as e:
             learning.train(two_groups, *args, columns=["g"])
         assert e.value.code == code
@@ -175,3 +179,130 @@ def test_one_row_and_no_rows(spark):
 def test_session_gap_of_exactly_the_ttl_joins(spark):
     d = spark.sql("select 1 as k, timestamp_seconds(t) as ts from values (0), (300), (601) as v(t)")
     assert sorted(r.beats for r in service.sessions(d, "k", "ts").collect()) == [1, 2]
+
+
+def test_quantiles_narrow_to_the_exact_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=4000) ** 3, 3)
+    tied = np.repeat([1.0, 2.0, 3.0], [100, 3800, 100])
+    rows = [(float(a), float(b), None if k % 3 else float(k)) for k, (a, b) in enumerate(zip(x, tied, strict=True))]
+    df = spark.createDataFrame([*rows, (None, float("nan"), None)], "a double, b double, c double").repartition(5)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.731, 1.0]
+    found = quantiles.quantiles(df, {c: F.col(c) for c in "abc"}, shares)
+    for c, v in (("a", x), ("b", tied), ("c", np.arange(0, 4000, 3))):
+        assert found[c] == pytest.approx(np.quantile(v, shares).tolist())
+    assert quantiles.quantiles(df.where("false"), {"a": F.col("a")}, [0.5]) == {"a": [None]}
+    assert {r.column: r.mode for r in quantiles.modes(df, {"b": F.col("b"), "c": F.col("c")}).collect()} == {"b": 2.0, "c": 0.0}
+
+
+def test_wilcoxon_counts_all_pairs(spark):
+    d = [0] * 50 + [1, -2, 3, 4, -5, 6]
+    found = tests_rank.wilcoxon(spark.createDataFrame([(float(v), 0.0) for v in d], "a double, b double"), "a", "b").first()
+    n, w = 56, 7
+    assert (found.n_pairs, found.n, found.w) == (56, 6, w)
+    assert found.r_approx == pytest.approx(abs(w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24) / math.sqrt(n))
+    zero = spark.createDataFrame([(1.0, 1.0)] * 6, "a double, b double")
+    assert tests_rank.wilcoxon(zero, "a", "b").first().warning == "All differences are 0."
+    assert tests_rank.wilcoxon(zero.limit(4), "a", "b").first().warning == "The test needs five pairs."
+    one = spark.createDataFrame([(1.0, "A"), (2.0, "B"), (3.0, "B")], "v double, g string")
+    assert tests_rank.mannwhitney(one, "v", "g").first().warning
+
+
+def test_effect_without_spread_is_zero(spark):
+    flat = spark.createDataFrame([(1.0, g) for g in "AABB"], "v double, g string")
+    assert tests_param.ttest(flat, "v", "g").first().cohen_d == 0
+
+
+def test_wide_correlations_are_pairwise(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 53)) + 1000
+    x[:, 1] = 5.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"c{k}" for k in range(53)]
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in names)).repartition(3)
+    found = {(r.a, r.b): r.r for r in tests_param.corr(df).collect()}
+    assert len(found) == 53 * 52 // 2 and found["c0", "c1"] == 0
+    for i, j in ((0, 2), (7, 40), (51, 52)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert found[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
+
+
+def test_eta_limits_do_not_depend_on_partitions(spark):
+    rows = [(float(k % 7 + 3 * (k % 3)), "abc"[k % 3], k) for k in range(90)]
+    df = spark.createDataFrame(rows, "v double, g string, k long")
+    made = [tuple(tests_param.eta_squared_limits(df.repartition(n), "v", "g", 60).first()) for n in (1, 5)]
+    assert made[0] == pytest.approx(made[1]) and made[0][0] < made[0][1]
+    assert tests_param.eta_squared_limits(df.limit(19), "v", "g").first().eta_low is None
+
+
+def test_residual_places_and_reconstruction(spark):
+    e = [5.0, -1.0, 2.0, 9.0, 4.0, 0.0]
+    df = spark.createDataFrame([(k, v, 0.0) for k, v in enumerate(e)], "key long, actual double, prediction double")
+    s = sorted(e)
+    assert tuple(learning.residual_summary(df).first()) == (s[0], s[round(5 * 0.05)], s[3], s[round(5 * 0.95)], s[-1])
+    assert [r.key for r in learning.largest_residuals(df, "key", 2).collect()] == [3, 0]
+    xy = spark.createDataFrame([(float(k), 2.0 * k + (7.0 if k in (3, 30) else 0.0)) for k in range(40)], "x double, y double")
+    found = learning.reconstruction_anomalies(xy, ["x", "y"], 1, 0.05).toPandas()
+    limit = np.sort(found["error"])[int(0.95 * 39)]
+    assert found["outlier"].tolist() == (found["error"] >= limit).tolist()
+
+
+def test_stratified_splits(spark):
+    df = spark.createDataFrame([(k, "rare" if k % 10 == 0 else "common") for k in range(400)], "k long, label string")
+    train, test = learning.holdout(df, "k", 0.25, stratify="label")
+    assert {r.label: r["count"] for r in test.groupBy("label").count().collect()} == {"rare": 10, "common": 90}
+    assert train.count() == 300
+    counts = learning.folds(df, "k", 4, stratify="label").groupBy("fold", "label").count().collect()
+    assert all(abs(r["count"] - {"rare": 10, "common": 90}[r.label]) <= 1 for r in counts) and len(counts) == 8
+
+
+def test_train_takes_all_tasks_and_names(spark):
+    rows = [(k, float(k), float((3 * k) % 11), "A" if k + (3 * k) % 11 < 70 else "B", "2026-01-01") for k in range(1, 101)]
+    df = spark.createDataFrame(rows, "id long, x1 double, x2 double, label string, ds string").withColumn("day", F.date_add("ds", F.col("id").cast("int")).cast("timestamp"))
+    xs = ["x1", "x2"]
+    for name in ("forest", "nb", "knn", "svm", "calibrated"):
+        result = learning.train(df, "classification", name, "label", xs, "id", trees=10)
+        assert result.metrics.first().accuracy > 0.6, name
+    contract = learning.train(df, "regression", "linear", "x1", ["x2"], "id", scoring="mae").metrics.collect()
+    assert [r.metric for r in contract if r.is_primary] == ["mae"]
+    assert learning.train(df, "clustering", "kmeans", None, xs, "id", k=2, starts=1).importance.count() == 2
+    assert learning.train(df, "clustering", "dbscan", None, xs, "id", eps=4.0, min_samples=3).metrics.first().noise >= 0
+    assert learning.train(df, "dimension_reduction", "pca", None, xs, "id").importance.count() == 4
+    assert learning.train(df, "anomaly", "iforest", None, xs, "id", contamination=0.1).metrics.first().outlier_ratio == pytest.approx(0.1, abs=0.03)
+    assert learning.train(df, "anomaly", "autoencoder", None, xs, "id").metrics.first().n == 100
+    assert learning.train(df, "timeseries", "moving_average", "x1", time="day", horizon=6).metrics.first().mape < 1
+    for code, args, more in (("ML_SCORING_INVALID", ("regression", "linear", "x1"), {"scoring": "no"}), ("ML_MODEL_UNKNOWN", ("anomaly", "no", None), {}), ("ML_TASK_UNKNOWN", ("no", "no", None), {})):
+        with pytest.raises(learning.LearningError) as error:
+            learning.train(df, *args, columns=xs, **more)
+        assert error.value.code == code
+    with pytest.raises(learning.LearningError) as error:
+        learning.train(df.limit(5), "regression", "linear", "x1", ["x2"])
+    assert error.value.code == "ML_TOO_FEW_ROWS"
+
+
+def test_recommendations_by_rule(spark):
+    df = spark.createDataFrame([(1.0 * k, 2.0 * k, "ab"[k % 2], "xyz"[k % 3]) for k in range(12)], "p double, q double, g string, h string")
+    found = [(r.rank, r.op, json.loads(r.args_json)) for r in recommend.recommend(df, "auto").orderBy("rank").collect()]
+    assert found[:2] == [(1, "ttest", {"group": "g", "value": "p"}), (2, "mannwhitney", {"group": "g", "value": "p"})]
+    assert {op for _, op, _ in found} == {"ttest", "mannwhitney", "chisq", "wilcoxon", "ols", "normality", "ci_mean", "corr", "describe"}
+    three = recommend.recommend(df, "group_compare", group="h", value="q").orderBy("rank").collect()
+    assert [r.op for r in three] == ["anova", "kruskal", "tukey", "pairwise_adjusted", "corr", "describe"] and json.loads(three[2].args_json) == {"alpha": 0.05, "group": "h", "value": "q"}
+    assert [r.op for r in recommend.recommend(df.select("g"), "auto").collect()] == ["describe"]
+    paired = recommend.recommend(df, "paired", a="q", b="q").where("op = 'wilcoxon'").first()
+    assert json.loads(paired.args_json) == {"a": "q", "b": "p"}
+
+
+def test_usage_is_appended_by_day(spark, tmp_path):
+    from tallygrove.sources import tables
+
+    for day in ("2026-01-01", "2026-01-02", "2026-01-02"):
+        tables.append_usage(spark.createDataFrame([(1, f"{day} 10:00:00")], "id long, created_at string"), str(tmp_path / "usage"))
+    assert {str(r.day): r["count"] for r in spark.read.parquet(str(tmp_path / "usage")).groupBy("day").count().collect()} == {"2026-01-01": 1, "2026-01-02": 2}
+
+
+def test_data_urls(spark):
+    refs = [("data:image/PNG;base64,aGk=", "image/png", b"hi"), ("DATA:text/plain;charset=utf-8;base64,aGk=", "text/plain", b"hi"), ("data:,a%20b", "", b"a b"), ("http://x.org/a,b", "", None), (None, None, None)]
+    df = spark.createDataFrame([(r[0],) for r in refs], "r string").select(scalar.data_url_mime(F.col("r")).alias("m"), scalar.data_url_bytes(F.col("r")).alias("b"))
+    got = [(r.m, bytes(r.b) if r.b is not None else None) for r in df.collect()]
+    assert got == [r[1:] for r in refs]
