@@ -159,8 +159,8 @@ def figure(data: DataFrame, kind: str, title: str = "") -> DataFrame:
     return rows.select(F.to_json(lists).alias("data"), F.to_json(F.struct(F.lit(title).alias("title"))).alias("layout"))
 
 
-def aggregate(df: DataFrame, type: str, x: str, y: str | None = None, hue: str | None = None, size: str | None = None, agg: str | None = None, bins: int = 30, resample: str | None = None) -> DataFrame:
-    """The aggregate of a chart specification; any other type is grouped by x."""
+def aggregate(df: DataFrame, type: str, x: str, y: str | None = None, hue: str | None = None, size: str | None = None, agg: str | None = None, bins: int = 30, resample: str | None = None, order: str | None = None) -> DataFrame:
+    """The aggregate of a chart specification; any other type is grouped by x. A radar takes the last value by order, or the largest."""
     builders = {
         "histogram": lambda: histogram(df, x, bins, hue),
         "box": lambda: quartiles(df, y or x, x if y else None),
@@ -176,5 +176,6 @@ def aggregate(df: DataFrame, type: str, x: str, y: str | None = None, hue: str |
         "waterfall": lambda: waterfall(df, x, y, agg or "sum"),
         "treemap": lambda: treemap(df, hue or x, x, y),
         "sankey": lambda: sankey(df, x, y, size),
+        "radar": lambda: radar(df, x, y, hue, order or y),
     }
     return builders.get(type, lambda: grouped(df, x, y, agg, hue))()

@@ -306,3 +306,12 @@ def test_data_urls(spark):
     df = spark.createDataFrame([(r[0],) for r in refs], "r string").select(scalar.data_url_mime(F.col("r")).alias("m"), scalar.data_url_bytes(F.col("r")).alias("b"))
     got = [(r.m, bytes(r.b) if r.b is not None else None) for r in df.collect()]
     assert got == [r[1:] for r in refs]
+
+
+def test_radar_from_the_dispatcher(spark):
+    from tallygrove.operators import chart
+
+    df = spark.createDataFrame([("speed", 1.0, "a", 1), ("speed", 5.0, "a", 2), ("speed", 3.0, "a", 3), ("reach", 4.0, "b", 1)], "axis string, v double, who string, k long")
+    found = {(r.series, r.axis): r.y for r in chart.aggregate(df, "radar", "axis", "v", "who", order="k").collect()}
+    assert found == {("a", "speed"): 3.0, ("a", "reach"): 0.0, ("b", "speed"): 0.0, ("b", "reach"): 4.0}
+    assert {r.y for r in chart.aggregate(df, "radar", "axis", "v", "who").where("series = 'a' and axis = 'speed'").collect()} == {5.0}
