@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import calendar_bucket, clamped, label, parse_time, to_number
+from .ranks import thinned
 
 
 def _measure(y: str | None, agg: str | None) -> Column:
@@ -102,11 +103,13 @@ def resampled_filled(df: DataFrame, time: str, y: str, unit: str = "D", agg: str
     return spine.join(found, "x", "left").select("x", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def points(df: DataFrame, x: str, y: str, size: str | None = None, hue: str | None = None) -> DataFrame:
-    """Scatter or bubble rows with both numbers; the size is 8 unless a column gives it."""
+def points(df: DataFrame, x: str, y: str, size: str | None = None, hue: str | None = None, order: list[str] = (), most: int = 1200) -> DataFrame:
+    """Scatter or bubble rows with both numbers; the size is 8 unless a column gives it. With an order, so many evenly spaced rows."""
     weight = F.coalesce(to_number(F.col(size)), F.lit(8.0)) if size else F.lit(8.0)
     series = [label(F.col(hue)).alias("series")] if hue else []
-    return df.select(*series, to_number(F.col(x)).alias("x"), to_number(F.col(y)).alias("y"), weight.alias("size")).where("x is not null and y is not null")
+    rows = df.select(*series, to_number(F.col(x)).alias("x"), to_number(F.col(y)).alias("y"), weight.alias("size"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))).where("x is not null and y is not null")
+    keys = [f"_o{i}" for i in range(len(order))]
+    return thinned(rows, keys, most).drop(*keys) if keys else rows
 
 
 def stacked(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:
@@ -166,10 +169,10 @@ def aggregate(df: DataFrame, type: str, x: str, y: str | None = None, hue: str |
         "box": lambda: quartiles(df, y or x, x if y else None),
         "violin": lambda: quartiles(df, y or x, x if y else None),
         "heatmap": lambda: heatmap_numeric(df, x, y, bins) if agg == "numeric" else heatmap_labels(df, x, y),
-        "line": lambda: resampled(df, x, y, resample, agg or "mean") if resample else grouped(df, x, y, agg, hue),
-        "scatter": lambda: points(df, x, y, None, hue),
-        "bubble": lambda: points(df, x, y, size, hue),
-        "area": lambda: stacked(df, x, y, hue) if hue else grouped(df, x, y, agg),
+        "line": lambda: (resampled(df, x, y, resample, agg or "mean") if resample else grouped(df, x, y, agg, hue)).orderBy("x"),
+        "scatter": lambda: points(df, x, y, None, hue, [order] if order else ()),
+        "bubble": lambda: points(df, x, y, size, hue, [order] if order else ()),
+        "area": lambda: stacked(df, x, y, hue).orderBy("x", "series") if hue else grouped(df, x, y, agg).orderBy("x"),
         "pie": lambda: shares(df, x, y, agg or "count"),
         "donut": lambda: shares(df, x, y, agg or "count"),
         "funnel": lambda: shares(df, x, y, agg or "count"),

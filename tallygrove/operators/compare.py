@@ -85,21 +85,26 @@ def stat_diff_categorical(datasets: dict[str, DataFrame], columns: list[str] | N
     return shares.groupBy("column").agg(F.round(F.max("share") - F.min("share"), 4).alias("dominance_gap")).orderBy(F.desc("dominance_gap"), "column").limit(top)
 
 
-def concrete_test(kinds: dict[str, list[str]], levels: dict[str, int], mode: str = "auto") -> dict:
-    """The operation and arguments that fit columns of the kinds numeric, categorical and dateLike."""
-    numeric, text = kinds.get("numeric", []), kinds.get("categorical", [])
-    if mode in ("auto", "group") and numeric and text and levels.get(text[0], 0) >= 2:
-        return {"op": "ttest" if levels[text[0]] == 2 else "anova", "args": {"value": numeric[0], "group": text[0]}}
-    if mode in ("auto", "correlation") and len(numeric) >= 2:
-        return {"op": "corr", "args": {"columns": numeric[:2]}}
-    dates = kinds.get("dateLike", [])
-    if mode in ("auto", "trend") and dates and numeric:
-        return {"op": "resample", "args": {"time": dates[0], "value": numeric[0]}}
-    if mode in ("auto", "association") and len(text) >= 2:
-        return {"op": "chisq", "args": {"a": text[0], "b": text[1]}}
-    if numeric:
-        return {"op": "ci_mean", "args": {"column": numeric[0]}}
-    return {"op": "describe", "args": {}}
+def concrete_test(kinds: dict[str, list[str]], levels: dict[str, int], mode: str = "auto") -> dict | None:
+    """The operation and arguments for columns of the kinds numeric, categorical and dateLike; None if the mode fits none.
+
+    Of the modes group, association, correlation, trend and describe, auto takes the first that fits.
+    """
+    numeric, text, dates = (kinds.get(k, []) for k in ("numeric", "categorical", "dateLike"))
+    steps = {
+        "group": _of_levels(numeric[0], text[0], levels) if numeric and text else None,
+        "association": {"op": "chisq", "args": {"a": text[0], "b": text[1]}} if len(text) > 1 else None,
+        "correlation": {"op": "corr", "args": {}} if len(numeric) > 1 else None,
+        "trend": {"op": "describe", "args": {}} if dates and numeric else None,
+        "describe": {"op": "describe", "args": {}} if numeric or text or dates else None,
+    }
+    return next((s for s in steps.values() if s), None) if mode == "auto" else steps.get(mode)
+
+
+def _of_levels(value: str, group: str, levels: dict[str, int]) -> dict | None:
+    """Two levels call for a t-test, more for an analysis of variance, fewer for neither."""
+    n = levels.get(group, 0)
+    return {"op": "ttest" if n == 2 else "anova", "args": {"value": value, "group": group}} if n >= 2 else None
 
 
 def _kinds(frame: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
@@ -107,19 +112,35 @@ def _kinds(frame: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
     for r in column_kinds(frame).select("column", "kind").collect():
         found.setdefault(r.kind, []).append(r.column)
     text = found.get("categorical", [])
-    levels = frame.agg(*(F.approx_count_distinct(c).alias(f"c{k}") for k, c in enumerate(text))).first() if text else ()
+    levels = frame.agg(*(F.approx_count_distinct(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(f"c{k}") for k, c in enumerate(text))).first() if text else ()
     return found, dict(zip(text, levels, strict=True))
 
 
+def _numeric_step(column: str, kinds: dict[str, list[str]], levels: dict[str, int]) -> dict:
+    text = kinds.get("categorical", [])
+    value = column if column in kinds.get("numeric", []) else (kinds.get("numeric") or [None])[0]
+    if value is None:
+        return {"op": "describe", "args": {}}
+    return (_of_levels(value, text[0], levels) if text else None) or {"op": "ci_mean", "args": {"column": value, "confidence": 0.95}}
+
+
+def _text_step(column: str, kinds: dict[str, list[str]], levels: dict[str, int]) -> dict:
+    numeric, others = kinds.get("numeric", []), [c for c in kinds.get("categorical", []) if c != column]
+    step = _of_levels(numeric[0], column, levels) if numeric else None
+    return step or ({"op": "chisq", "args": {"a": column, "b": others[0]}} if others else {"op": "describe", "args": {}})
+
+
 def follow_ups(datasets: dict[str, DataFrame]) -> DataFrame:
-    """For each of the largest numeric differences, the test that would look into it, by dataset."""
-    out, known = [], {name: _kinds(frame) for name, frame in datasets.items()}
-    for r in stat_diff_numeric(datasets).collect():
+    """column, kind, dataset, op, args_json: for each of the largest differences of either kind the test that would look into it."""
+    known = {name: _kinds(frame.select(*shared_columns(datasets))) for name, frame in datasets.items()}
+    found = [(r.column, "numeric", _numeric_step) for r in stat_diff_numeric(datasets).collect()] + [(r.column, "categorical", _text_step) for r in stat_diff_categorical(datasets).collect()]
+    out = []
+    for column, kind, step in found:
         for name, (kinds, levels) in known.items():
-            step = concrete_test({"numeric": [r.column], "categorical": kinds.get("categorical", [])}, levels, "group")
-            out.append((r.column, name, step["op"], json.dumps(step["args"], sort_keys=True)))
+            made = step(column, kinds, levels)
+            out.append((column, kind, name, made["op"], json.dumps(made["args"], sort_keys=True)))
     frame = next(iter(datasets.values()))
-    return frame.sparkSession.createDataFrame(out, "column string, dataset string, op string, args_json string")
+    return frame.sparkSession.createDataFrame(out, "column string, kind string, dataset string, op string, args_json string")
 
 
 def chart_plan(datasets: dict[str, DataFrame]) -> DataFrame:
@@ -140,16 +161,38 @@ def chart_plan(datasets: dict[str, DataFrame]) -> DataFrame:
     return frame.sparkSession.createDataFrame([plan], "type string, x string, y string, agg string")
 
 
-def compare_plan(datasets: dict[str, DataFrame]) -> DataFrame:
-    """Planned comparisons over the shared columns: kind and its columns."""
-    kinds: dict[str, list[str]] = {}
+#: Planned comparisons: kind, priority, which kinds of columns it shows, operations, caution.
+PLANS = (
+    ("group", "high", ("numeric", "categorical"), "recommend,ttest,anova,mannwhitney,kruskal", "Look at the groups' sizes and missing values in each dataset before comparing p-values."),
+    ("correlation", "high", ("numeric", "numeric"), "corr,compare_stat_diff", "Sizes and outliers move coefficients: compare sign and strength, not ranks only."),
+    ("trend", "medium", ("dateLike", "numeric"), "compare_chart_plan,describe", "Time units and periods have to be alike before trends are compared."),
+    ("association", "medium", ("categorical", "categorical"), "recommend,chisq", "Rare levels make contingency tables unstable."),
+)
+#: Where none of them fits.
+LAST_PLAN = ("describe", "medium", (), "compare_describe,compare_chart_plan", "Shared columns are few: settle what can be compared first.")
+
+
+def compare_plan(datasets: dict[str, DataFrame], active: str | None = None) -> DataFrame:
+    """Planned comparisons over the shared columns: kind, columns, priority, reason, operations, caution, op and args_json.
+
+    op and args_json are the first step, on the active dataset (the first by default).
+    """
+    shared = shared_columns(datasets)
     by_column = {r.column: r.kind for r in shared_kinds(datasets).collect()}
-    for c in shared_columns(datasets):
-        kinds.setdefault(by_column[c], []).append(c)
-    n, c, t = (kinds.get(k, []) for k in ("numeric", "categorical", "dateLike"))
-    rules = [("group", n and c, n[:1] + c[:1]), ("correlation", len(n) >= 2, n[:2]), ("trend", t and n, t[:1] + n[:1]), ("association", len(c) >= 2, c[:2])]
-    plans = [(kind, ",".join(columns)) for kind, fits, columns in rules if fits] or [("descriptive", ",".join(shared_columns(datasets)))]
-    return next(iter(datasets.values())).sparkSession.createDataFrame(plans, "kind string, columns string")
+    kinds = {k: [c for c in shared if by_column[c] == k] for k in ("numeric", "categorical", "dateLike")}
+    frame = datasets[active] if active else next(iter(datasets.values()))
+    own, levels = _kinds(frame.select(*shared))
+    rows = []
+    for kind, priority, needs, operations, caution in PLANS:
+        places = [(k, needs[:i].count(k)) for i, k in enumerate(needs)]
+        if all(len(kinds[k]) > i for k, i in places):
+            rows.append((kind, ",".join(kinds[k][i] for k, i in places), priority, f"The datasets share {' and '.join(f'{k} {kinds[k][i]}' for k, i in places)}.", operations, caution))
+    if not rows:
+        kind, priority, _, operations, caution = LAST_PLAN
+        rows = [(kind, ",".join(shared), priority, "No pair of shared columns fits a test.", operations, caution)]
+    made = [concrete_test(own, levels, r[0]) or {"op": None, "args": {}} for r in rows]
+    plans = [(*r, m["op"], json.dumps(m["args"], sort_keys=True)) for r, m in zip(rows, made, strict=True)]
+    return frame.sparkSession.createDataFrame(plans, "kind string, columns string, priority string, reason string, operations string, caution string, op string, args_json string")
 
 
 def rank_datasets(datasets: dict[str, DataFrame], active: str | None = None) -> DataFrame:

@@ -361,7 +361,7 @@ def _without_target(df: DataFrame, task: str, model: str, target: str | None, co
         else:
             raise unknown
         rows = checkpointed(rows.drop("features"))
-        counted = rows.agg(F.lit(inertia).cast("double").alias("inertia"), noise.alias("noise"))
+        counted = rows.agg(F.lit(inertia).cast("double").alias("inertia"), noise.alias("noise"), F.try_divide(noise, F.count(F.lit(1))).alias("noise_ratio"))
         metrics = silhouette(rows.where("cluster >= 0"), columns).crossJoin(F.broadcast(counted))
         return MLResult(task, model, metrics, rows, cluster_summary(rows), centres)
     if task == "dimension_reduction":
@@ -460,28 +460,31 @@ def gaussian_naive_bayes(train: DataFrame, test: DataFrame, columns: list[str],
 def knn_classify(train: DataFrame, test: DataFrame, columns: list[str], label: str, key: str, k: int = 5, block: int = 4096) -> DataFrame:
     """key, prediction: the commonest label of the k nearest (ties: nearer, then smaller key; among labels the smaller).
 
-    Test rows go to the tasks in blocks; each task keeps its k best, so what is shuffled is k rows a task and test row.
+    Both sides are dealt to blocks of about block rows by a hash of the key, and a task compares one block with one other, of
+    which it keeps k rows for each test row; these are merged. Rows with a null number take no part.
     """
-    points = train.select(F.col(key).alias("_k"), F.col(label).cast("string").alias("_l"), *(F.col(c).cast("double").alias(c) for c in columns))
-    asked = test.select(key, *(F.col(c).cast("double").alias(c) for c in columns))
-    blocks, out = max(1, -(-asked.count() // block)), None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toPandas()
-        if not len(part):
-            continue
-        ids, q = part[key].to_numpy(), part[columns].to_numpy()
-
-        def near(batches, ids=ids, q=q):
-            for frame in batches:
-                x = frame[columns].to_numpy()
-                for i, row in zip(ids, q, strict=True):
-                    d = np.sqrt(((x - row) ** 2).sum(axis=1))
-                    at = np.lexsort((frame["_k"].to_numpy(), d))[:k]
-                    yield pd.DataFrame({"q": i, "d": d[at], "_k": frame["_k"].to_numpy()[at], "_l": frame["_l"].to_numpy()[at]})
-
-        made = points.mapInPandas(near, "q long, d double, _k long, _l string")
-        out = made if out is None else out.union(made)
-    best = out.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "_k", "_l"))), 1, k).alias("n")).select("q", F.explode("n._l").alias("l"))
+    numbers = [F.col(c).cast("double").alias(c) for c in columns]
+    points = train.select(F.col(key).alias("_k"), F.col(label).cast("string").alias("_l"), *numbers).na.drop()
+    asked = test.select(F.col(key).alias("_q"), *numbers).na.drop()
+    kept, sought = (max(1, -(-rows.count() // block)) for rows in (points, asked))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.withColumn("_i", deal("_k", kept)).withColumn("_j", every(sought))
+    right = asked.withColumn("_j", deal("_q", sought)).withColumn("_i", every(kept))
+
+    def near(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        x, found = own[columns].to_numpy(), []
+        order = own["_k"].to_numpy()
+        for q, row in zip(queries["_q"].tolist(), queries[columns].to_numpy(), strict=True):
+            d = np.sqrt(((x - row) ** 2).sum(axis=1))
+            at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            at = at[np.lexsort((order[at], d[at]))[:k]]
+            found.append(pd.DataFrame({"q": q, "d": d[at], "_k": order[at], "_l": own["_l"].to_numpy()[at]}))
+        return pd.concat(found) if found else pd.DataFrame({"q": [], "d": [], "_k": [], "_l": []})
+
+    types = dict(points.dtypes)["_k"]
+    made = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(near, f"q {dict(asked.dtypes)['_q']}, d double, _k {types}, _l string")
+    best = made.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "_k", "_l"))), 1, k).alias("n")).select("q", F.explode("n._l").alias("l"))
     votes = best.groupBy("q", "l").agg(F.count(F.lit(1)).alias("v"))
     return votes.groupBy("q").agg(F.min_by("l", F.struct(-F.col("v"), "l")).alias("prediction")).withColumnRenamed("q", key)
 
@@ -497,6 +500,17 @@ def kmeans(df: DataFrame, columns: list[str], k: int = 3, starts: int = 10, seed
     return best.transform(rows).withColumnRenamed("prediction", "cluster"), best.summary.trainingCost, best.clusterCenters()
 
 
+def centroid_preview(df: DataFrame, centres: list, columns: list[str], most: int = 3, features: int = 6) -> DataFrame:
+    """cluster, feature, value of the first centres and features."""
+    rows = [(c, name, float(v)) for c, centre in enumerate(centres[:most]) for name, v in list(zip(columns, centre, strict=True))[:features]]
+    return df.sparkSession.createDataFrame(rows, "cluster int, feature string, value double")
+
+
+def projection_preview(rows: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """key and projection of the rows with the smallest keys."""
+    return rows.select(key, "projection").orderBy(key).limit(most)
+
+
 def cluster_summary(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """cluster, size, ratio; cluster -1 is noise."""
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))

@@ -40,15 +40,29 @@ def manifest_features(df: DataFrame, ref: str, content: str | None = None) -> Da
 
 
 def manifest_summary(featured: DataFrame, label: str | None = None) -> DataFrame:
-    """One row (or one for each label): references, processed, fallback, failed and means."""
+    """One row (or one for each label): references, processed, fallback, failed and means; of sizes over those that are known, else 0."""
     keys = [label] if label else []
+    known = lambda c: F.coalesce(F.round(F.avg(F.when(F.col(c) > 0, F.col(c))), 3), F.lit(0.0))
     return featured.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("references"), F.count_if(F.col("byte_size") > 0).alias("processed"),
         F.count_if((F.col("byte_size") == 0) & (F.col("kind") == "remote")).alias("fallback"), F.count_if(F.col("kind").isin("missing", "empty")).alias("failed"),
-        F.avg("width").alias("mean_width"), F.avg("height").alias("mean_height"), F.avg("ref_len").alias("mean_ref_len"),
+        known("width").alias("mean_width"), known("height").alias("mean_height"), known("byte_size").alias("mean_byte_size"), F.avg("ref_len").alias("mean_ref_len"),
     )
 
 
+def label_counts(df: DataFrame, column: str) -> DataFrame:
+    """label, count: the commonest first, ties by label; rows without a label don't count."""
+    rows = df.select(F.trim(F.col(column).cast("string")).alias("label")).where("label <> ''")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "label")
+
+
+def text_summary(df: DataFrame, column: str) -> DataFrame:
+    """One row: rows, extracted (rows with text), and mean length and tokens of these, 0 if there are none."""
+    text = F.nullif(F.trim(F.col(column)), F.lit(""))
+    mean = lambda c: F.coalesce(F.round(F.avg(F.when(text.isNotNull(), c)), 3), F.lit(0.0))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(text).alias("extracted"), mean(F.length(text)).alias("mean_length"), mean(F.size(scalar.tokens(text))).alias("mean_tokens"))
+
+
 def reference_text(df: DataFrame, ref: str) -> DataFrame:
     """df with text (words of the file name), text_len and token_count."""
     out = df.withColumn("text", scalar.reference_words(F.col(ref)))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.scalar import one_hot, to_number
 from .describe import NUMERIC
-from .tests_param import _row
+from .ranks import thinned
+from .tests_param import _row, qq_points
 
 COEFFICIENTS = "term string, coef double, se double, t double, p double, low double, high double"
 
@@ -99,6 +100,14 @@ class OLSFit:
         return out.withColumn("cooks_distance", F.col("standardized") ** 2 * F.col("leverage") / ((1 - F.col("leverage")) * len(self.terms)))
 
 
+    def figures(self, most: int = 1200) -> dict[str, DataFrame]:
+        """Residuals, scale and Cook's distances by fitted value, of so many evenly spaced rows; Q-Q of the standardized residuals, from 5 rows."""
+        rows = self.diagnostics().select("fitted", "residual", "scale_location", "cooks_distance", "standardized")
+        few = thinned(rows, ["fitted", "residual"], most)
+        found = {"residual_fitted": few.select("fitted", "residual"), "scale_location": few.select("fitted", "scale_location"), "cooks_distance": few.select("fitted", "cooks_distance")}
+        return found | ({"residual_qq": qq_points(rows, "standardized")} if self.n >= 5 else {})
+
+
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns whose values don't vary."""
     spread = df.agg(*((F.min(f"`{c}`") < F.max(f"`{c}`")).alias(f"v{k}") for k, c in enumerate(columns))).first() if columns else ()

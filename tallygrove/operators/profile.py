@@ -77,14 +77,18 @@ def profile(df: DataFrame) -> DataFrame:
     return row
 
 
-def flags(df: DataFrame) -> DataFrame:
-    """kind and severity of what a profile finds; clean if nothing."""
+def flags(df: DataFrame, correlations: int = 0, warnings: list[str] = ()) -> DataFrame:
+    """kind and severity of what a profile finds; clean if nothing.
+
+    correlations is how many strong pairs of columns are known (rows of corr(), say), warnings what reports have said.
+    """
     facts = profile(df)
     rate = lambda c: F.array_max(F.transform(c, lambda x: x["rate"]))
     rules = [F.when(F.col("duplicates") > 0, F.struct(F.lit("duplicate").alias("kind"), F.lit("medium").alias("severity")))]
     for name, kind, high in (("missing", "missing", 20), ("outliers", "outlier", 10), ("imbalanced", "imbalance", 90)):
         if name in facts.columns:
             rules.append(F.when(F.size(name) > 0, F.struct(F.lit(kind).alias("kind"), F.when(rate(F.col(name)) >= high, "high").otherwise("medium").alias("severity"))))
+    rules += [F.struct(F.lit(kind).alias("kind"), F.lit("medium").alias("severity")) for kind, known in (("correlation", correlations), ("warning", len(warnings))) if known]
     found = F.filter(F.array(*rules), lambda x: x.isNotNull())
     clean = F.array(F.struct(F.lit("clean").alias("kind"), F.lit("low").alias("severity")))
     return facts.select(F.inline(F.when(F.size(found) > 0, found).otherwise(clean)))

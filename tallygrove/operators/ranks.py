@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed
+
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """value, ties and rank (average) of each distinct value.
@@ -30,3 +32,25 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
 def ranked(df: DataFrame, value: str) -> DataFrame:
     """df with rank and ties of each row's value."""
     return df.join(average_ranks(df, value), value)
+
+
+def placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """(df with place, from 0, in the order; number of rows). Rows are dealt to ranges, and each range begins where those before it end."""
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())  # one row a partition
+    begins, total = [], 0
+    for p, n in sizes:
+        begins.append((p, total))
+        total += n
+    begin = ranged.sparkSession.createDataFrame(begins, "_p int, _b long")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(begin), "_p").withColumn("place", F.col("_b") + within).drop("_p", "_b"), total
+
+
+def thinned(df: DataFrame, order: list[str], most: int = 1200) -> DataFrame:
+    """At most so many rows (2 at least), evenly spaced in the order from the first to the last."""
+    rows, n = placed(df, order)
+    if n <= most:
+        return rows.drop("place")
+    step = F.expr(f"(place * {most - 1}L + {n - 2}L) div {n - 1}L")  # the first step whose place isn't before this one
+    return rows.where((step * F.lit(n - 1)) - F.pmod(step * F.lit(n - 1), F.lit(most - 1)) == F.col("place") * (most - 1)).drop("place")

@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_time, to_number
+from .ranks import placed
 
 
 def prepared(df: DataFrame, time: str, target: str, keys: list[str] = (), horizon: int = 12, least: int = 12) -> DataFrame:
     """keys, t, y, k (place from 0), n, h: times that parse, in order, of series with enough rows; h is the tail held out."""
     at = F.col(time) if dict(df.dtypes)[time].startswith(("timestamp", "date")) else parse_time(F.col(time))
     rows = df.select(*keys, at.alias("t"), to_number(F.col(target)).alias("y")).where("t is not null and y is not null")
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumns({"k": F.row_number().over(w.orderBy("t")) - 1, "n": F.count(F.lit(1)).over(w)})
+    if keys:
+        w = Window.partitionBy(*keys)
+        rows = rows.withColumns({"k": F.row_number().over(w.orderBy("t", "y")) - 1, "n": F.count(F.lit(1)).over(w)})
+    else:  # one series: places by ranges of time, not by a window over all rows
+        rows, n = placed(rows, ["t", "y"])
+        rows = rows.withColumnRenamed("place", "k").withColumns({"k": F.col("k").cast("int"), "n": F.lit(n).cast("long")})
     h = F.when(F.lit(horizon) < F.col("n"), F.lit(horizon)).otherwise(F.floor(F.col("n") / 3).cast("int"))
     return rows.where(F.col("n") >= least).withColumn("h", h)
 
@@ -54,6 +59,17 @@ def forecast(df: DataFrame, time: str, target: str, keys: list[str] = (), model:
     return grouped.applyInPandas(run, ", ".join(["step int", "actual double", "forecast double", *(f"{c} {types[c]}" for c in keys)]))
 
 
+def history_tail(df: DataFrame, time: str, target: str, keys: list[str] = (), horizon: int = 12, most: int = 20) -> DataFrame:
+    """keys, t, y: the last values of each series that a forecast's plot begins with, held-out ones among them."""
+    return prepared(df, time, target, list(keys), horizon).where(F.col("k") >= F.col("n") - most).select(*keys, "t", "y")
+
+
+def held_out_times(df: DataFrame, time: str, target: str, keys: list[str] = (), horizon: int = 12) -> DataFrame:
+    """keys, step (from 1), t: the times of a forecast's steps."""
+    rows = prepared(df, time, target, list(keys), horizon)
+    return rows.where(F.col("k") >= F.col("n") - F.col("h")).select(*keys, (F.col("k") - F.col("n") + F.col("h") + 1).cast("int").alias("step"), "t")
+
+
 def smoothed(y: np.ndarray, h: int, trend: str | None, season: int) -> np.ndarray:
     """Exponential smoothing with an optional additive or multiplicative trend and additive season; the weights by grid search."""
     best, grid = (np.inf, None), (0.1, 0.3, 0.5, 0.7, 0.9)

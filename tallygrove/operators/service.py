@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,32 @@ def sessions(heartbeats: DataFrame, key: str, time: str, ttl: str = "300 seconds
     return found.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
 
 
+def session_locks(heartbeats: DataFrame, key: str, client: str, time: str, tie: str, ttl: int = 300) -> DataFrame:
+    """key, client, time, tie, locked: whether a heartbeat meets a live session of another client of its key.
+
+    A heartbeat that isn't locked takes or keeps the session for ttl seconds; one at the very end finds it expired. What a
+    heartbeat finds depends on all before it, so a key's rows are read in order by one task, as a stream that holds
+    one session, never as a group.
+    """
+    types = dict(heartbeats.dtypes)
+    rows = heartbeats.select(key, client, time, tie, F.unix_micros(F.col(time).cast("timestamp")).alias("_at")).where(F.col("_at").isNotNull())
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_at", tie)
+
+    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_key, owner, expires = object(), None, 0
+        for frame in frames:
+            locked = []
+            for k, who, at in zip(frame[key].tolist(), frame[client].tolist(), frame["_at"].tolist(), strict=True):
+                if k != at_key:
+                    at_key, owner, expires = k, None, at
+                locked.append(at < expires and who != owner)
+                if not locked[-1]:
+                    owner, expires = who, at + ttl * 1_000_000
+            yield frame.drop(columns="_at").assign(locked=locked)
+
+    return rows.mapInPandas(judged, ", ".join([*(f"`{c}` {types[c]}" for c in (key, client, time, tie)), "locked boolean"]))
+
+
 def usage_rollup(log: DataFrame, time: str = "created_at", window: str = "1 minute", late: str | None = None) -> DataFrame:
     """feature, start, requests, errors, mean latency by window."""
     rows = log.withWatermark(time, late) if late else log

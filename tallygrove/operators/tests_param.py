@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.scalar import clamped, finite, to_number
 from .describe import numeric_columns
+from .quantiles import quantiles
 
 WIDE = 50  # columns beyond which pairs are summed as matrices
 
@@ -277,11 +278,11 @@ def shapiro(x: np.ndarray) -> tuple[float, float]:
 
 def qq_points(df: DataFrame, column: str, most: int = 100) -> DataFrame:
     """Normal Q-Q: probability, theoretical and sample quantiles at evenly spaced probabilities from .01 to .99."""
-    n = df.where(F.col(column).isNotNull()).count()
+    x = finite(to_number(F.col(column)))
+    n = df.where(x.isNotNull()).count()
     probs = np.linspace(0.01, 0.99, max(2, min(most, n))).round(10).tolist()
-    sample = df.agg(F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, probs))).alias("s"))
-    theory = F.array(*(F.lit(special.norm_ppf(p)) for p in probs))
-    return sample.select(F.inline(F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), theory.alias("theoretical"), F.col("s").alias("sample")))).toDF("p", "theoretical", "sample")
+    sample = quantiles(df, {"x": x}, probs)["x"]
+    return df.sparkSession.createDataFrame([(p, special.norm_ppf(p), s) for p, s in zip(probs, sample, strict=True)], "p double, theoretical double, sample double")
 
 
 CI_MEAN = "n long, mean double, sd double, se double, low double, high double, confidence double, warning string"

@@ -115,6 +115,11 @@ def _(spark, d):
     return chart.sankey(joined, "r_name", "n_name")
 
 
+@query("scatter_thinned", "with r as (select o_custkey as x, o_totalprice as y, row_number() over (order by o_orderkey) - 1 as k, count(*) over () as n from orders), j as (select *, (k * 1199 + n - 2) // (n - 1) as j from r) select x::double as x, round(y, 4)::double as y, 8.0::double as size from j where n <= 1200 or (j * (n - 1)) // 1199 = k")
+def _(spark, d):
+    return rounded(chart.points(table(spark, d, "orders"), "o_custkey", "o_totalprice", order=["o_orderkey"]))
+
+
 @query("scatter_points", "select l_quantity as x, round(l_extendedprice, 4) as y, 8.0::double as size from lineitem ")
 def _(spark, d):
     return rounded(chart.points(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))

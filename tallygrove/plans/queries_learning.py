@@ -232,6 +232,12 @@ def _(spark, d):
     return rounded(series.forecast(_daily(spark, d), "day", "y", ["event_type"], "moving_avg", 5, window=4))
 
 
+@query("forecast_history", "with s as (select ts::date as t, round(sum(value), 6) as y from events group by all), r as (select *, row_number() over (order by t) as k, count(*) over () as n from s) select t::timestamp::varchar as t, round(y, 4) as y from r where n >= 12 and k > n - 20")
+def _(spark, d):
+    daily = table(spark, d, "events").groupBy(F.to_timestamp(F.to_date("ts")).alias("day")).agg(F.round(F.sum("value"), 6).alias("y"))
+    return rounded(series.history_tail(daily, "day", "y", horizon=5)).withColumn("t", F.col("t").cast("string"))
+
+
 for _model in ("exp_smoothing", "ar"):
 
     @query(f"forecast_{_model}")

@@ -116,15 +116,34 @@ def _(spark, d):
     return manifest.manifest_features(table(spark, d, "pages").select("page_id", "url"), "url").select("page_id", "kind", "ext", "ref_len", "basename_len")
 
 
-@query("manifest_hashes")
+@query("manifest_hashes", "with h as (select page_id, sha1(trim(url)) as h from pages) select page_id, round(('0x' || h[1:8])::bigint / 4294967295.0, 6) as hash_0, round(('0x' || h[9:16])::bigint / 4294967295.0, 6) as hash_1 from h")
 def _(spark, d):
     return manifest.manifest_features(table(spark, d, "pages").select("page_id", "url"), "url").select("page_id", "hash_0", "hash_1")
 
 
-@query("manifest_summary", "select count(*)::bigint as \"references\", 0::bigint as processed, count(*)::bigint as fallback, 0::bigint as failed, round(avg(length(url)), 6) as mean_ref_len from pages")
+@query("manifest_summary", "select count(*)::bigint as \"references\", 0::bigint as processed, count(*)::bigint as fallback, 0::bigint as failed, 0::double as mean_byte_size, round(avg(length(url)), 6) as mean_ref_len from pages")
 def _(spark, d):
     f = manifest.manifest_summary(manifest.manifest_features(table(spark, d, "pages").select("page_id", "url"), "url"))
-    return f.select("references", "processed", "fallback", "failed", F.round("mean_ref_len", 6).alias("mean_ref_len"))
+    return f.select("references", "processed", "fallback", "failed", "mean_byte_size", F.round("mean_ref_len", 6).alias("mean_ref_len"))
+
+
+@query("label_counts", "select trim(lang) as label, count(*)::bigint as count from documents where trim(lang) <> '' group by 1")
+def _(spark, d):
+    return manifest.label_counts(table(spark, d, "documents"), "lang")
+
+
+@query("text_summary", r"select count(*)::bigint as rows, count(nullif(trim(text), ''))::bigint as extracted, round(avg(length(trim(text))) filter (trim(text) <> ''), 3) as mean_length, round(avg(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda t: t <> ''))) filter (trim(text) <> ''), 3) as mean_tokens from documents")
+def _(spark, d):
+    return manifest.text_summary(table(spark, d, "documents"), "text")
+
+
+@query("session_locks", """with recursive h as (select user_id, event_type, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+s as (select user_id, event_id, k, event_type as owner, ts + interval 12 hours as expires, false as locked from h where k = 1
+union all select h.user_id, h.event_id, h.k, case when l.locked then s.owner else h.event_type end, case when l.locked then s.expires else h.ts + interval 12 hours end, l.locked
+from s join h on h.user_id = s.user_id and h.k = s.k + 1, lateral (select h.ts < s.expires and h.event_type <> s.owner as locked) l)
+select event_id as id, locked from s""")
+def _(spark, d):
+    return service.session_locks(heartbeats(spark, d), "api_key_id", "event_type", "ts", "id", 12 * 3600).select("id", "locked")
 
 
 @query("inline_images", "select page_id, 'inline' as kind, 'png' as ext, strlen('data' || page_id)::int as byte_size from pages")
@@ -133,7 +152,7 @@ def _(spark, d):
     return manifest.manifest_features(p, "ref").select("page_id", "kind", "ext", "byte_size")
 
 
-@query("image_sizes")
+@query("image_sizes", "select page_id, page_id::int as width, 10::int as height, round(page_id / 10.0, 6)::double as aspect from pages where page_id > 0 union all select page_id, 0, 10, 0 from pages where page_id = 0")
 def _(spark, d):
     head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex("page_id"), 8, "0"), F.lit("0000000A"))
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.unhex(head))).alias("ref"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import describe, ols, quality, recommend, tests_param, tests_rank
+from ..functions.scalar import to_number
+from ..operators import chart, describe, ols, quality, recommend, tests_param, tests_rank
 
 
 class OperationError(ValueError):
@@ -34,7 +37,13 @@ def _describe(df, **_):
 
 def _ols(df, y, x, **options):
     fit = ols.ols(df, y, x, **options)
-    return {"coefficients": fit.coefficients(), "summary": fit.summary(), "breusch_pagan": fit.breusch_pagan()}
+    return {"coefficients": fit.coefficients(), "summary": fit.summary(), "breusch_pagan": fit.breusch_pagan()} | fit.figures()
+
+
+def _normality(df, column, **options):
+    n = df.where(to_number(F.col(column)).isNotNull()).count()
+    bins = min(30, max(8, math.isqrt(n)))
+    return {"test": tests_param.normality(df, column, **options), "qq": tests_param.qq_points(df, column), "histogram": chart.histogram(df, column, bins)}
 
 
 def _quality(df, **options):
@@ -50,7 +59,7 @@ OPERATIONS = {
     "ttest": lambda df, **o: {"test": tests_param.ttest(df, **o), "groups": tests_param.group_moments(df, o["value"], o["group"])},
     "chisq": lambda df, **o: {"test": tests_param.chisq(df, **o), "contingency": tests_param.contingency(df, o["a"], o["b"])},
     "anova": lambda df, **o: {"test": tests_param.anova(df, **o), "groups": tests_param.group_moments(df, o["value"], o["group"]), "limits": tests_param.eta_squared_limits(df, **o)},
-    "normality": lambda df, **o: {"test": tests_param.normality(df, **o), "qq": tests_param.qq_points(df, o["column"])},
+    "normality": _normality,
     "ci_mean": lambda df, **o: {"interval": tests_param.ci_mean(df, **o)},
     "mannwhitney": lambda df, **o: {"test": tests_rank.mannwhitney(df, **o)},
     "wilcoxon": lambda df, **o: {"test": tests_rank.wilcoxon(df, **o)},

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.functions import scalar
-from tallygrove.operators import compare, describe, learning, ols, profile, quality, quantiles, recommend, service, tests_param, tests_rank
+from tallygrove.operators import chart, compare, describe, learning, manifest, ols, profile, quality, quantiles, ranks, recommend, series, service, tests_param, tests_rank
 from tallygrove.plans import report
+from tallygrove.sources import tables
+from tallygrove.streaming import usage
 
 
 @pytest.fixture(scope="module")
@@ -315,3 +317,130 @@ def test_radar_from_the_dispatcher(spark):
     found = {(r.series, r.axis): r.y for r in chart.aggregate(df, "radar", "axis", "v", "who", order="k").collect()}
     assert found == {("a", "speed"): 3.0, ("a", "reach"): 0.0, ("b", "speed"): 0.0, ("b", "reach"): 4.0}
     assert {r.y for r in chart.aggregate(df, "radar", "axis", "v", "who").where("series = 'a' and axis = 'speed'").collect()} == {5.0}
+
+
+def test_rows_of_json_arrays(spark):
+    df = spark.createDataFrame([(1, '[{"a": 1, "b": "x"}, {"a": 2}]'), (2, "[]"), (3, "no json"), (4, None)], "k int, j string")
+    assert sorted(map(tuple, tables.from_json_rows(df, "j", "a int, b string", ["k"]).collect()), key=str) == [(1, 1, "x"), (1, 2, None)]
+
+
+def test_model_export(spark, two_groups, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import LinearRegressionModel
+
+    rows = spark.range(30).selectExpr("id as k", "double(id) as x", "2.0 * id + 1 as y")
+    fitted = learning.train(rows, "regression", "linear", "y", ["x"], "k").fitted
+    learning.export_model(fitted, str(tmp_path / "m"))
+    again = (PipelineModel if isinstance(fitted, PipelineModel) else LinearRegressionModel).load(str(tmp_path / "m"))
+    assert again.uid == fitted.uid
+
+
+def test_flags_of_correlations_and_warnings(spark):
+    clean = spark.createDataFrame([(i, float(i)) for i in range(20)], "k int, v double")
+    assert [tuple(r) for r in profile.flags(clean).collect()] == [("clean", "low")]
+    assert sorted(r.kind for r in profile.flags(clean, 2, ["few rows"]).collect()) == ["correlation", "warning"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 7, 100, 1201, 2500])
+def test_thinned_rows_are_evenly_spaced(spark, n):
+    most = 7 if n < 200 else 1200
+    got = sorted(r.id for r in ranks.thinned(spark.range(n), ["id"], most).collect())
+    assert got == (list(range(n)) if n <= most else [k * (n - 1) // (most - 1) for k in range(most)])
+
+
+def test_points_are_thinned_by_order(spark):
+    df = spark.range(3000).selectExpr("id", "double(id) as x", "double(-id) as y")
+    assert chart.points(df, "x", "y", order=["id"]).count() == 1200
+    assert chart.aggregate(df, "scatter", "x", "y").count() == 3000
+    assert [r.x for r in chart.aggregate(df.where("id < 4"), "line", "x", "y").collect()] == ["0.0", "1.0", "2.0", "3.0"]
+
+
+def test_one_series_without_keys(spark):
+    df = spark.range(40).selectExpr("timestamp_seconds(id * 86400) as t", "double(id) as y")
+    rows = series.prepared(df, "t", "y", horizon=5).orderBy("k").collect()
+    assert [(r.k, r.y, r.n, r.h) for r in rows] == [(k, float(k), 40, 5) for k in range(40)]
+    assert sorted(r.y for r in series.history_tail(df, "t", "y", horizon=5).collect()) == [float(k) for k in range(20, 40)]
+    assert [r.t.day for r in series.held_out_times(df, "t", "y", horizon=5).orderBy("step").collect()] == [5, 6, 7, 8, 9]
+    assert {r.forecast for r in series.forecast(df, "t", "y", horizon=5).collect()} == {34.0}
+
+
+def test_locks_of_other_clients(spark):
+    beats = [("k", c, s, i) for i, (s, c) in enumerate([(0, "a"), (100, "b"), (299, "a"), (598, "b"), (599, "b"), (700, "a"), (899, "a")])]
+    beats += [("m", "b", 50, 20), (None, "a", 0, 30), (None, "b", 10, 31), ("n", "a", None, 40)]
+    df = spark.createDataFrame(beats, "k string, c string, s int, i int").selectExpr("k", "c", "timestamp_seconds(s) as t", "i")
+    got = {r.i: r.locked for r in service.session_locks(df, "k", "c", "t", "i").collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 20: False, 30: False, 31: True}
+    assert service.session_locks(df.where("false"), "k", "c", "t", "i").count() == 0
+
+
+def test_manifest_labels_and_texts(spark):
+    df = spark.createDataFrame([(" cat ", "two words"), ("dog", ""), ("cat", None), ("", "one"), (None, "one")], "label string, text string")
+    assert [tuple(r) for r in manifest.label_counts(df, "label").collect()] == [("cat", 2), ("dog", 1)]
+    assert tuple(manifest.text_summary(df, "text").first()) == (5, 3, 5.0, 1.333)
+    assert tuple(manifest.text_summary(df.where("false"), "text").first()) == (0, 0, 0.0, 0.0)
+
+
+def test_regression_figures_and_normality_histogram(spark):
+    df = spark.range(50).selectExpr("double(id) as x", "2 * id + sin(id) as y")
+    figures = ols.ols(df, "y", ["x"]).figures(20)
+    assert {n: f.count() for n, f in figures.items()} == {"residual_fitted": 20, "scale_location": 20, "cooks_distance": 20, "residual_qq": 50}
+    qq = figures["residual_qq"].orderBy("p").collect()
+    assert all(a.sample <= b.sample and a.theoretical < b.theoretical for a, b in zip(qq, qq[1:], strict=False))
+    assert report.run(df, "normality", {"column": "y"}).tables["histogram"].agg(F.count(F.lit(1)), F.sum("count")).first() == (8, 50)
+
+
+def test_concrete_tests_by_kinds():
+    kinds = {"numeric": ["v", "w"], "categorical": ["g", "h"], "dateLike": ["d"]}
+    assert compare.concrete_test(kinds, {"g": 2})["op"] == "ttest" and compare.concrete_test(kinds, {"g": 3})["op"] == "anova"
+    assert compare.concrete_test(kinds, {"g": 1})["op"] == "chisq" and compare.concrete_test(kinds, {"g": 1}, "group") is None
+    assert compare.concrete_test({"numeric": ["v", "w"]}, {})["op"] == "corr" and compare.concrete_test(kinds, {}, "trend")["op"] == "describe"
+    assert compare.concrete_test({}, {}) is None
+
+
+def test_plans_and_follow_ups(spark):
+    made = lambda s: spark.range(40).selectExpr("id as v", f"id % {s} + 0.5 as w", "if(id % 2 = 0, 'a', 'b') as g", f"if(id % {s} = 0, 'p', if(id % 3 = 0, 'q', 'r')) as h")
+    sets = {"one": made(4), "two": made(9)}
+    assert [(r.kind, r.priority, r.op) for r in compare.compare_plan(sets).collect()] == [("group", "high", "ttest"), ("correlation", "high", "corr"), ("association", "medium", "chisq")]
+    steps = {(r.column, r.dataset): (r.kind, r.op) for r in compare.follow_ups(sets).collect()}
+    assert steps["v", "one"] == ("numeric", "ttest") and steps["g", "two"] == ("categorical", "ttest") and steps["h", "one"] == ("categorical", "anova")
+
+
+def test_previews(spark):
+    df = spark.range(30).selectExpr("id as k", "double(id) as x", "double(id * id) as y")
+    _, _, centres = learning.kmeans(df, ["x", "y"], 4, 1)
+    assert learning.centroid_preview(df, centres, ["x", "y"]).count() == 6
+    rows, _, _ = learning.pca(df, ["x", "y"], 1)
+    assert [r.k for r in learning.projection_preview(rows, "k").collect()] == list(range(20))
+
+
+def test_knn_in_blocks_and_with_nulls(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, float(x), "a" if x < 0.5 else "b") for i, x in enumerate(rng.random(200))]
+    train, test = (spark.createDataFrame(d, "k long, x double, l string") for d in (data[:150] + [(999, None, "a")], data[150:]))
+    want = {}
+    for k, x, _ in data[150:]:
+        near = sorted((abs(x - v), i, n) for i, v, n in data[:150])[:5]
+        votes = [n for _, _, n in near]
+        want[k] = min(set(votes), key=lambda n: (-votes.count(n), n))
+    assert {r.k: r.prediction for r in learning.knn_classify(train, test, ["x"], "l", "k", block=16).collect()} == want
+    assert learning.knn_classify(train.where("false"), test, ["x"], "l", "k").count() == 0
+
+
+def test_streams_drop_what_comes_after_the_watermark(spark, tmp_path):
+    import time
+
+    schema = "api_key_id int, ts timestamp"
+    files = [[(1, 0), (1, 100)], [(1, 10_000)], [(1, 20_000)], [(1, 50)], [(1, 90_000)]]  # 50 comes late
+    for rows in files:
+        spark.createDataFrame(rows, "api_key_id int, s long").selectExpr("api_key_id", "timestamp_seconds(s) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # the source takes files by their times
+    stream = usage.session_stream(usage.read_stream(spark, str(tmp_path / "in"), schema, 1), "api_key_id", "ts")
+    assert sorted((r.start.timestamp(), r.beats) for r in usage.drained(stream).collect())[:1] == [(0.0, 2)]
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    frame = spark.range(10).selectExpr("id", "timestamp_seconds(id * 43200) as created_at")
+    frame.repartition(2).write.parquet(str(tmp_path / "in"))
+    usage.append_batches(usage.read_stream(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in got.collect()) == list(range(10)) and got.select("day").distinct().count() == 5
