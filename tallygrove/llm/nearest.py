@@ -6,7 +6,8 @@ and so visits leaves in order of promise; how many is widened until the recall m
 force, over all vectors, of CALIBRATION queries reaches RECALL.
 
 Scale: the tree is fitted on the driver on at most SAMPLE vectors taken by a hash; all vectors are
-indexed. Equal vectors are one entry with their neighbours + 1 smallest ids, more of which can't be in a
+indexed. Leaves that hold far more than LEAF entries are split in tasks, each on a sample of FIT of its own entries, again
+and again, so the tree grows with the table up to about LEAVES leaves, which bounds what is sent around; beyond that, leaves grow. Equal vectors are one entry with their neighbours + 1 smallest ids, more of which can't be in a
 result, so a common vector costs no more than a rare one. Leaves stand on shelves of about BLOCK entries; a
 shelf's leaves that a query visits are compared in one task, for BLOCK queries at most, and leave the
 query's few best rows. A leaf too large for a shelf is split.
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpointed
+from ..plans.lineage import checkpointed, discard
 from ._sample import hashed_sample
 
 SAMPLE, BRANCH, LEAF, CALIBRATION, RECALL, BLOCK, VISITING = 50_000, 8, 100, 100, 0.95, 4096, 128
+FIT, LEAVES, WIDE = 4000, 40_000, 4  # rows that one leaf's subtree is fitted on; leaves at most, about; leaves of over WIDE times the wanted size are split
 
 
 class KMeansTree:
@@ -54,6 +56,26 @@ class KMeansTree:
                     work.append((len(self.centroids) - 1, mine))
         self.centroids = np.array(self.centroids)
 
+    def graft(self, leaf: int, nodes: list[tuple[list[int], np.ndarray]]) -> None:
+        """Puts a subtree (children and centroid of each node, the root first) in a leaf's place; number() must follow."""
+        root, base = self._node_of[leaf], len(self.children) - 1
+        at = lambda k: base + k if k else root
+        self.children[root] = [at(k) for k in nodes[0][0]]
+        self.children += [[at(k) for k in kids] for kids, _ in nodes[1:]]
+        self._grafted = [*getattr(self, "_grafted", ()), *(c for _, c in nodes[1:])]
+
+    def nodes_of_leaves(self) -> None:
+        self._node_of = {leaf: node for node, leaf in enumerate(self.leaf_of) if leaf >= 0}
+
+    def number(self) -> None:
+        """Numbers the leaves anew."""
+        if grafted := getattr(self, "_grafted", None):
+            self.centroids = np.vstack([self.centroids, *grafted])
+        self._grafted, self._node_of, self.leaves, self.leaf_of = [], {}, 0, []
+        for kids in self.children:
+            self.leaf_of.append(-1 if kids else self.leaves)
+            self.leaves += not kids
+
     def _split(self, x: np.ndarray, rounds: int = 12) -> np.ndarray | None:
         centres = x[self.rng.choice(len(x), min(self.branch, len(x)), replace=False)]
         for _ in range(rounds):
@@ -141,6 +163,38 @@ def _placed(tree: KMeansTree, size: int):
     return run
 
 
+def grown(tree: KMeansTree, entries: DataFrame, size: int, leaf: int = LEAF, most: int = LEAVES) -> DataFrame:
+    """entries (vec, ids, leaf) by the tree, whose wide leaves have been split as long as that makes more leaves."""
+    spark, schema = entries.sparkSession, "leaf int, node int, kids array<int>, centroid binary"
+    while True:
+        sizes = {r["leaf"]: r["count"] for r in entries.groupBy("leaf").count().collect()}  # a row a leaf
+        wanted = max(leaf, -(-sum(sizes.values()) // most))
+        wide = [(k, n) for k, n in sizes.items() if n > WIDE * wanted]
+        if not wide or tree.leaves >= 2 * most:
+            return entries
+
+        def fitted(frame: pd.DataFrame) -> pd.DataFrame:
+            x, (own, n) = _matrix(frame["vec"].sort_values(), size), frame[["leaf", "n"]].iloc[0].tolist()
+            sub = KMeansTree(x, leaf=max(2, round(wanted * len(x) / n)))
+            return pd.DataFrame({"leaf": own, "node": range(len(sub.children)), "kids": sub.children, "centroid": [c.tobytes() for c in sub.centroids]})
+
+        of_leaf = F.broadcast(spark.createDataFrame(wide, "leaf int, n long"))
+        place = F.pmod(F.xxhash64("vec", F.lit(7)), F.lit(1 << 30)) * F.col("n")
+        picked = entries.select("vec", "leaf").join(of_leaf, "leaf").where(place < F.lit(FIT * (1 << 30)))
+        found = picked.groupBy("leaf").applyInPandas(fitted, schema).orderBy("leaf", "node").toPandas()
+        before = tree.leaves
+        tree.nodes_of_leaves()
+        for k, own in found.groupby("leaf"):
+            if len(own) > 1:
+                tree.graft(int(k), [(list(map(int, kids)), np.frombuffer(c, np.float64)) for kids, c in zip(own["kids"], own["centroid"], strict=True)])
+        tree.number()
+        if tree.leaves == before:
+            return entries
+        narrow = checkpointed(entries.select("vec", "ids").mapInArrow(_placed(tree, size), "vec binary, ids array<long>, leaf int"))
+        discard(entries)
+        entries = narrow
+
+
 def _nearest(queries: np.ndarray, x: np.ndarray, ids: list, most: int):
     """For each query its best (distance, id) among entries, ties to smaller ids."""
     for k, q in enumerate(queries):
@@ -175,7 +229,7 @@ def calibrated(tree: KMeansTree, entries: DataFrame, queries: np.ndarray, neighb
     return int(np.quantile(needed, recall, method="inverted_cdf")) if needed else tree.leaves
 
 
-def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 10, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
+def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 10, recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) for the rows that the condition query_rows on vec_id picks."""
     rows, size = vectors(table, id_col, vector_col)
     empty = "query_id long, rank int, vec_id long, score double"
@@ -186,8 +240,9 @@ def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vec
     entries = local.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
     entries = checkpointed(entries)
     picked = hashed_sample(entries.select("vec"), F.xxhash64("vec"), sample, entries.count()).toPandas()["vec"]
-    tree = KMeansTree(_matrix(picked, size))
+    tree = KMeansTree(_matrix(picked, size), leaf=leaf)
     entries = checkpointed(entries.mapInArrow(_placed(tree, size), "vec binary, ids array<long>, leaf int"))
+    entries = grown(tree, entries, size, leaf)
     asked = checkpointed(rows.where(query_rows).distinct())
     distinct = asked.groupBy("vec").agg(F.min("vec_id").alias("q"))
     trial = hashed_sample(distinct, F.xxhash64("vec", "q"), CALIBRATION, distinct.count()).toPandas()["vec"]
@@ -212,12 +267,14 @@ def nearest_neighbours(table: DataFrame, query_rows, id_col: str = "vec_id", vec
 
     visits = checkpointed(distinct.repartition(max(1, -(-distinct.count() // VISITING)), "vec").mapInArrow(visiting, "vec binary, q long, shelf int, leaves array<int>"))
     askers = visits.groupBy("shelf").count().toPandas().set_index("shelf")["count"].reindex(range(len(parts)), fill_value=0).to_numpy()
-    entry_parts, query_parts = (F.array(*map(F.lit, n)) for n in (parts, np.maximum(1, -(-askers // BLOCK)).tolist()))
+    spark = table.sparkSession  # two tables with a row a leaf or a shelf
+    on_shelf = F.broadcast(spark.createDataFrame([(k, int(s)) for k, s in enumerate(shelf_of)], "leaf int, shelf int"))
+    counts = list(zip(range(len(parts)), parts, np.maximum(1, -(-askers // BLOCK)).tolist(), strict=True))
+    shelves = lambda: F.broadcast(spark.createDataFrame(counts, "shelf int, entry_parts int, query_parts int"))
     spread = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
     split = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
-    shelved = entries.withColumn("shelf", F.array(*map(F.lit, map(int, shelf_of)))[F.col("leaf")])
-    left = shelved.withColumn("i", split("vec", entry_parts[F.col("shelf")])).withColumn("j", spread(query_parts[F.col("shelf")]))
-    right = visits.withColumn("j", split("q", query_parts[F.col("shelf")])).withColumn("i", spread(entry_parts[F.col("shelf")]))
+    left = entries.join(on_shelf, "leaf").join(shelves(), "shelf").withColumn("i", split("vec", F.col("entry_parts"))).withColumn("j", spread(F.col("query_parts"))).drop("entry_parts", "query_parts")
+    right = visits.join(shelves(), "shelf").withColumn("j", split("q", F.col("query_parts"))).withColumn("i", spread(F.col("entry_parts"))).drop("entry_parts", "query_parts")
 
     def compared(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         found = []

@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallygrove.plans.lineage import checkpointed
 from tallygrove.llm import decontamination, dedup, language_id, nearest, packing, privacy, quality, queries, toxicity, url_rules, warc
 from tallygrove.llm._text import Words
 
@@ -657,6 +658,27 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest_neighbours(table.where("vec_id < 3"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_nearest_tree_grows_with_the_table(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows, size = nearest.vectors(table, "vec_id", "embedding")
+    tree = nearest.KMeansTree(x[:200], leaf=50)
+    before = tree.leaves
+    entries = rows.selectExpr("vec", "array(vec_id) as ids").mapInArrow(nearest._placed(tree, size), "vec binary, ids array<long>, leaf int")
+    entries = nearest.grown(tree, checkpointed(entries), size, leaf=50)
+    leaves = {i: r.leaf for r in entries.collect() for i in r.ids}
+    sizes = np.bincount(list(leaves.values()), minlength=tree.leaves)
+    assert tree.leaves > 10 * before and len(leaves) == 6000 and sizes.max() <= 4 * 50
+    assert [leaves[i] for i in range(6000)] == tree.leaf(x).tolist()
+    assert sorted(tree.visits(x[0], tree.leaves)) == list(range(tree.leaves))
+    found = {}
+    for r in nearest.nearest_neighbours(table, F.col("vec_id") % 100 == 0, sample=200, leaf=50).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) for q in range(0, 6000, 100)}
+    assert sum(len(found[q] & truth[q]) for q in truth) / (10 * len(truth)) >= 0.9
+
+
 def test_nearest_with_singleton_leaves():
     x = np.arange(20.0)[:, None] ** 2
     tree = nearest.KMeansTree(x, leaf=1)
