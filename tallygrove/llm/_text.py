@@ -22,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
+IS_BLANK = np.zeros(256, dtype=bool)
+IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,6 +63,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a column: row number, byte start and end in that row, 64-bit hash; in text order."""
 
+    inside, folded = IS_WORD, LOWER
+
     def __init__(self, column: pa.Array):
         self.data, self.offsets = text_bytes(column)
         self.rows = len(self.offsets) - 1
@@ -77,12 +81,12 @@ class Words:
         while at < n:
             to = min(at + BLOCK, n)
             while to < n:
-                tail = IS_WORD[LOWER[self.data[max(at, to - 4096) : to + 1]]]
+                tail = self.inside[self.folded[self.data[max(at, to - 4096) : to + 1]]]
                 breaks = np.flatnonzero(~tail)
                 if len(breaks):
                     to = max(at, to - 4096) + int(breaks[-1]) + 1
                     break
-                nearest = np.flatnonzero(~IS_WORD[LOWER[self.data[to : to + BLOCK]]])
+                nearest = np.flatnonzero(~self.inside[self.folded[self.data[to : to + BLOCK]]])
                 to = to + int(nearest[0]) + 1 if len(nearest) else min(to + BLOCK, n)
                 if len(nearest):
                     break
@@ -90,8 +94,8 @@ class Words:
             at = to
 
     def _block(self, a: int, b: int):
-        x = LOWER[self.data[a:b]]
-        inside = IS_WORD[x]
+        x = self.folded[self.data[a:b]]
+        inside = self.inside[x]
         edge = np.zeros(len(x) + 1, dtype=bool)
         cuts = self.offsets[np.searchsorted(self.offsets, a, "left") : np.searchsorted(self.offsets, b, "right")] - a
         edge[cuts] = True  # rows end words
@@ -105,6 +109,12 @@ class Words:
         return starts + a, ends + a, mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class BlankWords(Words):
+    """The words between white space, [^\\x20\\x09-\\x0D]+, as they are written."""
+
+    inside, folded = ~IS_BLANK, np.arange(256, dtype=np.uint8)
+
+
 def bounded_batches(spark) -> None:
     """Arrow batches of BATCH_BYTES at most in this session, from now on; a smaller bound that is set stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

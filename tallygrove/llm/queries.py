@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, dedup, language_id, nearest, packing, privacy, quality, toxicity, url_rules, warc
+from . import decontamination, dedup, infilling, language_id, nearest, packing, periodic_runs, privacy, quality, substrings, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_fm_decontamination": decontamination.op1_fm_decontamination,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_warc_index_merge": warc.op8_warc_index_merge,
     "op9_information_sanitisation": privacy.op9_information_sanitisation,
     "op10_weak_label_quality": quality.op10_weak_label_quality,
+    "op11_exception_index_infilling": infilling.op11_exception_index_infilling,
+    "op12_branching_tandem_runs": periodic_runs.op12_branching_tandem_runs,
+    "op13_suffix_array_dedup": substrings.op13_suffix_array_dedup,
 }
 
 ORACLES = {
     "op1_fm_decontamination": decontamination.ORACLE,
     "op5_url_range_join": url_rules.ORACLE,
     "op8_warc_index_merge": warc.ORACLE,
+    "op11_exception_index_infilling": infilling.ORACLE,
 }
