@@ -7,13 +7,13 @@
 2. One unit of each other content goes to a shard: all contents of a name to one, or, where they are more than a
    shard holds, to several. A shard sorts its suffixes by Larsson and Sadakane's refinement; Kasai's common prefixes
    of neighbours show which windows repeat.
-3. A name in several shards: each of them puts out its distinct windows as a sorted run of fingerprints. The
-   runs of a range of fingerprints are merged by binary search, and windows that two shards hold are repeated.
+3. A name in several shards: each of them puts out its distinct windows as a run sorted by fingerprints, a row for each range
+   of fingerprints. The runs of a range are merged by binary search, and windows that two shards hold are repeated.
 4. The marked intervals of a document are joined to it, and their union is cut out.
 
 Scale: all shuffles are linear in the input. A text is shuffled twice, and is never in a group with others. Counts are
-partial before they are shuffled. A shard holds SHARD bytes, or one unit; a merge range RANGE rows on average, and
-of one window at most one row for each shard of its name. Nothing but totals goes to the driver.
+partial before they are shuffled. A shard holds SHARD bytes, or one unit; a merge range RANGE windows on average, and
+of one window at most one for each shard of its name. Nothing but totals goes to the driver.
 
 Windows are compared byte by byte inside a shard; contents of units and windows of different shards by fingerprints of 128 bits.
 
@@ -172,65 +172,74 @@ def repeated_windows(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.n
     return body[window], (sa - begins[body])[window], again[window], np.cumsum(~same)[window], ~same[window]
 
 
-MARK = "k1 long, k2 long, start long, end long, high long, low long, shard long"
-SPAN = "k1 long, k2 long, start long, end long"
+MARK = "k1 long, k2 long, spans array<struct<start:long,end:long>>, range int, run binary"
+SPAN = "k1 long, k2 long, spans array<struct<start:long,end:long>>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+#: A window of a run: its fingerprint, where it is, and whether it isn't known to repeat yet.
+WINDOW = np.dtype([("high", "u8"), ("low", "u8"), ("k1", "i8"), ("k2", "i8"), ("at", "i8"), ("single", "?")])
+
 
+def _by_document(k1: np.ndarray, k2: np.ndarray, at: np.ndarray, length: int) -> list[pa.Array]:
+    """k1, k2 and spans: a row for each document with the union of its windows that begin at the given places."""
+    order = np.lexsort((at, k2, k1))
+    k1, k2, at = k1[order], k2[order], at[order]
+    doc = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]) if len(at) else np.zeros(0, bool)
+    new = doc | np.concatenate([[True], np.diff(at) > length]) if len(at) else doc
+    begin = np.flatnonzero(new)
+    last = np.concatenate([begin[1:] - 1, [len(at) - 1]]) if len(at) else begin
+    spans = pa.StructArray.from_arrays([pa.array(at[begin], pa.int64()), pa.array(at[last] + length, pa.int64())], fields=list(SPANS.value_type))
+    edges = np.concatenate([np.flatnonzero(doc[new]), [len(begin)]])
+    return [pa.array(k1[doc], pa.int64()), pa.array(k2[doc], pa.int64()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans).cast(SPANS)]
 
-def _searched(length: int):
-    names_of = [f.split()[0] for f in MARK.split(", ")]
+
+def _searched(length: int, ranges: int):
+    names_of = ["k1", "k2", "spans", "range", "run"]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shard, hot = key[0].as_py(), key[1].as_py()
         rows = {}  # rows that are equal in every column give a unit more than once
         for *unit, body in zip(*(table.column(c).to_pylist() for c in ("k1", "k2", "at", "body")), strict=True):
             rows[tuple(unit)] = body
-        keys, bodies = list(rows), list(rows.values())
+        k1, k2, at = np.array(list(rows), np.int64).T
+        bodies = list(rows.values())
         body, place, again, _, first = repeated_windows(bodies, length)
-        out = []
-        order = np.lexsort((place[again], body[again]))
-        b, p = body[again][order], place[again][order]
-        new = np.concatenate([[True], (b[1:] != b[:-1]) | (p[1:] != p[:-1] + 1)]) if len(b) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        last = np.concatenate([begin[1:] - 1, [len(b) - 1]]) if len(b) else begin
-        for s, e in zip(begin.tolist(), last.tolist(), strict=True):
-            k1, k2, at = keys[b[s]]
-            out.append((k1, k2, at + int(p[s]), at + int(p[e]) + length, None, None, None))
-        if hot:  # a run of distinct windows for the other shards of the name; null where it is known to repeat
-            run = []
-            for k, w, known in zip(body[first].tolist(), place[first].tolist(), again[first].tolist(), strict=True):
-                digest = xxhash.xxh3_128_digest(bodies[k][w : w + length])
-                high, low = (int.from_bytes(digest[x : x + 8], "big", signed=True) for x in (0, 8))
-                k1, k2, at = keys[k]
-                run.append((None if known else k1, k2, at + w, at + w + length, high, low, shard))
-            out += sorted(run, key=lambda r: r[4:6])
-        columns = zip(*out, strict=True) if out else ((),) * len(names_of)
-        result = pa.table([pa.array(c, pa.int64()) for c in columns], names=names_of)
+        found = _by_document(k1[body[again]], k2[body[again]], at[body[again]] + place[again], length)
+        n = len(found[0])
+        out = [pa.table([*found, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names_of)]
+        if key[1].as_py():  # a sorted run of distinct windows for the other shards of the name, cut at the bounds of the ranges
+            own = np.empty(int(first.sum()), WINDOW)
+            digests = b"".join([xxhash.xxh3_128_digest(bodies[b][w : w + length]) for b, w in zip(body[first].tolist(), place[first].tolist(), strict=True)])
+            own["high"], own["low"] = np.frombuffer(digests, ">u8").reshape(-1, 2).T
+            own["k1"], own["k2"], own["at"], own["single"] = k1[body[first]], k2[body[first]], at[body[first]] + place[first], ~again[first]
+            own.sort(order=["high", "low"])
+            cuts = np.searchsorted(own["high"], np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64))
+            parts = [(k, p.tobytes()) for k, p in enumerate(np.split(own, cuts)) if len(p)]
+            n = len(parts)
+            out.append(pa.table([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, SPANS), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=names_of))
         released()
-        return result
+        return pa.concat_tables(out)
 
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """The windows in a range of fingerprints that another shard's run has too: runs are looked up in those before by binary search."""
-    high, low, shard = (table.column(c).to_numpy() for c in ("high", "low", "shard"))
-    kind = np.dtype([("high", "i8"), ("low", "i8")])
-    windows = np.empty(len(high), kind)
-    windows["high"], windows["low"] = high, low
-    hit = np.zeros(len(high), bool)
-    merged, owner = windows[:0], np.zeros(0, np.int64)
-    order = np.lexsort((low, high, shard))
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for run in np.split(order, cuts):
-        own = windows[run]
-        at = np.searchsorted(merged, own)
-        inside = at < len(merged)
-        known = np.zeros(len(own), bool)
-        known[inside] = merged[at[inside]] == own[inside]
-        hit[run[known]] = hit[owner[at[known]]] = True
-        merged, owner = np.insert(merged, at[~known], own[~known]), np.insert(owner, at[~known], run[~known])
-    single = table.column("k1").is_valid().to_numpy()
-    return table.filter(pa.array(hit & single)).select(["k1", "k2", "start", "end"])
+def _merged(length: int):
+    """The windows in a range of fingerprints that two shards have: each run is looked up in those before by binary search."""
+
+    def run(table: pa.Table) -> pa.Table:
+        merged, hit = np.zeros(0, WINDOW), []
+        for raw in table.column("run").to_pylist():
+            own = np.frombuffer(raw, WINDOW)
+            names = [np.rec.fromarrays([w["high"], w["low"]], dtype=WINDOW.descr[:2]) for w in (merged, own)]
+            at = np.searchsorted(*names)
+            inside = at < len(merged)
+            known = np.zeros(len(own), bool)
+            known[inside] = names[0][at[inside]] == names[1][inside]
+            hit += [own[known], merged[at[known]]]
+            merged = np.insert(merged, at[~known], own[~known])
+        found = np.concatenate(hit) if hit else merged
+        found = np.unique(found[found["single"]])
+        return pa.table(_by_document(found["k1"], found["k2"], found["at"], length), names=["k1", "k2", "spans"])
+
+    return run
 
 
 def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -239,9 +248,9 @@ def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE, shard: int = SHARD, merge_rows: int = RANGE) -> tuple[DataFrame, list[DataFrame]]:
-    """(k1, k2, start, end) of byte intervals that are made of repeated windows, and the tables to discard once it is read.
+    """(k1, k2, spans) of byte intervals that are made of repeated windows, and the tables to discard once it is read.
 
-    texts has the key (k1, k2) and text. The intervals of a document may overlap.
+    texts has the key (k1, k2) and text. A document can have several rows, whose spans may overlap.
     """
     gram = min(gram, length)
     doc = ("k1", "k2")
@@ -250,8 +259,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, pie
     contents = checkpointed(units.groupBy("name", "content").agg(F.count(F.lit(1)).alias("copies"), F.max("again").alias("again"), *(F.first(c).alias(c) for c in (*doc, "at", "n"))))
     named = contents.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("again"), F.sum(F.col("n") + length).alias("bytes")).where("kinds > 1 or again")
     named = checkpointed(named.select("name", "bytes"))
-    total = named.agg(F.sum(F.when(F.col("bytes") <= shard, F.col("bytes")))).first()[0] or 0
-    shards = max(1, -(-total // shard))
+    total = named.agg(F.coalesce(F.sum(F.when(F.col("bytes") <= shard, F.col("bytes"))), F.lit(0)).alias("cold"), F.coalesce(F.sum(F.when(F.col("bytes") > shard, F.col("bytes"))), F.lit(0)).alias("hot")).first()
+    shards = max(1, -(-total.cold // shard))
+    ranges = max(1, -(-total.hot // merge_rows))  # a name's bytes bound its windows
     hot = F.col("bytes") > shard
     # a hot name's shards are numbered by a hash of their own, beyond the others
     part = F.pmod("content", F.ceil(F.col("bytes") / shard))
@@ -259,16 +269,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, pie
     searched = contents.join(named, "name").select(*doc, F.struct(number.alias("shard"), hot.alias("hot"), "at", "n").alias("unit"))
     listed = searched.groupBy(*doc).agg(F.collect_list("unit").alias("units"))
     bodies = texts.join(listed, list(doc)).select(*doc, "text", "units").mapInArrow(_cut_units(length), BODY)
-    marks = checkpointed(bodies.groupBy("shard", "hot").applyInArrow(_searched(length), MARK))
-    runs = marks.where("high is not null")
-    ranges = max(1, -(-runs.count() // merge_rows))
-    across = runs.withColumn("range", F.pmod("high", F.lit(ranges))).groupBy("range").applyInArrow(_merged, SPAN)
-    end = (F.col("at") + F.col("n") + (length - 1)).alias("end")
-    whole = units.join(contents.where("copies > 1").select("name", "content"), ["name", "content"]).select(*doc, F.col("at").alias("start"), end)
-    return whole.unionByName(marks.where("high is null").select(*doc, "start", "end")).unionByName(across), [units, contents, named, marks]
-
-
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    marks = checkpointed(bodies.groupBy("shard", "hot").applyInArrow(_searched(length, ranges), MARK))
+    across = marks.where("run is not null").select("range", "run").groupBy("range").applyInArrow(_merged(length), SPAN)
+    span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") + (length - 1)).alias("end"))
+    whole = units.join(contents.where("copies > 1").select("name", "content"), ["name", "content"]).select(*doc, F.array(span).alias("spans"))
+    return whole.unionByName(marks.where("run is null").select(*doc, "spans")).unionByName(across), [units, contents, named, marks]
 
 
 def _without(text_col: str, marks: str, drop: list[str], results: tuple[str, ...]):
@@ -307,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key, marks = [unused(n, docs.columns) for n in ("_k1", "_k2")], unused("_marks", docs.columns)
     keyed = docs.withColumns(dict(zip(key, _keys(id_col, text_col), strict=True)))
     spans, _ = repeated_spans(keyed.select(F.col(key[0]).alias("k1"), F.col(key[1]).alias("k2"), F.col(text_col).alias("text")), length, **options)
-    listed = spans.groupBy(F.col("k1").alias(key[0]), F.col("k2").alias(key[1])).agg(F.collect_set(F.struct("start", "end")).alias(marks))
+    listed = spans.groupBy(F.col("k1").alias(key[0]), F.col("k2").alias(key[1])).agg(F.flatten(F.collect_list("spans")).alias(marks))
     drop = [*key, marks, *([] if keep_text else [text_col])]
     span = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end")]))
     types = (T.LongType(), T.LongType(), span, T.BinaryType())
