@@ -1,7 +1,7 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 Features are hashes of words and of word beginnings of 4, 5 and 6 bytes, which carry over to unseen inflections;
-the model's are those whose log odds between the labelled classes lie LEAST_Z standard errors from none, on either
+the model's are those whose log odds between the labelled classes lie LEAST_Z (a parameter) standard errors from none, on either
 side, and a ridge shrinks them. Grades: a text labelled not toxic is 0; toxic training texts are graded 1 to 3 by thirds
 of the score that a binary model of the other folds gives them. The model is P(grade <= k) = sigmoid(theta_k - w.x)
 with one weight vector for all thresholds and x = log(1 + count). Its output is the expected grade, and a text is
@@ -86,7 +86,7 @@ def _vectors(vocabulary: np.ndarray):
             row, at, n = counted(*looked_up(vocabulary, *features(words)))
             edges = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(edges, pa.array(x, pa.int32())) for x in (at, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["toxic", "at", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], names=["toxic", "place", "at", "n"])
 
     return run
 
@@ -168,8 +168,12 @@ def cross_fitted(rows: np.ndarray, at: np.ndarray, value: np.ndarray, toxic: np.
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> CumulativeLink | None:
-    """A model from labelled texts; None without labels of both kinds."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, vocabulary_size: int = VOCABULARY, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z) -> CumulativeLink | None:
+    """A model from labelled texts; None without labels of both kinds.
+
+    Terms are those that least_texts texts hold and whose log odds lie least_z standard errors from none, the vocabulary_size furthest
+    ones at most. Rows are fitted in the order of a hash of their words, which also deals them to folds, so the model doesn't depend on partitions.
+    """
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     classes = {r._toxic: r["count"] for r in known.groupBy("_toxic").count().collect()}
@@ -178,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = picked[0].union(picked[1]).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "_id")
     texts = texts.select("text", F.col("_toxic").alias("toxic")).mapInArrow(_near_copy_key, "text string, toxic int, k1 long, k2 long")
-    texts = texts.groupBy("k1", "k2", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").persist()
+    texts = texts.groupBy("k1", "k2", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", F.xxhash64("k1", "k2", "toxic").alias("place")).persist()
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         texts.unpersist()
@@ -187,10 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     inside, outside = F.col("t") + 0.5, F.col("o") + 0.5
     rest_in, rest_out = F.lit(sizes[1] + 1.0) - inside, F.lit(sizes[0] + 1.0) - outside
     z = F.abs(F.log(inside * rest_out / (outside * rest_in))) / F.sqrt(1 / inside + 1 / outside + 1 / rest_in + 1 / rest_out)
-    terms = terms.where(F.col("t") + F.col("o") >= LEAST_TEXTS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    terms = terms.orderBy(F.desc("z"), "feature").limit(VOCABULARY).select("feature").toPandas()
+    terms = terms.where(F.col("t") + F.col("o") >= least_texts).withColumn("z", z).where(F.col("z") >= least_z)
+    terms = terms.orderBy(F.desc("z"), "feature").limit(vocabulary_size).select("feature").toPandas()
     vocabulary = np.sort(terms["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    data = texts.mapInArrow(_vectors(vocabulary), "toxic int, at array<int>, n array<int>").toPandas()
+    data = texts.mapInArrow(_vectors(vocabulary), "toxic int, place long, at array<int>, n array<int>").toPandas().sort_values("place", ignore_index=True)
     texts.unpersist()
     counts = np.array([len(x) for x in data["at"]])
     rows = np.repeat(np.arange(len(data)), counts)
@@ -198,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = np.concatenate([np.asarray(x, np.float64) for x in data["n"]]) if len(data) else np.zeros(0)
     toxic = data["toxic"].to_numpy() > 0
     weight, size = np.where(toxic, stands[1], stands[0]), len(vocabulary)
-    scores = cross_fitted(rows, at, np.log1p(n), toxic, size, np.arange(len(data)) % FOLDS, weight)
+    scores = cross_fitted(rows, at, np.log1p(n), toxic, size, data["place"].to_numpy() % FOLDS, weight)
     cuts = np.quantile(scores[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(cuts, scores, side="right"), 0)
     weights, thresholds = fit_cumulative_link(rows, at, np.log1p(n), grade, size, stands=weight)

@@ -21,6 +21,7 @@ from tallygrove.plans.lineage import checkpointed
 from tallygrove.llm import decontamination, dedup, language_id, nearest, packing, privacy, quality, queries, toxicity, url_rules, warc
 from tallygrove.llm._text import Words
 
+SF001 = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -469,6 +470,18 @@ def test_toxicity_means_the_same_with_a_small_sample(spark):
         assert graded.p_toxic < 0.15 and not graded.rejected
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels, before, found = spark.read.parquet(f"{SF001}/documents.parquet"), spark.read.parquet(f"{SF001}/labels.parquet"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (3, 8, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            graded = toxicity.grade_texts(docs.repartition(parts), toxicity.train(docs.repartition(parts), labels), keep_text=False)
+            found.append(sorted((r.doc_id, r.severity, r.p_toxic, r.rejected) for r in graded.select("doc_id", *toxicity.RESULTS).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
 def test_toxicity_weights_the_classes():
     grade = np.repeat([0, 1, 2, 3], [30, 10, 10, 10])
     none = np.zeros(0, np.int64)
