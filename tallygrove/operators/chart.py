@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import calendar_bucket, clamped, label, parse_time, to_number
-from .ranks import thinned
+from .ranks import quantiles_by, thinned
 
 
 def _measure(y: str | None, agg: str | None) -> Column:
@@ -58,11 +58,9 @@ def histogram(df: DataFrame, x: str, bins: int = 30, hue: str | None = None) ->
 def quartiles(df: DataFrame, y: str, by: str | None = None, overall: bool = False) -> DataFrame:
     """min, q1, median, q3, max and n by group; with overall also one row for all, from the same scan."""
     rows = df.select(label(F.col(by)).alias("grp") if by else F.lit("all").alias("grp"), to_number(F.col(y)).alias("v")).where("v is not null")
-    measures = [F.min("v").alias("min"), *(F.percentile("v", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.max("v").alias("max"), F.count("v").alias("n")]
-    if not overall:
-        return rows.groupBy("grp").agg(*measures)
-    sets = rows.groupingSets([["grp"], []], "grp")
-    return sets.agg(F.grouping("grp").alias("_all"), *measures).withColumn("grp", F.when(F.col("_all") == 1, "(all)").otherwise(F.col("grp"))).drop("_all")
+    if overall:
+        rows = rows.select(F.explode(F.array("grp", F.lit("(all)"))).alias("grp"), "v")
+    return quantiles_by(rows, ["grp"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, min=F.min("v"), max=F.max("v")).select("grp", "min", "q1", "median", "q3", "max", "n")
 
 
 def heatmap_numeric(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_number
 from .describe import duplicate_rows
 from .profile import column_kinds, top_missing
 from .quantiles import quantiles
+from .ranks import quantiles_by
 
 
 def shared_columns(datasets: dict[str, DataFrame], most: int | None = None) -> list[str]:
@@ -73,7 +74,11 @@ def stat_diff_numeric(datasets: dict[str, DataFrame], top: int = 3) -> DataFrame
 def numeric_means(datasets: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     """column, dataset, n, mean, median, sd."""
     rows = stacked(datasets, columns).select("dataset", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), to_number(F.col(c).cast("string")).alias("x")) for c in columns)))).where("x is not null")
-    return rows.groupBy("column", "dataset").agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.percentile("x", F.lit(0.5)), 4).alias("median"), F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 4).alias("sd"))
+    x, n = F.col("x"), F.col("n")
+    mean = F.sum(x * n) / F.sum(n)
+    middle = quantiles_by(rows, ["column", "dataset"], "x", {"median": 0.5}, mean=mean)
+    spread = rows.groupBy("column", "dataset").agg(F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"))
+    return middle.join(spread, ["column", "dataset"]).select("column", "dataset", "n", *(F.round(c, 4).alias(c) for c in ("mean", "median", "sd")))
 
 
 def stat_diff_categorical(datasets: dict[str, DataFrame], columns: list[str] | None = None, top: int = 3) -> DataFrame:
@@ -111,9 +116,16 @@ def _kinds(frame: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
     found: dict[str, list[str]] = {}
     for r in column_kinds(frame).select("column", "kind").collect():
         found.setdefault(r.kind, []).append(r.column)
-    text = found.get("categorical", [])
-    levels = frame.agg(*(F.approx_count_distinct(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(f"c{k}") for k, c in enumerate(text))).first() if text else ()
-    return found, dict(zip(text, levels, strict=True))
+    return found, _levels(frame, found.get("categorical", []))
+
+
+def _levels(frame: DataFrame, text: list[str], most: int = 20) -> dict[str, int]:
+    """The number of levels of each column, counted up to most; what a task sends is as few."""
+    if not text:
+        return {}
+    rows = frame.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("v")) for c in text)))).where("v is not null")
+    found = rows.distinct().withColumn("i", F.row_number().over(Window.partitionBy("column").orderBy("v"))).where(F.col("i") <= most)
+    return dict.fromkeys(text, 0) | {r.column: r.n for r in found.groupBy("column").agg(F.max("i").alias("n")).collect()}
 
 
 def _numeric_step(column: str, kinds: dict[str, list[str]], levels: dict[str, int]) -> dict:
@@ -161,38 +173,53 @@ def chart_plan(datasets: dict[str, DataFrame]) -> DataFrame:
     return frame.sparkSession.createDataFrame([plan], "type string, x string, y string, agg string")
 
 
-#: Planned comparisons: kind, priority, which kinds of columns it shows, operations, caution.
+#: Planned comparisons: kind, priority, which kinds of columns it shows, operations; fixed values.
 PLANS = (
-    ("group", "high", ("numeric", "categorical"), "recommend,ttest,anova,mannwhitney,kruskal", "Look at the groups' sizes and missing values in each dataset before comparing p-values."),
-    ("correlation", "high", ("numeric", "numeric"), "corr,compare_stat_diff", "Sizes and outliers move coefficients: compare sign and strength, not ranks only."),
-    ("trend", "medium", ("dateLike", "numeric"), "compare_chart_plan,describe", "Time units and periods have to be alike before trends are compared."),
-    ("association", "medium", ("categorical", "categorical"), "recommend,chisq", "Rare levels make contingency tables unstable."),
+    ("group", "high", ("numeric", "categorical"), "recommend,ttest,anova,mannwhitney,kruskal"),
+    ("correlation", "high", ("numeric", "numeric"), "corr,compare_stat_diff"),
+    ("trend", "medium", ("dateLike", "numeric"), "compare_chart_plan,describe"),
+    ("association", "medium", ("categorical", "categorical"), "recommend,chisq"),
 )
 #: Where none of them fits.
-LAST_PLAN = ("describe", "medium", (), "compare_describe,compare_chart_plan", "Shared columns are few: settle what can be compared first.")
+LAST_PLAN = ("describe", "medium", (), "compare_describe,compare_chart_plan")
+PLANNED = "kind string, columns string, priority string, operations string, missing_share double, least_level string, least_count long, op string, args_json string"
+
+
+def _plan_facts(frame: DataFrame, columns: list[str], text: list[str]) -> dict[str, tuple]:
+    """For each column (largest share of missing values so far, its rarest level, that level's rows)."""
+    blank = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    shares = frame.agg(*(F.coalesce(F.avg(blank(c).isNull().cast("int")), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(columns))).first()
+    levels = frame.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), blank(c).alias("v")) for c in text)))).where("v is not null") if text else None
+    rare = {r.column: (r.v, r.n) for r in levels.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.min(F.struct("n", "v")).alias("m")).select("column", "m.n", "m.v").collect()} if text else {}  # one row a column
+    return {c: (shares[k], *rare.get(c, (None, None))) for k, c in enumerate(columns)}
 
 
 def compare_plan(datasets: dict[str, DataFrame], active: str | None = None) -> DataFrame:
-    """Planned comparisons over the shared columns: kind, columns, priority, reason, operations, caution, op and args_json.
+    """Planned comparisons over the shared columns, with what to mind as measured on the active dataset (the first by default).
 
-    op and args_json are the first step, on the active dataset (the first by default).
+    kind, columns, priority, operations; missing_share, the larger share of missing values of the columns; least_level and least_count,
+    the rarest level of the last categorical column and its rows; op and args_json, the first step.
     """
     shared = shared_columns(datasets)
     by_column = {r.column: r.kind for r in shared_kinds(datasets).collect()}
     kinds = {k: [c for c in shared if by_column[c] == k] for k in ("numeric", "categorical", "dateLike")}
     frame = datasets[active] if active else next(iter(datasets.values()))
     own, levels = _kinds(frame.select(*shared))
-    rows = []
-    for kind, priority, needs, operations, caution in PLANS:
+    plans = []
+    for kind, priority, needs, operations in PLANS:
         places = [(k, needs[:i].count(k)) for i, k in enumerate(needs)]
         if all(len(kinds[k]) > i for k, i in places):
-            rows.append((kind, ",".join(kinds[k][i] for k, i in places), priority, f"The datasets share {' and '.join(f'{k} {kinds[k][i]}' for k, i in places)}.", operations, caution))
-    if not rows:
-        kind, priority, _, operations, caution = LAST_PLAN
-        rows = [(kind, ",".join(shared), priority, "No pair of shared columns fits a test.", operations, caution)]
-    made = [concrete_test(own, levels, r[0]) or {"op": None, "args": {}} for r in rows]
-    plans = [(*r, m["op"], json.dumps(m["args"], sort_keys=True)) for r, m in zip(rows, made, strict=True)]
-    return frame.sparkSession.createDataFrame(plans, "kind string, columns string, priority string, reason string, operations string, caution string, op string, args_json string")
+            plans.append((kind, [kinds[k][i] for k, i in places], priority, operations))
+    if not plans:
+        plans = [(LAST_PLAN[0], shared, LAST_PLAN[1], LAST_PLAN[3])]
+    shown = sorted({c for _, columns, _, _ in plans for c in columns})
+    facts = _plan_facts(frame, shown, [c for c in shown if by_column[c] == "categorical"]) if shown else {}
+    rows = []
+    for kind, columns, priority, operations in plans:
+        step = concrete_test(own, levels, kind) or {"op": None, "args": {}}
+        rare = next((facts[c][1:] for c in reversed(columns) if facts[c][2] is not None), (None, None))
+        rows.append((kind, ",".join(columns), priority, operations, max((facts[c][0] for c in columns), default=None), *rare, step["op"], json.dumps(step["args"], sort_keys=True)))
+    return frame.sparkSession.createDataFrame(rows, PLANNED)
 
 
 def rank_datasets(datasets: dict[str, DataFrame], active: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import to_number
-from .quantiles import modes, per_value
+from .quantiles import per_value
 
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 
@@ -56,8 +56,8 @@ def numeric_core_stats(df: DataFrame, columns: list[str] | None = None) -> DataF
         },
     )
     values = {c: x(c) for c in columns}
-    places = per_value(df, values, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    whole = plain.join(F.broadcast(places), "column").join(F.broadcast(modes(df, values)), "column", "left")
+    places = per_value(df, values, {"q1": 0.25, "median": 0.5, "q3": 0.75}, mode=True)
+    whole = plain.join(F.broadcast(places), "column")
     return whole.select("column", "n", "mean", "median", "mode", "min", "max", (F.col("max") - F.col("min")).alias("range"), "variance", "std", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "skew", "kurtosis")
 
 

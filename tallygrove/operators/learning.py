@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamped, to_number
 from ..plans.lineage import checkpointed
 from .describe import NUMERIC
+from .neighbours import dbscan, knn_classify
 from .quantiles import rounded_place, values_at
 
 #: What each preset stands for; fixed values.
@@ -457,38 +458,6 @@ def gaussian_naive_bayes(train: DataFrame, test: DataFrame, columns: list[str],
     return test.select(key, best["k"].alias("prediction"))
 
 
-def knn_classify(train: DataFrame, test: DataFrame, columns: list[str], label: str, key: str, k: int = 5, block: int = 4096) -> DataFrame:
-    """key, prediction: the commonest label of the k nearest (ties: nearer, then smaller key; among labels the smaller).
-
-    Both sides are dealt to blocks of about block rows by a hash of the key, and a task compares one block with one other, of
-    which it keeps k rows for each test row; these are merged. Rows with a null number take no part.
-    """
-    numbers = [F.col(c).cast("double").alias(c) for c in columns]
-    points = train.select(F.col(key).alias("_k"), F.col(label).cast("string").alias("_l"), *numbers).na.drop()
-    asked = test.select(F.col(key).alias("_q"), *numbers).na.drop()
-    kept, sought = (max(1, -(-rows.count() // block)) for rows in (points, asked))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = points.withColumn("_i", deal("_k", kept)).withColumn("_j", every(sought))
-    right = asked.withColumn("_j", deal("_q", sought)).withColumn("_i", every(kept))
-
-    def near(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        x, found = own[columns].to_numpy(), []
-        order = own["_k"].to_numpy()
-        for q, row in zip(queries["_q"].tolist(), queries[columns].to_numpy(), strict=True):
-            d = np.sqrt(((x - row) ** 2).sum(axis=1))
-            at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-            at = at[np.lexsort((order[at], d[at]))[:k]]
-            found.append(pd.DataFrame({"q": q, "d": d[at], "_k": order[at], "_l": own["_l"].to_numpy()[at]}))
-        return pd.concat(found) if found else pd.DataFrame({"q": [], "d": [], "_k": [], "_l": []})
-
-    types = dict(points.dtypes)["_k"]
-    made = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(near, f"q {dict(asked.dtypes)['_q']}, d double, _k {types}, _l string")
-    best = made.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "_k", "_l"))), 1, k).alias("n")).select("q", F.explode("n._l").alias("l"))
-    votes = best.groupBy("q", "l").agg(F.count(F.lit(1)).alias("v"))
-    return votes.groupBy("q").agg(F.min_by("l", F.struct(-F.col("v"), "l")).alias("prediction")).withColumnRenamed("q", key)
-
-
 # clusters and anomalies
 
 
@@ -536,40 +505,6 @@ def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster") -> D
     return df.agg(F.avg(score).alias("silhouette"))
 
 
-def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_samples: int) -> DataFrame:
-    """key, cluster: the smallest key of the cluster's core points, -1 for noise.
-
-    Cells have sides of eps / sqrt(d), so points of a cell are all neighbours and of one cluster. Equal points are one weighted point. Pairs are made between neighbouring
-    cells only. Labels spread by their smallest value until nothing changes.
-    """
-    from itertools import product
-
-    d = len(columns)
-    side, reach = eps / d**0.5, int(np.ceil(d**0.5))
-    raw = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop()
-    names = [f"x{i}" for i in range(d)]
-    cell = F.array(*(F.floor(F.col(n) / side) for n in names))
-    points = checkpointed(raw.groupBy(*names).agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("w")).withColumn("cell", cell))
-    offsets = F.array(*(F.array(*map(F.lit, o)) for o in product(range(-reach, reach + 1), repeat=d)))
-    probes = points.select("id", *(F.col(n).alias(f"p{n}") for n in names), F.explode(F.transform(offsets, lambda o: F.zip_with("cell", o, lambda a, b: a + b))).alias("cell"))
-    gap = sum(((F.col(f"p{n}") - F.col(n)) ** 2 for n in names), F.lit(0.0))
-    near = checkpointed(probes.join(points.select("cell", F.col("id").alias("other"), "w", *names), "cell").where(gap <= eps * eps).select("id", "other", "w"))
-    core = near.groupBy("id").agg(F.sum("w").alias("n")).where(F.col("n") >= min_samples).select("id")
-    links = checkpointed(near.join(core, "id").join(core.withColumnRenamed("id", "other"), "other").select("id", "other"))
-    labels = checkpointed(core.withColumn("label", F.col("id")))
-    while True:
-        spread = links.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("least"))
-        moved = checkpointed(labels.join(spread, "id", "left").select("id", F.least("label", F.coalesce("least", "label")).alias("new"), "label"))
-        hop = moved.select(F.col("id").alias("new"), F.col("new").alias("hop"))
-        labels = checkpointed(moved.join(hop, "new", "left").select("id", F.least("new", F.coalesce("hop", "new")).alias("label"), F.col("label").alias("was")))
-        if labels.where("label <> was").isEmpty():
-            break
-        labels = labels.drop("was")
-    border = near.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
-    found = points.select("id", *names).join(labels.select("id", "label"), "id", "left").join(border, "id", "left").select(*names, F.coalesce("label", "near", F.lit(-1)).alias("cluster"))
-    return raw.join(found, names).select(F.col("key").alias(key), "cluster")
-
-
 def pca(df: DataFrame, columns: list[str], k: int = 2):
     """(projection rows, ratios, loadings): centred components, explained shares, and term loadings by component."""
     rows, _, names = features(df, columns)

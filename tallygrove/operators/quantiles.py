@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles_by
+
 FEW, ACCURACY = 200_000, 2000  # rows of an interval that is not narrowed further; 1 / rank error of the sketch
 
 
@@ -84,17 +86,17 @@ def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float]) ->
     return out
 
 
-def per_value(df: DataFrame, values: dict[str, Column], shares: dict[str, float], key: str = "column") -> DataFrame:
-    """A row for each value with its quantiles under the names of shares."""
-    found = quantiles(df, values, list(shares.values()))
-    return df.sparkSession.createDataFrame([(n, *q) for n, q in found.items()], ", ".join([f"`{key}` string", *(f"`{s}` double" for s in shares)]))
+def melted(df: DataFrame, values: dict[str, Column], key: str = "column") -> DataFrame:
+    """key and v: a row for each row and value."""
+    return df.select(F.inline(F.array(*(F.struct(F.lit(n).alias(key), c.cast("double").alias("v")) for n, c in values.items()))))
 
 
-def modes(df: DataFrame, values: dict[str, Column], key: str = "column") -> DataFrame:
-    """The commonest of each value, of ties the smallest, from counts of distinct values."""
-    rows = df.select(F.inline(F.array(*(F.struct(F.lit(n).alias(key), c.alias("mode")) for n, c in values.items())))).where("mode is not null")
-    counts = rows.groupBy(key, "mode").agg(F.count(F.lit(1)).alias("_c"))
-    return counts.groupBy(key).agg(F.max(F.struct("_c", (-F.col("mode")).alias("m"))).alias("_m")).select(key, (-F.col("_m.m")).alias("mode"))
+def per_value(df: DataFrame, values: dict[str, Column], shares: dict[str, float], key: str = "column", mode: bool = False) -> DataFrame:
+    """A row for each value with its quantiles under the names of shares, and its mode (of ties the smallest), from one table of counts."""
+    more = {"mode": -F.max(F.struct("n", (-F.col("v")).alias("m")))["m"]} if mode else {}
+    found = quantiles_by(melted(df, values, key), [key], "v", shares, **more).drop("n")
+    names = df.sparkSession.createDataFrame([(n,) for n in values], f"`{key}` string")
+    return names.join(found, key, "left")
 
 
 def rounded_place(n: int, share: float) -> int:

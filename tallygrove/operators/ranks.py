@@ -1,32 +1,59 @@
-"""Average ranks at scale: values are counted first, and counts are summed over ranges of values."""
+"""Places, ranks and order statistics at scale: values are counted first, and counts are summed over ranges of values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
 
+FEW = 100_000
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """value, ties and rank (average) of each distinct value.
 
-    Distinct values are dealt to ranges; what comes before a range is a sum over the few rows that
-    describe the ranges, so no window runs over all rows.
+def cumulated(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
+    """counts (keys, value, n and more; no nulls) with upto and total: the rows of its keys up to and with the value, and all of them.
+
+    Rows are dealt to ranges by keys and value, so neither a large group nor the whole table is in one task. What comes before
+    a range is a sum over the few rows that describe ranges. A value can have several rows.
+    """
+    ranged = checkpointed(counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()))
+    parts = ranged.groupBy("_p", *keys).agg(F.sum(n).alias("_n"))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # as many rows as ranges
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = checkpointed(parts.select("_p", *keys, before.alias("_b"), F.sum("_n").over(own).alias("total")))
+    few = parts.limit(FEW + 1).count() <= FEW
+    running = F.sum(n).over(Window.partitionBy("_p", *keys).orderBy(value))
+    rows = ranged.join(F.broadcast(parts) if few else parts, ["_p", *keys])
+    return rows.withColumn("upto", F.col("_b") + running).drop("_p", "_b")
+
+
+def quantiles_by(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], **more: Column) -> DataFrame:
+    """keys, n and the interpolated quantiles of each group's values under the names in shares, as percentile() gives them.
+
+    more: aggregates over value and n, the counted values of a group. Null and NaN values don't count.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
-    ranged = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p").agg(F.min(value).alias("_lo"), F.sum("ties").alias("_n"))
-    rows = sorted((r["_lo"], r["_n"]) for r in sums.collect())  # one row a partition
-    before, offsets = 0, []
-    for low, n in rows:
-        offsets.append((low, before))
-        before += n
-    part = sum((F.when(F.col(value) >= F.lit(low), 1).otherwise(0) for low, _ in offsets[1:]), F.lit(0)) if offsets else F.lit(0)
-    base = F.array(*(F.lit(b).cast("long") for _, b in offsets or [(0, 0)]))
-    placed = counts.withColumn("_p", part)
-    running = F.sum("ties").over(Window.partitionBy("_p").orderBy(value))
-    return placed.select(value, "ties", (base[F.col("_p")] + running - (F.col("ties") - 1) / 2).alias("rank"))
+    counts = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    placed_counts = cumulated(counts, keys, value)
+    at = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in shares.items()}
+    holds = lambda place: (place < F.col("upto")) & (place >= F.col("upto") - F.col("n"))
+    ends = [F.max(F.when(holds(f(at[name])), F.col(value))).alias(f"_{side}{k}") for k, name in enumerate(shares) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = placed_counts.groupBy(*keys).agg(F.max("total").alias("_total"), *ends, *(c.alias(name) for name, c in more.items())).withColumnRenamed("_total", "total")
+    mixed = {}
+    for k, name in enumerate(shares):
+        low, high, part = F.col(f"_lo{k}"), F.col(f"_hi{k}"), at[name] - F.floor(at[name])
+        mixed[name] = F.when(low == high, low).otherwise((1 - part) * low + part * high)
+    return found.select(*keys, F.col("total").alias("n"), *(c.alias(name) for name, c in mixed.items()), *more)
+
+
+def tied_ranks(counts: DataFrame, value: str, n: str = "n") -> DataFrame:
+    """counts with ties (rows with the value) and rank (average) of the value among all rows; a value can have several rows."""
+    rows = cumulated(counts, [], value, n).withColumn("ties", F.sum(n).over(Window.partitionBy(value)))
+    return rows.withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2).drop("upto", "total")
+
+
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """value, ties and rank (average) of each distinct value."""
+    return tied_ranks(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")), value).select(value, "ties", "rank")
 
 
 def ranked(df: DataFrame, value: str) -> DataFrame:

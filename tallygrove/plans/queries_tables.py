@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import describe, profile, quality, quantiles
+from ..operators import describe, profile, quality, quantiles, ranks
 from ..sources import tables
 from .registry import query, table
 
@@ -296,23 +295,6 @@ def _(spark, d):
     return describe.ranked(table(spark, d, "lineitem"), keys, [F.col("l_orderkey"), F.col("l_linenumber")], 1).select(*keys, "l_orderkey", "l_linenumber")
 
 
-def thinned(df, order: str, most: int = 1200):
-    """At most so many rows, evenly spaced in an order; the first and the last stay. Positions come from counts by range."""
-    n = df.count()
-    if n <= most:
-        return df
-    parts = df.select(order).repartitionByRange(order).groupBy(F.spark_partition_id().alias("p")).agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("c"))
-    lows = sorted((r.lo, r.c) for r in parts.collect())
-    edges, before = [lo for lo, _ in lows], [0]
-    for _, c in lows:
-        before.append(before[-1] + c)
-    part = sum((F.when(F.col(order) >= F.lit(lo), 1).otherwise(0) for lo in edges[1:]), F.lit(0))
-    ranked = df.withColumn("_p", part).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.array(*map(F.lit, before))[F.col("_p")])
-    step = F.lit((n - 1) / (most - 1))
-    nearest = F.round(F.col("_k") / step)
-    return ranked.where(F.floor(nearest * step + 1e-9) == F.col("_k")).drop("_p", "_k")
-
-
-@query("thinned", "with r as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as k, count(*) over () as n from orders) select o_orderkey from r where floor(round(k / ((n - 1) / 1199)) * ((n - 1) / 1199) + 1e-9) = k")
+@query("thinned", "select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as k from orders) where k in (select (i * (n - 1)) // 1199 from range(1200) t(i), (select count(*) as n from orders))")
 def _(spark, d):
-    return thinned(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return ranks.thinned(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])

@@ -195,7 +195,7 @@ def test_quantiles_narrow_to_the_exact_values(spark, monkeypatch):
     for c, v in (("a", x), ("b", tied), ("c", np.arange(0, 4000, 3))):
         assert found[c] == pytest.approx(np.quantile(v, shares).tolist())
     assert quantiles.quantiles(df.where("false"), {"a": F.col("a")}, [0.5]) == {"a": [None]}
-    assert {r.column: r.mode for r in quantiles.modes(df, {"b": F.col("b"), "c": F.col("c")}).collect()} == {"b": 2.0, "c": 0.0}
+    assert {r.column: r.mode for r in quantiles.per_value(df, {"b": F.col("b"), "c": F.col("c")}, {"q": 0.5}, mode=True).collect()} == {"b": 2.0, "c": 0.0}
 
 
 def test_wilcoxon_counts_all_pairs(spark):
