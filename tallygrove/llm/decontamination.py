@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import checkpointed, discard
 from ._text import Words, bounded_batches, sliced, unused
 
 SHARD_WORDS, SHARD_BYTES, BLOCK_WORDS = 1 << 19, 8 << 20, 2_000_000
@@ -317,7 +318,11 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         last = k == blocks - 1
         fields = [f for f in marked.schema.fields if f.name not in carried and (f.name != text_col or keep_text or not last)]
         more = zip(results, (T.LongType(), T.LongType(), *reversed(types)), strict=True) if last else zip(carried, types, strict=True)
-        marked = marked.mapInArrow(_marker(part, window, text_col, last, keep_text, carried, results), T.StructType(fields + [T.StructField(n, t) for n, t in more]))
+        before, marked = marked, marked.mapInArrow(_marker(part, window, text_col, last, keep_text, carried, results), T.StructType(fields + [T.StructField(n, t) for n, t in more]))
+        if not last:  # written, so that the driver and the plan hold one block at a time
+            marked = checkpointed(marked)
+            if k:
+                discard(before)
     return marked
 
 

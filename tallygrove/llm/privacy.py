@@ -9,9 +9,10 @@ their occurrences are spans too, which redaction generalises.
 
 Time is linear in a text but for sorting its spans, whatever digits or addresses it holds.
 
-Scale: three passes over the documents without a shuffle of texts: candidates, their document counts, and
-marking. What is shuffled are counts. Terms go to the tasks in blocks of at most BLOCK, further blocks
-are further passes chained on the same rows, so nothing that is broadcast outgrows its bound.
+Scale: three passes over the documents: candidates, their document counts, and marking. What is shuffled are counts.
+Up to BLOCK terms go to the tasks as an array. More stay in a table: words that a Bloom filter of SIEVE bits lets through are
+joined with it, once for each distinct text, for the counts as for the marks; then a text is shuffled once to meet its terms. So nothing that is broadcast
+or sent to the driver outgrows its bound, and the passes don't grow with the terms.
 
 Defined cases: a null text is empty and has no span (redaction leaves it null); equal rows each get their own
 result; terms that stand in too few different texts give no span; an empty table gives no rows; very long texts are
@@ -35,6 +36,7 @@ from ..plans.lineage import checkpointed
 from ._text import Words, bounded_batches, sliced, text_bytes, unused
 
 NEAR, LEAST_LENGTH, TEXTS, DISCLOSURE, BLOCK = 5, 3, 3, 0.9, 1_000_000
+SIEVE = 1 << 25
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -160,28 +162,68 @@ def _contexts(near: int, least_length: int):
     return run
 
 
-def _counter(terms: np.ndarray):
+def _known(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted terms."""
+    return terms[np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)] == hashes if len(terms) else np.zeros(len(hashes), bool)
+
+
+def _few(terms: DataFrame, block: int) -> np.ndarray | None:
+    """The term hashes, sorted; None if there are more than block."""
+    values = terms.select("term").limit(block + 1).toPandas()["term"].to_numpy(np.int64)
+    return np.sort(values.view(np.uint64)) if len(values) <= block else None
+
+
+def _sieve(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter of the terms, with one bit for each; some tasks send SIEVE bits each."""
+
+    def bits(batches):
+        found = np.zeros(SIEVE, bool)
+        for batch in batches:
+            found[batch.column(0).to_numpy().view(np.uint64) % np.uint64(SIEVE)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], names=["bits"])
+
+    rows = terms.select("term").coalesce(4).mapInArrow(bits, "bits binary").collect()
+    return np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in rows] or [np.zeros(SIEVE // 8, np.uint8)])
+
+
+def _passed(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(SIEVE)
+    return (sieve[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def _distinct(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((term, row))
+    row, term = row[order], term[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else np.zeros(0, bool)
+    return row[new], term[new]
+
+
+def _counter(keep):
+    """term, df: how many texts of a task hold each word that keep lets through; in parts of some hundred thousand terms."""
+
     def run(batches):
-        sums = np.zeros(len(terms), np.int64)
+        held: list[np.ndarray] = []
+        names, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in sliced(batches):
             words = Words(batch.column(0))
-            at = np.minimum(np.searchsorted(terms, words.hash), len(terms) - 1)
-            known = terms[at] == words.hash
-            pair = np.unique(words.row[known] * len(terms) + at[known])
-            sums += np.bincount(pair % len(terms), minlength=len(terms))
-        seen = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(terms[seen].view(np.int64)), pa.array(sums[seen])], names=["term", "df"])
+            hit = keep(words.hash)
+            held.append(_distinct(words.row[hit], words.hash[hit])[1])
+            if sum(map(len, held)) > 1 << 20:
+                names, sums = _summed(names, sums, held)
+                held = []
+            if len(names) > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sums)], names=["term", "df"])
+                names, sums = names[:0], sums[:0]
+        names, sums = _summed(names, sums, held)
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sums)], names=["term", "df"])
 
     return run
 
 
-def _blocks(terms: DataFrame, block: int):
-    """The term hashes, sorted, in arrays of about block at most."""
-    n = -(-terms.count() // block)
-    for k in range(n):
-        values = terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k).select("term").toPandas()["term"]
-        if len(values):
-            yield np.sort(values.to_numpy(np.int64).view(np.uint64))
+def _summed(names: np.ndarray, sums: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate([names, *more])
+    kinds, place = np.unique(every, return_inverse=True)
+    return kinds, np.bincount(place, weights=np.concatenate([sums, np.ones(len(every) - len(names))]), minlength=len(kinds)).astype(np.int64)
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", texts: int = TEXTS, disclosure: float = DISCLOSURE, block: int = BLOCK, near: int = NEAR, least_length: int = LEAST_LENGTH) -> DataFrame:
@@ -195,13 +237,13 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", texts: int = TEXTS
     by_text = found.groupBy("term", "entity", "text").agg(F.count(F.lit(1)).alias("n"))
     pairs = checkpointed(by_text.groupBy("term", "entity").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("texts")))
     candidates = checkpointed(pairs.where((F.col("term") != 0) & (F.col("texts") >= texts)))
-    counts = None
-    for terms in _blocks(candidates.select("term").distinct(), block):
-        part = rows.mapInArrow(_counter(terms), "term long, df long")
-        counts = part if counts is None else counts.union(part)
-    if counts is None:
+    wanted = candidates.select("term").distinct()
+    terms = _few(wanted, block)
+    if terms is not None and not len(terms):
         return candidates.select("term").limit(0)
-    counts = counts.groupBy("term").agg(F.sum("df").alias("df"))
+    sieve = _sieve(candidates) if terms is None else None
+    keep = (lambda h: _passed(sieve, h)) if terms is None else (lambda h: _known(terms, h))
+    counts = rows.mapInArrow(_counter(keep), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     entities = pairs.where("term = 0").select("entity", F.col("c").alias("mentions"))
     total = F.lit(float(max(2, docs.count())))
     found = candidates.join(counts, "term").join(entities, "entity")
@@ -227,45 +269,58 @@ def _term_spans(terms: np.ndarray, words: Words, spans: dict[int, list]) -> dict
     return found
 
 
-def _marked(terms: np.ndarray, first: bool, text_col: str, carried: str, finish=None):
-    """Adds spans of terms, and base spans at first, to the column carried (triples start, kind, end, flat)."""
+def _marked(terms: np.ndarray | None, text_col: str, own_terms: str | None, finish):
+    """finish(batch, texts, spans) with the spans of base kinds and of terms, by row; own_terms names a column with each row's terms."""
 
     def run(batches):
         for batch in sliced(batches, column=text_col):
             column = batch.column(batch.schema.get_field_index(text_col))
-            spans: dict[int, list] = {}
-            if first:
-                suspects = _suspects(column)
-                for k, text in zip(suspects.tolist(), column.take(pa.array(suspects)).to_pylist(), strict=True):
-                    if own := base_spans(text):
-                        spans[k] = own
-            else:
-                for k, flat in enumerate(batch.column(batch.schema.get_field_index(carried)).to_pylist()):
-                    if flat:
-                        spans[k] = [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
-            if len(terms):
-                for k, own in _term_spans(terms, Words(column), spans).items():
-                    spans[k] = sorted(spans.get(k, []) + own)
-            yield finish(batch, column, spans) if finish else _with(batch, spans, carried)
+            suspects, spans = _suspects(column), {}
+            for k, text in zip(suspects.tolist(), column.take(pa.array(suspects)).to_pylist(), strict=True):
+                if own := base_spans(text):
+                    spans[k] = own
+            found = {}
+            if own_terms:
+                lists = batch.column(batch.schema.get_field_index(own_terms))
+                some = np.flatnonzero(np.array(lists.is_valid()))
+                if len(some):
+                    words, known = Words(column.take(pa.array(some))), np.sort(lists.flatten().to_numpy().view(np.uint64))
+                    moved = {k: spans[row] for k, row in enumerate(some.tolist()) if row in spans}
+                    # a term of one text is a term in all, so the batch's terms are looked up at once
+                    found = {int(some[k]): own for k, own in _term_spans(known, words, moved).items()}
+            elif len(terms):
+                found = _term_spans(terms, Words(column), spans)
+            for k, own in found.items():
+                spans[k] = sorted(spans.get(k, []) + own)
+            yield finish(batch, column, spans)
 
     return run
 
 
-def _with(batch: pa.RecordBatch, spans: dict[int, list], carried: str) -> pa.RecordBatch:
-    flat = pa.array([[x for s in spans.get(k, ()) for x in s] for k in range(batch.num_rows)], pa.list_(pa.int64()))
-    kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != carried]
-    return pa.RecordBatch.from_arrays([*(c for _, c in kept), flat], names=[*(n for n, _ in kept), carried])
+def _emitted(sieve: np.ndarray):
+    """k1, k2, term of the words of each text that pass the sieve, once for a text."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            words = Words(batch.column(0))
+            hit = _passed(sieve, words.hash)
+            row, term = _distinct(words.row[hit], words.hash[hit])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in (1, 2)), pa.array(term.view(np.int64))], names=["k1", "k2", "term"])
+
+    return run
 
 
 def _applied(docs: DataFrame, terms: DataFrame | None, text_col: str, finish, schema: T.StructType, block: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    blocks = list(_blocks(terms, block)) if terms is not None else []
-    blocks = blocks or [np.zeros(0, np.uint64)]
-    carried = unused("_spans", docs.columns)
-    between = T.StructType(docs.schema.fields + [T.StructField(carried, T.ArrayType(T.LongType()))])
-    for k, part in enumerate(blocks[:-1]):
-        docs = docs.mapInArrow(_marked(part, k == 0, text_col, carried), between)
-    return docs.mapInArrow(_marked(blocks[-1], len(blocks) == 1, text_col, carried, finish), schema)
+    few = _few(terms, block) if terms is not None else np.zeros(0, np.uint64)
+    if few is not None:
+        return docs.mapInArrow(_marked(few, text_col, None, finish), schema)
+    names = [unused(n, docs.columns) for n in ("_k1", "_k2", "_terms")]
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({names[0]: F.xxhash64(text), names[1]: F.xxhash64(F.lit(1), text)})
+    words = keyed.select(text.alias("text"), names[0], names[1]).where("text is not null").mapInArrow(_emitted(_sieve(terms)), "k1 long, k2 long, term long")
+    own = words.distinct().join(terms.select("term").distinct(), "term").groupBy(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])).agg(F.collect_list("term").alias(names[2]))
+    return keyed.join(own, names[:2], "left").select(*docs.columns, names[2]).mapInArrow(_marked(None, text_col, names[2], finish), schema)
 
 
 def _listed(spans: list[tuple]) -> str:

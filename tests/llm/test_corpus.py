@@ -362,7 +362,7 @@ def test_disclosing_terms_are_marked(spark):
     rows = [(k, f"filler{k} about zanzibarplan mail boss.x@corp.example now filler{k}a") for k in range(6)]
     rows += [(100 + k, f"plain words here number {k} about now mail") for k in range(60)] + [(999, "é zanzibarplan alone"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_spans", F.lit(1)).withColumn("term", F.lit("x"))
-    for block in (1_000_000, 1):
+    for block in (1_000_000, 1, 0):
         terms = privacy.disclosing_terms(docs, block=block)
         found = {r.doc_id: r.spans for r in privacy.find_personal_data(docs, terms, block=block).collect()}
         assert found[999] == "term:2:14" and found[100] == "" and found[None] == ""
