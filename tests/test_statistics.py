@@ -422,7 +422,7 @@ def test_knn_in_blocks_and_with_nulls(spark):
         near = sorted((abs(x - v), i, n) for i, v, n in data[:150])[:5]
         votes = [n for _, _, n in near]
         want[k] = min(set(votes), key=lambda n: (-votes.count(n), n))
-    assert {r.k: r.prediction for r in learning.knn_classify(train, test, ["x"], "l", "k", block=16).collect()} == want
+    assert {r.k: r.prediction for r in learning.knn_classify(train, test, ["x"], "l", "k", cell=16).collect()} == want
     assert learning.knn_classify(train.where("false"), test, ["x"], "l", "k").count() == 0
 
 
