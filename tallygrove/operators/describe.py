@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import to_number
+from ..plans.lineage import checkpointed
 from .quantiles import per_value
 
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
@@ -100,10 +101,25 @@ def missing_pattern(df: DataFrame) -> DataFrame:
     return df.groupBy(sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0)).alias("missing_columns")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """rows, columns and duplicates (rows beyond the first of their kind)."""
-    kinds = df.groupBy(F.struct(*df.columns).alias("row")).agg(F.count(F.lit(1)).alias("n"))
-    return kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+def duplicate_rows(df: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """rows, columns and duplicates (rows beyond the first of their kind).
+
+    Two hashes of each row are counted, so 16 bytes a row are shuffled; rows are compared whole only where a pair of hashes repeats.
+    """
+    absent = F.array(*(F.col(f"`{c}`").isNull() for c in df.columns))  # hashes pass over nulls
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    marks = [F.xxhash64(absent, *columns).alias("_h1"), F.xxhash64(F.lit(1), *columns, absent).alias("_h2")]
+    kinds = df.select(*marks).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("rows"))
+    again = checkpointed(kinds.where("n > 1").select("_h1", "_h2"))
+    count = again.limit(few + 1).count()
+    if count:
+        held = F.broadcast(again) if count <= few else again
+        same = df.select("*", *marks).join(held, ["_h1", "_h2"], "left_semi").groupBy(F.struct(*columns).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+        more = same.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    else:
+        more = df.sparkSession.createDataFrame([(0,)], "duplicates long")
+    return total.crossJoin(F.broadcast(more)).select("rows", F.lit(len(df.columns)).cast("long").alias("columns"), "duplicates")
 
 
 def dtype_summary(df: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mc
-from pyspark.ml import clustering as mk
 from pyspark.ml import regression as mr
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,10 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamped, to_number
-from ..plans.lineage import checkpointed
+from ..plans.lineage import checkpointed, discard
+from .clusters import isolation_forest, lloyd, nearest_centre, silhouette, silhouette_squared
 from .describe import NUMERIC
 from .neighbours import dbscan, knn_classify
 from .quantiles import rounded_place, values_at
+from .ranks import permuted, placed
 
 #: What each preset stands for; fixed values.
 PRESETS = {
@@ -42,8 +43,31 @@ ALIASES = {
 }
 #: What MLlib trains in place of a model that it lacks.
 INSTEAD = {"extra_trees": "random_forest", "hist_gradient_boosting": "gradient_boosting", "xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "catboost": "gradient_boosting"}
-SCORING = {"rmse": "rmse", "neg_root_mean_squared_error": "rmse", "mae": "mae", "neg_mean_absolute_error": "mae", "r2": "r2", "accuracy": "accuracy", "f1": "f1", "f1_weighted": "f1", "precision": "precision", "precision_weighted": "precision", "recall": "recall", "recall_weighted": "recall"}
-LEAST_ROWS, MOST_FOLDS = 10, 10
+#: Names that tasks and scorings go by, and the scoring where none is named; fixed values.
+TASKS = {
+    "outlier": "anomaly", "outlier_detection": "anomaly", "dim_reduction": "dimension_reduction", "dimensionality_reduction": "dimension_reduction",
+    "time_series": "timeseries", "forecast": "timeseries",
+}
+SCORING = {
+    "regression": {
+        "r2": "r2", "mae": "neg_mean_absolute_error", "neg_mae": "neg_mean_absolute_error", "neg_mean_absolute_error": "neg_mean_absolute_error",
+        "mse": "neg_mean_squared_error", "neg_mse": "neg_mean_squared_error", "neg_mean_squared_error": "neg_mean_squared_error",
+        "rmse": "neg_root_mean_squared_error", "neg_rmse": "neg_root_mean_squared_error", "neg_root_mean_squared_error": "neg_root_mean_squared_error",
+    },
+    "classification": {
+        "accuracy": "accuracy", "f1": "f1_weighted", "f1_weighted": "f1_weighted", "precision": "precision_weighted", "precision_weighted": "precision_weighted",
+        "recall": "recall_weighted", "recall_weighted": "recall_weighted",
+    },
+}
+DEFAULT_SCORING = {"regression": "r2", "classification": "accuracy"}
+#: The metric that each scoring is made of, and its sign.
+METRIC_OF = {
+    "r2": ("r2", 1), "neg_mean_absolute_error": ("mae", -1), "neg_mean_squared_error": ("mse", -1), "neg_root_mean_squared_error": ("rmse", -1),
+    "accuracy": ("accuracy", 1), "f1_weighted": ("f1", 1), "precision_weighted": ("precision", 1), "recall_weighted": ("recall", 1),
+}
+#: Metrics by which a task's result is judged, the first that there is.
+PRIMARY = {"regression": ("r2",), "classification": ("accuracy",), "clustering": ("silhouette",), "anomaly": ("outlier_ratio",), "timeseries": ("mae",), "dimension_reduction": ("ratio",)}
+LEAST_REGRESSION, LEAST_CLUSTERING, MANY_CLASSES = 8, 3, 50
 
 
 class LearningError(ValueError):
@@ -65,6 +89,16 @@ class MLResult:
     importance: DataFrame | None = None
     fitted: object = None
     warnings: list[str] = field(default_factory=list)
+    contract: DataFrame | None = None  # metric, value, goal, is_primary
+
+
+@dataclass
+class CVResult:
+    """Scores of the folds, their one-row summary, and what was adjusted."""
+
+    scores: DataFrame
+    summary: DataFrame
+    warnings: list[str] = field(default_factory=list)
 
 
 # features and splits
@@ -118,7 +152,7 @@ def holdout(df: DataFrame, key: list[str] | str, share: float = 0.2, seed: int =
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """df with fold 0..k-1 by a hash of the key; with stratify each fold has its share of each class, to within one row."""
-    k = int(clamped(k, 2, MOST_FOLDS, 5))
+    k = max(2, int(k))
     place = _place([key], F.lit(seed), F.lit("fold"))
     if not stratify:
         return df.withColumn("fold", F.floor(place * k).cast("int"))
@@ -131,7 +165,7 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | N
 
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
     e, y = F.col(actual) - F.col(predicted), F.col(actual).cast("double")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.coalesce(1 - F.try_divide(F.avg(e * e), F.var_pop(y)), F.lit(0.0)).alias("r2"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.coalesce(1 - F.try_divide(F.avg(e * e), F.var_pop(y)), F.lit(0.0)).alias("r2"))
 
 
 def residual_summary(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
@@ -166,7 +200,7 @@ def classification_metrics(df: DataFrame, actual: str = "actual", predicted: str
     return rows.agg((F.sum("hit") / F.sum("support")).alias("accuracy"), weighted("p").alias("precision"), weighted("r").alias("recall"), weighted("f").alias("f1"))
 
 
-GOALS = {"r2": "higher", "mae": "lower", "rmse": "lower", "mape": "lower", "accuracy": "higher", "precision": "higher", "recall": "higher", "f1": "higher", "silhouette": "higher", "inertia": "lower"}
+GOALS = {"r2": "higher", "mae": "lower", "mse": "lower", "rmse": "lower", "outlier_ratio": "lower", "noise": "lower", "ratio": "higher", "mape": "lower", "accuracy": "higher", "precision": "higher", "recall": "higher", "f1": "higher", "silhouette": "higher", "inertia": "lower"}
 
 
 def metric_contract(metrics: DataFrame, primary: str) -> DataFrame:
@@ -204,7 +238,7 @@ def _estimator(task: str, model: str, o: dict, size: int, classes: int):
     }
     known = regression if task == "regression" else classification
     if model not in known:
-        raise LearningError("ML_MODEL_UNKNOWN", f"no {task} model {model!r}")
+        raise LearningError("ML_MODEL_INVALID", f"no {task} model {model!r}")
     return known[model]()
 
 
@@ -215,7 +249,7 @@ class AdaBoost:
         self.rounds, self.depth, self.seed, self.trees = rounds, depth, seed, []
 
     def fit(self, rows: DataFrame, classes: int) -> AdaBoost:
-        rows, self.classes = checkpointed(rows.withColumn("_w", F.lit(1.0))), classes
+        rows, self.classes, names = checkpointed(rows.withColumn("_w", F.lit(1.0))), classes, rows.columns
         for _ in range(self.rounds):
             tree = mc.DecisionTreeClassifier(maxDepth=self.depth, weightCol="_w", seed=self.seed).fit(rows)
             scored = tree.transform(rows).withColumn("_miss", (F.col("prediction") != F.col("label")).cast("double"))
@@ -226,7 +260,9 @@ class AdaBoost:
             alpha = float(np.log((1 - error) / error) + np.log(classes - 1))
             self.trees.append((alpha, tree))
             total = s.w + (np.exp(alpha) - 1) * s.e
-            rows = checkpointed(scored.select(*(c for c in rows.columns if c != "_w"), (F.col("_w") * F.exp(alpha * F.col("_miss")) / F.lit(total)).alias("_w")))
+            before, rows = rows, checkpointed(scored.select(*names, (F.col("_w") * F.exp(alpha * F.col("_miss")) / F.lit(total)).alias("_w")))
+            discard(before)
+        discard(rows)
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -254,19 +290,60 @@ def _voted(rows: DataFrame, fitted: list, task: str) -> DataFrame:
     return out.withColumn("probability", F.transform(total, lambda x: x / len(parts))).withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
 
 
-def calibrated(train: DataFrame, test: DataFrame, key: str, method: str = "sigmoid", k: int = 3, trees: int = 40) -> DataFrame:
-    """test with a calibrated probability of label 1: out-of-fold forest scores go to a logistic or isotonic map."""
-    rows, scores = folds(train, key, k), None
+def calibrated(train: DataFrame, test: DataFrame, key: str, method: str = "sigmoid", k: int = 3, trees: int = 40, classes: int = 2) -> DataFrame:
+    """test with probabilities of all classes, prediction and calibrated: the probability of label 1 of two, else of the predicted class.
+
+    Out-of-fold forest scores of each class go to a logistic or isotonic map of its own; with more than two classes the maps' values are
+    divided by their sum (all equal, if that is 0).
+    """
+    rows, scores = folds(train, key, k, stratify="label"), None
     forest = mc.RandomForestClassifier(numTrees=trees, seed=42)
+    of = [1] if classes == 2 else list(range(classes))
+    columns = lambda: [vector_to_array("probability")[c].cast("double").alias(f"_s{c}") for c in of]
     for f in range(k):
-        part = forest.fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f)).select("label", vector_to_array("probability")[1].alias("score"))
+        part = forest.fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f)).select("label", *columns())
         scores = part if scores is None else scores.union(part)
-    scored = forest.fit(rows).transform(test).withColumn("score", vector_to_array("probability")[1]).drop("features", "probability", "rawPrediction", "prediction")
-    made = VectorAssembler(inputCols=["score"], outputCol="features")
-    if method == "isotonic":
-        return mr.IsotonicRegression(featuresCol="score").fit(scores.withColumn("score", F.col("score").cast("double"))).transform(scored).withColumnRenamed("prediction", "calibrated").withColumn("prediction", (F.col("calibrated") >= 0.5).cast("double"))
-    fitted = mc.LogisticRegression().fit(made.transform(scores))
-    return fitted.transform(made.transform(scored)).withColumn("calibrated", vector_to_array("probability")[1])
+    scores = checkpointed(scores)
+    out = forest.fit(rows).transform(test).select(*(c for c in test.columns if c != "features"), *columns())
+    for c in of:
+        own = scores.select((F.col("label") == c).cast("double").alias("label"), F.col(f"_s{c}"))
+        if method == "isotonic":
+            out = mr.IsotonicRegression(featuresCol=f"_s{c}", predictionCol=f"_p{c}").fit(own).transform(out)
+        else:
+            fitted = mc.LogisticRegression().fit(VectorAssembler(inputCols=[f"_s{c}"], outputCol="features").transform(own))
+            out = out.withColumn(f"_p{c}", 1 / (1 + F.exp(-(F.col(f"_s{c}") * float(fitted.coefficients[0]) + float(fitted.intercept)))))
+    if classes == 2:
+        probabilities = F.array(1 - F.col("_p1"), F.col("_p1"))
+    else:
+        total = sum((F.col(f"_p{c}") for c in of), F.lit(0.0))
+        probabilities = F.array(*(F.when(total > 0, F.col(f"_p{c}") / total).otherwise(1.0 / classes) for c in of))
+    out = out.withColumn("probabilities", probabilities).drop(*(f"_{x}{c}" for c in of for x in "sp"))
+    best = F.col("probabilities")[1] >= 0.5 if classes == 2 else F.array_position("probabilities", F.array_max("probabilities")) - 1
+    shown = F.col("probabilities")[1] if classes == 2 else F.array_max("probabilities")
+    return out.withColumns({"calibrated": shown, "prediction": best.cast("double")})
+
+
+def scoring_of(task: str, name: str | None) -> str:
+    """The scoring that a name stands for in a task; the task's own without a name."""
+    known, name = SCORING[task], (name or "").strip().lower() or DEFAULT_SCORING[task]
+    found = known.get(name, name)
+    if found not in known.values():
+        raise LearningError("ML_SCORING_INVALID", f"no {task} scoring {name!r}; there are {', '.join(sorted(set(known.values())))}")
+    return found
+
+
+def _least_class(rows: DataFrame, target: str) -> int:
+    return rows.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).first().m or 0
+
+
+def _checked(df: DataFrame, columns: list[str] | None, chosen: list[str], target: str | None) -> None:
+    """Raises an error if columns were named that aren't there, if there are none, or if no row is complete enough."""
+    if missing := [c for c in columns or () if c not in df.columns]:
+        raise LearningError("ML_FEATURES_NOT_FOUND", f"no columns {', '.join(missing)}")
+    if not chosen:
+        raise LearningError("ML_FEATURES_REQUIRED", "no column to learn from")
+    if df.na.drop(subset=[target] if target else chosen).isEmpty():
+        raise LearningError("ML_EMPTY_AFTER_CLEAN", "no row has the values that it takes")
 
 
 def train(df: DataFrame, task: str, model: str, target: str, columns: list[str] | None = None, key: str | None = None, **options) -> MLResult:
@@ -275,11 +352,10 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
     task is regression or classification, or one of timeseries, clustering, dimension_reduction and anomaly, which need no
     target but a time series' and give their own tables as predictions. scoring names the primary metric.
     """
-    scoring = options.get("scoring")
-    if scoring is not None and scoring not in SCORING:
-        raise LearningError("ML_SCORING_INVALID", f"no scoring {scoring!r}")
+    task, scoring = TASKS.get(task, task), options.get("scoring")
     if task not in ("regression", "classification"):
         return _without_target(df, task, ALIASES.get(model, model), target, columns, key, options)
+    scoring = scoring_of(task, scoring) if scoring is not None else None
     if target not in df.columns:
         raise LearningError("ML_TARGET_REQUIRED", f"no column {target!r}")
     if target in ("label", "actual", "prediction", "features"):  # names that fitting and scoring add
@@ -290,19 +366,22 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
         warnings.append(f"{asked} is trained as {model}.")
     if options.get("preset", "balanced") not in PRESETS:
         warnings.append("An unknown preset is taken as balanced.")
-    if df.where(F.col(target).isNotNull()).limit(LEAST_ROWS).count() < LEAST_ROWS:
-        raise LearningError("ML_TOO_FEW_ROWS", f"training needs {LEAST_ROWS} rows with a target")
     options = options | {"asked": asked}
     columns = columns or [f.name for f in df.schema if f.name not in (target, key) and isinstance(f.dataType, NUMERIC)]
+    _checked(df, columns, columns, target)
     rows, _, names = features(df, columns, target)
     if task == "regression":
-        rows, labels = rows.withColumn("label", to_number(F.col(target))), None
+        rows, labels = rows.withColumn("label", to_number(F.col(target))).where("label is not null"), None
+        if rows.limit(LEAST_REGRESSION).count() < LEAST_REGRESSION:
+            raise LearningError("ML_TOO_FEW_ROWS", f"regression needs {LEAST_REGRESSION} rows with a number")
     else:
         indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
         rows, labels = indexer.transform(rows), indexer.labels
     classes = len(labels) if labels else 0
     if task == "classification" and classes < 2:
-        raise LearningError("ML_TARGET_CONSTANT", "the target has one class")
+        raise LearningError("ML_CLASS_LABELS_REQUIRED", "the target has fewer than two classes")
+    if classes > MANY_CLASSES:
+        warnings.append(f"{classes} classes make metrics unstable.")
     fit_rows, test = holdout(rows, key or columns, options.get("test_share", 0.2), stratify="label" if labels else None)
     if model == "adaboost" and labels:
         fitted = AdaBoost(options.get("rounds", 10)).fit(fit_rows.select("features", "label"), classes)
@@ -313,10 +392,14 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
         near = knn_classify(fit_rows, test, columns, "label", "_key", options.get("k", 5))
         predicted = test.join(near.dropDuplicates(["_key"]).withColumn("prediction", F.col("prediction").cast("double")), "_key")
     elif model == "calibrated" and labels:
-        if classes != 2:
-            raise LearningError("ML_MODEL_INVALID", "calibration takes two classes")
+        least, k = _least_class(fit_rows, "label"), max(2, int(options.get("folds", 3)))
+        if least < 2:
+            raise LearningError("ML_TOO_FEW_ROWS", "calibration needs two rows of each class to fit")
+        if k > least:
+            k = least
+            warnings.append(f"Calibration takes {k} folds, as the smallest class has no more rows.")
         numbered = fit_rows.withColumn("_key", F.xxhash64(*([key] if key else columns)))
-        fitted, predicted = None, calibrated(numbered, test, "_key", options.get("method", "sigmoid"))
+        fitted, predicted = None, calibrated(numbered, test, "_key", options.get("method", "sigmoid"), k, options.get("trees", 40), classes)
     elif model == "voting":
         options = {"trees": 40} | options
         members = ["linear", "decision_tree", "random_forest"] if task == "regression" else ["logistic", "decision_tree", "random_forest"]
@@ -332,28 +415,40 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
     else:
         predicted = predicted.withColumn("actual", F.col("label"))
         metrics = regression_metrics(predicted)
+    contract = metric_contract(metrics, METRIC_OF[scoring or DEFAULT_SCORING[task]][0])
     if scoring is not None:
-        metrics = metric_contract(metrics, SCORING[scoring])
-    return MLResult(task, model, metrics, predicted, importance(fitted, names, df) if fitted is not None else None, fitted, warnings)
+        metrics = contract
+    return MLResult(task, model, metrics, predicted, importance(fitted, names, df) if fitted is not None else None, fitted, warnings, contract)
 
 
 def _without_target(df: DataFrame, task: str, model: str, target: str | None, columns: list[str] | None, key: str | None, o: dict) -> MLResult:
     preset = PRESETS.get(o.get("preset", "balanced"), PRESETS["balanced"])
     columns = columns or [f.name for f in df.schema if f.name not in (target, key) and isinstance(f.dataType, NUMERIC)]
-    unknown = LearningError("ML_MODEL_UNKNOWN", f"no {task} model {model!r}")
+    unknown = LearningError("ML_MODEL_INVALID", f"no {task} model {model!r}")
+    if task not in PRIMARY:
+        raise LearningError("ML_TASK_INVALID", f"no task {task!r}")
+    ignored = ["Folds and scorings are for regression and classification."] if o.get("scoring") else []
     if task == "timeseries":
         from . import series
 
+        if not target:
+            raise LearningError("ML_TARGET_REQUIRED", "a series needs a target")
         if model not in ("naive", "seasonal_naive", "moving_avg", "exp_smoothing", "ar", "arima"):
             raise unknown
         extra = {n: o[n] for n in ("horizon", "window", "trend", "season", "lags", "difference") if n in o}
         found = checkpointed(series.forecast(df, o["time"], target, o.get("keys", []), "ar" if model == "arima" else model, **extra))
-        return MLResult(task, model, series.forecast_metrics(found, o.get("keys", [])), found)
-    if not columns:
-        raise LearningError("ML_FEATURES_REQUIRED", "no numeric column to learn from")
+        metrics = series.forecast_metrics(found, o.get("keys", []))
+        return MLResult(task, model, metrics, found, warnings=ignored, contract=metric_contract(metrics, "mae"))
+    _checked(df, columns, columns, None)
     if task == "clustering":
         if model == "kmeans":
-            rows, inertia, centres = kmeans(df, columns, o.get("k", 3), o.get("starts", preset["starts"]), o.get("seed", 42))
+            n, k = df.na.drop(subset=columns).count(), max(2, int(o.get("k", 3)))
+            if n < LEAST_CLUSTERING:
+                raise LearningError("ML_TOO_FEW_ROWS", f"clustering needs {LEAST_CLUSTERING} rows")
+            if k >= n:
+                k = max(2, n - 1)
+                ignored.append(f"There are rows for {k} clusters.")
+            rows, inertia, centres = kmeans(df, columns, k, o.get("starts", preset["starts"]), o.get("seed", 42))
             noise = F.lit(0).cast("long")
         elif model == "dbscan" and key:
             found = dbscan(df, key, columns, o.get("eps", 0.5), o.get("min_samples", 5))
@@ -363,27 +458,33 @@ def _without_target(df: DataFrame, task: str, model: str, target: str | None, co
             raise unknown
         rows = checkpointed(rows.drop("features"))
         counted = rows.agg(F.lit(inertia).cast("double").alias("inertia"), noise.alias("noise"), F.try_divide(noise, F.count(F.lit(1))).alias("noise_ratio"))
-        metrics = silhouette(rows.where("cluster >= 0"), columns).crossJoin(F.broadcast(counted))
-        return MLResult(task, model, metrics, rows, cluster_summary(rows), centres)
+        score = {"euclidean": silhouette, "squared": silhouette_squared}[o.get("silhouette", "euclidean")]
+        metrics = checkpointed(score(rows.where("cluster >= 0"), columns).crossJoin(F.broadcast(counted)))
+        if rows.where("cluster >= 0").select("cluster").distinct().limit(2).count() < 2:
+            ignored.append("There are fewer than two clusters.")
+        return MLResult(task, model, metrics, rows, cluster_summary(rows), centres, ignored, metric_contract(metrics, "silhouette"))
     if task == "dimension_reduction":
         if model != "pca":
             raise unknown
         rows, ratios, loadings = pca(df, columns, o.get("k", 2))
         best = Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")
         top = loadings.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
-        return MLResult(task, model, ratios, rows, top)
+        return MLResult(task, model, ratios, rows, top, warnings=ignored, contract=metric_contract(ratios.agg(F.sum("ratio").alias("ratio")), "ratio"))
     if task == "anomaly":
         share = o.get("contamination")
+        if share is not None and not 0 < share <= 0.5:
+            share = None
+            ignored.append("An invalid contamination is left out.")
         if model == "isolation_forest":
-            rows, score = isolation_forest(df, columns, share), "score"
+            rows, score = isolation_forest(df, columns, share, o.get("trees", preset["trees"]), key=[key] if key else None), "score"
         elif model == "autoencoder":
             rows, score = reconstruction_anomalies(df, columns, o.get("k", 1), share or 0.05), "error"
         else:
             raise unknown
         rows = checkpointed(rows)
         metrics = rows.agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("least"), F.avg(score).alias("mean"), F.max(score).alias("most"), F.avg(F.col("outlier").cast("int")).alias("outlier_ratio"))
-        return MLResult(task, model, metrics, rows)
-    raise LearningError("ML_TASK_UNKNOWN", f"no task {task!r}")
+        return MLResult(task, model, metrics, rows, warnings=ignored, contract=metric_contract(metrics, "outlier_ratio"))
+    raise unknown
 
 
 def importance(fitted, names: list[str], df: DataFrame, top: int = 20) -> DataFrame | None:
@@ -402,44 +503,75 @@ def importance(fitted, names: list[str], df: DataFrame, top: int = 20) -> DataFr
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(fitted, test: DataFrame, columns: list[str], assembler_input: list[str], score, repeats: int = 3, seed: int = 42) -> DataFrame:
-    """feature, mean, std of how much score(predictions) falls when one column is exchanged between rows.
+def _exchanged(n: int, seed: int):
+    @F.pandas_udf("long")
+    def place(p: pd.Series) -> pd.Series:
+        return pd.Series(permuted(p.to_numpy(np.int64), n, seed))
+
+    return place
+
 
-    A column is exchanged by joining each row's place to that of a shifted order within hashed groups.
+def permutation_importance(fitted, test: DataFrame, columns: list[str], assembler_input: list[str], score, repeats: int | None = None, seed: int = 42, most: int = 20) -> DataFrame:
+    """feature, mean, std of how much score(predictions) falls when one column is permuted over all rows; the largest means by size.
+
+    Repeats are 5 up to 1200 rows and 3 above, if not given. The rows have places 0 to n - 1 in the order of their values; a bijection of
+    places, other in each repeat, says from which row each takes its value, by one join for all columns.
     """
     assembler = VectorAssembler(inputCols=assembler_input, outputCol="features")
-    base = score(fitted.transform(assembler.transform(test.select("label", *assembler_input))))
-    rows = checkpointed(test.select("label", *assembler_input).withColumn("_id", F.monotonically_increasing_id()))
-    out = []
-    for c in columns:
-        drops = []
-        for r in range(repeats):
-            w = Window.partitionBy(F.pmod(F.xxhash64("_id", F.lit(seed + r)), F.lit(64))).orderBy(F.xxhash64("_id", F.lit(seed * 31 + r)), "_id")
-            first = F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-            mixed = rows.withColumn(c, F.coalesce(F.lead(c).over(w), first))
-            drops.append(base - score(fitted.transform(assembler.transform(mixed))))
-        out.append((c, float(np.mean(drops)), float(np.std(drops))))
-    return test.sparkSession.createDataFrame(sorted(out, key=lambda x: -x[1]), "feature string, mean double, std double")
-
-
-def cross_validate(df: DataFrame, task: str, model: str, target: str, columns: list[str], key: str, k: int = 5, **options) -> DataFrame:
-    """fold and its metrics."""
+    rows, n = placed(test.select("label", *assembler_input), [*assembler_input, "label"])
+    rows = checkpointed(rows)
+    repeats = repeats or (5 if n <= 1200 else 3)
+    base, drops = score(fitted.transform(assembler.transform(rows))), {c: [] for c in columns}
+    for r in range(repeats):
+        donors = rows.select(_exchanged(n, seed + r)("place").alias("place"), *(F.col(c).alias(f"_d{k}") for k, c in enumerate(columns)))
+        mixed = checkpointed(rows.join(donors, "place"))
+        for k, c in enumerate(columns):
+            drops[c].append(base - score(fitted.transform(assembler.transform(mixed.withColumn(c, F.col(f"_d{k}"))))))
+        discard(mixed)
+    out = sorted(((c, float(np.mean(d)), float(np.std(d))) for c, d in drops.items()), key=lambda x: -abs(x[1]))[:most]
+    return test.sparkSession.createDataFrame(out, "feature string, mean double, std double")
+
+
+def cross_validate(df: DataFrame, task: str, model: str, target: str, columns: list[str], key: str, k: int = 5, scoring: str | None = None, **options) -> CVResult:
+    """A score and all metrics of each fold, and their summary.
+
+    There are no more folds than rows, or than rows of the smallest class, which has to have two; folds are stratified by class.
+    """
+    scoring, warnings = scoring_of(task, scoring), []
+    _checked(df, columns, columns, target)
     rows, _, names = features(df, columns, target)
     labels = None
     if task == "classification":
         indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
         rows, labels = indexer.transform(rows), indexer.labels
+        if len(labels) < 2:
+            raise LearningError("ML_CLASS_LABELS_REQUIRED", "the target has fewer than two classes")
+        most, reason = _least_class(rows, "label"), "as the smallest class has no more rows"
     else:
-        rows = rows.withColumn("label", to_number(F.col(target)))
-    k, named = int(clamped(k, 2, MOST_FOLDS, 5)), ALIASES.get(model, model)
+        rows = rows.withColumn("label", to_number(F.col(target))).where("label is not null")
+        most, reason = rows.count(), "as there are no more rows"
+    if most < 2:
+        raise LearningError("ML_TOO_FEW_ROWS", "folds need two rows, of each class in a classification")
+    if k > most:
+        k = most
+        warnings.append(f"{k} folds are made, {reason}.")
+    named = ALIASES.get(model, model)
+    options = options | {"asked": named}
     rows, out = checkpointed(folds(rows.select("label", "features", key), key, k, stratify="label" if labels else None)), None
-    for f in range(k):
+    metric, sign = METRIC_OF[scoring]
+    for f in range(max(2, k)):
         fitted = _estimator(task, INSTEAD.get(named, named), options, len(names), len(labels or ())).fit(rows.where(F.col("fold") != f))
         predicted = fitted.transform(rows.where(F.col("fold") == f))
         metrics = regression_metrics(predicted, "label") if task == "regression" else classification_metrics(predicted, "label")
-        metrics = metrics.withColumn("fold", F.lit(f))
-        out = metrics if out is None else out.union(metrics)
-    return out
+        metrics = metrics.withColumns({"fold": F.lit(f), "score": F.col(metric) * sign})
+        out = metrics if out is None else out.unionByName(metrics)
+    scores = checkpointed(out)
+    return CVResult(scores, cv_summary(scores, scoring), warnings)
+
+
+def cv_summary(scores: DataFrame, scoring: str) -> DataFrame:
+    """folds, scoring, mean, std (of the folds as a whole), min and max of the scores."""
+    return scores.agg(F.count("score").alias("folds"), F.lit(scoring).alias("scoring"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
 
 
 def gaussian_naive_bayes(train: DataFrame, test: DataFrame, columns: list[str], label: str, key: str) -> DataFrame:
@@ -462,11 +594,12 @@ def gaussian_naive_bayes(train: DataFrame, test: DataFrame, columns: list[str],
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int = 3, starts: int = 10, seed: int = 42):
-    """(rows with cluster, inertia, centroids): the best of several starts."""
+    """(rows with cluster, inertia, centroids): the best of several starts, which are improved together."""
     rows, _, _ = features(df, columns)
-    models = [mk.KMeans(k=k, seed=seed + s).fit(rows) for s in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).withColumnRenamed("prediction", "cluster"), best.summary.trainingCost, best.clusterCenters()
+    rows = rows.withColumn("_x", vector_to_array("features"))
+    centres, inertia = lloyd(rows.select(F.col("_x").alias("x")), k, starts, seed)
+    number = nearest_centre(F.col("_x"), centres) if len(centres) else F.lit(None)
+    return rows.withColumn("cluster", number.cast("int")).drop("_x"), inertia, list(centres)
 
 
 def centroid_preview(df: DataFrame, centres: list, columns: list[str], most: int = 3, features: int = 6) -> DataFrame:
@@ -486,25 +619,6 @@ def cluster_summary(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return sizes.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))).select(cluster, "size", (F.col("size") / F.col("_n")).alias("ratio"))
 
 
-def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """The mean silhouette with squared Euclidean distances, from sums per cluster, so linear in the rows.
-
-    The mean squared distance of x to a cluster is |x|^2 - 2 x.m + s, with the cluster's mean m and mean square s.
-    """
-    x = [F.col(c).cast("double") for c in columns]
-    sums = df.groupBy(F.col(cluster).alias("k")).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), F.avg(sum((c * c for c in x), F.lit(0.0))).alias("s"))
-    clusters = sums.orderBy("k").collect()  # one row a cluster
-    if len(clusters) < 2:
-        return df.agg(F.lit(None).cast("double").alias("silhouette"))
-    square = sum((c * c for c in x), F.lit(0.0))
-    distance = lambda c: square - 2 * sum((v * float(c[f"m{i}"]) for i, v in enumerate(x)), F.lit(0.0)) + float(c.s)
-    own = F.coalesce(*(F.when(F.col(cluster) == c.k, distance(c) * c.n / max(1, c.n - 1)) for c in clusters))
-    alone = F.coalesce(*(F.when(F.col(cluster) == c.k, F.lit(c.n == 1)) for c in clusters))
-    other = F.least(*(F.when(F.col(cluster) != c.k, distance(c)) for c in clusters), F.lit(None).cast("double"))
-    score = F.when(alone, 0.0).otherwise(F.coalesce(F.try_divide(other - own, F.greatest(other, own)), F.lit(0.0)))
-    return df.agg(F.avg(score).alias("silhouette"))
-
-
 def pca(df: DataFrame, columns: list[str], k: int = 2):
     """(projection rows, ratios, loadings): centred components, explained shares, and term loadings by component."""
     rows, _, names = features(df, columns)
@@ -516,62 +630,6 @@ def pca(df: DataFrame, columns: list[str], k: int = 2):
     return model.transform(centred).withColumn("projection", vector_to_array("projection")), ratios, loadings
 
 
-def isolation_forest(df: DataFrame, columns: list[str], contamination: float | None = None, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """df with score (0 to 1, high is odd) and outlier: trees are grown in parallel on samples, then broadcast.
-
-    outlier: the given share of rows with the highest scores, else a score above 0.5.
-    """
-    x = [F.col(c).cast("double").alias(c) for c in columns]
-    draw = df.select(*x).na.drop()
-    share = min(1.0, trees * sample * 1.2 / max(1, draw.count()))
-    drawn = draw.sample(False, share, seed).withColumn("tree", F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(trees)).cast("int"))
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        rng, data = np.random.default_rng(seed + int(frame["tree"].iloc[0])), frame[columns].to_numpy()
-        data = data[rng.permutation(len(data))[:sample]]
-        most, nodes = int(np.ceil(np.log2(max(2, len(data))))), []
-
-        def build(own: np.ndarray, depth: int) -> int:
-            at = len(nodes)
-            nodes.append([-1, 0.0, -1, -1, float(len(own)), depth])
-            spread = own.max(axis=0) > own.min(axis=0) if len(own) else np.zeros(1, bool)
-            if depth < most and len(own) > 1 and spread.any():
-                c = int(rng.choice(np.flatnonzero(spread)))
-                cut = rng.uniform(own[:, c].min(), own[:, c].max())
-                nodes[at][:2] = [c, cut]
-                nodes[at][2] = build(own[own[:, c] < cut], depth + 1)
-                nodes[at][3] = build(own[own[:, c] >= cut], depth + 1)
-            return at
-
-        build(data, 0)
-        return pd.DataFrame({"tree": frame["tree"].iloc[0], "nodes": [[list(map(float, n)) for n in nodes]], "size": len(data)})
-
-    grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, nodes array<array<double>>, size int").toPandas()  # trees of 2 * sample nodes
-    forest, size = [np.array(list(map(list, n))) for n in grown["nodes"]], float(grown["size"].mean())
-    depth_of = lambda n: np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-    typical = float(depth_of(np.array([max(2.0, size)]))[0])
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        data = np.array(v.tolist(), dtype=float).reshape(len(v), len(columns))
-        total = np.zeros(len(data))
-        for t in forest:
-            at = np.zeros(len(data), int)
-            while (inner := t[at, 0] >= 0).any():
-                rows = np.flatnonzero(inner)
-                left = data[rows, t[at[rows], 0].astype(int)] < t[at[rows], 1]
-                at[rows] = np.where(left, t[at[rows], 2], t[at[rows], 3]).astype(int)
-            total += t[at, 5] + depth_of(t[at, 4])
-        return pd.Series(2.0 ** (-total / max(1, len(forest)) / typical))
-
-    scored = df.na.drop(subset=columns).withColumn("score", score(F.array(*(F.col(c).cast("double") for c in columns))))
-    if contamination is None:
-        return scored.withColumn("outlier", F.col("score") > 0.5)
-    scored = checkpointed(scored)
-    limit = scored.agg(F.percentile_approx("score", F.lit(1 - clamped(contamination, 0.001, 0.5, 0.05)), F.lit(100_000)).alias("_limit"))
-    return scored.crossJoin(F.broadcast(limit)).withColumn("outlier", F.col("score") > F.col("_limit")).drop("_limit")
-
-
 def reconstruction_anomalies(df: DataFrame, columns: list[str], k: int = 1, contamination: float = 0.05) -> DataFrame:
     """df with error (mean square over columns of what the k main components leave) and outlier.
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.scalar import one_hot, to_number
 from .describe import NUMERIC
-from .ranks import thinned
-from .tests_param import _row, qq_points
+from ..plans.lineage import checkpointed
+from .ranks import evenly, placed
+from .tests_param import _row, qq_all
 
 COEFFICIENTS = "term string, coef double, se double, t double, p double, low double, high double"
 
@@ -101,11 +102,16 @@ class OLSFit:
 
 
     def figures(self, most: int = 1200) -> dict[str, DataFrame]:
-        """Residuals, scale and Cook's distances by fitted value, of so many evenly spaced rows; Q-Q of the standardized residuals, from 5 rows."""
-        rows = self.diagnostics().select("fitted", "residual", "scale_location", "cooks_distance", "standardized")
-        few = thinned(rows, ["fitted", "residual"], most)
-        found = {"residual_fitted": few.select("fitted", "residual"), "scale_location": few.select("fitted", "scale_location"), "cooks_distance": few.select("fitted", "cooks_distance")}
-        return found | ({"residual_qq": qq_points(rows, "standardized")} if self.n >= 5 else {})
+        """Residuals and scale by fitted value and Cook's distances by row number, of so many rows evenly spaced in the rows' order; Q-Q of all standardized residuals, from 5 rows.
+
+        The rows' order is that of the columns named as order in ols(), else of fitted value and residual.
+        """
+        order = [c for c in self.rows.columns if c.startswith("_o")] or ["fitted", "residual"]
+        rows = self.diagnostics().select(*dict.fromkeys(["fitted", "residual", "scale_location", "cooks_distance", "standardized", *order]))
+        numbered, n = placed(rows, order)
+        few = checkpointed(evenly(numbered, n, most))
+        found = {"residual_fitted": few.select("fitted", "residual"), "scale_location": few.select("fitted", "scale_location"), "cooks_distance": few.select(F.col("place").alias("row"), "cooks_distance")}
+        return found | ({"residual_qq": qq_all(rows, "standardized", most)} if self.n >= 5 else {})
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -114,9 +120,10 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c, varies in zip(columns, spread, strict=True) if not varies]
 
 
-def ols(df: DataFrame, y: str, x: list[str], add_intercept: bool = True, dummy: bool = True, drop_first: bool = True, robust: str | None = None) -> OLSFit:
-    """y on x over complete cases; text columns as dummies, constant columns left out. robust: HC0 to HC3."""
-    rows = df.select(y, *x).na.drop()
+def ols(df: DataFrame, y: str, x: list[str], add_intercept: bool = True, dummy: bool = True, drop_first: bool = True, robust: str | None = None, order: list[str] = ()) -> OLSFit:
+    """y on x over complete cases; text columns as dummies, constant columns left out. robust: HC0 to HC3. order names columns that say how rows follow one another, for figures."""
+    kept = [F.col(c).alias(f"_o{k}") for k, c in enumerate(order)]
+    rows = df.select(y, *x, *kept).na.drop(subset=[y, *x])
     terms = []
     for c in x:
         if isinstance(rows.schema[c].dataType, NUMERIC):
@@ -131,4 +138,4 @@ def ols(df: DataFrame, y: str, x: list[str], add_intercept: bool = True, dummy:
     terms = [c for c in terms if c not in still]
     if not terms:
         raise ValueError("no predictor varies")
-    return OLSFit(rows.select(y, *(f"`{t}`" for t in terms)), y, ["const", *terms] if add_intercept else terms, robust)
+    return OLSFit(rows.select(y, *(f"`{t}`" for t in terms), *(f"_o{k}" for k in range(len(order)))), y, ["const", *terms] if add_intercept else terms, robust)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +75,34 @@ def placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return ranged.join(F.broadcast(begin), "_p").withColumn("place", F.col("_b") + within).drop("_p", "_b"), total
 
 
-def thinned(df: DataFrame, order: list[str], most: int = 1200) -> DataFrame:
-    """At most so many rows (2 at least), evenly spaced in the order from the first to the last."""
-    rows, n = placed(df, order)
+def evenly(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """Of n rows with places, at most so many (2 at least), evenly spaced from the first to the last."""
     if n <= most:
-        return rows.drop("place")
+        return rows
     step = F.expr(f"(place * {most - 1}L + {n - 2}L) div {n - 1}L")  # the first step whose place isn't before this one
-    return rows.where((step * F.lit(n - 1)) - F.pmod(step * F.lit(n - 1), F.lit(most - 1)) == F.col("place") * (most - 1)).drop("place")
+    return rows.where((step * F.lit(n - 1)) - F.pmod(step * F.lit(n - 1), F.lit(most - 1)) == F.col("place") * (most - 1))
+
+
+def thinned(df: DataFrame, order: list[str], most: int = 1200) -> DataFrame:
+    """At most so many rows (2 at least), evenly spaced in the order from the first to the last."""
+    return evenly(*placed(df, order), most).drop("place")
+
+
+def permuted(place: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A pseudo-random bijection of 0 to n - 1: a Feistel network over a power of 4, walked on until it is back in the range."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> np.uint64(half), x & mask
+        for turn in range(4):
+            mixed = right + np.uint64((seed * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03) % (1 << 64))
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+            left, right = right, left ^ ((mixed >> np.uint64(31)) & mask)
+        return left << np.uint64(half) | right
+
+    x = once(place.astype(np.uint64))
+    while (out := x >= np.uint64(n)).any():
+        x[out] = once(x[out])
+    return x.astype(np.int64)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.scalar import clamped, finite, to_number
-from .describe import numeric_columns
+from ..plans.lineage import checkpointed
+from .describe import excess_kurtosis, numeric_columns, skew
 from .quantiles import quantiles
+from .ranks import evenly, placed
 
 WIDE = 50  # columns beyond which pairs are summed as matrices
 
@@ -136,24 +138,45 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 CHISQ = "chi2 double, p double, dof long, n long, cramers_v double, v_low double, v_high double, warning string"
 
 
-def _cramers_v(counts: np.ndarray) -> float:
-    counts = counts[counts.sum(axis=1) > 0][:, counts.sum(axis=0) > 0]
-    n, k = counts.sum(), min(counts.shape) - 1
-    if k < 1 or n <= 0:
-        return math.nan
-    expected = np.outer(counts.sum(axis=1), counts.sum(axis=0)) / n
-    gap = np.abs(counts - expected)
-    if counts.shape == (2, 2):
-        gap = np.maximum(gap - np.minimum(0.5, gap), 0)
-    return float(math.sqrt((gap**2 / expected).sum() / (n * k)))
+def _drawn(keys: np.ndarray, counts: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """How often cells with so many rows are drawn in each bootstrap sample: Poisson, from a stream of the cell's own key."""
+    out = np.empty((len(keys), samples), np.int64)
+    for k, (key, n) in enumerate(zip(keys.astype(np.int64).view(np.uint64).tolist(), counts.tolist(), strict=True)):
+        out[k] = np.random.Generator(np.random.Philox(key=[key, seed])).poisson(n, samples)
+    return out
+
+
+def _v_limits(cells: DataFrame, samples: int, seed: int) -> tuple[float, float] | None:
+    """95 % bootstrap limits of Cramer's V of a table of a, b, observed; None unless 20 samples have two levels of each.
+
+    A sample draws each cell's rows where the cell is, so nothing grows with the rows and tables of any size are taken; margins are sums by sample.
+    """
+
+    @F.pandas_udf("array<long>")
+    def draw(key: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(list(_drawn(key.to_numpy(), n.to_numpy(), samples, seed)))
+
+    drawn = cells.where("observed > 0").select("a", "b", F.posexplode(draw(F.xxhash64("a", "b"), F.col("observed"))).alias("i", "o")).where("o > 0")
+    drawn = checkpointed(drawn)
+    row, column = drawn.groupBy("i", "a").agg(F.sum("o").alias("r")), drawn.groupBy("i", "b").agg(F.sum("o").alias("c"))
+    sums = drawn.join(row, ["i", "a"]).join(column, ["i", "b"]).groupBy("i").agg(F.sum("o").cast("double").alias("n"), F.sum(F.col("o") * F.col("o") / F.col("r") / F.col("c")).alias("q"))
+    for name, side, size in (("r", row, "kr"), ("c", column, "kc")):
+        sums = sums.join(side.groupBy("i").agg(F.count(F.lit(1)).alias(size), F.sum(1 / F.col(name)).alias(f"s{name}")), "i")
+    n, k = F.col("n"), F.least("kr", "kc") - 1
+    plain = F.greatest(n * (F.col("q") - 1), F.lit(0.0))
+    gap = F.sqrt(plain / (n * F.col("sr") * F.col("sc")))  # in a table of 2 x 2 all cells are as far from what is expected
+    yates = F.when(gap > 0.5, (gap - 0.5) ** 2).otherwise(0.0) * n * F.col("sr") * F.col("sc")
+    chi2 = F.when((F.col("kr") == 2) & (F.col("kc") == 2), yates).otherwise(plain)
+    v = [r.v for r in sums.where(k > 0).select(F.sqrt(chi2 / (n * k)).alias("v")).collect()]  # a number a sample
+    return tuple(np.percentile(v, [2.5, 97.5]).tolist()) if len(v) >= 20 else None
 
 
 def chisq(df: DataFrame, a: str, b: str, bootstrap: int = 250, seed: int = 42) -> DataFrame:
     """Independence of two columns, with Yates' correction for 2 x 2, Cramer's V and its bootstrap limits.
 
-    A bootstrap sample is a multinomial draw of the table's cells, which costs the same for any number of rows.
+    A bootstrap sample draws the table's cells, which costs the same for any number of rows.
     """
-    cells = contingency(df, a, b)
+    cells = checkpointed(contingency(df, a, b))
     gap = F.abs(F.col("observed") - F.col("expected"))
     sums = cells.agg(F.sum("observed").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"), F.sum(gap**2 / F.col("expected")).alias("plain"), F.sum((gap - F.least(F.lit(0.5), gap)) ** 2 / F.col("expected")).alias("yates")).first()
     if not sums.n or sums.n < 5 or min(sums.r, sums.c) < 2:
@@ -161,15 +184,8 @@ def chisq(df: DataFrame, a: str, b: str, bootstrap: int = 250, seed: int = 42) -
     dof = (sums.r - 1) * (sums.c - 1)
     chi2 = sums.yates if dof == 1 else sums.plain
     found = {"chi2": chi2, "dof": dof, "n": sums.n, "p": special.chi2_sf(chi2, dof), "cramers_v": math.sqrt(chi2 / (sums.n * (min(sums.r, sums.c) - 1)))}
-    if sums.n >= 20 and sums.r * sums.c <= 100_000:  # a larger table is no longer a summary
-        table = cells.toPandas().pivot(index="a", columns="b", values="observed").to_numpy()
-        rng = np.random.default_rng(seed)
-        drawn = [_cramers_v(rng.multinomial(sums.n, table.reshape(-1) / sums.n).reshape(table.shape).astype(float)) for _ in range(bootstrap)]
-        drawn = [v for v in drawn if math.isfinite(v)]
-        if len(drawn) >= 20:
-            found |= dict(zip(("v_low", "v_high"), np.percentile(drawn, [2.5, 97.5]).tolist(), strict=True))
-    elif sums.n >= 20:
-        found["warning"] = "Limits of V are made for tables of up to 100,000 cells."
+    if bootstrap and sums.n >= 20 and (limits := _v_limits(cells, bootstrap, seed)):
+        found |= dict(zip(("v_low", "v_high"), limits, strict=True))
     return _row(df, found, CHISQ)
 
 
@@ -198,57 +214,52 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
-def _poisson(keys: np.ndarray, sample: int, seed: int) -> np.ndarray:
-    """Poisson(1) weights of rows in a bootstrap sample, from their keys alone, so the same however rows are dealt."""
-    x = keys.astype(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + sample * 0xD1B54A32D192ED03) % (1 << 64))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    chance = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(15)])
-    return np.searchsorted(chance, (x >> np.uint64(11)) / 2.0**53, side="right")
-
-
-def eta_squared_limits(df: DataFrame, value: str, group: str, bootstrap: int = 250, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+def eta_squared_limits(df: DataFrame, value: str, group: str, bootstrap: int = 250, seed: int = 42) -> DataFrame:
     """95 % bootstrap limits of eta squared; null under 20 rows.
 
-    Each row has Poisson(1) weights in all samples, summed by group in one shuffle. They come from a hash of key, by
-    default of all columns; rows with one key weigh the same.
+    Equal values of a group are counted first; how often all of them are drawn in each sample is Poisson with their count, from a hash of group
+    and value, so the limits are the same however rows are dealt. What is shuffled are sums by group and sample.
     """
-    hashed = F.xxhash64(*(key or df.columns)).alias("k")
-    rows = df.select(F.col(group).cast("string").alias("grp"), to_number(F.col(value)).alias("x"), hashed).where("grp is not null and x is not null")
+    rows = df.select(F.col(group).cast("string").alias("grp"), to_number(F.col(value)).alias("x")).where("grp is not null and x is not null")
     if rows.limit(20).count() < 20:
         return _row(df, {}, "eta_low double, eta_high double")
+    counts = rows.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("n")).select("grp", "x", "n", F.xxhash64("grp", "x").alias("k"))
 
     def sums(batches):
         for batch in batches:
+            if not len(batch):
+                continue
             codes, names = pd.factorize(batch["grp"])
-            x, keys = batch["x"].to_numpy(), batch["k"].to_numpy(np.int64).view(np.uint64)
-            for b in range(bootstrap):
-                w = _poisson(keys, b, seed)
-                parts = [np.bincount(codes, weights=v, minlength=len(names)) for v in (w, w * x, w * x * x)]
-                yield pd.DataFrame({"b": b, "grp": names, "n": parts[0], "s": parts[1], "q": parts[2]})
-
-    made = rows.mapInPandas(sums, "b int, grp string, n double, s double, q double").groupBy("b", "grp").agg(*(F.sum(c).alias(c) for c in "nsq")).where("n > 0")
+            order = np.argsort(codes, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) > 0]))
+            x = batch["x"].to_numpy()[order][:, None]
+            w = _drawn(batch["k"].to_numpy()[order], batch["n"].to_numpy()[order], bootstrap, seed).astype(float)
+            parts = [np.add.reduceat(v, first, axis=0).ravel() for v in (w, w * x, w * x * x)]
+            yield pd.DataFrame({"b": np.tile(np.arange(bootstrap), len(names)), "grp": np.repeat(np.asarray(names, object), bootstrap), "n": parts[0], "s": parts[1], "q": parts[2]})
+
+    made = counts.mapInPandas(sums, "b int, grp string, n double, s double, q double").groupBy("b", "grp").agg(*(F.sum(c).alias(c) for c in "nsq")).where("n > 0")
     made = made.groupBy("b").agg((F.sum(F.col("s") ** 2 / F.col("n")) - F.sum("s") ** 2 / F.sum("n")).alias("between"), (F.sum("q") - F.sum("s") ** 2 / F.sum("n")).alias("total")).where("total > 0")
-    return made.agg(*(F.percentile(F.col("between") / F.col("total"), F.lit(p)).alias(n) for p, n in ((0.025, "eta_low"), (0.975, "eta_high"))))
+    return made.agg(*(F.percentile(F.round(F.col("between") / F.col("total"), 12), F.lit(p)).alias(n) for p, n in ((0.025, "eta_low"), (0.975, "eta_high"))))
 
 
 def moments(df: DataFrame, column: str) -> DataFrame:
-    """n, mean, sd and population skewness and kurtosis of one column."""
+    """n, mean, sd, population skewness and kurtosis, and bias-corrected skew and excess kurtosis of one column."""
     x = finite(to_number(F.col(column)))
     spread = F.stddev_pop(x) > 0
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.when(spread, F.skewness(x)).alias("skewness"), F.when(spread, F.kurtosis(x)).alias("kurtosis"))
+    shape = [F.when(spread, F.skewness(x)).alias("skewness"), F.when(spread, F.kurtosis(x)).alias("kurtosis"), skew(x).alias("skew"), excess_kurtosis(x).alias("excess")]
+    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), *shape)
 
 
-NORMALITY = "n long, jarque_bera double, jb_p double, shapiro_w double, shapiro_p double, skewness double, kurtosis double, warning string"
+NORMALITY = "n long, mean double, sd double, jarque_bera double, jb_p double, shapiro_w double, shapiro_p double, skewness double, kurtosis double, warning string"
 
 
 def normality(df: DataFrame, column: str, shapiro_most: int = 5000) -> DataFrame:
-    """Jarque-Bera, and Shapiro-Wilk (Royston's approximation) up to so many values."""
+    """Mean, sd, bias-corrected skewness and excess kurtosis, Jarque-Bera (of population moments), and Shapiro-Wilk (Royston's approximation) up to so many values."""
     m = moments(df, column).first()
     if m.n < 8 or m.skewness is None:
         return _row(df, {"n": m.n, "warning": "The test needs eight values that differ."}, NORMALITY)
     jb = m.n / 6 * (m.skewness**2 + m.kurtosis**2 / 4)
-    found = {"n": m.n, "jarque_bera": jb, "jb_p": special.chi2_sf(jb, 2), "skewness": m.skewness, "kurtosis": m.kurtosis}
+    found = {"n": m.n, "mean": m["mean"], "sd": m.sd, "jarque_bera": jb, "jb_p": special.chi2_sf(jb, 2), "skewness": m.skew, "kurtosis": m.excess}
     if m.n <= shapiro_most:
         x = np.sort(df.select(to_number(F.col(column)).alias("x")).where("x is not null").toPandas()["x"].to_numpy())
         found |= dict(zip(("shapiro_w", "shapiro_p"), shapiro(x), strict=True))
@@ -277,12 +288,24 @@ def shapiro(x: np.ndarray) -> tuple[float, float]:
 
 
 def qq_points(df: DataFrame, column: str, most: int = 100) -> DataFrame:
-    """Normal Q-Q: probability, theoretical and sample quantiles at evenly spaced probabilities from .01 to .99."""
+    """Normal Q-Q in the column's units: probability, theoretical (with the column's mean and sd, or 1) and sample quantiles at evenly spaced probabilities from .01 to .99."""
     x = finite(to_number(F.col(column)))
-    n = df.where(x.isNotNull()).count()
-    probs = np.linspace(0.01, 0.99, max(2, min(most, n))).round(10).tolist()
-    sample = quantiles(df, {"x": x}, probs)["x"]
-    return df.sparkSession.createDataFrame([(p, special.norm_ppf(p), s) for p, s in zip(probs, sample, strict=True)], "p double, theoretical double, sample double")
+    m = moments(df, column).first()
+    probs = np.linspace(0.01, 0.99, max(1, min(most, m.n))).round(10).tolist() if m.n else []
+    sample = quantiles(df, {"x": x}, probs)["x"] if probs else []
+    scale = m.sd or 1.0
+    return df.sparkSession.createDataFrame([(p, m["mean"] + scale * special.norm_ppf(p), s) for p, s in zip(probs, sample, strict=True)], "p double, theoretical double, sample double")
+
+
+def qq_all(rows: DataFrame, column: str, most: int = 1200) -> DataFrame:
+    """Standard normal Q-Q of all values, or so many evenly spaced ones: place, theoretical quantile at (place + 1) / (n + 1), sample."""
+    found, n = placed(rows.select(F.col(column).cast("double").alias("sample")).where("sample is not null and not isnan(sample)"), ["sample"])
+
+    @F.pandas_udf("double")
+    def theoretical(place: pd.Series) -> pd.Series:
+        return pd.Series([special.norm_ppf((k + 1) / (n + 1)) for k in place], dtype="float64")
+
+    return evenly(found, n, most).select("place", theoretical("place").alias("theoretical"), "sample")
 
 
 CI_MEAN = "n long, mean double, sd double, se double, low double, high double, confidence double, warning string"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learning, series
+from ..operators import clusters, learning, series
 from .queries_tables import rounded
 from .registry import query, table
 
@@ -95,7 +95,7 @@ def _(spark, d):
     return rounded(learning.classification_metrics(_called(spark, d)), 6)
 
 
-@query("metric_contract", f"with m as (select avg(abs(actual - prediction)) as mae, sqrt(avg((actual - prediction) ** 2)) as rmse, 1 - avg((actual - prediction) ** 2) / var_pop(actual) as r2 from {_PREDICTED}) select 'mae' as metric, round(mae, 4) as value, 'lower' as goal, false as is_primary from m union all select 'rmse', round(rmse, 4), 'lower', false from m union all select 'r2', round(r2, 4), 'higher', true from m")
+@query("metric_contract", f"with m as (select avg(abs(actual - prediction)) as mae, avg((actual - prediction) ** 2) as mse, sqrt(avg((actual - prediction) ** 2)) as rmse, 1 - avg((actual - prediction) ** 2) / var_pop(actual) as r2 from {_PREDICTED}) select 'mae' as metric, round(mae, 4) as value, 'lower' as goal, false as is_primary from m union all select 'rmse', round(rmse, 4), 'lower', false from m union all select 'mse', round(mse, 4), 'lower', false from m union all select 'r2', round(r2, 4), 'higher', true from m")
 def _(spark, d):
     return rounded(learning.metric_contract(learning.regression_metrics(_guess(spark, d)), "r2"))
 
@@ -105,38 +105,47 @@ for _model in ("linear", "elastic_net", "decision_tree", "random_forest", "gradi
     @query(f"regression_{_model}")
     def _(spark, d, model=_model):
         rows = _flags(spark, d).select("row_key", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-        return learning.train(rows, "regression", model, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "row_key", trees=10, iterations=5).metrics
+        return learning.train(rows, "regression", model, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "row_key", preset="fast").metrics
 
 
 for _model in ("logistic", "decision_tree", "random_forest", "gradient_boosting", "naive_bayes", "linear_svm", "mlp", "adaboost", "voting"):
 
     @query(f"classification_{_model}")
     def _(spark, d, model=_model):
-        return learning.train(_labelled(spark, d), "classification", model, "quality", ["n_chars"], "doc_id", trees=10, iterations=5, rounds=3).metrics
+        return learning.train(_labelled(spark, d), "classification", model, "quality", ["n_chars"], "doc_id", preset="fast").metrics
 
 
 @query("calibrated_classifier")
 def _(spark, d):
     rows, _, _ = learning.features(_labelled(spark, d), ["n_chars"], "quality")
     train, test = learning.holdout(rows.withColumn("label", F.col("quality").cast("double")), "doc_id")
-    return learning.calibrated(train.select("label", "features", "doc_id"), test.select("label", "features", "doc_id"), "doc_id", trees=10).select("doc_id", "calibrated", "prediction")
+    return learning.calibrated(train.select("label", "features", "doc_id"), test.select("label", "features", "doc_id"), "doc_id").select("doc_id", "calibrated", "prediction")
 
 
 @query("feature_importance")
 def _(spark, d):
-    return learning.train(_flags(spark, d), "regression", "random_forest", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "row_key", trees=10).importance
+    return learning.train(_flags(spark, d), "regression", "random_forest", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "row_key", preset="fast").importance
 
 
 @query("permutation_importance")
 def _(spark, d):
     result = learning.train(_flags(spark, d), "regression", "linear", "l_extendedprice", ["l_quantity", "l_discount"], "row_key")
     score = lambda p: learning.regression_metrics(p, "label").first().r2
-    return learning.permutation_importance(result.fitted, result.predictions.select("label", "l_quantity", "l_discount"), ["l_quantity", "l_discount"], ["l_quantity", "l_discount"], score, 2)
+    return learning.permutation_importance(result.fitted, result.predictions.select("label", "l_quantity", "l_discount"), ["l_quantity", "l_discount"], ["l_quantity", "l_discount"], score)
 
 
 @query("cross_validation")
 def _(spark, d):
-    return learning.cross_validate(_flags(spark, d), "regression", "linear", "l_extendedprice", ["l_quantity", "l_discount"], "row_key", 3)
+    return learning.cross_validate(_flags(spark, d), "regression", "linear", "l_extendedprice", ["l_quantity", "l_discount"], "row_key", 3).summary
+
+
+_FOLDS = "(select o_orderkey % 7 as fold, avg(o_totalprice) as score from orders group by 1)"
+
+
+@query("cv_summary", f"select count(*)::bigint as folds, 'r2' as scoring, round(avg(score), 4) as mean, round(stddev_pop(score), 4) as std, round(min(score), 4) as min, round(max(score), 4) as max from {_FOLDS}")
+def _(spark, d):
+    scores = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 7).alias("fold")).agg(F.avg("o_totalprice").alias("score"))
+    return rounded(learning.cv_summary(scores, "r2"))
 
 
 @query("gaussian_nb", """with g as (select quality as k, count(*) as n, avg(n_chars) as m, var_pop(n_chars) + 1e-9 * (select var_pop(n_chars) from labels join documents using (doc_id)) as v from labels join documents using (doc_id) group by 1),
@@ -185,11 +194,19 @@ def _(spark, d):
     return rounded(learning.cluster_summary(_xy(spark, d).withColumnRenamed("label", "cluster")), 6)
 
 
-@query("silhouette", f"""with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, label as l from embeddings), s as (select l as k, count(*) as n, avg(x) as mx, avg(y) as my, avg(x * x + y * y) as q from p group by 1),
+@query("silhouette", """with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, label as l from embeddings), s as (select l as k, count(*) as n from p group by 1),
+d as (select a.vec_id, a.l, b.l as k, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as d from p a, p b group by all),
+a as (select vec_id, max(d / greatest(n - 1, 1)) filter (d.l = d.k) as a, min(d / n) filter (d.l <> d.k) as b, max(n) filter (d.l = d.k) as n from d join s using (k) group by 1)
+select round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from a""")
+def _(spark, d):
+    return rounded(learning.silhouette(_xy(spark, d), ["x", "y"], "label"), 6)
+
+
+@query("silhouette_squared", f"""with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, label as l from embeddings), s as (select l as k, count(*) as n, avg(x) as mx, avg(y) as my, avg(x * x + y * y) as q from p group by 1),
 d as (select p.vec_id, p.l, k, n, (x * x + y * y - 2 * (x * mx + y * my) + q) * case when k = l then n / greatest(1, n - 1) else 1 end as d from p, s),
 a as (select vec_id, max(d) filter (k = l) as a, min(d) filter (k <> l) as b, max(n) filter (k = l) as n from d group by 1) select round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from a""")
 def _(spark, d):
-    return rounded(learning.silhouette(_xy(spark, d), ["x", "y"], "label"), 6)
+    return rounded(learning.silhouette_squared(_xy(spark, d), ["x", "y"], "label"), 6)
 
 
 @query("pca_ratios")
@@ -199,7 +216,12 @@ def _(spark, d):
 
 @query("isolation_forest")
 def _(spark, d):
-    return learning.isolation_forest(_xy(spark, d), ["x", "y"], 0.05, trees=25).select("vec_id", "score", "outlier")
+    return learning.isolation_forest(_xy(spark, d), ["x", "y"], 0.05, key=["vec_id"]).select("vec_id", "score", "outlier")
+
+
+@query("outliers_by_share", "select o_orderkey, o_totalprice > (select quantile_cont(o_totalprice, 0.95) from orders) as outlier from orders")
+def _(spark, d):
+    return clusters.above_share(table(spark, d, "orders"), "o_totalprice", 0.05).select("o_orderkey", "outlier")
 
 
 @query("reconstruction_anomalies")

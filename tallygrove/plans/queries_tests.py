@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..operators import describe, ols, recommend, tests_param, tests_rank
@@ -86,9 +88,10 @@ def _(spark, d):
     return tests_param.eta_squared_limits(table(spark, d, "orders"), "o_totalprice", "o_orderpriority")
 
 
-@query("jarque_bera", "with m as (select avg(value) as m, count(value) as n from events), s as (select n, avg((value - m) ** 2) as m2, avg((value - m) ** 3) as m3, avg((value - m) ** 4) as m4 from events, m group by n) select n::bigint as n, round(n / 6.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4), 4) as jarque_bera from s")
+@query("jarque_bera", "with m as (select avg(value) as m, count(value) as n from events), s as (select n, avg((value - m) ** 2) as m2, avg((value - m) ** 3) as m3, avg((value - m) ** 4) as m4 from events, m group by n) select n::bigint as n, round(n / 6.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4), 4) as jarque_bera, (select round(avg(value), 6) from events) as mean, (select round(stddev_samp(value), 6) from events) as sd, (select round(skewness(value), 6) from events) as skewness, (select round(kurtosis(value), 6) from events) as kurtosis from s")
 def _(spark, d):
-    return tests_param.normality(table(spark, d, "events"), "value", shapiro_most=0).select("n", F.round("jarque_bera", 4).alias("jarque_bera"))
+    found = tests_param.normality(table(spark, d, "events"), "value", shapiro_most=0)
+    return found.select("n", F.round("jarque_bera", 4).alias("jarque_bera"), *(F.round(c, 6).alias(c) for c in ("mean", "sd", "skewness", "kurtosis")))
 
 
 @query("shapiro")
@@ -96,9 +99,13 @@ def _(spark, d):
     return tests_param.normality(table(spark, d, "customer"), "c_acctbal").select("n", "shapiro_w", "shapiro_p")
 
 
-@query("qq_sample", "select p, round((select quantile_cont(value, p) from events), 4) as sample from (select round(0.01 + k * 0.98 / 99, 10) as p from range(100) t(k))".replace("(select quantile_cont(value, p) from events)", "q") .replace("from (select round", "from (select unnest(quantile_cont(value, [" + ", ".join(f"{round(0.01 + k * 0.98 / 99, 10)}" for k in range(100)) + "])) as q, unnest([" + ", ".join(f"{round(0.01 + k * 0.98 / 99, 10)}::double" for k in range(100)) + "]) as p from events) --"))
+_SHARES = [round(0.01 + k * 0.98 / 99, 10) for k in range(100)]
+_LISTS = [", ".join(f"{v!r}::double" for v in values) for values in (_SHARES, [NormalDist().inv_cdf(p) for p in _SHARES])]
+
+
+@query("qq_sample", f"select p, round(m + s * z, 4) as theoretical, round(q, 4) as sample from (select avg(value) as m, stddev_samp(value) as s, unnest([{_LISTS[0]}]) as p, unnest([{_LISTS[1]}]) as z, unnest(quantile_cont(value, [{_LISTS[0].replace('::double', '')}])) as q from events)")
 def _(spark, d):
-    return tests_param.qq_points(table(spark, d, "events"), "value").select("p", F.round("sample", 4).alias("sample"))
+    return tests_param.qq_points(table(spark, d, "events"), "value").select("p", F.round("theoretical", 4).alias("theoretical"), F.round("sample", 4).alias("sample"))
 
 
 @query("ci_mean", "select count(value)::bigint as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, round(stddev_samp(value) / sqrt(count(value)), 8) as se from events")

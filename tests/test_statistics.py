@@ -2,6 +2,7 @@
 
 import json
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -163,7 +164,7 @@ def test_knn_dbscan_and_forest(spark):
 
 
 def test_learning_errors(spark, two_groups):
-    for args, code in ((("sorting", "x", "v"), "ML_TASK_UNKNOWN"), (("regression", "linear", "absent"), "ML_TARGET_REQUIRED"), (("regression", "nothing", "v"), "ML_MODEL_UNKNOWN")):
+    for args, code in ((("sorting", "x", "v"), "ML_TASK_INVALID"), (("regression", "linear", "absent"), "ML_TARGET_REQUIRED"), (("regression", "nothing", "v"), "ML_MODEL_INVALID")):
         with pytest.raises(learning.LearningError) as e:
             learning.train(two_groups, *args, columns=["g"])
         assert e.value.code == code
@@ -274,7 +275,7 @@ def test_train_takes_all_tasks_and_names(spark):
     assert learning.train(df, "anomaly", "iforest", None, xs, "id", contamination=0.1).metrics.first().outlier_ratio == pytest.approx(0.1, abs=0.03)
     assert learning.train(df, "anomaly", "autoencoder", None, xs, "id").metrics.first().n == 100
     assert learning.train(df, "timeseries", "moving_average", "x1", time="day", horizon=6).metrics.first().mape < 1
-    for code, args, more in (("ML_SCORING_INVALID", ("regression", "linear", "x1"), {"scoring": "no"}), ("ML_MODEL_UNKNOWN", ("anomaly", "no", None), {}), ("ML_TASK_UNKNOWN", ("no", "no", None), {})):
+    for code, args, more in (("ML_SCORING_INVALID", ("regression", "linear", "x1"), {"scoring": "no"}), ("ML_MODEL_INVALID", ("anomaly", "no", None), {}), ("ML_TASK_INVALID", ("no", "no", None), {})):
         with pytest.raises(learning.LearningError) as error:
             learning.train(df, *args, columns=xs, **more)
         assert error.value.code == code
@@ -383,12 +384,44 @@ def test_manifest_labels_and_texts(spark):
 def test_regression_figures_and_normality_histogram(spark):
     df = spark.range(50).selectExpr("double(id) as x", "2 * id + sin(id) as y")
     figures = ols.ols(df, "y", ["x"]).figures(20)
-    assert {n: f.count() for n, f in figures.items()} == {"residual_fitted": 20, "scale_location": 20, "cooks_distance": 20, "residual_qq": 50}
-    qq = figures["residual_qq"].orderBy("p").collect()
+    assert {n: f.count() for n, f in figures.items()} == {"residual_fitted": 20, "scale_location": 20, "cooks_distance": 20, "residual_qq": 20}
+    qq = ols.ols(df, "y", ["x"]).figures()["residual_qq"].orderBy("place").collect()
     assert all(a.sample <= b.sample and a.theoretical < b.theoretical for a, b in zip(qq, qq[1:], strict=False))
+    assert [r.theoretical for r in qq] == pytest.approx([NormalDist().inv_cdf((k + 1) / 51) for k in range(50)])
+    ordered = ols.ols(df.repartition(4), "y", ["x"], order=["x"])
+    cook = {r.row: r.cooks_distance for r in ordered.figures()["cooks_distance"].collect()}
+    want = {int(r.x): r.cooks_distance for r in ordered.diagnostics().collect()}
+    assert cook == pytest.approx(want)
     assert report.run(df, "normality", {"column": "y"}).tables["histogram"].agg(F.count(F.lit(1)), F.sum("count")).first() == (8, 50)
 
 
+def test_normality_by_unbiased_shape(spark):
+    x = [float(i * i) for i in range(40)]
+    r = tests_param.normality(spark.createDataFrame([(v,) for v in x], "x double"), "x").first()
+    assert (r["mean"], r.sd) == pytest.approx((np.mean(x), np.std(x, ddof=1)))
+    assert (round(r.skewness, 3), round(r.kurtosis, 3)) == (0.677, -0.795)
+    qq = tests_param.qq_points(spark.createDataFrame([(v,) for v in x], "x double"), "x").collect()
+    assert [q.theoretical for q in qq] == pytest.approx([NormalDist(np.mean(x), np.std(x, ddof=1)).inv_cdf(q.p) for q in qq])
+
+
+def test_v_limits_of_large_tables_and_any_partitions(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"a{i}", f"b{j}") for i, j in zip(rng.integers(0, 400, 6000), rng.integers(0, 300, 6000), strict=True)]
+    r = tests_param.chisq(spark.createDataFrame(rows, "a string, b string"), "a", "b", bootstrap=25).first()
+    assert r.warning is None and r.v_low < r.v_high  # 120,000 cells
+    few = spark.createDataFrame([("x", "p")] * 40 + [("x", "q")] * 12 + [("y", "p")] * 15 + [("y", "q")] * 33, "a string, b string")
+    made = [tests_param.chisq(few.repartition(n), "a", "b").first() for n in (1, 7)]
+    assert made[0] == made[1] and made[0].v_low < made[0].cramers_v < made[0].v_high
+
+
+def test_duplicates_by_fingerprints(spark):
+    rows = [(None, "a", 0.0), ("a", None, 0.0), (None, "a", -0.0), ("b", "b", float("nan")), ("b", "b", float("nan")), ("b", "b", float("nan")), ("c", "d", 1.0)]
+    df = spark.createDataFrame(rows, "x string, `y.z` string, n double")
+    for few in (1_000_000, 0):
+        assert tuple(describe.duplicate_rows(df, few).first()) == (7, 3, 3)
+    assert tuple(describe.duplicate_rows(df.where("false")).first()) == (0, 3, 0)
+
+
 def test_concrete_tests_by_kinds():
     kinds = {"numeric": ["v", "w"], "categorical": ["g", "h"], "dateLike": ["d"]}
     assert compare.concrete_test(kinds, {"g": 2})["op"] == "ttest" and compare.concrete_test(kinds, {"g": 3})["op"] == "anova"
