@@ -1,4 +1,10 @@
-"""Forecasts of many series at once; a series is what shares the keys."""
+"""Forecasts of many series at once; a series is what shares the keys.
+
+Fits of long series are scans in parallel. A series is cut in ranges of places. Smoothing with fixed weights and without a multiplicative trend moves its state
+by an affine map at each value, and maps compose: a task makes its range's map for all weights of the grid and the sum of squared errors as
+a quadratic form of the state that the range begins with; these are then chained. An autoregression is the triangular factor of its lagged values, and
+factors of ranges are factored together again. So no task holds a series, but for a multiplicative trend, whose steps aren't affine.
+"""
 
 from __future__ import annotations
 
@@ -44,19 +50,175 @@ def forecast(df: DataFrame, time: str, target: str, keys: list[str] = (), model:
         future = F.slice(made, F.size("_past") + 1, F.size("_tail"))
         pairs = F.arrays_zip(F.transform("_tail", lambda r: r["y"]).alias("actual"), future.alias("forecast"))
         return split.select(*keys, F.posexplode(pairs).alias("_i", "_p")).select(*keys, (F.col("_i") + 1).cast("int").alias("step"), F.col("_p")["actual"].alias("actual"), F.col("_p")["forecast"].alias("forecast"))
-    fit = {"exp_smoothing": lambda y, h: smoothed(y, h, trend, season), "ar": lambda y, h: autoregressed(y, h, lags, difference)}[model]
+    if model == "ar":
+        return _autoregressed(rows, list(keys), lags, difference)
+    if trend != "mul":
+        return _smoothed(rows, list(keys), trend, season)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k")
         y, h = frame["y"].to_numpy(), int(frame["h"].iloc[0])
-        out = pd.DataFrame({"step": np.arange(1, h + 1, dtype=np.int32), "actual": y[-h:], "forecast": fit(y[:-h], h)})
+        out = pd.DataFrame({"step": np.arange(1, h + 1, dtype=np.int32), "actual": y[-h:], "forecast": smoothed(y[:-h], h, trend, season)})
         for c in keys:
             out[c] = frame[c].iloc[0]
         return out
 
+    return _by_series(rows, keys).applyInPandas(run, _schema(rows, keys))
+
+
+RANGE = 50_000  # values of a series in a task
+
+
+def _schema(rows: DataFrame, keys: list[str]) -> str:
     types = dict(rows.dtypes)
-    grouped = rows.groupBy(*keys) if keys else rows.withColumn("_all", F.lit(0)).groupBy("_all")
-    return grouped.applyInPandas(run, ", ".join(["step int", "actual double", "forecast double", *(f"{c} {types[c]}" for c in keys)]))
+    return ", ".join(["step int", "actual double", "forecast double", *(f"`{c}` {types[c]}" for c in keys)])
+
+
+def _by_series(rows: DataFrame, keys: list[str], *more: str):
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all", *keys, *more)
+
+
+def _ranged(rows: DataFrame, overlap: int, size: int) -> DataFrame:
+    """rows of the history with range; each range also has the last values before it, so many."""
+    own = F.floor(F.col("k") / size).cast("long")
+    past = rows.where(F.col("k") < F.col("n") - F.col("h"))
+    if not overlap:
+        return past.withColumn("range", own)
+    reach = F.floor((F.col("k") + overlap) / size).cast("long")
+    last = F.floor((F.col("n") - F.col("h") - 1) / size).cast("long")
+    return past.withColumn("range", F.explode(F.sequence(own, F.least(reach, last))))
+
+
+def _tails(rows: DataFrame, keys: list[str], past: int) -> DataFrame:
+    """For each series its held-out values and the last of its history, in order, as arrays tail and past."""
+    edge = F.col("n") - F.col("h")
+    pairs = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("k", "y")))), lambda r: r["y"])
+    near = rows.where(F.col("k") >= edge - past)
+    return near.groupBy(*keys).agg(pairs(F.col("k") >= edge).alias("tail"), pairs(F.col("k") < edge).alias("past"), F.max("n").alias("n"), F.max("h").alias("h")).where("n is not null")
+
+
+GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
+
+
+def _weights(trend: str | None, season: int) -> np.ndarray:
+    """(level, trend, season) weights of the grid, in the order in which ties are resolved."""
+    return np.array([(a, b, g) for a in GRID for b in (GRID if trend else (0.0,)) for g in (GRID if season > 1 else (0.0,))])
+
+
+def smoothing_map(y: np.ndarray, first: int, weights: np.ndarray, trend: bool, season: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a range of values, from place first on, does to a state (level, slope, cycle) for all weights.
+
+    The state has a last entry 1. Returned are the maps (weights, d, d) and forms (weights, d, d), of which s.F.s is the sum of squared errors
+    of a range that begins with state s.
+    """
+    m, d = len(weights), 3 + max(1, season)
+    a, b, g = weights.T
+    state, form = np.tile(np.eye(d), (m, 1, 1)), np.zeros((m, d, d))
+    for k, v in enumerate(y.tolist(), first):
+        cycle = state[:, 2 + k % max(1, season)].copy()
+        ahead = state[:, 0] + state[:, 1]
+        off = -(ahead + cycle)
+        off[:, -1] += v
+        if k:
+            form += off[:, :, None] * off[:, None, :]
+        new = (1 - a)[:, None] * ahead - a[:, None] * cycle
+        new[:, -1] += a * v
+        if trend:
+            state[:, 1] = b[:, None] * (new - state[:, 0]) + (1 - b)[:, None] * state[:, 1]
+        if season > 1:
+            mixed = (1 - g)[:, None] * cycle - g[:, None] * new
+            mixed[:, -1] += g * v
+            state[:, 2 + k % season] = mixed
+        state[:, 0] = new
+    return state, form
+
+
+def _smoothed(rows: DataFrame, keys: list[str], trend: str | None, season: int, size: int | None = None) -> DataFrame:
+    size = size or RANGE
+    weights, width = _weights(trend, season), max(1, season)
+
+    def mapped(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k")
+        state, form = smoothing_map(frame["y"].to_numpy(), int(frame["k"].iloc[0]), weights, bool(trend), season)
+        out = pd.DataFrame({"range": [frame["range"].iloc[0]], "map": [state.ravel()], "form": [form.ravel()]})
+        return out.assign(**{c: frame[c].iloc[0] for c in keys})
+
+    types = dict(rows.dtypes)
+    named = "".join(f", `{c}` {types[c]}" for c in keys)
+    maps = _by_series(_ranged(rows, 0, size), keys, "range").applyInPandas(mapped, "range long, map array<double>, form array<double>" + named)
+    chained = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("range", "map", "form"))).alias("ranges"))  # a row a range
+    begin = rows.where(F.col("k") < width).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda r: r["y"]).alias("begin"))
+    ends = _tails(rows, keys, 1)
+
+    def forecasts(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                d, y, h, n = 3 + width, np.asarray(row["begin"]), int(row["h"]), int(row["n"])
+                start = np.zeros(d)
+                start[0], start[-1] = y[0], 1.0
+                if season > 1 and n - h > season:
+                    start[2 : 2 + season] = y[:season] - y[:season].mean()
+                state, error = np.tile(start, (len(weights), 1)), np.zeros(len(weights))
+                for part in row["ranges"]:
+                    maps_, forms = (np.asarray(part[c]).reshape(-1, d, d) for c in ("map", "form"))
+                    error += np.einsum("mi,mij,mj->m", state, forms, state)
+                    state = np.einsum("mij,mj->mi", maps_, state)
+                best = state[int(np.argmin(np.round(error, 9)))]
+                steps = np.arange(1, h + 1)
+                made = best[0] + best[1] * steps + np.array([best[2 + (n - h + s) % width] for s in range(h)])
+                out.append(pd.DataFrame({"step": steps.astype(np.int32), "actual": np.asarray(row["tail"]), "forecast": made} | {c: row[c] for c in keys}))
+            if out:
+                yield pd.concat(out)
+
+    joined = ends.join(chained, keys).join(begin, keys) if keys else ends.crossJoin(F.broadcast(chained)).crossJoin(F.broadcast(begin))  # one row each
+    return joined.mapInPandas(forecasts, _schema(rows, keys))
+
+
+def _autoregressed(rows: DataFrame, keys: list[str], lags: int, difference: int, size: int | None = None) -> DataFrame:
+    size = size or RANGE
+
+    def factor(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k")
+        at = int(frame["range"].iloc[0]) * size
+        n, h = (int(frame[c].iloc[0]) for c in "nh")
+        x = np.diff(frame["y"].to_numpy(float), difference) if difference else frame["y"].to_numpy(float)
+        p = max(1, min(lags, (n - h - difference) // 3))
+        wanted = np.arange(max(0, at - int(frame["k"].iloc[0]) - difference, p), len(x))  # values that aren't earlier ranges'
+        table = np.column_stack([np.ones(len(wanted)), *(x[wanted - j - 1] for j in range(p)), x[wanted]])
+        r = np.linalg.qr(table, mode="r") if len(table) else np.zeros((0, p + 2))
+        return pd.DataFrame({"range": [frame["range"].iloc[0]], "r": [r.ravel()]}).assign(**{c: frame[c].iloc[0] for c in keys})
+
+    types = dict(rows.dtypes)
+    named = "".join(f", `{c}` {types[c]}" for c in keys)
+    factors = _by_series(_ranged(rows, lags + difference, size), keys, "range").applyInPandas(factor, "range long, r array<double>" + named)
+    stacked = factors.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("range", "r"))), lambda f: f["r"])).alias("r"))
+    ends = _tails(rows, keys, lags + difference)
+
+    def forecasts(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                h, n = int(row["h"]), int(row["n"])
+                p = max(1, min(lags, (n - h - difference) // 3))
+                r = np.linalg.qr(np.asarray(row["r"]).reshape(-1, p + 2), mode="r")
+                coef = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0]
+                last, x = [], np.asarray(row["past"], float)
+                for _ in range(difference):
+                    last.append(x[-1])
+                    x = np.diff(x)
+                past = list(x)
+                for _ in range(h):
+                    past.append(float(coef[0] + sum(c * past[-j - 1] for j, c in enumerate(coef[1:]))))
+                made = np.array(past[len(x) :])
+                for end in reversed(last):
+                    made = end + np.cumsum(made)
+                out.append(pd.DataFrame({"step": np.arange(1, h + 1, dtype=np.int32), "actual": np.asarray(row["tail"]), "forecast": made} | {c: row[c] for c in keys}))
+            if out:
+                yield pd.concat(out)
+
+    joined = ends.join(stacked, keys) if keys else ends.crossJoin(F.broadcast(stacked))  # one row each
+    return joined.mapInPandas(forecasts, _schema(rows, keys))
 
 
 def history_tail(df: DataFrame, time: str, target: str, keys: list[str] = (), horizon: int = 12, most: int = 20) -> DataFrame:
