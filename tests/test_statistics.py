@@ -12,7 +12,7 @@ from tallygrove.functions import scalar
 from tallygrove.operators import chart, compare, describe, learning, manifest, ols, profile, quality, quantiles, ranks, recommend, series, service, tests_param, tests_rank
 from tallygrove.plans import report
 from tallygrove.sources import tables
-from tallygrove.streaming import usage
+from tallygrove.streaming import locks, usage
 
 
 @pytest.fixture(scope="module")
@@ -471,6 +471,20 @@ def test_streams_drop_what_comes_after_the_watermark(spark, tmp_path):
     assert sorted((r.start.timestamp(), r.beats) for r in usage.drained(stream).collect())[:1] == [(0.0, 2)]
 
 
+def test_stream_of_locks_equals_the_batch(spark, tmp_path):
+    import time
+
+    base = 1_700_000_000
+    files = [[(1, "a", 0, 1), (1, "b", 100, 2), (2, "z", 0, 3)], [(1, "a", 250, 4), (1, "b", 560, 5)], [(1, "b", 500, 6), (1, "a", 700, 7)], [(1, "c", 2000, 8)], [(3, "q", 9000, 9)], [(3, "q", 20_000, 10)]]  # 500 comes late
+    for rows in files:
+        spark.createDataFrame(rows, "k int, c string, s long, i long").selectExpr("k", "c", f"timestamp_seconds(s + {base}) as t", "i").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    found = usage.drained(locks.lock_stream(usage.read_stream(spark, str(tmp_path / "in"), "k int, c string, t timestamp, i long"), "k", "c", "t", "i")).collect()
+    batch = service.session_locks(spark.read.parquet(str(tmp_path / "in")), "k", "c", "t", "i").where("i < 10").collect()  # the last is still waiting
+    assert sorted((r.i, r.k, r.c, r.t, r.locked) for r in found if r.event == "heartbeat") == sorted((r.i, r.k, r.c, r.t, r.locked) for r in batch)
+    assert sorted((r.k, r.c, int(r.t.timestamp()) - base) for r in found if r.event == "expired") == [(1, "a", 550), (1, "b", 860), (1, "c", 2300), (2, "z", 300), (3, "q", 9300)]
+
+
 def test_batches_are_appended_once(spark, tmp_path):
     frame = spark.range(10).selectExpr("id", "timestamp_seconds(id * 43200) as created_at")
     frame.repartition(2).write.parquet(str(tmp_path / "in"))
