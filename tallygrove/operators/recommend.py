@@ -29,6 +29,13 @@ RULES = [
 ]
 
 
+#: What the operations are called in a list.
+LABELS = {
+    "describe": "Description", "corr": "Correlations", "chisq": "Chi-square test", "wilcoxon": "Signed-rank test", "ols": "Least squares", "normality": "Normality", "ci_mean": "Interval of the mean",
+    "ttest": "t-test", "mannwhitney": "Rank-sum test", "anova": "Analysis of variance", "kruskal": "Rank test of several groups", "tukey": "Pairs after Tukey", "pairwise_adjusted": "Adjusted pairs",
+}
+
+
 def _chosen(asked: str, among: str, other: str = "''") -> str:
     """SQL: the asked column if it is among those of a kind and not the other, else the first such."""
     left = f"filter({among}, c -> c <> coalesce({other}, ''))"
@@ -57,7 +64,7 @@ def facts(df: DataFrame, goal: str, **asked: str | None) -> DataFrame:
 
 def recommend(df: DataFrame, goal: str = "auto", value: str | None = None, group: str | None = None, a: str | None = None, b: str | None = None) -> DataFrame:
     """Operations by priority for a goal: auto, compare_two_groups, association, paired_difference, regression, distribution, ..."""
-    rows = F.array(*(F.expr(f"struct({fits} as fits, {priority} as priority, '{op}' as op, '{why}' as reason, '{chart}' as chart_type, cast({x} as string) as x_hint, cast({y} as string) as y_hint, {args} as args_json)") for op, priority, chart, fits, x, y, args, why in RULES))
+    rows = F.array(*(F.expr(f"struct({fits} as fits, {priority} as priority, '{op}' as op, '{LABELS[op]}' as label, '{why}' as reason, '{chart}' as chart_type, cast({x} as string) as x_hint, cast({y} as string) as y_hint, {args} as args_json)") for op, priority, chart, fits, x, y, args, why in RULES))
     fitting = facts(df, goal, value=value, group=group, a=a, b=b).select(F.inline(rows)).where("fits")
     first = fitting.withColumn("k", F.row_number().over(Window.partitionBy("op", "args_json").orderBy("priority"))).where("k = 1")
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("priority", "op"))).select("rank", "priority", "op", "reason", "chart_type", "x_hint", "y_hint", "args_json")
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("priority", "op"))).select("rank", "priority", "op", "label", "reason", "chart_type", "x_hint", "y_hint", "args_json")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import manifest, service
-from ..streaming import usage
+from ..streaming import locks, usage
 from .lineage import checkpoint_dir
 from .registry import query, table
 
@@ -137,11 +137,21 @@ def _(spark, d):
     return manifest.text_summary(table(spark, d, "documents"), "text")
 
 
-@query("session_locks", """with recursive h as (select user_id, event_type, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+_LOCKS = """with recursive h as (select user_id, event_type, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
 s as (select user_id, event_id, k, event_type as owner, ts + interval 12 hours as expires, false as locked from h where k = 1
 union all select h.user_id, h.event_id, h.k, case when l.locked then s.owner else h.event_type end, case when l.locked then s.expires else h.ts + interval 12 hours end, l.locked
 from s join h on h.user_id = s.user_id and h.k = s.k + 1, lateral (select h.ts < s.expires and h.event_type <> s.owner as locked) l)
-select event_id as id, locked from s""")
+select event_id as id, locked from s"""
+
+
+@query("stream_locks", _LOCKS)
+def _(spark, d):
+    h = heartbeats(spark, d).select("api_key_id", "event_type", "ts", "id")
+    found = usage.drained(locks.lock_stream(_streamed(spark, h, "ts"), "api_key_id", "event_type", "ts", "id", 12 * 3600))
+    return found.where("event = 'heartbeat'").select("id", "locked")
+
+
+@query("session_locks", _LOCKS)
 def _(spark, d):
     return service.session_locks(heartbeats(spark, d), "api_key_id", "event_type", "ts", "id", 12 * 3600).select("id", "locked")
 

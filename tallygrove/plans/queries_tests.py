@@ -201,9 +201,22 @@ def _(spark, d):
     return found.agg(F.round(F.max("cooks_distance"), 8).alias("most_cook"), F.round(F.sum("leverage"), 6).alias("leverage_sum"))
 
 
-@query("recommend_tests")
-def _(spark, d):
-    return recommend.recommend(table(spark, d, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority", "o_custkey"))
+_RECOMMENDED = """with n as (select count(distinct o_orderstatus) as n from orders), r as (
+select 90 as p, 'describe' as op, 'Description' as label, 'o_totalprice' as x_hint, '{}' as args_json, true as fits union all select 80, 'corr', 'Correlations', 'o_totalprice', '{}', true
+union all select 30, 'chisq', 'Chi-square test', 'o_orderstatus', '{"a":"o_orderstatus","b":"o_orderpriority"}', true union all select 30, 'wilcoxon', 'Signed-rank test', 'o_totalprice', '{"a":"o_totalprice","b":"o_custkey"}', true
+union all select 35, 'ols', 'Least squares', 'o_custkey', '{"x":["o_custkey"],"y":"o_totalprice"}', true union all select 40, 'normality', 'Normality', 'o_totalprice', '{"column":"o_totalprice"}', true
+union all select 45, 'ci_mean', 'Interval of the mean', 'o_totalprice', '{"column":"o_totalprice","confidence":0.95}', true
+union all select 10, case n when 2 then 'ttest' else 'anova' end, case n when 2 then 't-test' else 'Analysis of variance' end, 'o_orderstatus', '{"group":"o_orderstatus","value":"o_totalprice"}', n >= 2 from n
+union all select 15, case n when 2 then 'mannwhitney' else 'kruskal' end, case n when 2 then 'Rank-sum test' else 'Rank test of several groups' end, 'o_orderstatus', '{"group":"o_orderstatus","value":"o_totalprice"}', n >= 2 from n
+union all select 20, 'tukey', 'Pairs after Tukey', 'o_orderstatus', '{"alpha":0.05,"group":"o_orderstatus","value":"o_totalprice"}', n > 2 from n
+union all select 25, 'pairwise_adjusted', 'Adjusted pairs', 'o_orderstatus', '{"group":"o_orderstatus","pAdjust":"holm","value":"o_totalprice"}', n > 2 from n)
+select row_number() over (order by p, op)::int as rank, op, label, x_hint, args_json from r where fits"""
+
+
+@query("recommend_tests", _RECOMMENDED)
+def _(spark, d):
+    found = recommend.recommend(table(spark, d, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority", "o_custkey"))
+    return found.select("rank", "op", "label", "x_hint", "args_json")
 
 
 @query("report_describe", "select 'l_tax' as \"column\", round(avg(l_tax), 6) as mean from lineitem")
