@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import calendar_bucket, clamped, label, parse_time, to_number
-from .ranks import quantiles_by, thinned
+from ..plans.lineage import checkpointed, if_few
+from .ranks import cumulated, placed, quantiles_by, thinned
 
 
 def _measure(y: str | None, agg: str | None) -> Column:
@@ -79,7 +80,8 @@ def heatmap_numeric(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 def heatmap_labels(df: DataFrame, x: str, y: str) -> DataFrame:
     """Counts for every pair of labels; labels, not rows, are paired."""
     counts = df.groupBy(label(F.col(x)).alias("x"), label(F.col(y)).alias("y")).agg(F.count(F.lit(1)).alias("count"))
-    spine = counts.select("x").distinct().crossJoin(F.broadcast(counts.select("y").distinct()))
+    counts = checkpointed(counts)
+    spine = counts.select("x").distinct().crossJoin(if_few(counts.select("y").distinct()))
     return spine.join(counts, ["x", "y"], "left").select("x", "y", F.coalesce("count", F.lit(0)).alias("count"))
 
 
@@ -124,10 +126,9 @@ def shares(df: DataFrame, x: str, y: str | None = None, agg: str = "count") -> D
 
 
 def waterfall(df: DataFrame, x: str, y: str, agg: str = "sum") -> DataFrame:
-    """Steps by label with where each begins and ends; over the labels, of which a chart has few."""
-    steps = grouped(df, x, y, agg)
-    end = F.sum("y").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("end", end).withColumn("start", F.col("end") - F.col("y")).select("x", "y", "start", "end")
+    """Steps by label with where each begins and ends; sums run over ranges of labels."""
+    steps = cumulated(grouped(df, x, y, agg), [], "x", "y")
+    return steps.select("x", "y", (F.col("upto") - F.col("y")).alias("start"), F.col("upto").alias("end"))
 
 
 def treemap(df: DataFrame, parent: str, child: str, y: str | None = None) -> DataFrame:
@@ -140,24 +141,29 @@ def radar(df: DataFrame, axis: str, y: str, series: str, order: str) -> DataFram
     """The last value (by order) of each series on each axis; 0 where there is none."""
     rows = df.select(label(F.col(series)).alias("series"), label(F.col(axis)).alias("axis"), to_number(F.col(y)).alias("y"), F.col(order).alias("_o"))
     last = rows.groupBy("series", "axis").agg(F.max_by("y", "_o").alias("y"))
-    spine = last.select("series").distinct().crossJoin(F.broadcast(last.select("axis").distinct()))
+    last = checkpointed(last)
+    spine = last.select("series").distinct().crossJoin(if_few(last.select("axis").distinct()))
     return spine.join(last, ["series", "axis"], "left").select("series", "axis", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
 def sankey(df: DataFrame, source: str, target: str, value: str | None = None) -> DataFrame:
     """Links between numbered nodes: source, target, their numbers, and the value (1 a row by default)."""
     links = df.groupBy(label(F.col(source)).alias("source"), label(F.col(target)).alias("target")).agg(F.coalesce(F.sum(to_number(F.col(value))) if value else F.count(F.lit(1)).cast("double"), F.lit(0.0)).alias("value"))
-    nodes = links.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("number", F.row_number().over(Window.orderBy("node")) - 1)
+    links = checkpointed(links)
+    nodes = placed(links.select(F.explode(F.array("source", "target")).alias("node")).distinct(), ["node"])[0].select("node", F.col("place").cast("int").alias("number"))
     for side in ("source", "target"):
         links = links.join(nodes.select(F.col("node").alias(side), F.col("number").alias(f"{side}_number")), side)
     return links.select("source", "target", "source_number", "target_number", "value")
 
 
-def figure(data: DataFrame, kind: str, title: str = "") -> DataFrame:
-    """One row: data (JSON of a chart trace, a list for each column) and layout."""
+def figure(data: DataFrame, kind: str, title: str = "", most: int = 100_000) -> DataFrame:
+    """chunk, data (JSON of a chart trace, a list for each column) and layout: a row for so many points in the order of their columns."""
+    rows, n = placed(data, data.columns)
     lists = F.struct(F.lit(kind).alias("type"), *(F.col("_r")[c].alias(c) for c in data.columns))
-    rows = data.agg(F.array_sort(F.collect_list(F.struct(*data.columns))).alias("_r"))
-    return rows.select(F.to_json(lists).alias("data"), F.to_json(F.struct(F.lit(title).alias("title"))).alias("layout"))
+    found = rows.withColumn("chunk", F.expr(f"cast(place div {most} as int)")).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", *data.columns))).alias("_r"))
+    if not n:
+        found = data.sparkSession.range(1).select(F.lit(0).alias("chunk"), F.array().cast(found.schema["_r"].dataType).alias("_r"))
+    return found.select("chunk", F.to_json(lists).alias("data"), F.to_json(F.struct(F.lit(title).alias("title"))).alias("layout"))
 
 
 def aggregate(df: DataFrame, type: str, x: str, y: str | None = None, hue: str | None = None, size: str | None = None, agg: str | None = None, bins: int = 30, resample: str | None = None, order: str | None = None) -> DataFrame:

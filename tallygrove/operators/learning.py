@@ -67,7 +67,7 @@ METRIC_OF = {
 }
 #: Metrics by which a task's result is judged, the first that there is.
 PRIMARY = {"regression": ("r2",), "classification": ("accuracy",), "clustering": ("silhouette",), "anomaly": ("outlier_ratio",), "timeseries": ("mae",), "dimension_reduction": ("ratio",)}
-LEAST_REGRESSION, LEAST_CLUSTERING, MANY_CLASSES = 8, 3, 50
+LEAST_REGRESSION, LEAST_CLUSTERING, MANY_CLASSES, MOST_CLASSES = 8, 3, 50, 10_000
 
 
 class LearningError(ValueError):
@@ -129,8 +129,11 @@ def _place(keys: list[str], *salt: Column) -> Column:
 
 
 def _thresholds(df: DataFrame, place: Column, label: str, shares: list[float]) -> Column:
-    """For each class the places below which these shares of its rows lie, exactly; classes are few."""
-    classes = sorted((r.c for r in df.select(F.col(label).cast("string").alias("c")).distinct().collect()), key=lambda c: (c is not None, c))
+    """For each class the places below which these shares of its rows lie, exactly; classes are few, or it is an error."""
+    found = [r.c for r in df.select(F.col(label).cast("string").alias("c")).distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(found) > MOST_CLASSES:
+        raise LearningError("ML_CLASS_LABELS_REQUIRED", f"{label} has more than {MOST_CLASSES} values and is no class")
+    classes = sorted(found, key=lambda c: (c is not None, c))
     values = {str(k): F.when(F.col(label).cast("string").eqNullSafe(F.lit(c)), place) for k, c in enumerate(classes)}
     found = values_at(df, values, lambda n: [min(n - 1, round(n * s)) for s in shares])
     return F.coalesce(*(F.when(F.col(label).cast("string").eqNullSafe(F.lit(c)), F.array(*map(F.lit, found[str(k)][1]))) for k, c in enumerate(classes)))

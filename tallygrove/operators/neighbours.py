@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpointed, discard
+from ..plans.lineage import FEW, checkpointed, discard, if_few
 
-CELL, FAN, SAMPLE, FEW = 2048, 256, 4096, 200_000
+CELL, FAN, SAMPLE = 2048, 256, 4096
 
 
 def as_points(df: DataFrame, columns: list[str], **named: Column) -> DataFrame:
@@ -59,11 +59,6 @@ def _leaf() -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.col("depth")), F.lit(0), step) - F.call_function("shiftleft", F.lit(1), F.col("depth")) + 1
 
 
-def _small(df: DataFrame, most: int = FEW) -> DataFrame:
-    """df, marked for a broadcast if it has few rows; else a join shuffles it."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 @dataclass
 class Cells:
     """Points dealt to cells, and the levels of trees above them."""
@@ -78,7 +73,7 @@ class Cells:
         rows = rows.withColumns({"cell": F.lit(0).cast("long"), "cells": F.array(F.lit(0).cast("long"))})
         for tree in self.trees:
             deeper = F.col("cell") * FAN + _leaf()
-            rows = rows.join(_small(tree), "cell", "left").withColumn("cell", F.when(F.col("depth").isNull(), F.col("cell")).otherwise(deeper))
+            rows = rows.join(if_few(tree), "cell", "left").withColumn("cell", F.when(F.col("depth").isNull(), F.col("cell")).otherwise(deeper))
             rows = rows.withColumn("cells", F.when(F.col("depth").isNull(), F.col("cells")).otherwise(F.array_append("cells", F.col("cell")))).drop("depth", "dims", "cuts")
         return rows
 
@@ -102,7 +97,7 @@ def celled(points: DataFrame, width: int, order: list[str], cell: int = CELL) ->
         if large.isEmpty():
             return Cells(rows, trees, boxes, width)
         rank = F.pmod(F.xxhash64(*order, F.lit(len(trees))), F.lit(1 << 40))
-        sample = rows.join(_small(large), "cell").withColumn("_r", rank).where(F.col("_r") <= F.lit(float(1 << 40)) * 2 * SAMPLE / F.col("_n"))
+        sample = rows.join(if_few(large), "cell").withColumn("_r", rank).where(F.col("_r") <= F.lit(float(1 << 40)) * 2 * SAMPLE / F.col("_n"))
         sample = sample.withColumn("_i", F.row_number().over(Window.partitionBy("cell").orderBy("_r", *order))).where(F.col("_i") <= SAMPLE)
 
         def grown(frame: pd.DataFrame) -> pd.DataFrame:
@@ -112,7 +107,7 @@ def celled(points: DataFrame, width: int, order: list[str], cell: int = CELL) ->
 
         tree = checkpointed(sample.select("cell", "_n", "x").groupBy("cell").applyInPandas(grown, "cell long, depth int, dims array<int>, cuts array<double>"))
         deeper = F.when(F.col("depth").isNull(), F.col("cell")).otherwise(F.col("cell") * FAN + _leaf())
-        moved = checkpointed(rows.join(_small(tree), "cell", "left").select(*points.columns, deeper.alias("_to"), F.when(F.col("depth").isNotNull(), F.col("cell")).alias("_from")))
+        moved = checkpointed(rows.join(if_few(tree), "cell", "left").select(*points.columns, deeper.alias("_to"), F.when(F.col("depth").isNotNull(), F.col("cell")).alias("_from")))
         discard(rows)
         rows = moved.withColumnRenamed("_to", "cell")
         rows._written_at = moved._written_at
@@ -175,7 +170,7 @@ def visited_cells(cells: Cells, bounds: DataFrame) -> DataFrame:
     for level in range(len(cells.trees) + 1):
         inner = cells.trees[level].select("cell", F.lit(True).alias("inner")) if level < len(cells.trees) else None
         if inner is not None:
-            rows = rows.join(_small(inner), "cell", "left")
+            rows = rows.join(if_few(inner), "cell", "left")
             leaves = rows.where("inner is null").drop("inner")
         else:
             leaves = rows
@@ -183,7 +178,7 @@ def visited_cells(cells: Cells, bounds: DataFrame) -> DataFrame:
         if inner is None:
             break
         down = cells.boxes[level + 1].select(F.col("parent").alias("cell"), F.col("cell").alias("child"), "low", "high")
-        rows = rows.where("inner").drop("inner").join(_small(down), "cell").where(_gap(cells.width) <= slack).select("x", "own", "bound", F.col("child").alias("cell"))
+        rows = rows.where("inner").drop("inner").join(if_few(down), "cell").where(_gap(cells.width) <= slack).select("x", "own", "bound", F.col("child").alias("cell"))
     return done.where("cell <> own").select("x", "cell")
 
 
@@ -205,7 +200,7 @@ def nearest(points: DataFrame, asked: DataFrame, width: int, k: int, cell: int =
     for more in cells.boxes[1:]:
         above = above.unionByName(more)
     # a cell with fewer than k points bounds nothing; the nearest box above it that has them does
-    wider = queries.join(own, "x", "left_anti").select("x", F.col("cell").alias("own"), F.explode("cells").alias("cell")).join(_small(above), "cell").where((F.col("n") >= k) | (F.col("parent") == -1))
+    wider = queries.join(own, "x", "left_anti").select("x", F.col("cell").alias("own"), F.explode("cells").alias("cell")).join(if_few(above), "cell").where((F.col("n") >= k) | (F.col("parent") == -1))
     wider = wider.groupBy("x", "own").agg(F.min(_gap(width, far=True)).alias("bound"))
     bounds = checkpointed(queries.select("x", F.col("cell").alias("own")).join(own, "x").select("x", "own", "bound").unionByName(wider.select("x", "own", "bound")))
     more = _searched(cells.points, visited_cells(cells, bounds), k, key_type)
@@ -239,8 +234,8 @@ def _within(points: DataFrame, probes: DataFrame, eps: float, block: int) -> Dat
     tasks = max(1, (sizes.agg(F.sum("_n")).first()[0] or 0) // (4 * block))
     blocks = F.ceil(F.col("_n") / block).cast("int")
     spot = lambda c, b: F.xxhash64(c, b)
-    kept = points.join(_small(sizes), "cell").withColumn("_spot", spot("cell", F.pmod(F.xxhash64("x"), blocks).cast("int"))).select("cell", "x", "w", "_spot", F.pmod("_spot", F.lit(tasks)).alias("_task"))
-    sent = probes.join(_small(sizes), "cell").withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("_spot", spot("cell", F.col("_b")))
+    kept = points.join(if_few(sizes), "cell").withColumn("_spot", spot("cell", F.pmod(F.xxhash64("x"), blocks).cast("int"))).select("cell", "x", "w", "_spot", F.pmod("_spot", F.lit(tasks)).alias("_task"))
+    sent = probes.join(if_few(sizes), "cell").withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("_spot", spot("cell", F.col("_b")))
     sent = sent.select(*(F.col(c).alias(f"p_{c}") for c in probes.columns), F.col("_spot").alias("p_spot"), F.pmod("_spot", F.lit(tasks)).alias("p_task"))
     named = [c for c in probes.columns if c not in ("x", "cell")]
 

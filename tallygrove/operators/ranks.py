@@ -6,9 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpointed
-
-FEW = 100_000
+from ..plans.lineage import checkpointed, if_few
 
 
 def cumulated(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
@@ -22,9 +20,8 @@ def cumulated(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> D
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # as many rows as ranges
     before = F.coalesce(F.sum("_n").over(own.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = checkpointed(parts.select("_p", *keys, before.alias("_b"), F.sum("_n").over(own).alias("total")))
-    few = parts.limit(FEW + 1).count() <= FEW
     running = F.sum(n).over(Window.partitionBy("_p", *keys).orderBy(value))
-    rows = ranged.join(F.broadcast(parts) if few else parts, ["_p", *keys])
+    rows = ranged.join(if_few(parts), ["_p", *keys])
     return rows.withColumn("upto", F.col("_b") + running).drop("_p", "_b")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.scalar import clamped, finite, to_number
-from ..plans.lineage import checkpointed
+from ..plans.lineage import checkpointed, if_few
 from .describe import excess_kurtosis, numeric_columns, skew
 from .quantiles import quantiles
 from .ranks import evenly, placed
@@ -127,11 +127,10 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     Levels, not rows, are paired: the margins' product is the table itself.
     """
     rows = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a is not null and b is not null")
-    cells = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed"))
+    cells = checkpointed(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed")))
     row, column = cells.groupBy("a").agg(F.sum("observed").alias("_r")), cells.groupBy("b").agg(F.sum("observed").alias("_c"))
     total = cells.agg(F.sum("observed").alias("_n"))
-    levels = column.agg(F.collect_list(F.struct("b", "_c")).alias("_l")).crossJoin(F.broadcast(total))
-    spine = row.crossJoin(F.broadcast(levels)).select("a", "_r", "_n", F.inline("_l"))
+    spine = row.crossJoin(if_few(column)).crossJoin(F.broadcast(total))  # the table itself
     return spine.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("observed", F.lit(0)).alias("observed"), (F.col("_r") * F.col("_c") / F.col("_n")).alias("expected"))
 
 

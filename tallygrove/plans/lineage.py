@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEW = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -43,3 +46,8 @@ def discard(*tables: DataFrame) -> None:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table._written_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, marked for a broadcast if it has at most so many rows, which a job counts; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

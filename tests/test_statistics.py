@@ -491,3 +491,24 @@ def test_batches_are_appended_once(spark, tmp_path):
     usage.append_batches(usage.read_stream(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.id for r in got.collect()) == list(range(10)) and got.select("day").distinct().count() == 5
+
+
+def test_figures_in_chunks(spark):
+    df = spark.range(25).selectExpr("id as x", "id * 2 as y").repartition(3)
+    made = chart.figure(df, "scatter", "t", 10).orderBy("chunk").collect()
+    assert [len(json.loads(r.data)["x"]) for r in made] == [10, 10, 5] and json.loads(made[1].data)["y"][0] == 20
+    assert json.loads(chart.figure(df.where("false"), "scatter").first().data)["x"] == []
+
+
+def test_local_references(spark):
+    refs = spark.createDataFrame([(1, "a.png"), (2, "b.png"), (3, None)], "id int, ref string")
+    files = spark.createDataFrame([("a.png", bytearray(b"abc"))], "path string, content binary")
+    found = {r.id: r for r in manifest.manifest_features(manifest.with_local(refs, "ref", files), "ref", "content").collect()}
+    assert [(found[k].kind, found[k].byte_size, found[k].is_local) for k in (1, 2, 3)] == [("local", 3, True), ("missing", 0, False), ("empty", 0, False)]
+
+
+def test_too_many_levels(spark):
+    with pytest.raises(ValueError):
+        scalar.one_hot(spark.range(20).select(F.col("id").cast("string").alias("x")), "x", most=10)
+    with pytest.raises(learning.LearningError):
+        learning.holdout(spark.range(20_000).withColumn("y", F.col("id")), "id", stratify="y")
