@@ -23,7 +23,7 @@ it is 3 in ten million.
 
 Defined cases: a null or wordless text is linked to nothing, not even to another; repeated rows are
 copies, also under one id; a class's id is its smallest non-null document id, and of ties for the row that
-stays the first read; very long texts are sketched whole; an empty table gives no rows; extra columns aren't read.
+stays the one with the least hash of its words; very long texts are sketched whole; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import checkpointed, discard
+from ..plans.lineage import checkpointed, discard, if_few
 from ._text import Words, bounded_batches, mixed, sliced
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
+HOT = 1_000_000  # rows of a key that is joined by a broadcast
 SMALL = 100_000  # rows of 24 bytes that may be broadcast
 MARGIN = 4.0  # standard deviations under the threshold at which an estimate rules a pair out (3 in 100,000)
 BLOCK, BLOCK_SHINGLES = 4096, 1_500_000  # members of a bucket, and their shingles, that one task holds of each side
@@ -307,12 +308,33 @@ def _by_block(of_block, names: list[str], least: float, registers: int):
     return run
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], partners: str, most: int | None = None) -> DataFrame:
+    """rows with the columns of table, which has a row for each of its keys, null where there is none.
+
+    partners, a column of table, says how many rows a key has. Keys with more than most rows are few, as they share the rows, and are broadcast, so that
+    none of them makes a task on its own; the others are joined by a shuffle.
+    """
+    hot = checkpointed(table.where(F.col(partners) > (most or HOT)))
+    more = [c for c in table.columns if c not in keys]
+    if hot.isEmpty():
+        return rows.join(table, keys, "left")
+    first = rows.join(if_few(hot), keys, "left")
+    rest = first.where(F.col(partners).isNull()).select(rows.columns).join(table.where(F.col(partners) <= (most or HOT)), keys, "left")
+    return first.where(F.col(partners).isNotNull()).select(*rows.columns, *more).unionByName(rest.select(*rows.columns, *more))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that links (a, b) lead to; only for nodes that have links."""
     both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
+    hubs = checkpointed(both.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > HOT))
+    flat = hubs.isEmpty()
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"), F.lit(True).alias("moved")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        if flat:
+            ends = both.join(labels, both.b == labels.node)
+        else:
+            ends = looked_up(both.withColumnRenamed("b", "node"), labels.select("node", "comp").join(if_few(hubs), "node", "left").fillna(0, ["degree"]), ["node"], "degree")
+        near = ends.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         hop = labels.select(F.col("node").alias("to"), F.col("comp").alias("hop"))
         to = F.least("to", F.coalesce("hop", "to"))
@@ -320,7 +342,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(labels)
         labels = following
         if labels.where("moved").isEmpty():
-            discard(both)
+            discard(both, hubs)
             return labels.drop("moved")
 
 
@@ -399,7 +421,7 @@ class Buckets:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row: doc_id, class_id, copies (rows of the same words), kept.
 
-    One row of each class is kept: that of the class's id, and of several such rows one.
+    One row of each class is kept: that of the class's id, and of several such rows one with the least hash of its words.
     """
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
@@ -408,10 +430,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = checkpointed(texts.mapInArrow(_sketch(k, bands, rows, schema.names), schema).withColumn("rid", F.monotonically_increasing_id()))
     copied = sketched.where("size > 0").groupBy("n1", "n2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies"))
     copied = checkpointed(copied.where("copies > 1"))
-    members = checkpointed(sketched.select("rid", "doc_id", "n1", "n2").join(copied, ["n1", "n2"], "left").select("rid", "doc_id", F.coalesce("first", "rid").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies")))
+    named = looked_up(sketched.select("rid", "doc_id", "n1", "n2"), copied, ["n1", "n2"], "copies")
+    members = checkpointed(named.select("rid", "doc_id", "n1", F.coalesce("first", "rid").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies")))
     others = members.where("rid != node").select("rid")
     reps = checkpointed(sketched.where("size > 0").join(others, "rid", "left_anti").select(F.col("rid").alias("node"), "doc_id", "tkey", "size", "sig", "bands"))
-    discard(sketched, copied)
+    discard(sketched)
     banded = reps.select("node", "bands").mapInArrow(_banded, "node long, key long")
     buckets = checkpointed(banded.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     shared = checkpointed(banded.join(buckets, "key").join(reps.select("node", "size"), "node").select("key", "node", "first", "size"))
@@ -426,9 +449,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links, wave = checkpointed(links.union(more).distinct()), wave + 1
     labels = components(links)
     discard(shared, buckets)
-    found = checkpointed(members.join(labels, "node", "left").select("rid", "doc_id", "copies", F.coalesce("comp", "node").alias("comp")))
-    classes = checkpointed(found.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("stays")))
-    return found.join(classes, "comp").select("doc_id", "class_id", "copies", (F.col("rid") == F.col("stays")).alias("kept"))
+    sizes = copied.select(F.col("first").alias("node"), F.col("copies").alias("rows"))
+    found = looked_up(members, labels.join(sizes, "node", "left").fillna(1, ["rows"]), ["node"], "rows")
+    found = checkpointed(found.select("rid", "doc_id", "n1", "copies", F.coalesce("comp", "node").alias("comp")))
+    stays = F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "n1", "rid")).alias("stays")
+    classes = checkpointed(found.groupBy("comp").agg(F.min("doc_id").alias("class_id"), stays, F.count(F.lit(1)).alias("rows")))
+    return looked_up(found, classes, ["comp"], "rows").select("doc_id", "class_id", "copies", (F.col("rid") == F.col("stays")).alias("kept"))
 
 
 def op2_prob_minhash(spark, sf_dir: str) -> DataFrame:

@@ -144,6 +144,28 @@ def test_near_duplicates_equal_brute_force(spark, texts):
         assert sum(r.kept for r in got) == len(classes)
 
 
+def test_near_duplicates_of_hot_keys(spark, docs, monkeypatch):
+    rows = lambda: sorted(map(str, dedup.near_duplicates(docs).select("class_id", "copies", "kept").collect()))
+    plain = rows()
+    monkeypatch.setattr(dedup, "HOT", 1)
+    assert rows() == plain
+    left = spark.createDataFrame([(k % 3, k) for k in range(20)] + [(9, 99)], "k long, v long")
+    table = spark.createDataFrame([(0, "a", 7), (1, "b", 7), (2, "c", 1)], "k long, x string, n long")
+    for most in (1, 5, 100):
+        assert sorted((r.v, r.x or "") for r in dedup.looked_up(left, table, ["k"], "n", most).collect()) == sorted([(k, "abc"[k % 3]) for k in range(20)] + [(99, "")])
+
+
+def test_near_duplicates_of_equal_ids_and_very_long_texts(spark):
+    long = " ".join(f"w{k * 7919 % 100_003}" for k in range(60_000))
+    rows = [(1, long), (2, long + " tail"), (3, "other words " * 3), (3, long.upper()), (None, long)]
+    kept = []
+    for parts in (1, 4):
+        got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.class_id) for r in got) == [("1", 1), ("2", 1), ("3", 1), ("3", 3), ("None", 1)]
+        kept.append(sorted((r.class_id, r.doc_id) for r in got if r.kept))
+    assert kept[0] == kept[1] == [(1, 1), (3, 3)]
+
+
 def test_near_duplicates_verify_all_that_the_sketches_allow(spark):
     # each text is 0.8 like its twin and, with one of two slots in common, 0.787 like many others
     rng, texts = random.Random(8), []
