@@ -230,12 +230,13 @@ def _within(points: DataFrame, probes: DataFrame, eps: float, block: int) -> Dat
     small cells don't make small tasks.
     """
     points = points.select("cell", "x", "w")
-    sizes = checkpointed(points.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")))
-    tasks = max(1, (sizes.agg(F.sum("_n")).first()[0] or 0) // (4 * block))
+    sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    facts = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("points"), F.count(F.lit(1)).alias("cells")).first()
+    tasks, sizes = max(1, facts.points // (4 * block)), F.broadcast(sizes) if facts.cells <= FEW else sizes
     blocks = F.ceil(F.col("_n") / block).cast("int")
     spot = lambda c, b: F.xxhash64(c, b)
-    kept = points.join(if_few(sizes), "cell").withColumn("_spot", spot("cell", F.pmod(F.xxhash64("x"), blocks).cast("int"))).select("cell", "x", "w", "_spot", F.pmod("_spot", F.lit(tasks)).alias("_task"))
-    sent = probes.join(if_few(sizes), "cell").withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("_spot", spot("cell", F.col("_b")))
+    kept = points.join(sizes, "cell").withColumn("_spot", spot("cell", F.pmod(F.xxhash64("x"), blocks).cast("int"))).select("cell", "x", "w", "_spot", F.pmod("_spot", F.lit(tasks)).alias("_task"))
+    sent = probes.join(sizes, "cell").withColumn("_b", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("_spot", spot("cell", F.col("_b")))
     sent = sent.select(*(F.col(c).alias(f"p_{c}") for c in probes.columns), F.col("_spot").alias("p_spot"), F.pmod("_spot", F.lit(tasks)).alias("p_task"))
     named = [c for c in probes.columns if c not in ("x", "cell")]
 

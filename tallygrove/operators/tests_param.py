@@ -121,19 +121,26 @@ def ttest(df: DataFrame, value: str, group: str, equal_var: bool = False, levels
     return _row(df, found, TTEST)
 
 
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """a, b, observed, expected for every pair of levels, also those that don't occur.
-
-    Levels, not rows, are paired: the margins' product is the table itself.
-    """
+def _counted(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a is not null and b is not null")
-    cells = checkpointed(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed")))
+    return checkpointed(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed")))
+
+
+def _expected(cells: DataFrame) -> DataFrame:
     row, column = cells.groupBy("a").agg(F.sum("observed").alias("_r")), cells.groupBy("b").agg(F.sum("observed").alias("_c"))
     total = cells.agg(F.sum("observed").alias("_n"))
     spine = row.crossJoin(if_few(column)).crossJoin(F.broadcast(total))  # the table itself
     return spine.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("observed", F.lit(0)).alias("observed"), (F.col("_r") * F.col("_c") / F.col("_n")).alias("expected"))
 
 
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, observed, expected for every pair of levels, also those that don't occur.
+
+    Levels, not rows, are paired: the margins' product is the table itself.
+    """
+    return _expected(_counted(df, a, b))
+
+
 CHISQ = "chi2 double, p double, dof long, n long, cramers_v double, v_low double, v_high double, warning string"
 
 
@@ -175,9 +182,9 @@ def chisq(df: DataFrame, a: str, b: str, bootstrap: int = 250, seed: int = 42) -
 
     A bootstrap sample draws the table's cells, which costs the same for any number of rows.
     """
-    cells = checkpointed(contingency(df, a, b))
+    cells = _counted(df, a, b)
     gap = F.abs(F.col("observed") - F.col("expected"))
-    sums = cells.agg(F.sum("observed").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"), F.sum(gap**2 / F.col("expected")).alias("plain"), F.sum((gap - F.least(F.lit(0.5), gap)) ** 2 / F.col("expected")).alias("yates")).first()
+    sums = _expected(cells).agg(F.sum("observed").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"), F.sum(gap**2 / F.col("expected")).alias("plain"), F.sum((gap - F.least(F.lit(0.5), gap)) ** 2 / F.col("expected")).alias("yates")).first()
     if not sums.n or sums.n < 5 or min(sums.r, sums.c) < 2:
         return _row(df, {"n": sums.n or 0, "warning": "The test needs five rows and two levels of each column."}, CHISQ)
     dof = (sums.r - 1) * (sums.c - 1)

@@ -173,9 +173,14 @@ def _(spark, d):
     return profile.imbalanced(o, ["state", "o_orderpriority"])
 
 
-@query("profile_row")
+_EVENT_TEXTS = " union all ".join(f"select '{c}' as \"column\", {c}::varchar as x from {EVENTS}" for c in ("event_id", "value", "event_type", "user_id"))
+_EVENT_KINDS = f"select \"column\", case when avg((try_cast(x as double) is not null)::int) >= 0.7 then 'numeric' when avg((try_cast(x as timestamp) is not null)::int) >= 0.7 then 'dateLike' else 'categorical' end as kind from ({_EVENT_TEXTS}) where x <> '' group by 1"
+
+
+@query("profile_row", f"select count(*)::bigint as rows, 4::bigint as columns, (count(*) - (select count(*) from (select distinct * from {EVENTS})))::bigint as duplicates, (select count(*) from ({_EVENT_KINDS}) where kind = 'numeric')::bigint as numeric, (select count(*) from ({_EVENT_KINDS}) where kind = 'categorical')::bigint as categorical, (select count(*) from ({_EVENT_KINDS}) where kind = 'dateLike')::bigint as date_like, (select count(distinct \"column\") from ({_EVENT_TEXTS}) where x is null or x = '')::int as missing from {EVENTS}")
 def _(spark, d):
-    return profile.profile(dirty_events(spark, d))
+    found = profile.profile(dirty_events(spark, d))
+    return found.select("rows", "columns", "duplicates", "numeric", "categorical", "date_like", F.size("missing").alias("missing"))
 
 
 @query("profile_flags", f"with e as (select * from {EVENTS}), q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b, count(value) as n from e), o as (select 100.0 * count(*) / max(n) as r from e, q where value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a)) select 'missing' as kind, 'high' as severity union all select 'outlier', case when round(r, 1) >= 10 then 'high' else 'medium' end from o where r > 0")
