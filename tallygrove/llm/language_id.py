@@ -9,8 +9,8 @@ Scale: trained on the driver on pieces of at most SAMPLE labelled texts, taken b
 every text is then read whole, in batches of windows, in one pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is und with score 0; so is every text if nothing can
-be learned from; texts with a null language aren't learned from; repeated rows each get a row; only the
-id, text and language columns are read.
+be learned from; texts with a null language aren't learned from; of languages with equal scores the first in
+alphabetical order is named; repeated rows each get a row; only the id, text and language columns are read.
 """
 
 from __future__ import annotations
