@@ -37,7 +37,7 @@ from ._suffix import common_prefixes, suffix_array
 from ._text import bounded_batches, mixed, released, sliced, text_bytes, unused
 
 LENGTH, GRAM = 400, 64
-PIECE, SHARD, RANGE = 1 << 22, 1 << 20, 100_000
+PIECE, SHARD, RANGE = 1 << 20, 1 << 19, 100_000
 PLACE_BITS = 23  # holds a place in a piece, or in a slice of several texts
 RESULTS = ("n_bytes", "n_removed", "spans", "kept")
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
