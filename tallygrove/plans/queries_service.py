@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import manifest, service
+from ..sources import tables
 from ..streaming import locks, usage
 from .lineage import checkpoint_dir
 from .registry import query, table
@@ -144,6 +145,16 @@ from s join h on h.user_id = s.user_id and h.k = s.k + 1, lateral (select h.ts <
 select event_id as id, locked from s"""
 
 
+@query("usage_appended", "select strftime(ts::date, '%Y-%m-%d') as day, count(*)::bigint as requests, count(distinct event_id)::bigint as ids from events group by 1")
+def _(spark, d):
+    folder = f"{checkpoint_dir(spark)}/usage-{uuid.uuid4().hex}"
+    log = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("created_at"))
+    for own in (F.col("event_type") == "click", F.coalesce(F.col("event_type") != "click", F.lit(True))):
+        tables.append_usage(log.where(own), folder)
+    stored = spark.read.parquet(folder)
+    return stored.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("event_id").alias("ids"))
+
+
 @query("stream_locks", _LOCKS)
 def _(spark, d):
     h = heartbeats(spark, d).select("api_key_id", "event_type", "ts", "id")

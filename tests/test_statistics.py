@@ -512,3 +512,8 @@ def test_too_many_levels(spark):
         scalar.one_hot(spark.range(20).select(F.col("id").cast("string").alias("x")), "x", most=10)
     with pytest.raises(learning.LearningError):
         learning.holdout(spark.range(20_000).withColumn("y", F.col("id")), "id", stratify="y")
+
+
+def test_options_are_clamped():
+    clamped = scalar.clamped
+    assert [clamped(v, 0.05, 0.5, 0.2) for v in (0.3, "0.4", 0, 9, None, "x", float("nan"), -1)] == [0.3, 0.4, 0.05, 0.5, 0.2, 0.2, 0.2, 0.05]
