@@ -40,12 +40,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return table
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of checkpointed() that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._written_at)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(table.sparkSession, table._written_at)
 
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
