@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm import decontamination, dedup, packing, privacy, toxicity
 from tallygrove.llm._text import unused
-from tallygrove.plans.lineage import checkpoint_dir
+from tallygrove.plans.lineage import checkpoint_dir, removed
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -71,11 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents."""
+    """All stages over the whole of documents; a stage's folder is deleted when the next one is written."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
