@@ -155,6 +155,28 @@ def test_near_duplicates_of_hot_keys(spark, docs, monkeypatch):
         assert sorted((r.v, r.x or "") for r in dedup.looked_up(left, table, ["k"], "n", most).collect()) == sorted([(k, "abc"[k % 3]) for k in range(20)] + [(99, "")])
 
 
+def test_components_are_sought_over_few_links_of_near_copies(spark, monkeypatch):
+    rng, base, seen, plain = random.Random(4), [f"w{k}" for k in range(300)], [], dedup.components
+    texts = [" ".join(w if k != at else f"x{at}" for k, w in enumerate(base)) for at in rng.sample(range(300), 120)]
+    monkeypatch.setattr(dedup, "components", lambda links: seen.append(links.count()) or plain(links))
+    got = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+    assert sum(seen) < 2 * len(texts)
+
+
+def test_merged_labels_are_those_of_all_links(spark):
+    rng = random.Random(5)
+    links = [tuple(sorted(rng.sample(range(90), 2))) for _ in range(70)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    listed = lambda labels: sorted((r.node, r.comp) for r in labels.collect())
+    whole = listed(dedup.components(frame(links)))
+    assert listed(dedup.components(dedup.star(frame(links)))) == whole
+    labels = dedup.components(frame(links[:25]))
+    for at in (25, 45):
+        labels = dedup.merged(labels, frame(links[at : at + 25]))
+    assert listed(labels) == whole
+
+
 def test_near_duplicates_of_equal_ids_and_very_long_texts(spark):
     long = " ".join(f"w{k * 7919 % 100_003}" for k in range(60_000))
     rows = [(1, long), (2, long + " tail"), (3, "other words " * 3), (3, long.upper()), (None, long)]
