@@ -107,39 +107,54 @@ def nearest_centre(x: Column, centres: np.ndarray) -> Column:
     return F.array_min(F.array(*(F.struct(gap(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres))))["k"]
 
 
-def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster", block: int = 2048) -> DataFrame:
+def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster", block: int = 8192) -> DataFrame:
     """The mean silhouette with Euclidean distances; null with under two clusters.
 
-    It needs all distances, so the work is quadratic: equal points of a cluster are weighted points, these are dealt to blocks, and a task compares
-    two blocks and puts out a sum for each point and cluster. For large tables silhouette_squared is linear.
+    It needs all distances, so the work is quadratic: equal points of a cluster are weighted points, these are dealt to blocks, and a task takes
+    two blocks, computes each distance once for both of its points and puts out a sum for each point and cluster. For large tables silhouette_squared is linear.
     """
     rows = df.select(F.col(cluster).cast("string").alias("k"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    points = checkpointed(rows.groupBy("k", "x").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    points = checkpointed(rows.groupBy("k", "x").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("p", F.monotonically_increasing_id()))
     sizes = points.groupBy("k").agg(F.sum("w").alias("n"))
     blocks = max(1, -(-points.count() // block))
     dealt = points.withColumn("b", F.pmod(F.xxhash64("k", "x"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = dealt.select("k", "x", "w", F.col("b").alias("i"), every.alias("j")), dealt.select("k", "x", "w", every.alias("p"), F.col("b").alias("q"))
-
-    def summed(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(others):
-            x, y, w = np.stack(own["x"].to_numpy()), np.stack(others["x"].to_numpy()), others["w"].to_numpy()
-            codes, names = pd.factorize(others["k"])
-            for at in range(0, len(x), 256):
-                gaps = np.sqrt(((x[at : at + 256, None, :] - y[None]) ** 2).sum(axis=2)) * w
-                by = np.stack([gaps[:, codes == c].sum(axis=1) for c in range(len(names))], axis=1)
-                part = own.iloc[at : at + 256]
-                for c, name in enumerate(names):
-                    out.append(pd.DataFrame({"k": part["k"].to_numpy(), "x": part["x"].to_numpy(), "w": part["w"].to_numpy(), "o": name, "s": by[:, c]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("k", "x", "w", "o", "s")}, dtype=object)
-
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("p", "q")).applyInPandas(summed, "k string, x array<double>, w double, o string, s double")
-    sums = sums.groupBy("k", "x", "w", "o").agg(F.sum("s").alias("s")).join(F.broadcast(sizes.withColumnRenamed("k", "o")), "o")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q")
+    met = dealt.select("*", other).select("p", "k", "x", "w", "b", F.least("b", "q").alias("i"), F.greatest("b", "q").alias("j"))
+
+    def listed(p: np.ndarray, names: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"p": np.repeat(p, len(names)), "o": np.tile(names, len(p)), "s": sums.ravel()})
+
+    def summed(pair: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pair["i"].iloc[0]), int(pair["j"].iloc[0])
+        own, others = (pair[pair["b"] == b].sort_values("k", na_position="last") for b in (lo, hi))
+        if not len(own) or not len(others):
+            return pd.DataFrame({"p": np.zeros(0, np.int64), "o": np.zeros(0, object), "s": np.zeros(0)})
+        x, y = np.stack(own["x"].to_numpy()).T, np.stack(others["x"].to_numpy()).T
+        (codes, names), (to, to_names) = (pd.factorize(f["k"], use_na_sentinel=False) for f in (own, others))
+        v, w = own["w"].to_numpy(), others["w"].to_numpy()
+        first = np.flatnonzero(np.diff(to, prepend=-1))  # where a cluster's points begin
+        back, out = np.zeros((len(names), len(others))), []
+        for at in range(0, len(own), 64):
+            gaps = np.zeros((min(64, len(own) - at), len(others)))
+            for a, b in zip(x, y, strict=True):
+                d = a[at : at + 64, None] - b
+                gaps += d * d
+            np.sqrt(gaps, out=gaps)
+            out.append(listed(own["p"].to_numpy()[at : at + 64], to_names, np.add.reduceat(gaps * w, first, axis=1)))
+            if lo < hi:
+                some = codes[at : at + 64]
+                begins = np.flatnonzero(np.diff(some, prepend=-1))
+                back[some[begins]] += np.add.reduceat(gaps * v[at : at + 64, None], begins, axis=0)
+        if lo < hi:
+            out.append(listed(others["p"].to_numpy(), names, back.T))
+        return pd.concat(out)
+
+    sums = met.groupBy("i", "j").applyInPandas(summed, "p long, o string, s double").groupBy("p", "o").agg(F.sum("s").alias("s"))
+    sums = sums.join(points.select("p", "k", "w"), "p").join(F.broadcast(sizes.withColumnRenamed("k", "o")), "o")
     own = F.max(F.when(F.col("k") == F.col("o"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a")
     other = F.min(F.when(F.col("k") != F.col("o"), F.col("s") / F.col("n"))).alias("b")
     alone = F.max(F.when(F.col("k") == F.col("o"), F.col("n"))).alias("n")
-    each = sums.groupBy("k", "x", "w").agg(own, other, alone)
+    each = sums.groupBy("p", "w").agg(own, other, alone)
     score = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return each.agg(F.when(F.count("b") > 0, F.sum(score * F.col("w")) / F.sum("w")).alias("silhouette"))
 
