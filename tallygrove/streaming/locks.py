@@ -16,8 +16,8 @@ FIELDS = ("client", "at", "tie")
 class SessionLocks(StatefulProcessor):
     """Holds heartbeats until the watermark has passed them, then judges them in the order of time and tie.
 
-    State of a key: its live session (client, expires) and the heartbeats that wait. A timer is set for each heartbeat's time and for
-    the session's end; ends that no heartbeat has put off are put out as expired, once.
+    State of a key: its live session (client, expires) and the heartbeats that wait. A timer is set for the earliest heartbeat that waits, as it
+    judges all that the watermark has passed, and for the session's end; ends that no heartbeat has put off are put out as expired, once.
     """
 
     def __init__(self, key: str, key_type: str, ttl: int):
@@ -34,8 +34,8 @@ class SessionLocks(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [r for frame in rows for r in zip(*(frame[c].tolist() for c in FIELDS), strict=True)]
         self.waiting.appendList(new)
-        for at in {r[1] for r in new}:
-            self._timed(at)
+        if new:
+            self._timed(min(r[1] for r in new))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -59,6 +59,7 @@ class SessionLocks(StatefulProcessor):
         if due:
             if later:
                 self.waiting.put(later)
+                self._timed(min(r[1] for r in later))
             else:
                 self.waiting.clear()
         if owner is None:

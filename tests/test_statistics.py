@@ -5,6 +5,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -485,6 +486,51 @@ def test_stream_of_locks_equals_the_batch(spark, tmp_path):
     assert sorted((r.k, r.c, int(r.t.timestamp()) - base) for r in found if r.event == "expired") == [(1, "a", 550), (1, "b", 860), (1, "c", 2300), (2, "z", 300), (3, "q", 9300)]
 
 
+def test_locks_wait_for_one_timer_of_a_key():
+    class State:
+        value = ()
+
+        def exists(self):
+            return bool(self.value)
+
+        def get(self):
+            return self.value
+
+        def put(self, value):
+            self.value = value
+
+        update, clear = put, lambda self: self.put(())
+
+        def appendList(self, rows):
+            self.value = [*self.value, *rows]
+
+    class Handle:
+        timers: set = set()
+
+        def getValueState(self, *_):
+            return State()
+
+        getListState = getValueState
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Clock:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    held, handle = locks.SessionLocks("k", "int", 10), Handle()
+    held.init(handle)
+    for batch in ([5, 1, 3, 40, 41, 42], [2, 60]):
+        list(held.handleInputRows((1,), iter([pd.DataFrame([("c", at * 1_000_000, str(at)) for at in batch], columns=locks.FIELDS)]), Clock(0)))
+    assert handle.timers == {1000, 2000}
+    found = pd.concat(held.handleExpiredTimer((1,), Clock(30_000), Clock(30_000)))
+    assert [(r.at // 1_000_000, r.event) for r in found.itertuples()] == [*((at, "heartbeat") for at in (1, 2, 3, 5)), (15, "expired")]
+    assert handle.timers == {1000, 2000, 40_000}
+    found = pd.concat(held.handleExpiredTimer((1,), Clock(50_000), Clock(50_000)))
+    assert [r.at // 1_000_000 for r in found.itertuples()] == [40, 41, 42] and handle.timers == {1000, 2000, 40_000, 52_000, 60_000}
+
+
 def test_batches_are_appended_once(spark, tmp_path):
     frame = spark.range(10).selectExpr("id", "timestamp_seconds(id * 43200) as created_at")
     frame.repartition(2).write.parquet(str(tmp_path / "in"))
