@@ -245,6 +245,17 @@ def _estimator(task: str, model: str, o: dict, size: int, classes: int):
     return known[model]()
 
 
+def _cells(rows: DataFrame, times: int = 4) -> DataFrame | None:
+    """features, label and _weight: a row for all with equal features, their mean label and number; None where that makes not so many times fewer.
+
+    Trees by variance see only counts and sums of labels, so those of the cells are those of the rows, at thresholds of all rows and not of a sample.
+    """
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("features")).alias("cells")).first()
+    if n.cells * times > n.rows:
+        return None
+    return checkpointed(rows.groupBy("features").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("_weight")))
+
+
 class AdaBoost:
     """SAMME over shallow trees: each round weighs up the rows that the last tree missed."""
 
@@ -408,6 +419,10 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
         members = ["linear", "decision_tree", "random_forest"] if task == "regression" else ["logistic", "decision_tree", "random_forest"]
         fitted = [_estimator(task, m, options, len(names), classes).fit(fit_rows) for m in members]
         predicted = _voted(test, fitted, task)
+    elif model in ("gradient_boosting", "decision_tree") and not labels and (cells := _cells(fit_rows)) is not None:
+        fitted = _estimator(task, model, options, len(names), classes).setWeightCol("_weight").fit(cells)
+        discard(cells)
+        predicted = fitted.transform(test)
     else:
         fitted = _estimator(task, model, options, len(names), classes).fit(fit_rows)
         predicted = fitted.transform(test)

@@ -130,6 +130,19 @@ def test_calibration_of_three_classes(flowers, method):
     assert code(lambda: learning.train(flowers.where("kind <> 'c' or id = 200"), "classification", "calibrated", "kind", ["x"], "id")) == "ML_TOO_FEW_ROWS"
 
 
+@pytest.mark.parametrize("model", ["decision_tree", "gradient_boosting"])
+def test_trees_of_equal_features_are_fitted_on_cells(spark, monkeypatch, model):
+    rows = spark.range(600).selectExpr("id as key", "double(id % 6) as x", "double(id % 5) as y", "double(id % 6 * 3 + id % 5 * (id % 6) + id % 7) as z")
+    seen, plain = [], learning._cells
+    fit = lambda: learning.train(rows, "regression", model, "z", ["x", "y"], "key", iterations=4).metrics.first()
+    monkeypatch.setattr(learning, "_cells", lambda df: seen.append(plain(df)) or seen[-1])
+    found = fit()
+    assert seen[0] is not None and seen[0].columns == ["features", "label", "_weight"]
+    monkeypatch.setattr(learning, "_cells", lambda df: None)
+    assert list(found) == pytest.approx(list(fit()))
+    assert plain(spark.range(100).selectExpr("double(id) as features", "double(id) as label")) is None
+
+
 def test_silhouette_equals_brute_force(spark, flowers):
     rows = flowers.select("kind", "x", "y").unionByName(spark.createDataFrame([("z", 0.0, 9.0), ("a", 0.0, 0.0), ("a", 0.0, 0.0), ("a", None, 1.0)], "kind string, x double, y double"))
     x = [(r.kind, r.x, r.y) for r in rows.where("x is not null").collect()]
