@@ -141,3 +141,15 @@ def wilcoxon_exact_cdf(w: float, n: int) -> float:
     for r in range(1, n + 1):
         ways[r:] = ways[r:] + ways[:-r]
     return float(ways[: math.floor(w) + 1].sum() / 2.0**n)
+
+
+#: The shares of Poisson numbers with mean 1 that are at most 0, 1 .. 11, of 2 ** 32; what is over 12 is rarer than one.
+_POISSON = np.round(np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)])) * (1 << 32)).astype(np.uint32)
+
+
+def poisson_of_one(rng: np.random.Generator, n: int) -> np.ndarray:
+    """n Poisson numbers with mean 1, from uniform numbers of 32 bits."""
+    u, w = rng.integers(0, 1 << 32, n, np.uint32), np.zeros(n, np.uint8)
+    for share in _POISSON:
+        w += u >= share
+    return w

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamped, to_number
-from ..plans.lineage import checkpointed, discard
+from ..functions.special import poisson_of_one
+from ..plans.lineage import checkpointed, discard, if_few
 from .clusters import isolation_forest, lloyd, nearest_centre, silhouette, silhouette_squared
 from .describe import NUMERIC
 from .neighbours import dbscan, knn_classify
@@ -68,6 +74,10 @@ METRIC_OF = {
 #: Metrics by which a task's result is judged, the first that there is.
 PRIMARY = {"regression": ("r2",), "classification": ("accuracy",), "clustering": ("silhouette",), "anomaly": ("outlier_ratio",), "timeseries": ("mae",), "dimension_reduction": ("ratio",)}
 LEAST_REGRESSION, LEAST_CLUSTERING, MANY_CLASSES, MOST_CLASSES = 8, 3, 50, 10_000
+#: Forests of a regression are fitted on cells from so many rows on, and up to so many pairs of a cell and a tree, of which each task keeps 16 bytes.
+FOREST_ROWS, MOST_DRAWN = 1_000_000, 4_000_000
+#: Bytes of a partition that MLlib keeps to fit a forest on rows, trees that are fitted at a time, and rows that are drawn at a time.
+KEPT_BYTES, AT_ONCE, BLOCK = 128 << 20, 8, 1 << 17
 
 
 class LearningError(ValueError):
@@ -245,17 +255,112 @@ def _estimator(task: str, model: str, o: dict, size: int, classes: int):
     return known[model]()
 
 
+def _counted(rows: DataFrame):
+    """One row: how many rows there are, and about how many cells of equal features."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("features")).alias("cells")).first()
+
+
 def _cells(rows: DataFrame, times: int = 4) -> DataFrame | None:
     """features, label and _weight: a row for all with equal features, their mean label and number; None where that makes not so many times fewer.
 
     Trees by variance see only counts and sums of labels, so those of the cells are those of the rows, at thresholds of all rows and not of a sample.
     """
-    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("features")).alias("cells")).first()
+    n = _counted(rows)
     if n.cells * times > n.rows:
         return None
     return checkpointed(rows.groupBy("features").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("_weight")))
 
 
+def _drawn(rows: DataFrame, trees: int, seed: int) -> DataFrame:
+    """features, w0, w1 .., s0, s1 ..: for each cell of equal features and each tree, how often its rows are drawn, and the sum of the labels drawn.
+
+    Each tree draws each row a Poisson number of times with mean 1, as MLlib's bootstrap does. Tasks add up their own rows, so only cells are shuffled.
+    """
+    names = [f"{c}{t}" for c in "ws" for t in range(trees)]
+
+    def draw(batches):
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        places, sums = {}, np.zeros((2 * trees, 0))
+        held, n = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append((batch.column("x").flatten().to_numpy(), batch.column("label").to_numpy()))
+                n += len(batch)
+            if not n or batch is not None and n < BLOCK:
+                continue
+            x, y = np.concatenate([x for x, _ in held]).reshape(n, -1), np.concatenate([y for _, y in held])
+            held, n = [], 0
+            order = np.lexsort(x.T)
+            x, y = x[order], y[order]
+            first = np.r_[True, (x[1:] != x[:-1]).any(1)]
+            at = np.array([places.setdefault(cell, len(places)) for cell in map(tuple, x[first].tolist())])[np.cumsum(first) - 1]
+            sums = np.pad(sums, ((0, 0), (0, len(places) - sums.shape[1])))
+            for t in range(trees):
+                w = poisson_of_one(rng, len(y))
+                sums[t] += np.bincount(at, w, len(places))
+                sums[trees + t] += np.bincount(at, w * y, len(places))
+        cells = list(places)
+        for k in range(0, len(cells), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(map(list, cells[k : k + 1000]), pa.list_(pa.float64())), *map(pa.array, sums[:, k : k + 1000])], ["x", *names])
+
+    parts = rows.select(vector_to_array("features").alias("x"), "label").mapInArrow(draw, "x array<double>, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("x").agg(*(F.sum(n).alias(n) for n in names)).withColumn("features", array_to_vector("x")).drop("x")
+
+
+class Forest(PipelineModel):
+    """A forest of a regression as one-tree forests and their mean."""
+
+    def __init__(self, trees: list):
+        names = [f"_tree{k}" for k in range(len(trees))]
+        for name, tree in zip(names, trees, strict=True):
+            tree.setPredictionCol(name)
+        mean = f"select * except ({', '.join(names)}), ({' + '.join(names)}) / {len(names)} as prediction from __THIS__"
+        super().__init__([*trees, SQLTransformer(statement=mean)])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """Trees see each cell of equal features once; what they say of it is joined to its rows."""
+        rows = dataset.withColumn("_x", vector_to_array("features"))
+        cells = rows.select("_x").distinct().withColumn("features", array_to_vector("_x"))
+        return rows.join(if_few(checkpointed(super()._transform(cells).select("_x", "prediction"))), "_x", "left").drop("_x")
+
+    @property
+    def featureImportances(self) -> DenseVector:  # noqa: N802, as MLlib's forests have it
+        total = sum(tree.featureImportances.toArray() for tree in self.stages[:-1])
+        return DenseVector(total / (total.sum() or 1.0))
+
+
+def _forest(rows: DataFrame, estimator, task: str):
+    """The estimator's forest: of a regression with many rows in few cells grown on what each tree draws of each cell, else fitted on rows."""
+    n, trees, seed = _counted(rows), estimator.getNumTrees(), estimator.getSeed()
+    if task == "regression" and n.rows >= FOREST_ROWS and n.cells * 4 <= n.rows and n.cells * trees <= MOST_DRAWN:
+        cells = checkpointed(_drawn(rows, trees, seed))
+        subset = "onethird" if trees > 1 and estimator.getFeatureSubsetStrategy() == "auto" else estimator.getFeatureSubsetStrategy()
+        one = estimator.copy().setNumTrees(1).setBootstrap(False).setFeatureSubsetStrategy(subset).setWeightCol("_weight")
+
+        def grow(t: int):
+            own = cells.where(F.col(f"w{t}") > 0).select("features", (F.col(f"s{t}") / F.col(f"w{t}")).alias("label"), F.col(f"w{t}").alias("_weight"))
+            return one.copy().setSeed(seed + t).fit(own)
+
+        with ThreadPool(AT_ONCE) as pool:
+            grown = pool.map(inheritable_thread_target(rows.sparkSession)(grow), range(trees))
+        discard(cells)
+        return Forest(grown)
+    parts = -(-n.rows * (4 * trees + 16 * len(rows.select("features").first()[0]) + 128) // KEPT_BYTES)  # a count for each tree, and the features
+    return estimator.fit(rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows)
+
+
+def _fitted(rows: DataFrame, task: str, model: str, options: dict, size: int, classes: int):
+    """The model fitted on rows with features and label; trees of a regression on cells, where they are few."""
+    estimator = _estimator(task, model, options, size, classes)
+    if model == "random_forest":
+        return _forest(rows, estimator, task)
+    if task == "regression" and model in ("gradient_boosting", "decision_tree") and (cells := _cells(rows)) is not None:
+        fitted = estimator.setWeightCol("_weight").fit(cells)
+        discard(cells)
+        return fitted
+    return estimator.fit(rows)
+
+
 class AdaBoost:
     """SAMME over shallow trees: each round weighs up the rows that the last tree missed."""
 
@@ -417,14 +522,10 @@ def train(df: DataFrame, task: str, model: str, target: str, columns: list[str]
     elif model == "voting":
         options = {"trees": 40} | options
         members = ["linear", "decision_tree", "random_forest"] if task == "regression" else ["logistic", "decision_tree", "random_forest"]
-        fitted = [_estimator(task, m, options, len(names), classes).fit(fit_rows) for m in members]
+        fitted = [_fitted(fit_rows, task, m, options, len(names), classes) for m in members]
         predicted = _voted(test, fitted, task)
-    elif model in ("gradient_boosting", "decision_tree") and not labels and (cells := _cells(fit_rows)) is not None:
-        fitted = _estimator(task, model, options, len(names), classes).setWeightCol("_weight").fit(cells)
-        discard(cells)
-        predicted = fitted.transform(test)
     else:
-        fitted = _estimator(task, model, options, len(names), classes).fit(fit_rows)
+        fitted = _fitted(fit_rows, task, model, options, len(names), classes)
         predicted = fitted.transform(test)
     if labels:
         word = F.array(*map(F.lit, labels))
@@ -578,7 +679,7 @@ def cross_validate(df: DataFrame, task: str, model: str, target: str, columns: l
     rows, out = checkpointed(folds(rows.select("label", "features", key), key, k, stratify="label" if labels else None)), None
     metric, sign = METRIC_OF[scoring]
     for f in range(max(2, k)):
-        fitted = _estimator(task, INSTEAD.get(named, named), options, len(names), len(labels or ())).fit(rows.where(F.col("fold") != f))
+        fitted = _fitted(rows.where(F.col("fold") != f), task, INSTEAD.get(named, named), options, len(names), len(labels or ()))
         predicted = fitted.transform(rows.where(F.col("fold") == f))
         metrics = regression_metrics(predicted, "label") if task == "regression" else classification_metrics(predicted, "label")
         metrics = metrics.withColumns({"fold": F.lit(f), "score": F.col(metric) * sign})

@@ -142,6 +142,50 @@ def test_trees_of_equal_features_are_fitted_on_cells(spark, monkeypatch, model):
     assert list(found) == pytest.approx(list(fit()))
     assert plain(spark.range(100).selectExpr("double(id) as features", "double(id) as label")) is None
 
+def test_forests_of_many_rows_in_few_cells_are_grown_on_cells(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id as key", "double(id % 6) as x", "double(id % 5) as y", "double(id % 6 * 3 + id % 5 * (id % 6) + id % 7) as z").repartition(3)
+    fit = lambda model: learning.train(rows, "regression", model, "z", ["x", "y"], "key", trees=6, preset="fast")
+    plain = {m: fit(m) for m in ("random_forest", "voting")}
+    assert not isinstance(plain["random_forest"].fitted, learning.Forest)
+    monkeypatch.setattr(learning, "FOREST_ROWS", 1000)
+    monkeypatch.setattr(learning, "BLOCK", 500)
+    found = {m: fit(m) for m in ("random_forest", "voting")}
+    forest = found["random_forest"].fitted
+    assert isinstance(forest, learning.Forest) and isinstance(found["voting"].fitted[2], learning.Forest)
+    assert forest.stages[0].getNumTrees == 1 and len(forest.stages) == 7
+    assert found["random_forest"].predictions.columns == plain["random_forest"].predictions.columns
+    for model, result in found.items():
+        a, b = result.metrics.first(), plain[model].metrics.first()
+        assert a.n == b.n and a.r2 == pytest.approx(b.r2, abs=0.05) and a.r2 > 0.8
+    shares = [{r.feature: r.importance for r in f["random_forest"].importance.collect()} for f in (found, plain)]
+    assert sum(shares[0].values()) == pytest.approx(1) and shares[0]["x"] == pytest.approx(shares[1]["x"], abs=0.1)
+    cv = learning.cross_validate(rows, "regression", "random_forest", "z", ["x", "y"], "key", 2, trees=3).summary.first()
+    assert cv["mean"] > 0.7
+
+
+def test_draws_of_cells_add_up_as_draws_of_rows_do(spark, monkeypatch):
+    rows, _, _ = learning.features(spark.range(20_000).selectExpr("double(id % 4) as x", "double(id % 10) as label", "id").repartition(3), ["x"])
+    monkeypatch.setattr(learning, "BLOCK", 3000)
+    found = learning._drawn(rows, 50, 7).collect()
+    assert sorted(r.features[0] for r in found) == [0, 1, 2, 3]
+    w, s = (np.array([[r[f"{c}{t}"] for t in range(50)] for r in found]) for c in "ws")
+    labels = np.array([[4.0, 24.0] if r.features[0] % 2 == 0 else [5.0, 33.0] for r in found])  # means of labels and of their squares
+    assert abs(w.mean() / 5000 - 1) < 0.01 and abs(w.std(axis=1) / 5000**0.5 - 1).max() < 0.4
+    assert np.allclose(s.mean(axis=1) / 5000, labels[:, 0], atol=0.05)
+    spread = (s - labels[:, :1] * w).std(axis=1)  # a cell's draws of its own different labels
+    assert np.allclose(spread, np.sqrt(5000 * (labels[:, 1] - labels[:, 0] ** 2)), rtol=0.35)
+
+
+def test_forests_on_rows_keep_partitions_small(spark, monkeypatch):
+    rows, _, _ = learning.features(spark.range(400).selectExpr("double(id) as x", "double(id % 9) as label").coalesce(1), ["x"])
+    seen = []
+    forest = learning._estimator("regression", "random_forest", {"trees": 3}, 1, 0)
+    monkeypatch.setattr(type(forest), "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
+    learning._forest(rows, forest, "regression")
+    monkeypatch.setattr(learning, "KEPT_BYTES", 10_000)
+    learning._forest(rows, forest, "regression")
+    assert seen == [1, 7]
+
 
 def test_silhouette_equals_brute_force(spark, flowers):
     rows = flowers.select("kind", "x", "y").unionByName(spark.createDataFrame([("z", 0.0, 9.0), ("a", 0.0, 0.0), ("a", 0.0, 0.0), ("a", None, 1.0)], "kind string, x double, y double"))
