@@ -237,6 +237,26 @@ def test_registered_repeats_equal_brute_force(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, len(spans), hashlib.sha256(kept).hexdigest())
 
 
+def test_registered_repeats_return_the_text_that_is_left(spark, tmp_path):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    passage, short, tail = prose(55), " ".join(w[:5] for w in prose(67).split())[:398], prose(60)
+    rows = [
+        (1, f"One. {passage} Two."), (2, f"Three: {passage}; four"),  # over 50 words, over 400 bytes: goes
+        (3, f"Five. {short}X"), (4, f"Six! {short}Y"),  # over 50 words, but the same 399 bytes: stays
+        (5, f"é{tail}"), (6, f"©{tail}"),  # equal from the second byte of the first character on
+        (7, None), (8, "日本語"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in substrings.op13_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    for (k, text), (n, removed, spans, kept) in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True):
+        r = got[k]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, len(spans), hashlib.sha256(kept).hexdigest())
+        assert r.text == ("\ufffd" if k in (5, 6) else kept.decode())
+        assert passage not in r.text and (k not in (3, 4) or r.text == text)
+    assert got[1].n_removed >= len(passage) and got[5].n_removed == len(tail) + 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, runs string, kept string")
     assert infilling.fill_in_middle(none).count() == periodic_runs.mark_runs(none).count() == substrings.remove_repeats(none).count() == 0
